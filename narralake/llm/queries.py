@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from narralake.llm import packing, sharding, token_binary
+from narralake.llm import near_dedup, packing, sharding, token_binary
 from narralake.llm.common import load
 
 #: Folder of public tokenizer files; a parameter of every operator that needs one.
@@ -28,6 +28,10 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_components(load(spark, sf_dir, "documents"), k=4, percent=80)
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(load(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
 
@@ -35,6 +39,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_token_files": op5_token_files,
     "op6_sharding": op6_sharding,
+    "op8_near_dedup": op8_near_dedup,
     "op9_packing": op9_packing,
 }
 
