@@ -183,7 +183,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, ranks: str | None
             stream.close()
             yield pa.RecordBatch.from_pylist([{"file": name, "first_id": first, "n_docs": docs_in, "n_tokens": out.count, "n_bytes": out.at}], pa.schema([("file", pa.string()), *((c, pa.int64()) for c in ("first_id", "n_docs", "n_tokens", "n_bytes"))]))
 
-    ordered = id_and_text(docs, id_col, text_col).repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
+    ordered = id_and_text(docs, id_col, text_col).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     rows = sorted(ordered.mapInArrow(write, schema).collect(), key=lambda r: (r.first_id is not None, r.first_id or 0))
     start, listed = 0, []
     for r in rows:
