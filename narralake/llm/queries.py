@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from narralake.llm import near_dedup, packing, sharding, token_binary
-from narralake.llm.common import load
+from narralake.llm import near_dedup, packing, quality, sharding, token_binary, toxicity
+from narralake.llm.common import id_and_text, load
 
 #: Folder of public tokenizer files; a parameter of every operator that needs one.
 TOKENIZERS = os.environ.get("NARRALAKE_TOKENIZERS", "/opt/tokenizers")
@@ -19,6 +19,14 @@ def _vocabulary(name: str) -> str:
     return f"{TOKENIZERS}/{name}"
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(id_and_text(load(spark, sf_dir, "documents")), load(spark, sf_dir, "labels"))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_binary.token_files(spark, load(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"), _vocabulary("byte_bpe_50k.tiktoken"))
 
@@ -37,6 +45,8 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
+    "op3_quality": op3_quality,
     "op5_token_files": op5_token_files,
     "op6_sharding": op6_sharding,
     "op8_near_dedup": op8_near_dedup,
