@@ -58,7 +58,7 @@ def train(texts: Iterable[tuple[str, int]]) -> tuple[bytes, bytes]:
             context = zlib.crc32(f"{before} {after}".encode())
             for window in windows(start):
                 own.setdefault(window, set()).add(context)
-    toxic, plain = ({w: len(c) for w, c in s.items()} for s in seen)
+    plain, toxic = ({w: len(c) for w, c in s.items()} for s in seen)
     n1, n0 = sum(toxic.values()), sum(plain.values())
     chosen = []
     if n1 and n0:
