@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from narralake.llm.common import bound_arrow, id_and_text, materialize, slices
 from narralake.llm.encoding import encoder
 
-CAPACITY, PER_PART, FAN, LEAVE = 4096, 16_384, 8, 48
+CAPACITY, PER_PART, FAN, LEAVE = 4096, 4_096, 8, 48
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _PACKED = _PIECES + ", part int, sequence_id long, offset long, final boolean, bins long, bound long"
 
@@ -118,7 +118,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, per_part: int = PER_PART)
     pool = stored.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(n)).cast("int"))
     done, level = [], 0
     while True:
-        placed = materialize(pool.repartition(n, "part").groupBy("part").applyInPandas(_packer(level, n == 1, capacity), _PACKED), f"packed{level}")
+        placed = materialize(pool.groupBy("part").applyInPandas(_packer(level, n == 1, capacity), _PACKED), f"packed{level}")
         done.append(placed.filter("final"))
         if n == 1:
             break
