@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from narralake.llm import near_dedup, packing, quality, sharding, token_binary, toxicity
+from narralake.llm import bpe_codec, near_dedup, packing, quality, sharding, token_binary, toxicity
 from narralake.llm.common import id_and_text, load
 
 #: Folder of public tokenizer files; a parameter of every operator that needs one.
@@ -27,6 +27,12 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(id_and_text(load(spark, sf_dir, "documents")), load(spark, sf_dir, "labels"))
 
 
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = _vocabulary("byte_bpe_50k.json")
+    coded = bpe_codec.decode(bpe_codec.encode(load(spark, sf_dir, "documents"), name, _vocabulary("byte_bpe_50k.tiktoken")), name)
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "utf-8"), 256).alias("decoded_sha256"))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_binary.token_files(spark, load(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"), _vocabulary("byte_bpe_50k.tiktoken"))
 
@@ -47,6 +53,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op3_quality": op3_quality,
+    "op4_bpe": op4_bpe,
     "op5_token_files": op5_token_files,
     "op6_sharding": op6_sharding,
     "op8_near_dedup": op8_near_dedup,
