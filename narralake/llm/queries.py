@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from narralake.llm import bpe_codec, near_dedup, packing, quality, sharding, token_binary, toxicity
+from narralake.llm import bpe_codec, near_dedup, packing, quality, sharding, substring_dedup, token_binary, token_count, toxicity
 from narralake.llm.common import id_and_text, load
 
 #: Folder of public tokenizer files; a parameter of every operator that needs one.
@@ -23,6 +23,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeats(load(spark, sf_dir, "documents"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(id_and_text(load(spark, sf_dir, "documents")), load(spark, sf_dir, "labels"))
 
@@ -42,6 +46,10 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_count.token_counts(load(spark, sf_dir, "documents"), _vocabulary("piece_bpe_32k.model"))
+
+
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_components(load(spark, sf_dir, "documents"), k=4, percent=80)
 
@@ -52,10 +60,12 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op2_substring_dedup": op2_substring_dedup,
     "op3_quality": op3_quality,
     "op4_bpe": op4_bpe,
     "op5_token_files": op5_token_files,
     "op6_sharding": op6_sharding,
+    "op7_token_counts": op7_token_counts,
     "op8_near_dedup": op8_near_dedup,
     "op9_packing": op9_packing,
 }
