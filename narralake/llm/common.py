@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
@@ -11,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ARROW_BYTES = "16m"
+ROOT = str(Path(__file__).resolve().parents[2])
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,7 +41,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def bound_arrow(spark: SparkSession) -> None:
-    """Bound Arrow batches by bytes as well as rows, so that very long texts do not pile up in a Python worker."""
+    """Bound Arrow batches by bytes as well as rows, so that very long texts do not pile up in a Python worker.
+
+    Python workers also get this package's folder on their path; on a cluster that doesn't share it, ship the package
+    with --py-files.
+    """
+    paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(":")
+    if ROOT not in paths:
+        spark.sparkContext.environment["PYTHONPATH"] = ":".join([ROOT, *filter(None, paths)])
     try:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
     except Exception as error:  # the setting is only known to newer Spark versions
@@ -72,3 +81,8 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the two columns an operator needs; other columns, whatever their names, never reach it."""
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+
+
+def with_row(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, text, and the whole row as one struct, so that further columns go along whatever their names."""
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.struct("*").alias("row"))

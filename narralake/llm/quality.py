@@ -28,14 +28,15 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
 
 
-def base_rules(docs: DataFrame) -> DataFrame:
-    """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed to (doc_id, text)."""
+def base_rules(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed to (doc_id, text) and the columns to carry along."""
+    own = ("doc_id", "text", *carry)
     whole = F.coalesce("text", F.lit(""))
     lines = F.filter(F.split(whole, "\n"), lambda x: F.length(F.translate(x, SPACES, "")) > 0)
-    one = docs.select("doc_id", "text", words(whole).alias("w"), F.length(F.translate(whole, SPACES, "")).cast("long").alias("word_chars"), (F.length(whole) - F.length(F.translate(whole, SYMBOLS, ""))).cast("long").alias("n_symbols"), lines.alias("lines"))
+    one = docs.select(*own, words(whole).alias("w"), F.length(F.translate(whole, SPACES, "")).cast("long").alias("word_chars"), (F.length(whole) - F.length(F.translate(whole, SYMBOLS, ""))).cast("long").alias("n_symbols"), lines.alias("lines"))
     at = lambda i: F.element_at("w", i)
     window = F.when(F.size("w") < 3, F.array().cast("array<bigint>")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 2, F.lit(1))), lambda i: F.xxhash64(at(i), at(i + 1), at(i + 2))))
-    two = one.select("doc_id", "text", F.size("w").cast("long").alias("n_words"), "word_chars", "n_symbols", (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), window.alias("h"), F.sort_array(window).alias("s"))
+    two = one.select(*own, F.size("w").cast("long").alias("n_words"), "word_chars", "n_symbols", (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), window.alias("h"), F.sort_array(window).alias("s"))
     repeated = F.array_distinct(F.filter("s", lambda x, i: (i > 0) & (x == F.get("s", F.when(i > 0, i - 1).otherwise(0)))))
     three = two.select("*", repeated.alias("again"))
     # Few repeated windows: look each up. Many: sort windows with their places, so that the cost stays near linear.
@@ -44,9 +45,9 @@ def base_rules(docs: DataFrame) -> DataFrame:
     four = three.select("*", F.when(F.size("again") > 32, pairs).alias("p"))
     many = F.transform(F.filter("p", lambda x, k: ((k > 0) & (F.get("p", F.greatest(k - 1, F.lit(0)))["h"] == x["h"])) | F.coalesce(F.get("p", k + 1)["h"] == x["h"], F.lit(False))), lambda x: x["i"])
     places = F.when(F.size("again") == 0, F.array().cast("array<int>")).when(F.size("again") <= 32, few).otherwise(many)
-    five = four.select("doc_id", "text", "n_words", "word_chars", "n_symbols", "n_dup_lines", places.alias("at"))
+    five = four.select(*own, "n_words", "word_chars", "n_symbols", "n_dup_lines", places.alias("at"))
     covered = F.size(F.array_distinct(F.flatten(F.transform("at", lambda i: F.array(i, i + 1, i + 2)))))
-    six = five.select("doc_id", "text", "n_words", "word_chars", "n_symbols", "n_dup_lines", covered.cast("long").alias("n_repeat_words"))
+    six = five.select(*own, "n_words", "word_chars", "n_symbols", "n_dup_lines", covered.cast("long").alias("n_repeat_words"))
     return six.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words")))
 
 
@@ -77,11 +78,13 @@ def weights(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return row.select(F.transform("w", lambda x: x - F.log(F.col("nt") + PRIOR * BUCKETS) + F.log(F.col("nr") + PRIOR * BUCKETS)).alias("w"))
 
 
-def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """docs: doc_id, text -> doc_id, the rules' columns, llr and kept."""
+def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, carry: tuple[str, ...] = ()) -> DataFrame:
+    """docs: doc_id, text -> doc_id, the columns to carry along, the rules' columns, llr and kept."""
     table = materialize(weights(docs, labels), "weights")  # one row of fixed size
-    ruled = base_rules(docs).withColumn("f", features(F.col("text"))).drop("text")
+    ruled = base_rules(docs, carry).withColumn("f", features(F.col("text"))).drop("text")
     bucketed = ruled.withColumn("b", _buckets(F.col("f"))).drop("f").withColumn("w", table.scalar())
     total = F.aggregate("b", F.lit(0.0), lambda acc, x: acc + F.element_at("w", x + 1))
     scored = bucketed.withColumn("llr", F.when(F.size("b") > 0, total / F.size("b")).otherwise(0.0)).drop("b", "w")
-    return scored.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold))
+    # rand() >= 0 is always true; it keeps a later filter on kept from being pushed below these projections, where it
+    # would repeat their expressions many times over.
+    return scored.withColumn("kept", (F.rand(0) >= 0) & ~F.col("base_failed") & (F.col("llr") >= threshold))

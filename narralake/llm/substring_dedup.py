@@ -7,7 +7,7 @@ runs of neighbouring repeats with MIN_WORDS words or more in all are removed; sh
 Offsets are those of the original text, in characters.
 
 Nulls: a null text stays null; null ids rank last. Empty tables give no rows. Rows repeated in both columns are one
-occurrence, so all stay; further columns, whatever their names, are kept as they are by `dedup_rows` and not read by
+occurrence, so all stay; further columns, whatever their names, are kept as they are by `repeat_rows` and not read by
 `repeats`.
 """
 
@@ -20,6 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from narralake.llm.common import bound_arrow, id_and_text, materialize, slices
 
@@ -90,36 +91,42 @@ def _occurrences(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(cut, "rank_id long, key long, pos int, hi long, lo long")
 
 
-def repeats(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text (without repeats), removed (array of start, end in the original), n_removed (characters)."""
+def repeat_rows(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, row (all columns of docs), text (without repeats), removed (array of start, end in the original), n_removed (characters)."""
     bound_arrow(docs.sparkSession)
-    texts = id_and_text(docs, id_col, text_col)
-    found = _occurrences(texts)
+    found = _occurrences(id_and_text(docs, id_col, text_col))
     rank = F.struct("rank_id", "key", "pos")
     first = materialize(found.groupBy("hi", "lo").agg(F.min(rank).alias("first"), F.max(rank).alias("last")).filter("first <> last").select("hi", "lo", "first"), "first")
     marks = found.join(first, ["hi", "lo"]).filter(rank != F.col("first")).groupBy("rank_id", "key").agg(F.collect_list("pos").alias("again"))
-    kind = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("removed", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), ("n_removed", pa.int64())])
+    spans_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[list] = [[], [], [], []]
-            for doc_id, text, again in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "again")), strict=True):
+            texts, removed, sizes = [], [], []
+            for text, again in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 spans = runs(text, set(again), min_words) if text and again else []
-                kept = text
                 if spans:
                     edges = [0, *(x for s in spans for x in s), len(text)]
-                    kept = "".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
-                for column, value in zip(rows, (doc_id, kept, [{"start": a, "end": b} for a, b in spans], sum(b - a for a, b in spans)), strict=True):
-                    column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, kind, strict=True)], schema=kind)
+                    text = "".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
+                texts.append(text)
+                removed.append([{"start": a, "end": b} for a, b in spans])
+                sizes.append(sum(b - a for a, b in spans))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(texts, pa.string()), pa.array(removed, spans_type), pa.array(sizes, pa.int64())], ["doc_id", "row", "text", "removed", "n_removed"])
+
+    row = T.StructField("row", T.StructType([f for f in docs.schema if f.name != text_col]))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.struct(*[F.col(f"`{f.name}`") for f in row.dataType]).alias("row"))
+    whole = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), row, T.StructField("rank_id", T.LongType()), T.StructField("key", T.LongType())])
+    joined = rows.mapInArrow(_keyed, whole).join(marks, ["rank_id", "key"], "left").select("doc_id", "text", "row", "again")
+    return joined.mapInArrow(remove, T.StructType([whole[0], row, whole[1], *T.StructType.fromDDL("removed array<struct<start:int,end:int>>, n_removed long")]))
 
-    keyed = texts.mapInArrow(_keyed, "doc_id long, text string, rank_id long, key long")
-    joined = keyed.join(marks, ["rank_id", "key"], "left").select("doc_id", "text", "again")
-    return joined.mapInArrow(remove, "doc_id long, text string, removed array<struct<start:int,end:int>>, n_removed long")
+
+def repeats(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, text, removed, n_removed; only the two named columns are read."""
+    return repeat_rows(docs.select(id_col, text_col), min_words, id_col, text_col).drop("row")
 
 
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = batch.column(0).cast(pa.int64())
         keys = pa.array([text_key(t) for t in batch.column(1).to_pylist()], pa.int64())
-        yield pa.RecordBatch.from_arrays([ids, batch.column(1), ids.fill_null(LAST), keys], ["doc_id", "text", "rank_id", "key"])
+        yield pa.RecordBatch.from_arrays([ids, batch.column(1), batch.column(2), ids.fill_null(LAST), keys], ["doc_id", "text", "row", "rank_id", "key"])

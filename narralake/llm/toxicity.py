@@ -28,8 +28,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from narralake.llm.common import bound_arrow, id_and_text, materialize, slices
+from narralake.llm.common import bound_arrow, materialize, slices, with_row
 
 TRAINING, COMMON, MOST, ONE_PHRASE, MARGIN, LEVEL, CUT = 6_000, 4_000, 2_000, 12, 3, 12, 0.7
 _START = re.compile(r"([^\W\d_]{1,6})[^\W\d_]*")
@@ -146,12 +147,11 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model | None:
     return fit(sorted((r.h, r.text, int(r.toxic != 0)) for r in rows))
 
 
-def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", cut: float = CUT) -> DataFrame:
-    """doc_id, held_out, score, predicted, n_windows (those that speak for toxicity)."""
+def score_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", cut: float = CUT) -> DataFrame:
+    """doc_id, row (all columns of docs), held_out, score, predicted, n_windows (those that speak for toxicity)."""
     bound_arrow(docs.sparkSession)
-    texts = id_and_text(docs, id_col, text_col)
-    model = learn(texts, labels)
-    kind = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("n_windows", pa.int64())])
+    rows = with_row(docs, id_col, text_col)
+    model = learn(rows.select("doc_id", "text"), labels)
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         opened = model.open() if model else None
@@ -159,8 +159,13 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             for batch in slices(whole, 1):
                 found = np.array([opened.evidence(t or "") if opened else (0, 0) for t in batch.column(1).to_pylist()], float).reshape(-1, 2)
                 score = 1 / (1 + np.exp(-np.clip(_design(found[:, 0], found[:, 1]) @ np.array(opened.weights), -30, 30))) if opened else np.zeros(len(found))
-                yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(score), pa.array(found[:, 0].astype(np.int64))], schema=kind)
+                yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(2), pa.array(score), pa.array(found[:, 0].astype(np.int64))], ["doc_id", "row", "score", "n_windows"])
 
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("row", docs.schema), T.StructField("score", T.DoubleType()), T.StructField("n_windows", T.LongType())])
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
-    rated = texts.mapInArrow(rate, "doc_id long, score double, n_windows long")
-    return rated.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"), "n_windows")
+    return rows.mapInArrow(rate, schema).select("doc_id", "row", held_out.alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"), "n_windows")
+
+
+def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", cut: float = CUT) -> DataFrame:
+    """doc_id, held_out, score, predicted, n_windows; only the two named columns are read."""
+    return score_rows(docs.select(id_col, text_col), labels, id_col, text_col, cut).drop("row")
