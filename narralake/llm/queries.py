@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from narralake.llm import bpe_codec, near_dedup, packing, quality, sharding, substring_dedup, token_binary, token_count, toxicity
+from narralake.llm import ann, bpe_codec, near_dedup, packing, quality, sharding, substring_dedup, token_binary, token_count, toxicity
 from narralake.llm.common import id_and_text, load
 
 #: Folder of public tokenizer files; a parameter of every operator that needs one.
@@ -58,6 +58,10 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(load(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
 
 
+def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(load(spark, sf_dir, "embeddings"), k=20, every=20)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_substring_dedup": op2_substring_dedup,
@@ -68,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_token_counts": op7_token_counts,
     "op8_near_dedup": op8_near_dedup,
     "op9_packing": op9_packing,
+    "op10_ann": op10_ann,
 }
 
 ORACLE_SQL: dict[str, str] = {}
