@@ -4,8 +4,8 @@
 2. First neighbours: TABLES random sign codes deal nodes to groups of about GROUP (larger groups are split at random, so
    no group grows with the data); each group is compared within.
 3. NN-descent: each node's neighbours and the nodes that have it as a neighbour, at most WIDE each way, are joined to
-   it; those are compared with one another, and whoever is nearer than a node's worst neighbour replaces it. ROUNDS
-   such joins of neighbours of neighbours. For the graph alone, vectors get one more component that makes all lengths
+   it; those are compared with one another, and whoever is nearer than a node's worst neighbour replaces it. Such joins of
+   neighbours of neighbours go on until the mean nearness settles, ROUNDS times at most. For the graph alone, vectors get one more component that makes all lengths
    equal, so that the nearest by angle are the largest inner products.
 4. Search: every query starts at its own node and, STEPS times, opens its best BEAM unopened nodes among the best POOL;
    their neighbours are scored in double precision on the original vectors. Steps are joins over all queries at once.
@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 
 from narralake.llm.common import bound_arrow, materialize
 
-TABLES, GROUP, NEAR, WIDE, ROUNDS, STEPS, BEAM, POOL = 10, 256, 24, 24, 6, 7, 16, 120
+TABLES, GROUP, NEAR, WIDE, ROUNDS, STEPS, BEAM, POOL = 10, 256, 24, 24, 12, 7, 16, 120
+SETTLED = 0.001
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
@@ -136,6 +137,7 @@ def build_graph(nodes: DataFrame, width: int) -> DataFrame:
     sizes = materialize(coded.groupBy("t", "code").agg(F.ceil(F.count("*") / (2 * GROUP)).cast("int").alias("parts")), "sizes")
     dealt = coded.join(sizes, ["t", "code"]).select(F.xxhash64("t", "code", F.pmod(F.xxhash64("node", "t"), F.col("parts"))).alias("key"), "node", "x", F.lit(-2.0).alias("worst"), nobody.alias("known"))
     graph = materialize(_best(_once(_compared(dealt, NEAR // 2)), NEAR), "graph0")
+    now = graph.agg(F.avg("s")).first()[0]
     for round_ in range(ROUNDS):
         worst = graph.groupBy("u").agg(F.when(F.count("*") >= NEAR, F.min("s")).otherwise(-2.0).alias("worst"), F.slice(F.concat(F.collect_list("v"), nobody), 1, NEAR).alias("known"))
         ahead = _best(graph, WIDE).select(F.col("u").alias("key"), F.col("v").alias("node"))
@@ -145,6 +147,9 @@ def build_graph(nodes: DataFrame, width: int) -> DataFrame:
         detail = materialize(ready.select("node", "x").join(worst, F.col("node") == F.col("u"), "left").select("node", "x", F.coalesce("worst", F.lit(-2.0)).alias("worst"), F.coalesce("known", nobody).alias("known")), f"detail{round_}")
         found = _compared(around.join(detail, "node"), 12)
         graph = materialize(_best(_once(graph.unionAll(found)), NEAR), f"graph{round_ + 1}")
+        before, now = now, graph.agg(F.avg("s")).first()[0]
+        if now is None or now - before < SETTLED * (1 - before):
+            break
     return graph
 
 
