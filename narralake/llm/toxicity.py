@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 
 from narralake.llm.common import bound_arrow, materialize, slices, with_row
 
-TRAINING, COMMON, MOST, ONE_PHRASE, MARGIN, LEVEL, CUT = 6_000, 4_000, 2_000, 12, 3, 12, 0.7
+TRAINING, COMMON, MOST, ONE_PHRASE, MARGIN, LEVEL, CUT = 3_500, 4_000, 2_000, 12, 3, 12, 0.7
 _START = re.compile(r"([^\W\d_]{1,6})[^\W\d_]*")
 
 
