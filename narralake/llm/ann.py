@@ -1,15 +1,15 @@
-"""Operator 10: approximate nearest neighbours by largest inner product, with an NN-descent graph and greedy search.
-
-1. Equal vectors form one node (the least id); a node keeps its KEEP least ids, which is all that a result can hold.
-2. First neighbours: TABLES random sign codes deal nodes to groups of about GROUP (larger groups are split at random, so
-   no group grows with the data); each group is compared within.
-3. NN-descent: each node's neighbours and the nodes that have it as a neighbour, at most WIDE each way, are joined to
-   it; those are compared with one another, and whoever is nearer than a node's worst neighbour replaces it. Such joins of
-   neighbours of neighbours go on until the mean nearness settles, ROUNDS times at most. For the graph alone, vectors get one more component that makes all lengths
-   equal, so that the nearest by angle are the largest inner products.
-4. Search: every query starts at its own node and, STEPS times, opens its best BEAM unopened nodes among the best POOL;
-   their neighbours are scored in double precision on the original vectors. Steps are joins over all queries at once.
-Every vector is indexed. Recall is measured against brute force in the tests.
+"""Operator 10: approximate nearest neighbours by largest inner product, with cells opened until a measured recall.
+
+1. Equal vectors form one node (the least id); a node keeps its k + 1 least ids, which is all that a result can hold.
+2. Nodes belong to the nearest of about 4 sqrt(n) centroids (MOST_CELLS at most). Vectors get one more component that
+   makes all lengths equal, so that the nearest by angle are the largest inner products.
+3. About SAMPLE queries are compared with every node. The cells that hold their exact neighbours tell how many of its
+   nearest cells each query has to open for a recall of RECALL; there is no other limit, and it may be all of them.
+4. Queries meet the nodes of the cells they open: first the square root of that number, which gives each query a floor,
+   then the rest, where only what reaches the floor is written. The best are scored again in double precision on the
+   original vectors. Large cells are dealt to several groups, so no group grows with the data.
+Every vector is indexed. Recall is also measured against brute force in the tests. Where vectors have no clusters, the
+cells to open are a fixed share of all, and the work grows with queries times vectors.
 
 Nulls: null, zero and non-finite vectors, those with null components, and null ids take no part, neither do vectors of
 another length than most have. Empty tables give no rows. Repeated ids count once, with their least vector. Other
@@ -21,19 +21,21 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from narralake.llm.common import bound_arrow, materialize
 
-TABLES, GROUP, NEAR, WIDE, ROUNDS, STEPS, BEAM, POOL = 10, 256, 24, 24, 12, 7, 16, 120
-SETTLED = 0.001
+RECALL, SAMPLE, MOST_CELLS, GROUP, SPARE = 0.95, 200, 2048, 8192, 12
 
 
-def _matrix(column: pd.Series) -> np.ndarray:
-    return np.frombuffer(b"".join(column), np.float32).reshape(len(column), -1)
+def _matrix(column: pa.Array, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.float32).reshape(len(column), width)
+
+
+def _binary(x: np.ndarray) -> pa.Array:
+    return pa.array([r.tobytes() for r in x], pa.binary())
 
 
 def _nodes(vectors: DataFrame, id_col: str, vector_col: str, keep: int) -> tuple[DataFrame, DataFrame, int]:
@@ -51,125 +53,169 @@ def _nodes(vectors: DataFrame, id_col: str, vector_col: str, keep: int) -> tuple
     return least.select("node", "v"), materialize(members, "members"), width
 
 
-def _best(part: DataFrame, k: int, by: str = "u") -> DataFrame:
-    """The k nearest (v, s) of each u; the limit per node also runs before the shuffle."""
-    w = Window.partitionBy(by).orderBy(F.desc("s"), "v" if by == "u" else "u")
+def _best(part: DataFrame, k: int) -> DataFrame:
+    """The k nearest nodes of each q; the limit per query also runs before the shuffle."""
+    w = Window.partitionBy("q").orderBy(F.desc("s"), "node")
     return part.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= k).drop("r")
 
 
-def _within(part: pd.DataFrame, most: int) -> pd.DataFrame:
-    """The nearest of each node in a group that it doesn't know yet, if nearer than its worst neighbour so far."""
-    ids, x = part["node"].to_numpy(), _matrix(part["x"])
-    first = np.unique(ids, return_index=True)[1]
-    ids, x, worst = ids[first], x[first], part["worst"].to_numpy()[first]
-    if len(ids) < 2:
-        return pd.DataFrame({"u": ids[:0], "v": ids[:0], "s": worst[:0]})
-    s = x @ x.T
-    np.fill_diagonal(s, -np.inf)
-    known = np.stack(part["known"].to_numpy()[first])
-    s[(known[:, :, None] == ids[None, None, :]).any(axis=1)] = -np.inf
-    k = min(most, len(ids) - 1)
-    near = np.argpartition(-s, k - 1, axis=1)[:, :k]
-    value = np.take_along_axis(s, near, axis=1)
-    good = value > worst[:, None]
-    return pd.DataFrame({"u": np.repeat(ids, k)[good.ravel()], "v": ids[near].ravel()[good.ravel()], "s": value.ravel()[good.ravel()].astype(np.float64)})
+def _some(part: DataFrame, count: int, most: int) -> DataFrame:
+    """About `most` of the `count` rows, by a hash of their node; all where there are no more."""
+    return part if count <= most else part.filter(F.pmod(F.xxhash64("node", F.lit("sample")), F.lit(1 << 30)) < int((1 << 30) * most / count))
 
 
-def _grouped(most: int):
-    kind = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("s", pa.float64())])
+def _ready(nodes: DataFrame, width: int) -> tuple[DataFrame, int]:
+    """(node, x) in single precision, all of length 1, and their number."""
+    longest = nodes.agg(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)), F.count("*")).first()
+    top = float(longest[0] or 1.0)
+
+    def prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, width)
+            more = np.sqrt(np.maximum(0.0, top - (x * x).sum(axis=1)))
+            x = (np.concatenate([x, more[:, None]], axis=1) / np.sqrt(top)).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), _binary(x)], ["node", "x"])
+
+    return materialize(nodes.mapInArrow(prepare, "node long, x binary"), "ready"), longest[1]
+
+
+def _centroids(ready: DataFrame, count: int, width: int) -> np.ndarray:
+    """Four rounds of spherical k-means on a sample of at most about 64 MB."""
+    cells = max(1, min(MOST_CELLS, int(4 * np.sqrt(count))))
+    rows = _some(ready, count, max(cells, min(16 * cells, (64 << 20) // (4 * width)))).collect()
+    if not rows:
+        return np.zeros((1, width), np.float32)
+    x = np.stack([np.frombuffer(r.x, np.float32) for r in sorted(rows, key=lambda r: r.node)])
+    found = x[np.random.default_rng(7).permutation(len(x))[:cells]]
+    for _ in range(4):
+        total = np.zeros_like(found)
+        for i in range(0, len(x), 4096):
+            np.add.at(total, (x[i : i + 4096] @ found.T).argmax(axis=1), x[i : i + 4096])
+        size = np.linalg.norm(total, axis=1, keepdims=True)
+        found = np.where(size > 0, total / np.maximum(size, 1e-30), found)
+    return found
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (key, node, x, worst, known) come sorted by key; one group is held at a time."""
-        held: list[pd.DataFrame] = []
 
-        def done() -> pa.RecordBatch:
-            out = _within(pd.concat(held) if len(held) > 1 else held[0], most)
-            held.clear()
-            return pa.RecordBatch.from_pandas(out, schema=kind, preserve_index=False)
+def _dealt(ready: DataFrame, centroids: np.ndarray) -> DataFrame:
+    """(cell, node, x)"""
 
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = _matrix(batch.column(1), centroids.shape[1])
+            cell = [(x[i : i + 2048] @ centroids.T).argmax(axis=1) for i in range(0, len(x), 2048)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *cell]).astype(np.int32)), batch.column(0), batch.column(1)], ["cell", "node", "x"])
+
+    return materialize(ready.mapInArrow(assign, "cell int, node long, x binary"), "dealt")
+
+
+def _top(s: np.ndarray, k: int) -> np.ndarray:
+    """Columns of the k largest of each row, in any order."""
+    return np.argpartition(-s, k - 1, axis=1)[:, :k] if k < s.shape[1] else np.tile(np.arange(s.shape[1]), (len(s), 1))
+
+
+def cells_to_open(dealt: DataFrame, asked: DataFrame, centroids: np.ndarray, k: int) -> int:
+    """How many of its nearest cells a query must open for RECALL, by the exact neighbours of a sample of queries."""
+    sample = _some(asked, asked.count(), SAMPLE).select("node", "x").collect()
+    if not sample:
+        return 1
+    own, x = np.array([r.node for r in sample]), np.stack([np.frombuffer(r.x, np.float32) for r in sample])
+
+    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The k nearest of a task's rows for each sampled query."""
+        ids = cell = np.zeros((len(own), 0), np.int64)
+        best = np.zeros((len(own), 0), np.float32)
+        for whole in batches:
+            for i in range(0, whole.num_rows, 4096):
+                batch = whole.slice(i, 4096)
+                node = batch.column(1).to_numpy()
+                s = x @ _matrix(batch.column(2), x.shape[1]).T
+                s[own[:, None] == node[None, :]] = -np.inf
+                near = _top(s, k)
+                best = np.concatenate([best, np.take_along_axis(s, near, axis=1)], axis=1)
+                ids, cell = np.concatenate([ids, node[near]], axis=1), np.concatenate([cell, batch.column(0).to_numpy()[near]], axis=1)
+                keep = _top(best, k)
+                best, ids, cell = (np.take_along_axis(a, keep, axis=1) for a in (best, ids, cell))
+        good = np.isfinite(best).ravel()
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own, best.shape[1])[good]), pa.array(ids.ravel()[good]), pa.array(best.ravel()[good].astype(np.float64)), pa.array(cell.ravel()[good].astype(np.int32))], ["q", "node", "s", "cell"])
+
+    truth = _best(dealt.mapInArrow(exact, "q long, node long, s double, cell int"), k).select("q", "cell").collect()
+    if not truth:
+        return 1
+    order = np.argsort(np.argsort(-(x @ centroids.T), axis=1, kind="stable"), axis=1)
+    row = {int(q): i for i, q in enumerate(own)}
+    needed = np.sort([order[row[t.q], t.cell] for t in truth])
+    return int(needed[int(np.ceil(RECALL * len(needed))) - 1]) + 1
+
+
+def _scan(width: int, pool: int):
+    kind = pa.schema([("q", pa.int64()), ("node", pa.int64()), ("s", pa.float64())])
+
+    def near(q: np.ndarray, qx: np.ndarray, floor: np.ndarray, node: np.ndarray, x: np.ndarray) -> Iterator[pa.RecordBatch]:
+        step = max(1, (1 << 22) // len(node))
+        for i in range(0, len(q), step):
+            s = qx[i : i + step] @ x.T
+            top = _top(s, pool)
+            value = np.take_along_axis(s, top, axis=1)
+            good = (value >= floor[i : i + step, None] - 1e-6).ravel()
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q[i : i + step], top.shape[1])[good]), pa.array(node[top].ravel()[good]), pa.array(value.ravel()[good].astype(np.float64))], schema=kind)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (cell, part, asks, id, floor, x) come sorted by group, nodes before queries; one group's nodes are held at a time."""
+        group, held = None, []
         for batch in batches:
             if not batch.num_rows:
                 continue
-            frame = batch.to_pandas()
-            keys = frame["key"].to_numpy()
-            cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
-            if held and held[-1]["key"].iloc[-1] != keys[0]:
-                yield done()
+            cell, part, asks, ids, floor = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
+            x = _matrix(batch.column(5), width)
+            change = (cell[1:] != cell[:-1]) | (part[1:] != part[:-1]) | (asks[1:] != asks[:-1])
+            cuts = [0, *(np.flatnonzero(change) + 1).tolist(), len(cell)]
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                held.append(frame.iloc[a:b])
-                if b < len(keys):
-                    yield done()
-        if held:
-            yield done()
+                if (cell[a], part[a]) != group:
+                    group, held = (cell[a], part[a]), []
+                if not asks[a]:
+                    held.append((ids[a:b], x[a:b]))
+                elif held:
+                    held = [tuple(np.concatenate(c) for c in zip(*held, strict=True))] if len(held) > 1 else held
+                    yield from near(ids[a:b], x[a:b], floor[a:b], *held[0])
 
     return compare
 
 
-def _compared(rows: DataFrame, most: int) -> DataFrame:
-    return rows.select("key", "node", "x", "worst", "known").repartition("key").sortWithinPartitions("key").mapInArrow(_grouped(most), "u long, v long, s double")
+def search(dealt: DataFrame, asked: DataFrame, centroids: np.ndarray, opened: int, pool: int) -> DataFrame:
+    """asked: (node, x) with 0 as x's last component -> (q, node, s) the pool best nodes in the `opened` nearest cells."""
+    width = centroids.shape[1]
+    sizes = {r.cell: r.n for r in dealt.groupBy("cell").agg(F.count("*").alias("n")).collect()}
+    most = max(1, min(GROUP, 2 * sum(sizes.values()) // max(1, len(sizes))))
+    parts = np.array([-(-sizes.get(c, 0) // most) for c in range(len(centroids))], np.int32)
 
+    def open_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for i in range(0, whole.num_rows, 1024):
+                batch = whole.slice(i, 1024)
+                order = np.argsort(-(_matrix(batch.column(1), width) @ centroids.T), axis=1, kind="stable")[:, :opened].astype(np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(order), pa.list_(pa.int32()))], ["q", "x", "cells"])
 
-def _once(edges: DataFrame) -> DataFrame:
-    """One row for each (u, v): groups round differently in single precision."""
-    return edges.groupBy("u", "v").agg(F.max("s").alias("s"))
+    queries = materialize(asked.mapInArrow(open_cells, "q long, x binary, cells array<int>"), "opened")
+    of = F.element_at(F.array(*[F.lit(int(p)) for p in parts]), F.col("cell") + 1)
+    nodes = dealt.select("cell", F.pmod(F.xxhash64("node"), F.greatest(of, F.lit(1))).cast("int").alias("part"), F.lit(False).alias("asks"), F.col("node").alias("id"), F.lit(-2.0).alias("floor"), "x")
 
+    def scanned(some: DataFrame, name: str) -> DataFrame:
+        spread = some.select("q", "x", "floor", F.explode("cells").alias("cell")).filter(of > 0).select("q", "x", "floor", "cell", F.explode(F.sequence(F.lit(0), of - 1)).alias("part"))
+        rows = nodes.unionByName(spread.select("cell", "part", F.lit(True).alias("asks"), F.col("q").alias("id"), "floor", "x"))
+        return materialize(_best(rows.repartition("cell", "part").sortWithinPartitions("cell", "part", "asks").mapInArrow(_scan(width, pool), "q long, node long, s double"), pool), name)
 
-def build_graph(nodes: DataFrame, width: int) -> DataFrame:
-    """nodes: (node, v) -> (u, v, s), NEAR neighbours of each node."""
-    longest = nodes.agg(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)), F.count("*")).first()
-    top, count = float(longest[0] or 1.0), longest[1]
-    rng = np.random.default_rng(7)
-    bits = max(1, int(np.ceil(np.log2(max(2, count / GROUP)))))
-    planes = rng.standard_normal((width + 1, TABLES * bits)).astype(np.float32)
+    first = int(np.ceil(np.sqrt(opened)))
+    near = scanned(queries.select("q", "x", F.lit(-2.0).alias("floor"), F.slice("cells", 1, first).alias("cells")), "near")
+    floor = near.groupBy("q").agg(F.when(F.count("*") >= pool, F.min("s")).otherwise(-2.0).alias("floor"))
+    rest = queries.join(floor, "q", "left").select("q", "x", F.coalesce("floor", F.lit(-2.0)).alias("floor"), F.slice("cells", first + 1, MOST_CELLS).alias("cells"))
+    return materialize(_best(near.unionByName(scanned(rest, "rest")), pool), "found")
 
-    def prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raw = batch.column(1).combine_chunks() if isinstance(batch.column(1), pa.ChunkedArray) else batch.column(1)
-            x = raw.flatten().to_numpy().reshape(batch.num_rows, width)
-            more = np.sqrt(np.maximum(0.0, top - (x * x).sum(axis=1)))
-            x = (np.concatenate([x, more[:, None]], axis=1) / np.sqrt(top)).astype(np.float32)
-            code = ((x @ planes) > 0).reshape(len(x), TABLES, bits) @ (1 << np.arange(bits))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in x], pa.binary()), pa.array(code.tolist(), pa.list_(pa.int64()))], ["node", "x", "codes"])
-
-    ready = materialize(nodes.mapInArrow(prepare, "node long, x binary, codes array<long>"), "ready")
-    nobody = F.array_repeat(F.lit(-1).cast("long"), NEAR)
-    coded = ready.select("node", "x", F.posexplode("codes").alias("t", "code"))
-    sizes = materialize(coded.groupBy("t", "code").agg(F.ceil(F.count("*") / (2 * GROUP)).cast("int").alias("parts")), "sizes")
-    dealt = coded.join(sizes, ["t", "code"]).select(F.xxhash64("t", "code", F.pmod(F.xxhash64("node", "t"), F.col("parts"))).alias("key"), "node", "x", F.lit(-2.0).alias("worst"), nobody.alias("known"))
-    graph = materialize(_best(_once(_compared(dealt, NEAR // 2)), NEAR), "graph0")
-    now = graph.agg(F.avg("s")).first()[0]
-    for round_ in range(ROUNDS):
-        worst = graph.groupBy("u").agg(F.when(F.count("*") >= NEAR, F.min("s")).otherwise(-2.0).alias("worst"), F.slice(F.concat(F.collect_list("v"), nobody), 1, NEAR).alias("known"))
-        ahead = _best(graph, WIDE).select(F.col("u").alias("key"), F.col("v").alias("node"))
-        back = _best(graph, WIDE, "v").select(F.col("v").alias("key"), F.col("u").alias("node"))
-        own = ready.select(F.col("node").alias("key"), "node")
-        around = ahead.unionAll(back).unionAll(own).distinct()
-        detail = materialize(ready.select("node", "x").join(worst, F.col("node") == F.col("u"), "left").select("node", "x", F.coalesce("worst", F.lit(-2.0)).alias("worst"), F.coalesce("known", nobody).alias("known")), f"detail{round_}")
-        found = _compared(around.join(detail, "node"), 12)
-        graph = materialize(_best(_once(graph.unionAll(found)), NEAR), f"graph{round_ + 1}")
-        before, now = now, graph.agg(F.avg("s")).first()[0]
-        if now is None or now - before < SETTLED * (1 - before):
-            break
-    return graph
-
-
-def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame) -> DataFrame:
-    """queries: (node) of the graph -> (q, node, s) the POOL best nodes found for each, s in double precision."""
-    both = materialize(graph.select("u", "v").unionAll(_best(graph, NEAR, "v").select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "both")
-    asked = materialize(queries.join(nodes, "node").select(F.col("node").alias("q"), F.col("v").alias("qv")), "asked")
-    dot = F.aggregate(F.zip_with("qv", "v", lambda a, b: a * b), F.lit(0.0), lambda acc, x: acc + x)
-    state = asked.join(nodes, F.col("q") == F.col("node")).select("q", "node", dot.alias("s"), F.lit(False).alias("opened"))
-    for step in range(STEPS):
-        rank = Window.partitionBy("q").orderBy("opened", F.desc("s"), "node")
-        ranked = state.withColumn("r", F.row_number().over(rank))
-        open_now = (~F.col("opened")) & (F.col("r") <= BEAM)
-        state = materialize(ranked.withColumn("now", open_now).withColumn("opened", F.col("opened") | open_now).drop("r"), f"state{step}")
-        fresh = state.filter("now").select("q", F.col("node").alias("u")).join(both, "u").select("q", F.col("v").alias("node")).distinct().join(state.select("q", "node"), ["q", "node"], "left_anti")
-        scored = fresh.join(nodes, "node").join(asked, "q").select("q", "node", dot.alias("s"), F.lit(False).alias("opened"))
-        grown = state.drop("now").unionAll(scored)
-        best = Window.partitionBy("q").orderBy(F.desc("s"), "node")
-        state = grown.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= POOL).drop("r")
-    return materialize(state.select("q", "node", "s"), "found")
+
+def _flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Queries point along the vectors themselves, without the component that was added."""
+    for batch in batches:
+        rows = [r[:-4] + bytes(4) for r in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], ["node", "x"])
 
 
 def nearest(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -180,8 +226,13 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec
     # A query beyond its node's first k + 1 ids is found again by its own row.
     clean = vectors.select(F.col(id_col).cast("long").alias("query_id"), F.col(vector_col).cast("array<double>").alias("v")).filter(F.col("query_id") % every == 0).withColumn("v", F.transform("v", lambda x: x + 0.0))
     asked = materialize(clean.groupBy("query_id").agg(F.min("v").alias("v")).join(nodes, "v").select("query_id", "node"), "queries")
-    graph = build_graph(nodes, width)
-    found = search(nodes, graph, asked.select("node").distinct())
+    ready, count = _ready(nodes, width)
+    centroids = _centroids(ready, count, width + 1)
+    dealt = _dealt(ready, centroids)
+    own = materialize(ready.join(asked.select("node").distinct(), "node").select("node", "x").mapInArrow(_flat, "node long, x binary"), "asked")
+    near = search(dealt, own, centroids, cells_to_open(dealt, own, centroids, k), k + SPARE)
+    dot = F.aggregate(F.zip_with("qv", "v", lambda a, b: a * b), F.lit(0.0), lambda acc, x: acc + x)
+    found = near.join(nodes, "node").join(nodes.select(F.col("node").alias("q"), F.col("v").alias("qv")), "q").select("q", "node", dot.alias("s"))
     rows = asked.join(found.select(F.col("q").alias("node"), F.col("node").alias("near"), "s"), "node").join(members.withColumnRenamed("node", "near"), "near").filter("vec_id <> query_id")
     w = Window.partitionBy("query_id").orderBy(F.desc("s"), "vec_id")
     return rows.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", F.col("s").alias("score"))

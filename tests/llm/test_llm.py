@@ -236,6 +236,19 @@ def test_nearest_neighbours(spark):
     assert ann.nearest(table.limit(0)).count() == 0
 
 
+def test_nearest_neighbours_without_clusters(spark):
+    """Isotropic vectors, far more than a fixed budget of neighbours reaches."""
+    n = 12000
+    x = np.random.default_rng(11).standard_normal((n, 96)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = ann.nearest(table, k=20, every=60).toPandas()
+    s = x[::60] @ x.T
+    s[np.arange(len(s)), np.arange(0, n, 60)] = -2
+    order = np.argsort(-s, axis=1)[:, :20]
+    assert np.mean([len(set(order[q // 60]) & set(f.vec_id)) / 20 for q, f in got.groupby("query_id")]) >= 0.9 and got.query_id.nunique() == n // 60
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
