@@ -6,6 +6,9 @@ is a join and an aggregation, and rounds are written to the checkpoint folder wh
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import count
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,14 +30,29 @@ def network_episode_range(g: Story, start: int, end: int) -> DataFrame:
     return network_full(g).join(cast.withColumnRenamed("character_id", "src"), "src", "left_semi").join(cast.withColumnRenamed("character_id", "dst"), "dst", "left_semi").select("src", "dst", "type", "strength")
 
 
-def distances(g: Story, depth: int, start: int | None = None) -> DataFrame:
-    """(start, node, dist) up to depth hops, by frontier rounds with an anti join on what has been seen."""
+def _written(df: DataFrame) -> DataFrame:
+    """In the checkpoint folder where one is set, so that a round can be looked at and plans don't grow."""
+    folder = df.sparkSession.sparkContext._jsc.sc().getCheckpointDir()
+    return df.checkpoint() if folder.isDefined() else df.localCheckpoint()
+
+
+def _rounds(depth: int | None) -> Iterator[int]:
+    return count(1) if depth is None else iter(range(1, depth + 1))
+
+
+def distances(g: Story, depth: int | None, start: int | None = None) -> DataFrame:
+    """(start, node, dist) up to depth hops, or as far as paths go, by frontier rounds with an anti join on what has been seen."""
     e = projection(g).select("src", "dst").distinct()
+    e = _written(e) if depth is None else e
     nodes = g["characters"].select(F.col("character_id").alias("start"))
     nodes = nodes if start is None else nodes.filter(F.col("start") == start)
     seen = frontier = nodes.select("start", F.col("start").alias("node"), F.lit(0).alias("dist"))
-    for d in range(1, depth + 1):
+    for d in _rounds(depth):
         frontier = frontier.join(e, F.col("node") == F.col("src")).select("start", F.col("dst").alias("node"), F.lit(d).alias("dist")).distinct().join(seen.select("start", "node"), ["start", "node"], "left_anti")
+        if depth is None:
+            frontier = _written(frontier)
+            if frontier.isEmpty():
+                break
         seen = seen.unionByName(frontier)
     return seen
 
@@ -48,11 +66,11 @@ def degree_centrality(g: Story) -> DataFrame:
     return g["characters"].join(n, F.col("character_id") == F.col("src"), "left").select("character_id", F.coalesce("degree", F.lit(0)).alias("degree"))
 
 
-def closeness(g: Story, depth: int = 3) -> DataFrame:
+def closeness(g: Story, depth: int | None = None) -> DataFrame:
     return distances(g, depth).filter("dist > 0").groupBy("start").agg(F.count("*").alias("reachable"), F.sum("dist").alias("total")).withColumn("closeness", F.round(F.col("reachable") / F.col("total"), 6))
 
 
-def influence_paths(g: Story, depth: int = 3) -> DataFrame:
+def influence_paths(g: Story, depth: int | None = None) -> DataFrame:
     return distances(g, depth).filter("dist > 0").groupBy("dist").agg(F.count("*").alias("n"))
 
 
@@ -110,13 +128,18 @@ def key_influencers(g: Story, top: int = 5) -> DataFrame:
     return pagerank(g).join(g["characters"].select("character_id", "name"), "character_id").orderBy(F.desc("rank"), "name").limit(top).select("name", "rank")
 
 
-def betweenness(g: Story, depth: int = 3) -> DataFrame:
-    """Shortest-path betweenness within `depth` hops: paths are counted on the way out, then pairs meet at v where distances add up."""
+def betweenness(g: Story, depth: int | None = None) -> DataFrame:
+    """Shortest-path betweenness, within `depth` hops where it is given: paths are counted on the way out, then pairs meet at v where distances add up."""
     e = projection(g).select("src", "dst").distinct()
+    e = _written(e) if depth is None else e
     paths = g["characters"].select(F.col("character_id").alias("s"), F.col("character_id").alias("t"), F.lit(0).alias("d"), F.lit(1.0).alias("sigma"))
     front = paths
-    for d in range(1, depth + 1):
+    for d in _rounds(depth):
         front = front.join(e, F.col("t") == F.col("src")).groupBy("s", F.col("dst").alias("t")).agg(F.sum("sigma").alias("sigma")).join(paths.select("s", "t"), ["s", "t"], "left_anti").select("s", "t", F.lit(d).alias("d"), "sigma")
+        if depth is None:
+            front = _written(front)
+            if front.isEmpty():
+                break
         paths = paths.unionByName(front)
     p = paths.filter("d > 0")
     sv, vt, st = p.toDF("s", "v", "d1", "n1"), p.toDF("v", "t", "d2", "n2"), p.toDF("s", "t", "d3", "n3")

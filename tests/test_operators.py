@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from narralake.functions.text import split_scenes
+from narralake.operators import network
 from narralake.operators.consistency import alert_severity
 from narralake.operators.records import insert_missing, partial_update
 from narralake.operators.validation import rpg_variable, validate_edges
@@ -86,3 +87,14 @@ def test_stream_equals_batch(spark, tmp_path):
     out = alerts.token_bucket_stream(stream).writeStream.format("memory").queryName("bucket").outputMode("append").option("checkpointLocation", str(tmp_path / "b")).trigger(availableNow=True).start()
     out.awaitTermination(180)
     assert sorted(map(tuple, spark.table("bucket").collect())) == sorted(map(tuple, alerts.token_bucket(batch).collect()))
+
+
+def test_distances_have_no_bound(spark):
+    """A path of seven characters: its ends are six hops apart."""
+    g = {
+        "characters": spark.createDataFrame([(i, f"c{i}") for i in range(7)], "character_id long, name string"),
+        "sna_edges": spark.createDataFrame([(a, b, "KNOWS", 9) for i in range(6) for a, b in ((i, i + 1), (i + 1, i))], "src long, dst long, type string, strength long"),
+    }
+    assert {r.start: (r.reachable, r.total) for r in network.closeness(g).collect()} == {i: (6, sum(abs(i - j) for j in range(7))) for i in range(7)}
+    assert {r.dist: r.n for r in network.influence_paths(g).collect()} == {d: 2 * (7 - d) for d in range(1, 7)}
+    assert {r.character_id: r.betweenness for r in network.betweenness(g).collect()} == {i: 2.0 * i * (6 - i) for i in range(7)}
