@@ -9,8 +9,12 @@
    character: tokens never go on across it, whatever stands around, so both sides agree from there on. A chunk
    without an anchor is encoded again whole, with its neighbours up to their anchors.
 
+Every worker function handles about SLICE bytes of text at a time, whatever the batches hold. Rows equal in id and text
+are coded once, from one row with their number, and chunks go to texts by (chunk, salt), so neither a group of equal
+rows nor a chunk of every text meets in one task.
+
 Nulls: a null text is an empty one with no ids; null ids stay. Empty tables give no rows; repeated rows give equal rows.
-Other columns are not read.
+Texts of any length are coded whole. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -29,6 +33,7 @@ from narralake.llm.common import bound_arrow, id_and_text, materialize, slices
 from narralake.llm.encoding import _byte_letters, encoder
 
 WINDOW, MEAN, LEAST = 24, 1024, 128
+SLICE, SALTS = 2 << 20, 64
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _POWERS: dict[str, np.ndarray] = {}
@@ -143,6 +148,14 @@ def _table(tokenizer) -> tuple[np.ndarray, np.ndarray, bytes]:
 _TABLES: dict[str, tuple] = {}
 
 
+def _table_of(vocabulary: str, tokenizer) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(length of each id's bytes, their place, all bytes), once for each vocabulary and worker."""
+    if vocabulary not in _TABLES:
+        lengths, places, flat = _table(tokenizer)
+        _TABLES[vocabulary] = lengths, places, np.frombuffer(flat, np.uint8)
+    return _TABLES[vocabulary]
+
+
 def _assemble(batch: pa.RecordBatch, given: list[dict[int, bytes]], tokens, lengths: np.ndarray) -> list[np.ndarray]:
     """ids of each text of (uid, doc_id, z) rows, with the ids of some of its chunks given by position."""
     import zstandard
@@ -183,57 +196,93 @@ def _assemble(batch: pa.RecordBatch, given: list[dict[int, bytes]], tokens, leng
             own = got(held) if isinstance(held, int) else np.frombuffer(held, np.uint16)
             ends = np.concatenate([[0], np.cumsum(lengths[own])])
             x, y = np.searchsorted(ends, [a - start, b - start])
-            if ends[x] != a - start or ends[y] != b - start:
-                raise AssertionError("a token lies across an anchor")
+            if x == len(ends) or y == len(ends) or ends[x] != a - start or ends[y] != b - start:
+                break
             pieces.append((a, own[x:y]))
-        pieces.sort(key=lambda p: p[0])
-        out.append(np.concatenate([p for _, p in pieces]))
+        else:
+            pieces.sort(key=lambda p: p[0])
+            out.append(np.concatenate([p for _, p in pieces]))
+            continue
+        # A token lies across an anchor, so the pieces don't agree: the window is widened to the whole text.
+        whole, _ = tokens.encode(pa.array([expand.decompress(batch.column("z")[len(out)].as_py()).decode()], pa.string()))
+        out.append(whole)
     return out
 
 
-def encode(docs: DataFrame, vocabulary: str, ranks: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens, ids (little-endian unsigned 32-bit integers); one row for each row of docs."""
+def _sliced(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Runs of rows whose texts have about SLICE bytes once expanded, one row at least."""
+    import zstandard
+
+    begin = held = 0
+    for i, z in enumerate(batch.column("z")):
+        size = zstandard.frame_content_size(z.as_py())
+        if held and held + size > SLICE:
+            yield batch.slice(begin, i - begin)
+            begin, held = i, 0
+        held += size
+    if begin < batch.num_rows:
+        yield batch.slice(begin)
+
+
+def _texts(found: list[np.ndarray], lengths: np.ndarray, places: np.ndarray, raw: np.ndarray) -> list[str]:
+    """The texts of ids; bytes that aren't UTF-8 become replacement characters."""
+    out = []
+    for own in found:
+        size = lengths[own]
+        ends = np.cumsum(size)
+        at = np.repeat((places[own] - (ends - size)).astype(np.int32), size) + np.arange(int(ends[-1]) if len(ends) else 0, dtype=np.int32)
+        out.append(raw[at].tobytes().decode("utf-8", "replace"))
+    return out
+
+
+def encode(docs: DataFrame, vocabulary: str, ranks: str | None = None, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids (little-endian unsigned 32-bit integers); one row for each row of docs.
+
+    decoded: adds the text of the ids, by the worker that has them.
+    """
     bound_arrow(docs.sparkSession)
     texts = id_and_text(docs, id_col, text_col)
-    places = materialize(_chunks(texts, False).distinct(), "chunks")
-    first = places.groupBy("chunk").agg(F.count("*").alias("n"), F.min(F.struct("uid", "pos")).alias("first")).filter("n > 1")
-    shared = materialize(first.select("chunk", "first"), "shared")
+    places = materialize(_chunks(texts, False).distinct().withColumn("salt", F.pmod(F.xxhash64("uid"), F.lit(SALTS)).cast("int")), "chunks")
+    # A chunk has SALTS rows at most here, however many texts hold it.
+    salted = materialize(places.groupBy("chunk", "salt").agg(F.count("*").alias("n"), F.min(F.struct("uid", "pos")).alias("first")), "salted")
+    shared = materialize(salted.groupBy("chunk").agg(F.sum("n").alias("n"), F.min("first").alias("first")).filter("n > 1").select("chunk", "first"), "shared")
     holders = shared.groupBy("first.uid").agg(F.collect_list(F.struct(F.col("first.pos").alias("pos"), "chunk")).alias("own"))
-    held = _chunks(texts, True).filter("uid IS NOT NULL").repartition("uid")  # the one shuffle of texts; the filter, always true, keeps both uses alike
-
-    def lengths_of(tokens) -> np.ndarray:
-        return _TABLES.setdefault(vocabulary, None) or _TABLES.__setitem__(vocabulary, _table(tokens.tokenizer)) or _TABLES[vocabulary]
+    # The one shuffle of texts; the filter, always true, and equal columns keep both uses alike.
+    held = _chunks(texts, True).filter("uid IS NOT NULL").groupBy("uid").agg(F.first("doc_id").alias("doc_id"), F.first("z").alias("z"), F.count("*").alias("copies"))
 
     def encode_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         tokens, expand = encoder(vocabulary, ranks), zstandard.ZstdDecompressor()
-        for batch in batches:
-            keys, parts = [], []
-            for z, own in zip(batch.column("z").to_pylist(), batch.column("own").to_pylist(), strict=True):
-                data = expand.decompress(z)
-                ends = [0, *cuts(data)]
-                for x in own:
-                    keys.append(x["chunk"])
-                    parts.append(data[ends[x["pos"]] : ends[x["pos"] + 1]].decode())
-            ids, bounds = tokens.encode(pa.array(parts, pa.string()))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array([ids[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())], ["chunk", "ids"])
-
-    coded = held.join(holders, "uid").select("doc_id", "z", "own").mapInArrow(encode_shared, "chunk binary, ids binary")
-    sent = places.join(shared.select("chunk"), "chunk").join(coded, "chunk").groupBy("uid").agg(F.collect_list(F.struct("pos", "ids")).alias("given"))
-    kind = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
+        for whole in batches:
+            for batch in _sliced(whole):
+                keys, parts = [], []
+                for z, own in zip(batch.column("z"), batch.column("own").to_pylist(), strict=True):
+                    data = expand.decompress(z.as_py())
+                    ends = [0, *cuts(data)]
+                    for x in own:
+                        keys.append(x["chunk"])
+                        parts.append(data[ends[x["pos"]] : ends[x["pos"] + 1]].decode())
+                ids, bounds = tokens.encode(pa.array(parts, pa.string()))
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array([ids[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())], ["chunk", "ids"])
+
+    coded = held.join(holders, "uid").select("doc_id", "copies", "z", "own").mapInArrow(encode_shared, "chunk binary, ids binary")
+    given = salted.select("chunk", "salt").join(coded, "chunk")
+    sent = places.join(given, ["chunk", "salt"]).groupBy("uid").agg(F.collect_list(F.struct("pos", "ids")).alias("given"))
+    kind = pa.schema([("doc_id", pa.int64()), ("copies", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary()), *([("decoded", pa.string())] if decoded else [])])
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = encoder(vocabulary, ranks)
-        lengths = lengths_of(tokens)[0]
-        for batch in batches:
-            for k in range(0, batch.num_rows, 1024):
-                part = batch.slice(k, 1024)
+        lengths, places_, raw = _table_of(vocabulary, tokens.tokenizer)
+        for whole in batches:
+            for part in _sliced(whole):
                 given = [{x["pos"]: x["ids"] for x in own or ()} for own in part.column("given").to_pylist()]
                 found = _assemble(part, given, tokens, lengths)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(x) for x in found], pa.int64()), pa.array([x.astype("<u4").tobytes() for x in found], pa.binary())], schema=kind)
+                columns = [part.column("doc_id"), part.column("copies"), pa.array([len(x) for x in found], pa.int64()), pa.array([x.astype("<u4").tobytes() for x in found], pa.binary())]
+                yield pa.RecordBatch.from_arrays([*columns, *([pa.array(_texts(found, lengths, places_, raw), pa.string())] if decoded else [])], schema=kind)
 
-    return held.join(sent, "uid", "left").select("doc_id", "z", "given").mapInArrow(finish, "doc_id long, n_tokens long, ids binary")
+    out = held.join(sent, "uid", "left").select("doc_id", "copies", "z", "given").mapInArrow(finish, "doc_id long, copies long, n_tokens long, ids binary" + (", decoded string" if decoded else ""))
+    return out.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).drop("copies", "copy")
 
 
 def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
@@ -241,18 +290,11 @@ def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
     bound_arrow(encoded.sparkSession)
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = encoder(vocabulary).tokenizer
-        lengths, places, flat = _TABLES.setdefault(vocabulary, None) or _TABLES.__setitem__(vocabulary, _table(tokenizer)) or _TABLES[vocabulary]
-        raw = np.frombuffer(flat, np.uint8)
-        for batch in batches:
-            out = []
-            for ids in batch.column("ids").to_pylist():
-                own = np.frombuffer(ids or b"", "<u4")
-                size = lengths[own]
-                ends = np.cumsum(size)
-                at = np.repeat(places[own] - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)
-                out.append(raw[at].tobytes().decode("utf-8", "replace"))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], [*batch.schema.names, "decoded"])
+        table = _table_of(vocabulary, encoder(vocabulary).tokenizer)
+        for whole in batches:
+            for batch in slices(whole, whole.schema.get_field_index("ids"), SLICE):
+                found = [np.frombuffer(ids or b"", "<u4") for ids in batch.column("ids").to_pylist()]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_texts(found, *table), pa.string())], [*batch.schema.names, "decoded"])
 
     schema = T.StructType([*encoded.schema.fields, T.StructField("decoded", T.StringType())])
     return encoded.mapInArrow(texts, schema)

@@ -31,20 +31,22 @@ def _byte_letters() -> list[str]:
 
 
 class Memo(dict):
-    """piece -> ids as little-endian unsigned 16-bit integers; emptied when it grows beyond `limit` pieces."""
+    """piece -> ids as little-endian unsigned 16-bit integers; emptied when it holds more than about `limit` bytes."""
 
-    def __init__(self, encode, limit: int = 400_000):
-        self.encode, self.limit = encode, limit
+    def __init__(self, encode, limit: int = 32 << 20):
+        self.encode, self.limit, self.held = encode, limit, 0
 
     def __missing__(self, piece: str) -> bytes:
         ids = array.array("H", self.encode(piece)).tobytes()
         if len(piece) <= 64:
             self[piece] = ids
+            self.held += 200 + 2 * len(piece) + len(ids)  # two objects with their heads, and the table's entry
         return ids
 
     def trim(self) -> None:
-        if len(self) > self.limit:
+        if self.held > self.limit:
             self.clear()
+            self.held = 0
 
 
 class Encoder:

@@ -2,21 +2,20 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from narralake.llm import ann, bpe_codec, near_dedup, packing, quality, sharding, substring_dedup, token_binary, token_count, toxicity
 from narralake.llm.common import id_and_text, load
 
-#: Folder of public tokenizer files; a parameter of every operator that needs one.
-TOKENIZERS = os.environ.get("NARRALAKE_TOKENIZERS", "/opt/tokenizers")
 
 
 def _vocabulary(name: str) -> str:
-    return f"{TOKENIZERS}/{name}"
+    """Path of a public tokenizer file; operators take it as a parameter."""
+    return public_tokenizers.path(name)
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,7 +32,7 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = _vocabulary("byte_bpe_50k.json")
-    coded = bpe_codec.decode(bpe_codec.encode(load(spark, sf_dir, "documents"), name, _vocabulary("byte_bpe_50k.tiktoken")), name)
+    coded = bpe_codec.encode(load(spark, sf_dir, "documents"), name, _vocabulary("byte_bpe_50k.tiktoken"), decoded=True)
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "utf-8"), 256).alias("decoded_sha256"))
 
 

@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 llm = pytest.importorskip("narralake.llm")
 
 from narralake.llm import ann, bpe_codec, components, encoding, near_dedup, packing, quality, sharding, substring_dedup, token_binary, token_count, toxicity  # noqa: E402
-from narralake.llm.queries import TOKENIZERS  # noqa: E402
+import public_tokenizers  # noqa: E402
 
-BYTE, RANKS, WORD = f"{TOKENIZERS}/byte_bpe_50k.json", f"{TOKENIZERS}/byte_bpe_50k.tiktoken", f"{TOKENIZERS}/word_bpe_49k.json"
+BYTE, RANKS, WORD, PIECES = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "byte_bpe_50k.tiktoken", "word_bpe_49k.json", "piece_bpe_32k.model"))
 ODD = ["", " ", "  ", "a", " a", "a ", "a  b", "a   b", "x\n\n y", "x \n y", "don't 12 %% ...", "<|endoftext|>", "x  <|endoftext|> y", "<|endo ftext|>", "É ñandú İI ß ŒΣΣ", "日本語 テスト 漢字", "é café", " x  y", "a\tb\r\nc", "word " * 3000, "z" * 5000, "🙂🙂 ok", "\x1c \x1f x"]
 SCHEMA = "doc_id long, text string, lang string, score double, label int, rank int, bucket string, row string"
 
@@ -186,12 +186,12 @@ def test_repeats(spark, empty):
 def test_token_counts(docs, empty):
     from tokenizers import Tokenizer, models, pre_tokenizers
 
-    vocabulary = token_count.unigram_vocabulary(f"{TOKENIZERS}/piece_bpe_32k.model")
+    vocabulary = token_count.unigram_vocabulary(PIECES)
     t = Tokenizer(models.Unigram(vocabulary, 0, False))
     t.pre_tokenizer = pre_tokenizers.Metaspace(replacement="▁", prepend_scheme="always", split=True)
     want = Counter((r.doc_id, len(t.encode(r.text or "", add_special_tokens=False).ids)) for r in docs.collect())
-    assert Counter((r.doc_id, r.n_tokens) for r in token_count.token_counts(docs, f"{TOKENIZERS}/piece_bpe_32k.model").collect()) == want
-    assert token_count.token_counts(empty, f"{TOKENIZERS}/piece_bpe_32k.model").count() == 0
+    assert Counter((r.doc_id, r.n_tokens) for r in token_count.token_counts(docs, PIECES).collect()) == want
+    assert token_count.token_counts(empty, PIECES).count() == 0
 
 
 def test_quality_rules(docs, empty, spark):
