@@ -1,80 +1,104 @@
 """Operator 1: toxicity by compression distance.
 
-Two zstandard dictionaries are trained, one on toxic and one on ordinary text. A window is the start of a word: the
-blank before it and its first 4 or 6 letters (shorter words are filled up with blanks), lower-cased, every character
-as 4 code bytes so that lengths in bytes tell one phrase from two. The ordinary dictionary holds the COMMON most
-frequent windows of ordinary texts. The toxic dictionary holds the windows that toxic texts use beyond chance: uses
-are counted once for each pair of neighbouring words, so that copies of one text count once, and a window is taken if
-the divergence bound on its toxic share passes ln(windows) + 1. A window of a text speaks for toxicity if the toxic
-dictionary codes it as a single phrase (ONE_PHRASE bytes at most) and MARGIN bytes shorter than the ordinary one does.
-A text's score is a logistic function of the number and rate of its windows that do; it is calibrated on labelled
-texts that no dictionary has seen.
-
-Learning uses at most TRAINING labelled rows (the first by a hash of the id) and none whose crc32(id) mod 3 is 1.
+1. A text is normalised to a stream of word codes: every word (a run of letters, lower-cased) becomes CODE bytes of its
+   hash, so that a word costs the same whatever its letters, and nothing in it compresses but by a dictionary.
+2. zstandard trains two dictionaries on labelled texts: the ordinary one on all windows of ordinary texts, the toxic one
+   on the residue of toxic texts, that is, their words that no ordinary text of the sample has and that at least
+   LEAST_SHARE of the toxic texts share (two at least), each once a text, in their order.
+3. A text is cut into windows of WINDOW words, STEP apart. Each is compressed twice, with the ordinary dictionary, and with
+   the ordinary and the toxic one behind each other; what the toxic dictionary saves is the window's evidence, in bytes.
+4. A text's score is a logistic function of its windows' savings: mean, most, and how many (and what share) reach each
+   of THRESHOLDS. Its weights are calibrated on texts that no dictionary saw: FOLDS pairs of dictionaries are trained,
+   each without one part of the sample, and rate that part; the final pair is trained on the whole sample.
+
+Learning uses at most TRAINING labelled rows and SAMPLE_BYTES of text (the first by a hash of the id), none whose
+crc32(id) mod 3 is 1, in one task of that bounded size; only the two dictionaries and the weights come to the driver.
 Nulls: a null text is an empty one; null labels and ids are not learned from. Conflicting label rows of one id count as
-toxic if one does. Empty tables give no rows; without toxic labels every score is 0. Other columns are not read.
+toxic if one does. Rows repeated under one id are each scored, and learned from once for each different text. Very long
+texts are scored whole, in windows. Empty tables give no rows; without toxic or ordinary labels every score is 0. Other
+columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
-import zlib
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from narralake.llm.common import bound_arrow, materialize, slices, with_row
 
-TRAINING, COMMON, MOST, ONE_PHRASE, MARGIN, LEVEL, CUT = 3_500, 4_000, 2_000, 12, 3, 12, 0.7
-_START = re.compile(r"([^\W\d_]{1,6})[^\W\d_]*")
+TRAINING, SAMPLE_BYTES, FOLDS, CUT = 12_000, 64 << 20, 8, 0.7
+CODE, WINDOW, STEP, LEVEL, LEAST_SHARE = 8, 32, 16, 6, 0.01
+ORDINARY_BYTES, TOXIC_BYTES, SEGMENT, DMER = 1 << 16, 1 << 12, 24, 8
+THRESHOLDS = (2, 4, 6, 8)
+_WORD = re.compile(r"[^\W\d_]+")
 
 
-def starts(text: str) -> list[str]:
-    """The first six letters of every word of a text."""
-    return _START.findall(text.lower())
+class Codes(dict):
+    """word -> CODE bytes; emptied when it holds more than `limit` words."""
 
+    def __init__(self, limit: int = 300_000):
+        self.limit = limit
 
-def windows(start: str) -> tuple[str, str]:
-    return " " + start.ljust(4)[:4], " " + start.ljust(6)
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= self.limit:
+            self.clear()
+        code = xxhash.xxh3_64_digest(word.encode("utf-8", "surrogatepass"))[:CODE]
+        if len(word) <= 64:
+            self[word] = code
+        return code
 
+    def stream(self, text: str) -> bytes:
+        return b"".join([self[w] for w in _WORD.findall(text.lower())])
 
-def _code(window: str, table: dict[str, bytes]) -> bytes:
-    return b"".join([table.get(c) or table.setdefault(c, hashlib.blake2s(c.encode("utf-8", "surrogatepass"), digest_size=4).digest()) for c in window])
 
+def _cut(stream: bytes, words: int, step: int) -> list[bytes]:
+    """Windows of that many words, the last one shorter if need be; one window at least."""
+    size, step = words * CODE, step * CODE
+    return [stream] if len(stream) <= size else [stream[i : i + size] for i in range(0, len(stream) - size + step, step)]
 
-def train(texts: Iterable[tuple[str, int]]) -> tuple[bytes, bytes]:
-    """(toxic, ordinary) dictionary contents from (text, toxic) pairs."""
-    seen: tuple[dict[str, set[int]], dict[str, set[int]]] = ({}, {})
-    for text, toxic in texts:
-        own = seen[int(toxic)]
-        found = ["", *starts(text), ""]
-        for before, start, after in zip(found, found[1:], found[2:], strict=False):
-            context = zlib.crc32(f"{before} {after}".encode())
-            for window in windows(start):
-                own.setdefault(window, set()).add(context)
-    plain, toxic = ({w: len(c) for w, c in s.items()} for s in seen)
-    n1, n0 = sum(toxic.values()), sum(plain.values())
-    chosen = []
-    if n1 and n0:
-        q = n1 / (n1 + n0)
-        least = np.log(len(toxic)) + 1
-        for window, c in toxic.items():
-            k = c + plain.get(window, 0)
-            f = c / k
-            if f > max(2 * q, 0.3):
-                gain = k * (f * np.log(f / q) + ((1 - f) * np.log((1 - f) / (1 - q)) if f < 1 else 0.0))
-                if gain > least:
-                    chosen.append((gain, window))
-    table: dict[str, bytes] = {}
-    common = sorted(plain.items(), key=lambda x: (-x[1], x[0]))[:COMMON]
-    return b"".join(_code(w, table) for _, w in sorted(chosen)[-MOST:]), b"".join(_code(w, table) for w, _ in reversed(common))
+
+def _trained(samples: list[bytes], size: int) -> bytes:
+    """A zstandard dictionary; where there is too little to train on, the samples themselves."""
+    import zstandard
+
+    whole = b"".join(samples)
+    if len(whole) <= size:
+        return whole
+    try:
+        return zstandard.train_dictionary(size, samples, k=SEGMENT, d=DMER).as_bytes()
+    except zstandard.ZstdError:
+        return whole[-size:]
+
+
+def train(streams: list[tuple[bytes, int]]) -> tuple[bytes, bytes]:
+    """(toxic, ordinary) dictionaries from (word codes of a text, toxic) pairs."""
+    ordinary: list[bytes] = []
+    known: set[bytes] = set()
+    for stream, toxic in streams:
+        if not toxic:
+            ordinary += _cut(stream, WINDOW, WINDOW)
+            known.update(_cut(stream, 1, 1))
+    residues = [list(dict.fromkeys(c for c in _cut(stream, 1, 1) if c not in known)) for stream, toxic in streams if toxic]
+    shared = Counter(c for r in residues for c in r)
+    least = max(2, round(LEAST_SHARE * len(residues)))
+    flat = b"".join([c for r in residues for c in r if shared[c] >= least])
+    return _trained(_cut(flat, WINDOW, WINDOW), TOXIC_BYTES), _trained([w for w in ordinary if w], ORDINARY_BYTES)
+
+
+def _compressor(content: bytes):
+    import zstandard
+
+    parameters = zstandard.ZstdCompressionParameters.from_level(LEVEL, format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=False, write_checksum=False, write_dict_id=False)
+    return zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=parameters)
 
 
 @dataclass
@@ -84,82 +108,99 @@ class Model:
     weights: tuple[float, ...] = ()
 
     def open(self) -> Model:
-        import zstandard
-
-        def compressor(content: bytes):
-            level = zstandard.ZstdCompressionParameters.from_level(LEVEL, format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=False, write_checksum=False, write_dict_id=False)
-            return zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=level)
-
-        self._by_toxic, self._by_ordinary, self._codes = compressor(self.toxic), compressor(self.ordinary), {}
-        self._memo: dict[str, bool] = {}
+        self._ordinary = _compressor(self.ordinary)
+        self._both = _compressor(self.ordinary + self.toxic)  # what lies nearest to the data is the cheapest to refer to
         return self
 
-    def speaks(self, start: str) -> bool:
-        found = self._memo.get(start)
-        if found is None:
-            found = False
-            for window in windows(start):
-                data = _code(window, self._codes)
-                short = len(self._by_toxic.compress(data))
-                found = found or (short <= ONE_PHRASE and len(self._by_ordinary.compress(data)) - short >= MARGIN)
-            if len(self._memo) > 300_000:
-                self._memo.clear()
-            self._memo[start] = found
-        return found
-
-    def evidence(self, text: str) -> tuple[int, int]:
-        """(windows that speak for toxicity, words)."""
-        counts = Counter(starts(text))
-        return sum(n for s, n in counts.items() if self.speaks(s)), sum(counts.values())
+    def savings(self, stream: bytes) -> np.ndarray:
+        """Bytes that the toxic dictionary saves in each window."""
+        windows = _cut(stream, WINDOW, STEP)
+        return np.array([len(self._ordinary.compress(w)) - len(self._both.compress(w)) for w in windows], float)
 
+    def evidence(self, stream: bytes) -> list[float]:
+        x = self.savings(stream)
+        n, out = len(x), [1.0]
+        for t in THRESHOLDS:
+            hits = int((x >= t).sum())
+            out += [np.log1p(hits), hits / n]
+        return [*out, x.mean(), x.mean() * np.sqrt(n), x.max(), np.log(n)]
 
-def _design(hits: np.ndarray, words: np.ndarray) -> np.ndarray:
-    return np.stack([hits > 0, np.log1p(hits), np.log1p(1000 * hits / (words + 20)), np.log1p(words), np.ones(len(hits))], axis=1).astype(float)
+    def scores(self, evidence: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(evidence @ np.array(self.weights), -30, 30)))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    w, ridge = np.zeros(x.shape[1]), 0.1
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        w += np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(x.shape[1]), x.T @ (y - p) - ridge * w)
-    return w
+    """Ridge logistic weights by Newton's method, on features scaled to unit deviation; the first one is constant."""
+    mean, spread = x.mean(axis=0), x.std(axis=0) + 1e-9
+    mean[0], spread[0] = 0, 1
+    z = (x - mean) / spread
+    w = np.zeros(z.shape[1])
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+        w += np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + 0.3 * np.eye(len(w)), z.T @ (y - p) - 0.3 * w)
+    out = w / spread
+    out[0] -= (mean[1:] * out[1:]).sum()
+    return out
 
 
 def fit(rows: list[tuple[int, str, int]]) -> Model | None:
-    """rows: (id hash, text, toxic). Three quarters by hash train the dictionaries, the rest calibrates."""
-    calibration = [r for r in rows if r[0] // 3 % 4 == 0]
-    toxic, ordinary = train((t, y) for h, t, y in rows if h // 3 % 4)
-    if not toxic or not ordinary:
+    """rows: (id hash, text, toxic) -> the model; None without both kinds of text."""
+    if len({toxic for _, _, toxic in rows}) < 2:
         return None
-    model = Model(toxic, ordinary).open()
-    if len({y for _, _, y in calibration}) < 2:
-        calibration = rows
-    found = np.array([model.evidence(t) for _, t, _ in calibration], float)
-    model.weights = tuple(_logistic(_design(found[:, 0], found[:, 1]), np.array([y for _, _, y in calibration], float)))
-    return Model(model.toxic, model.ordinary, model.weights)
+    codes = Codes()
+    streams = [(h // 3 % FOLDS, codes.stream(text), toxic) for h, text, toxic in rows]
+    x, y = [], []
+    for fold in range(FOLDS):
+        rest = [(s, t) for f, s, t in streams if f != fold]
+        own = [(s, t) for f, s, t in streams if f == fold]
+        if own and len({t for _, t in rest}) == 2:
+            model = Model(*train(rest)).open()
+            x += [model.evidence(s) for s, _ in own]
+            y += [t for _, t in own]
+    final = Model(*train([(s, t) for _, s, t in streams])).open()
+    if len(set(y)) < 2:  # too few rows for parts
+        x, y = [final.evidence(s) for _, s, _ in streams], [t for _, _, t in streams]
+    return Model(final.toxic, final.ordinary, tuple(_logistic(np.array(x), np.array(y, float))))
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> Model | None:
+    """The model, trained by one task on a bounded sample of labelled rows."""
     digest = F.crc32(F.col("doc_id").cast("string").cast("binary"))
     marked = labels.select("doc_id", "toxic").filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).withColumn("h", digest).filter("h % 3 <> 1")
-    picked = materialize(marked.orderBy("h", "doc_id").limit(TRAINING), "marked")
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("h", F.coalesce("text", F.lit("")).alias("text"), "toxic").collect()
-    return fit(sorted((r.h, r.text, int(r.toxic != 0)) for r in rows))
+    marked = materialize(marked.orderBy("h", "doc_id").limit(TRAINING), "marked")
+    text = F.coalesce("text", F.lit(""))
+    keyed = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("key"))
+    sized = keyed.select("doc_id", "key", F.octet_length("text").cast("long").alias("size")).join(F.broadcast(marked), "doc_id").groupBy("doc_id", "key").agg(F.max("size").alias("size"), F.first("h").alias("h"), F.first("toxic").alias("toxic"))
+    first = sized.orderBy("h", "doc_id", "key").limit(TRAINING)
+    upto = Window.orderBy("h", "doc_id", "key").rowsBetween(Window.unboundedPreceding, 0)
+    picked = materialize(first.withColumn("upto", F.sum("size").over(upto)).filter(F.col("upto") <= SAMPLE_BYTES).select("doc_id", "key", "h", "toxic"), "picked")
+    rows = keyed.join(F.broadcast(picked), ["doc_id", "key"]).groupBy("doc_id", "key").agg(F.first("h").alias("h"), F.first("toxic").alias("toxic"), F.first("text").alias("text"))
+
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sample = [r for b in batches for r in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+        model = fit(sorted((h, t, int(y != 0)) for h, t, y in sample))
+        if model:
+            yield pa.RecordBatch.from_arrays([pa.array([model.toxic], pa.binary()), pa.array([model.ordinary], pa.binary()), pa.array([list(model.weights)], pa.list_(pa.float64()))], ["toxic", "ordinary", "weights"])
+
+    one = rows.select("h", "text", "toxic").repartition(1).mapInArrow(fitted, "toxic binary, ordinary binary, weights array<double>")
+    found = materialize(one, "toxicity").first()
+    return Model(bytes(found.toxic), bytes(found.ordinary), tuple(found.weights)) if found else None
 
 
 def score_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", cut: float = CUT) -> DataFrame:
-    """doc_id, row (all columns of docs), held_out, score, predicted, n_windows (those that speak for toxicity)."""
+    """doc_id, row (all columns of docs), held_out, score, predicted, n_windows (those with the middle threshold's savings)."""
     bound_arrow(docs.sparkSession)
     rows = with_row(docs, id_col, text_col)
     model = learn(rows.select("doc_id", "text"), labels)
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        opened = model.open() if model else None
+        opened, codes = model.open() if model else None, Codes()
         for whole in batches:
             for batch in slices(whole, 1):
-                found = np.array([opened.evidence(t or "") if opened else (0, 0) for t in batch.column(1).to_pylist()], float).reshape(-1, 2)
-                score = 1 / (1 + np.exp(-np.clip(_design(found[:, 0], found[:, 1]) @ np.array(opened.weights), -30, 30))) if opened else np.zeros(len(found))
-                yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(2), pa.array(score), pa.array(found[:, 0].astype(np.int64))], ["doc_id", "row", "score", "n_windows"])
+                found = np.array([opened.evidence(codes.stream(t or "")) if opened else [0.0] * (2 * len(THRESHOLDS) + 5) for t in batch.column(1).to_pylist()])
+                score = opened.scores(found) if opened else np.zeros(len(found))
+                hits = np.round(np.expm1(found[:, 3])).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(2), pa.array(score), pa.array(hits)], ["doc_id", "row", "score", "n_windows"])
 
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("row", docs.schema), T.StructField("score", T.DoubleType()), T.StructField("n_windows", T.LongType())])
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))

@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 llm = pytest.importorskip("narralake.llm")
@@ -257,3 +258,65 @@ def test_pipeline(spark):
     labels = spark.read.parquet(f"{sf}/labels.parquet").toPandas().set_index("doc_id")
     kept = labels[labels.index.isin(out.doc_id)]
     assert len(out) and out.groupby("sequence_id").length.sum().max() <= 4096 and (kept.quality == 1).mean() > 0.95
+
+
+def plain_toxicity(rows, labelled):
+    """Scores of (id, text) rows by plain code: every window compressed by a fresh compressor, features in plain loops."""
+    import math
+
+    import zstandard
+
+    def code(text):
+        words = re.findall(r"[^\W\d_]+", text.lower())
+        return [xxhash.xxh3_64(w.encode()).digest() for w in words]
+
+    def windows(codes, n, step):
+        if len(codes) <= n:
+            return [b"".join(codes)]
+        return [b"".join(codes[i : i + n]) for i in range(0, len(codes) - n + step, step)]
+
+    model = toxicity.fit(labelled)
+    assert 0 < len(model.toxic) <= toxicity.TOXIC_BYTES and 0 < len(model.ordinary) <= toxicity.ORDINARY_BYTES
+
+    def length(data, content):
+        own = zstandard.ZstdCompressionParameters.from_level(toxicity.LEVEL, format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=False, write_checksum=False, write_dict_id=False)
+        return len(zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=own).compress(data))
+
+    out = {}
+    for i, text in rows:
+        saved = [length(w, model.ordinary) - length(w, model.ordinary + model.toxic) for w in windows(code(text or ""), toxicity.WINDOW, toxicity.STEP)]
+        n, z = len(saved), model.weights[0]
+        counts = [sum(s >= t for s in saved) for t in toxicity.THRESHOLDS]
+        for k, c in enumerate(counts):
+            z += model.weights[1 + 2 * k] * math.log1p(c) + model.weights[2 + 2 * k] * c / n
+        mean = sum(saved) / n
+        for w, f in zip(model.weights[-4:], (mean, mean * math.sqrt(n), max(saved), math.log(n)), strict=True):
+            z += w * f
+        out[i] = 1 / (1 + math.exp(-max(-30, min(30, z))))
+    return out
+
+
+def test_toxicity_equals_plain_code_on_odd_rows(spark):
+    rng = np.random.default_rng(2)
+    words, bad = [f"w{a}{b}" for a in "abcdefghij" for b in "klmnopqrst"], ["zorgle", "vexpit", "quandro"]
+    text = lambda n, k: " ".join([*rng.choice(words, n), *rng.choice(bad, k)] if k else rng.choice(words, n))
+    words = [re.sub(r"\d", "", w) for w in words]
+    rows = [(i, text(int(rng.integers(5, 300)), 6 if i % 4 == 0 else 0)) for i in range(240)]
+    labels = [(i, int(i % 4 == 0)) for i, _ in rows if i % 5] + [(8, 0), (None, 1), (9, None)]
+    rows += [(1000, None), (1001, ""), (None, text(40, 6)), (1002, text(30_000, 200)), (4, rows[4][1]), (1003, "123 ... !!")]
+    docs = spark.createDataFrame([(*r, 1.0, "r", "h", 3) for r in rows], "doc_id long, text string, score double, row string, h string, toxic int")
+    marked = spark.createDataFrame(labels, "doc_id long, toxic int")
+    got = toxicity.score(docs, marked).collect()
+    of = lambda i: zlib.crc32(str(i).encode())
+    toxic = {i: t for i, t in labels if i is not None and t is not None}
+    toxic[8] = 1  # conflicting labels: one of them is toxic
+    learned = sorted({(of(i), t or "", toxic[i]) for i, t in rows if i in toxic and of(i) % 3 != 1})
+    want = plain_toxicity(rows, learned)
+    assert len(got) == len(rows)
+    for r in got:
+        assert r.held_out == (r.doc_id is not None and of(r.doc_id) % 3 == 1) and r.predicted == int(r.score >= 0.7)
+        assert r.doc_id is None or abs(r.score - want[r.doc_id]) < 1e-9
+    held = [r for r in got if r.held_out and r.doc_id is not None and r.doc_id < 240]
+    assert np.mean([r.predicted == int(r.doc_id % 4 == 0) for r in held]) > 0.9
+    nobody = toxicity.score(docs, marked.limit(0)).collect()
+    assert len(nobody) == len(rows) and all(r.score == 0 and r.predicted == 0 for r in nobody)
