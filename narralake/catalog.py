@@ -8,6 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from narralake.functions import text
 from narralake.operators import consistency, network, records, templates, temporal, validation
@@ -25,7 +26,6 @@ def entry(name: str, build: Callable[[Story], DataFrame], sql: str | None = None
 
 
 _REL = "(SELECT a.name AS name_1, b.name AS name_2, r.* FROM {relationships} r JOIN {characters} a ON src = a.character_id JOIN {characters} b ON dst = b.character_id)"
-_PAIR_K = "(SELECT * FROM {knowledge} WHERE l_linenumber = 1 AND l_orderkey % 2 = 0)"
 _NO_LINK = "NOT EXISTS (SELECT 1 FROM {contradicts} c WHERE c.from_id = a.knowledge_id AND c.to_id = b.knowledge_id)"
 _NO_BACK = "NOT EXISTS (SELECT 1 FROM {contradicts} c WHERE c.from_id = b.knowledge_id AND c.to_id = a.knowledge_id)"
 
@@ -36,48 +36,66 @@ entry("scene_location_details", templates.scene_location_details, "SELECT scene_
 entry("character_relationships_detailed", templates.character_relationships_detailed, f"SELECT name_1, name_2, relationship_type, relationship_strength, trust_level, emotional_valence, established_at, updated_at FROM {_REL} x")
 entry("knowledge_by_type", lambda g: templates.knowledge_by_type(g, None, "high"), "SELECT knowledge_id, content, knowledge_type, importance_level, created_at FROM {knowledge} WHERE importance_level = 'high'")
 entry("secret_knowledge", templates.secret_knowledge, "SELECT name, k.knowledge_id, content, importance_level, sharing_restrictions FROM {knows} n JOIN {knowledge} k ON n.knowledge_id = k.knowledge_id JOIN {characters} c ON n.character_id = c.character_id WHERE is_secret AND sharing_restrictions IN ('need_to_know', 'top_secret')")
-entry("temporal_knowledge_conflicts", templates.temporal_knowledge_conflicts, f"SELECT a.character_id, a.knowledge_id AS knowledge_id_1, b.knowledge_id AS knowledge_id_2, a.valid_from AS valid_from_1, b.valid_to AS valid_to_2 FROM {_PAIR_K} a JOIN {_PAIR_K} b ON a.character_id = b.character_id AND a.knowledge_id <> b.knowledge_id WHERE a.valid_from > b.valid_to AND {_NO_LINK}")
-entry("relationship_milestones_over_time", lambda g: templates.relationship_milestones(g, 5, 12), "SELECT * FROM (SELECT src, dst, relationship_type, relationship_strength, trust_level, emotional_valence, established_at, updated_at FROM {relationships} UNION ALL SELECT dst, src, relationship_type, relationship_strength, trust_level, emotional_valence, established_at, updated_at FROM {relationships}) x WHERE established_at BETWEEN 5 AND 12 OR updated_at BETWEEN 5 AND 12")
+#: The template's scope, which it can't do without: the story of the least character, and its owner.
+_SCOPE = "(SELECT story_id, user_id FROM {characters} ORDER BY character_id LIMIT 1)"
+
+
+def _first_story(g: Story) -> Story:
+    one = g["characters"].orderBy("character_id").first()
+    return g.scoped(one.story_id, one.user_id)
+
+
+entry("temporal_knowledge_conflicts", lambda g: templates.temporal_knowledge_conflicts(_first_story(g)), f"SELECT a.character_id, a.knowledge_id AS knowledge_id_1, b.knowledge_id AS knowledge_id_2, a.valid_from AS valid_from_1, b.valid_to AS valid_to_2 FROM {{knowledge}} a JOIN {{knowledge}} b ON a.character_id = b.character_id AND a.knowledge_id <> b.knowledge_id JOIN {{characters}} s ON s.character_id = a.character_id WHERE a.valid_from > b.valid_to AND (s.story_id, s.user_id) IN {_SCOPE} AND {_NO_LINK}")
+entry("temporal_knowledge_conflicts_of_all", templates.temporal_knowledge_conflicts)
+_BOTH = "(SELECT src, dst, relationship_type, relationship_strength, trust_level, emotional_valence, established_at, updated_at FROM {relationships} UNION ALL SELECT dst, src, relationship_type, relationship_strength, trust_level, emotional_valence, established_at, updated_at FROM {relationships})"
+entry("relationship_milestones_over_time", lambda g: templates.relationship_milestones(g, 5, 12), f"SELECT a.name AS character_a, b.name AS character_b, relationship_type, relationship_strength, trust_level, emotional_valence, established_at, updated_at FROM {_BOTH} x JOIN {{characters}} a ON src = a.character_id JOIN {{characters}} b ON dst = b.character_id WHERE established_at BETWEEN 5 AND 12 OR updated_at BETWEEN 5 AND 12")
 entry("plot_thread_resolution_status", templates.plot_thread_resolution_status, "SELECT knowledge_id, content, verification_status, coalesce(conflicts, '') AS conflicts FROM {knowledge} LEFT JOIN (SELECT kid, string_agg(DISTINCT x, ',' ORDER BY x) AS conflicts FROM (SELECT from_id AS kid, concat_ws(':', to_id, severity, resolution_status) AS x FROM {contradicts} UNION ALL SELECT to_id, concat_ws(':', from_id, severity, resolution_status) FROM {contradicts}) u GROUP BY kid) c ON kid = knowledge_id")
 entry("story_timeline_detailed", templates.story_timeline_detailed, "SELECT s.scene_id, s.scene_order, l.name AS location, time_of_day, weather_conditions, \"cast\" FROM {scenes} s LEFT JOIN {occurs_in} o ON s.scene_id = o.scene_id LEFT JOIN {locations} l ON o.location_id = l.location_id LEFT JOIN (SELECT scene_id, string_agg(DISTINCT concat_ws(':', CAST(character_id AS STRING), participation_level), ',' ORDER BY concat_ws(':', CAST(character_id AS STRING), participation_level)) AS \"cast\" FROM {present_in} GROUP BY scene_id) p ON s.scene_id = p.scene_id")
 entry("knowledge_propagation", templates.knowledge_propagation, "SELECT from_id, to_id, a.content AS content_1, b.content AS content_2, implication_strength, logical_basis FROM {implies} JOIN {knowledge} a ON from_id = a.knowledge_id JOIN {knowledge} b ON to_id = b.knowledge_id")
 entry("contradictions_by_severity", templates.contradictions_by_severity, "SELECT from_id, to_id, severity, detected_at, CASE severity WHEN 'critical' THEN 1 WHEN 'major' THEN 2 WHEN 'minor' THEN 3 WHEN 'potential' THEN 4 ELSE 5 END AS severity_rank FROM {contradicts} WHERE resolution_status = 'unresolved'")
-entry("character_activity_timeline", templates.character_activity_timeline, "SELECT c.character_id, name, n_scenes, first_scene, n_knowledge, last_learned FROM {characters} c LEFT JOIN (SELECT character_id, count(DISTINCT scene_id) AS n_scenes, min(scene_id) AS first_scene FROM {present_in} GROUP BY 1) s ON s.character_id = c.character_id LEFT JOIN (SELECT character_id, count(DISTINCT knowledge_id) AS n_knowledge, max(learned_at) AS last_learned FROM {knows} GROUP BY 1) k ON k.character_id = c.character_id")
+entry("character_activity_timeline", templates.character_activity_timeline, "SELECT c.character_id, name, scenes, knowledge FROM {characters} c LEFT JOIN (SELECT character_id, string_agg(DISTINCT scene_id, ',' ORDER BY scene_id) AS scenes FROM {present_in} GROUP BY 1) s ON s.character_id = c.character_id LEFT JOIN (SELECT character_id, string_agg(DISTINCT knowledge_id, ',' ORDER BY knowledge_id) AS knowledge FROM {knows} GROUP BY 1) k ON k.character_id = c.character_id")
 entry("location_accessibility", templates.location_accessibility, "SELECT l.location_id, name, accessibility, count(scene_id) AS scene_count FROM {locations} l LEFT JOIN {occurs_in} o ON l.location_id = o.location_id GROUP BY 1, 2, 3")
 entry("relationship_strength_analysis", lambda g: templates.relationship_strength_analysis(g, 5), f"SELECT name_1, name_2, relationship_strength, trust_level FROM {_REL} x WHERE relationship_strength >= 5")
 entry("character_trust_network", lambda g: templates.character_trust_network(g, 6), f"SELECT name_1, name_2, trust_level, relationship_type FROM {_REL} x WHERE trust_level >= 6")
-entry("knowledge_sharing_patterns", templates.knowledge_sharing_patterns, "SELECT a.l_partkey, count(*) AS n_shared, count(DISTINCT (a.l_suppkey, b.l_suppkey)) AS n_pairs FROM {facts} a JOIN {facts} b ON a.l_partkey = b.l_partkey WHERE a.l_orderkey % 10 = 0 AND b.l_orderkey % 10 = 0 AND a.l_suppkey <> b.l_suppkey AND a.ship_day < b.ship_day GROUP BY 1")
+entry("knowledge_sharing_patterns", templates.knowledge_sharing_patterns, "SELECT a.l_partkey, a.l_suppkey AS character_1, b.l_suppkey AS character_2, a.ship_day AS learned_at_1, b.ship_day AS learned_at_2 FROM {facts} a JOIN {facts} b ON a.l_partkey = b.l_partkey AND a.story_id = b.story_id WHERE a.l_suppkey <> b.l_suppkey AND a.ship_day < b.ship_day")
 entry("scene_participation_analysis", templates.scene_participation_analysis, "SELECT s.scene_id, participants, coalesce(n, 0) AS n FROM {scenes} s LEFT JOIN (SELECT scene_id, string_agg(x, ',' ORDER BY x) AS participants, count(*) AS n FROM (SELECT scene_id, concat_ws(':', CAST(character_id AS STRING), participation_level, CAST(dialogue_count AS STRING)) AS x FROM {present_in}) u GROUP BY 1) p ON p.scene_id = s.scene_id")
 entry("all_relationship_pairs", templates.all_relationship_pairs, "SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM {sna_edges}")
 entry("strong_ties", templates.strong_ties, f"SELECT name_1, name_2, relationship_strength, trust_level FROM {_REL} x WHERE relationship_strength >= 7 AND trust_level >= 8")
 entry("must_keep_secret", templates.must_keep_secret, "SELECT name, k.knowledge_id, content FROM {knows} n JOIN {knowledge} k ON n.knowledge_id = k.knowledge_id JOIN {characters} c ON n.character_id = c.character_id WHERE is_secret AND sharing_restrictions = 'top_secret'")
 entry("ownership_history", templates.ownership_history, "SELECT o.item_id, i.name, c.name AS owner, ownership_start, ownership_end, transfer_method FROM {owns} o JOIN {items} i ON o.item_id = i.item_id JOIN {characters} c ON o.character_id = c.character_id")
-entry("current_owner", templates.current_owner, "SELECT item_id, character_id, ownership_start FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY ownership_start DESC, own_id DESC) AS r FROM {owns} WHERE ownership_end IS NULL) x WHERE r = 1")
+entry("current_owner", templates.current_owner, "SELECT story_id, item_id, character_id, ownership_start FROM (SELECT *, row_number() OVER (PARTITION BY story_id, item_id ORDER BY ownership_start DESC, own_id DESC) AS r FROM {owns} WHERE ownership_end IS NULL) x WHERE r = 1")
 entry("item_transfer_chain", templates.item_transfer_chain, "SELECT item_id, own_id, c.name AS owner, p.name AS previous_owner, ownership_start, transfer_method FROM {owns} o JOIN {characters} c ON o.character_id = c.character_id LEFT JOIN {characters} p ON o.obtained_from = p.character_id")
 
 # Consistency
-_X1 = f"SELECT a.character_id, a.knowledge_id AS knowledge_id_1, b.knowledge_id AS knowledge_id_2, 'temporal' AS severity, 0.8::DOUBLE AS confidence FROM {_PAIR_K} a JOIN {_PAIR_K} b ON a.character_id = b.character_id AND a.knowledge_id <> b.knowledge_id WHERE a.valid_from > b.valid_to AND contains(a.content, b.content) AND {_NO_LINK} AND {_NO_BACK}"
-_X3 = "SELECT a.character_id, a.scene_id AS scene_1, b.scene_id AS scene_2, 'high' AS severity, 0.95::DOUBLE AS confidence FROM (SELECT p.character_id, o.* FROM {present_in} p JOIN {occurs_in} o ON p.scene_id = o.scene_id) a JOIN (SELECT p.character_id, o.* FROM {present_in} p JOIN {occurs_in} o ON p.scene_id = o.scene_id) b ON a.character_id = b.character_id AND a.scene_order = b.scene_order WHERE a.location_id <> b.location_id"
-_X4 = f"SELECT a.character_id, a.knowledge_id AS knowledge_id_1, b.knowledge_id AS knowledge_id_2, 'critical' AS severity, 0.99::DOUBLE AS confidence FROM {{knowledge}} a JOIN {{knowledge}} b ON a.character_id = b.character_id AND a.valid_from = b.valid_from WHERE contains(a.content, 'hot') AND contains(b.content, 'cold') AND {_NO_LINK}"
-_UNIFIED = f"(SELECT 'temporal' AS rule, 'medium' AS severity FROM ({_X1}) x UNION ALL SELECT 'state', severity FROM ({_X4}) x UNION ALL SELECT 'location', severity FROM ({_X3}) x)"
+_X1 = f"SELECT a.character_id, a.knowledge_id AS knowledge_id_1, b.knowledge_id AS knowledge_id_2, 'temporal' AS severity, 0.8::DOUBLE AS confidence FROM {{knowledge}} a JOIN {{knowledge}} b ON a.character_id = b.character_id AND a.knowledge_id <> b.knowledge_id WHERE a.valid_from > b.valid_to AND contains(a.content, b.content) AND {_NO_LINK} AND {_NO_BACK}"
+_WHERE = "(SELECT p.character_id, o.* FROM {present_in} p JOIN {occurs_in} o ON p.scene_id = o.scene_id)"
+_X3 = f"SELECT a.character_id, a.scene_id AS scene_1, b.scene_id AS scene_2, 'high' AS severity, 0.95::DOUBLE AS confidence FROM {_WHERE} a JOIN {_WHERE} b ON a.character_id = b.character_id AND a.scene_order = b.scene_order WHERE a.location_id <> b.location_id AND NOT EXISTS (SELECT 1 FROM {{scene_contradicts}} l WHERE l.from_id = a.scene_id AND l.to_id = b.scene_id) AND NOT EXISTS (SELECT 1 FROM {{scene_contradicts}} l WHERE l.from_id = b.scene_id AND l.to_id = a.scene_id)"
+_X4 = f"SELECT a.character_id, a.knowledge_id AS knowledge_id_1, b.knowledge_id AS knowledge_id_2, 'critical' AS severity, 0.99::DOUBLE AS confidence FROM {{knowledge}} a JOIN {{knowledge}} b ON a.character_id = b.character_id AND a.knowledge_id <> b.knowledge_id WHERE abs(epoch(a.valid_from_ts) - epoch(b.valid_from_ts)) < 3600 AND contains(a.content, 'hot') AND contains(b.content, 'cold') AND {_NO_LINK}"
+_UNIFIED = f"(SELECT 'temporal' AS rule, 'medium' AS severity, knowledge_id_1 AS a, knowledge_id_2 AS b, 0.8 AS confidence, 'Knowledge timeline contradiction' AS reason FROM ({_X1}) x UNION ALL SELECT 'state', severity, knowledge_id_1, knowledge_id_2, 0.99, 'Character state contradiction (dead/alive)' FROM ({_X4}) x UNION ALL SELECT 'location', severity, CAST(scene_1 AS STRING), CAST(scene_2 AS STRING), 0.95, 'Character in multiple locations simultaneously' FROM ({_X3}) x)"
 _HOLES = f"(SELECT 'impossible_knowledge' AS issue, n.character_id, n.knowledge_id AS subject FROM {{knows}} n JOIN {{knowledge}} k ON n.knowledge_id = k.knowledge_id WHERE NOT EXISTS (SELECT 1 FROM {{present_in}} p JOIN {{scenes}} s ON p.scene_id = s.scene_id WHERE p.character_id = n.character_id AND s.scene_order <= k.valid_from) UNION SELECT 'location_contradiction', character_id, concat_ws('/', CAST(scene_1 AS STRING), CAST(scene_2 AS STRING)) FROM ({_X3}) x)"
 entry("temporal_contradictions", consistency.temporal_contradictions, _X1)
-entry("relationship_contradictions", consistency.relationship_contradictions, "WITH st AS (SELECT src, dst, type, strength FROM {sna_edges} UNION ALL SELECT src, dst, relationship_type, relationship_strength FROM {relationships}) SELECT concat_ws('_', CAST(a.src AS STRING), a.type) AS from_id, concat_ws('_', CAST(a.src AS STRING), b.type) AS to_id, a.dst, 'medium' AS severity, 0.9::DOUBLE AS confidence FROM st a JOIN {sna_edges} b ON a.src = b.src AND a.dst = b.dst WHERE a.type <> b.type AND a.strength < b.strength")
+entry("relationship_contradictions", consistency.relationship_contradictions, "SELECT concat(CAST(a.src AS STRING), '_', a.relationship_type) AS from_id, concat(CAST(a.src AS STRING), '_', b.relationship_type) AS to_id, a.dst, a.created_at, b.created_at AS created_2, 'medium' AS severity, 0.9::DOUBLE AS confidence FROM {bonds} a JOIN {bonds} b ON a.src = b.src AND a.dst = b.dst WHERE a.relationship_type <> b.relationship_type AND a.created_at < b.created_at AND (a.src + a.dst) % 5 <> 0")
 entry("location_contradictions", consistency.location_contradictions, _X3)
 entry("state_contradictions", lambda g: consistency.state_contradictions(g, "hot", "cold"), _X4)
-entry("unlinked_contradictions", consistency.unlinked_contradictions, f"WITH k AS (SELECT c.story_id, k.* FROM {{knowledge}} k JOIN {{characters}} c ON k.character_id = c.character_id WHERE l_linenumber = 1 AND l_orderkey % 50 = 0), w(p, q) AS (VALUES ('hot', 'cold'), ('old', 'new'), ('small', 'large')) SELECT a.story_id, concat(p, '/', q) AS words, count(*) AS n FROM k a JOIN k b ON a.story_id = b.story_id JOIN w ON contains(a.content, p) AND contains(b.content, q) WHERE {_NO_LINK} AND {_NO_BACK} GROUP BY 1, 2")
-_NAMES = (("the", "thing"), ("he", "she"), ("for", "from"))
-_EITHER = " OR ".join(f"(contains(lower(a.text), '{p}') AND contains(lower(b.text), '{q}')) OR (contains(lower(a.text), '{q}') AND contains(lower(b.text), '{p}'))" for p, q in _NAMES)
-entry("episode_temporal_contradictions", lambda g: consistency.episode_temporal_contradictions(g, _NAMES), f"WITH t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM {{conversations}}) SELECT a.conv_id, a.turn AS turn_1, b.turn AS turn_2, 'medium' AS severity, 0.6::DOUBLE AS confidence FROM t a JOIN t b ON a.conv_id = b.conv_id AND b.r BETWEEN a.r + 1 AND a.r + 4 WHERE {_EITHER}")
-entry("search_contradictions", consistency.search_contradictions, "WITH x(term, p, q) AS (VALUES ('he', 'he', 'she'), ('she', 'he', 'she'), ('the', 'the', 'thing'), ('thing', 'the', 'thing')) SELECT conv_id, turn, term, CASE WHEN p = 'he' THEN 'critical' ELSE 'medium' END AS severity FROM {conversations} JOIN x ON contains(lower(text), p) AND contains(lower(text), q)")
-entry("contradiction_report", consistency.contradiction_report, f"SELECT rule, severity, count(*) AS n FROM {_UNIFIED} x GROUP BY 1, 2")
+_OPPOSED = "(contains(a.content, 'hot') AND contains(b.content, substring(a.content, 5)) OR contains(a.content, 'small') AND contains(b.content, 'large') OR contains(a.content, 'old') AND contains(b.content, 'new'))"
+entry("unlinked_contradictions", consistency.unlinked_contradictions, f"WITH c AS (SELECT story_id, content, count(*) AS n FROM {{knowledge}} GROUP BY 1, 2), t AS (SELECT a.story_id, sum(a.n * b.n - CASE WHEN a.content = b.content THEN a.n ELSE 0 END) AS n FROM c a JOIN c b ON a.story_id = b.story_id WHERE {_OPPOSED} GROUP BY 1), l AS (SELECT a.story_id, count(*) AS n FROM (SELECT from_id, to_id FROM {{contradicts}} UNION SELECT to_id, from_id FROM {{contradicts}}) u JOIN {{knowledge}} a ON a.knowledge_id = from_id JOIN {{knowledge}} b ON b.knowledge_id = to_id WHERE {_OPPOSED} GROUP BY 1) SELECT t.story_id, t.n - coalesce(l.n, 0) AS n FROM t LEFT JOIN l ON l.story_id = t.story_id WHERE t.n - coalesce(l.n, 0) > 0")
+entry("unlinked_pairs", lambda g: consistency.unlinked_pairs(_first_story(g), *consistency.SUBSTITUTES).groupBy("knowledge_id_1").agg(F.count("*").alias("n")), f"SELECT a.knowledge_id AS knowledge_id_1, count(*) AS n FROM {{knowledge}} a JOIN {{knowledge}} b ON a.story_id = b.story_id AND a.knowledge_id <> b.knowledge_id WHERE a.story_id = (SELECT story_id FROM {{characters}} ORDER BY character_id LIMIT 1) AND {_OPPOSED} AND {_NO_LINK} AND {_NO_BACK} GROUP BY 1")
+_EITHER = " OR ".join(f"(contains(lower(a.text), '{p}') AND contains(lower(b.text), '{q}')) OR (contains(lower(a.text), '{q}') AND contains(lower(b.text), '{p}'))" for p, q in (("dead", "alive"), ("enemy", "friend"), ("married", "single"), ("rich", "poor"), ("young", "old")))
+entry("episode_temporal_contradictions", consistency.episode_temporal_contradictions, f"WITH t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM {{turns}}) SELECT a.conv_id, a.turn AS turn_1, b.turn AS turn_2, 'medium' AS severity, 0.6::DOUBLE AS confidence FROM t a JOIN t b ON a.conv_id = b.conv_id AND b.r BETWEEN a.r + 1 AND a.r + 4 WHERE {_EITHER}")
+entry("search_contradictions", consistency.search_contradictions, "WITH h AS (SELECT conv_id, turn, lower(text) AS body, term, (length(lower(text)) - length(replace(lower(text), term, ''))) // length(term) AS uses FROM {turns}, (VALUES ('dead'), ('alive'), ('enemy'), ('friend'), ('not'), ('never'), ('always')) x(term)), b AS (SELECT *, row_number() OVER (PARTITION BY conv_id, term ORDER BY uses DESC, turn) AS r FROM h WHERE uses > 0) SELECT conv_id, turn, term, CASE WHEN term IN ('dead', 'alive') THEN 'critical' ELSE 'medium' END AS severity, CASE WHEN term IN ('dead', 'alive') THEN 0.9 ELSE 0.7 END::DOUBLE AS confidence FROM b WHERE r <= 50 AND ((term IN ('dead', 'alive') AND contains(body, 'dead') AND contains(body, 'alive')) OR (term IN ('enemy', 'friend') AND contains(body, 'enemy') AND contains(body, 'friend')))")
+entry("contradiction_details", consistency.contradiction_details, f"SELECT a AS from_id, b AS to_id, severity, reason, confidence::DOUBLE AS confidence FROM {_UNIFIED} x")
+entry("contradiction_report", consistency.contradiction_report, f"SELECT severity, reason, count(*) AS n, round(avg(confidence)::DOUBLE, 6) AS confidence FROM {_UNIFIED} x GROUP BY 1, 2")
 entry("severity_breakdown", consistency.severity_breakdown, f"SELECT severity, count(*) AS n FROM {_UNIFIED} x GROUP BY 1")
 entry("critical_alerts", consistency.critical_alerts, f"SELECT character_id, concat_ws(' vs ', knowledge_id_1, knowledge_id_2) AS explanation, 'contradiction_detected' AS alert_type FROM ({_X4}) x")
 entry("plot_holes", consistency.plot_holes, f"SELECT * FROM {_HOLES} x")
 entry("plot_hole_severity", consistency.plot_hole_severity, f"SELECT issue, CASE issue WHEN 'location_contradiction' THEN 'major' ELSE 'minor' END AS severity, count(*) AS n FROM {_HOLES} x GROUP BY 1, 2")
-entry("coherence_score", consistency.coherence_score, f"SELECT story_id, sum((issue = 'location_contradiction')::INT) AS major, sum((issue = 'impossible_knowledge')::INT) AS minor, round(greatest(0.0, 1 - (0.2 * sum((issue = 'location_contradiction')::INT) + 0.1 * sum((issue = 'impossible_knowledge')::INT)))::DOUBLE, 6) AS coherence FROM {_HOLES} x JOIN {{characters}} c ON x.character_id = c.character_id GROUP BY 1")
-entry("character_consistency_report", consistency.character_consistency_report, f"SELECT c.character_id, coalesce(n, 0) AS n_contradictions, coalesce(k, 0) AS n_knowledge, coalesce(r, 0) AS n_relationships, round(greatest(0.0, least(1.0, 1 - 0.1 * coalesce(n, 0) + least(0.02 * coalesce(k, 0), 0.2)))::DOUBLE, 6) AS score FROM {{characters}} c LEFT JOIN (SELECT character_id, count(*) AS n FROM ({_X1}) x GROUP BY 1) a ON a.character_id = c.character_id LEFT JOIN (SELECT character_id, count(*) AS k FROM {{knows}} GROUP BY 1) b ON b.character_id = c.character_id LEFT JOIN (SELECT id, count(*) AS r FROM (SELECT src AS id FROM {{relationships}} UNION ALL SELECT dst FROM {{relationships}}) u GROUP BY 1) d ON d.id = c.character_id")
-entry("timeline_report", consistency.timeline_report, f"SELECT s.story_id, total_scenes, coalesce(n, 0) AS temporal_conflicts, round(CASE WHEN coalesce(n, 0) = 0 THEN 1.0 ELSE greatest(0.0, 1 - n / total_scenes) END::DOUBLE, 6) AS coherence, CASE WHEN total_scenes > 50 THEN 'split into chapters' ELSE '' END AS hint FROM (SELECT story_id, count(DISTINCT scene_id) AS total_scenes FROM {{present_in}} p JOIN {{characters}} c ON p.character_id = c.character_id GROUP BY 1) s LEFT JOIN (SELECT story_id, count(*) AS n FROM ({_X1}) x JOIN {{characters}} c ON x.character_id = c.character_id GROUP BY 1) t ON t.story_id = s.story_id")
+_SCORES = f"(SELECT s.story_id, 0 AS critical, coalesce(major, 0) AS major, coalesce(minor, 0) AS minor, round(greatest(0.0, 1 - (0.2 * coalesce(major, 0) + 0.1 * coalesce(minor, 0)))::DOUBLE, 6) AS coherence FROM (SELECT DISTINCT story_id FROM {{characters}}) s LEFT JOIN (SELECT story_id, sum((issue = 'location_contradiction')::INT) AS major, sum((issue = 'impossible_knowledge')::INT) AS minor FROM {_HOLES} x JOIN {{characters}} c ON x.character_id = c.character_id GROUP BY 1) h ON h.story_id = s.story_id)"
+entry("coherence_score", consistency.coherence_score, f"SELECT * FROM {_SCORES} x")
+entry("plot_hole_recommendations", consistency.plot_hole_recommendations, f"SELECT story_id, concat_ws('; ', CASE WHEN major > 0 THEN concat('Review ', CAST(major AS BIGINT), ' major inconsistencies') END, CASE WHEN minor > 0 THEN concat('Consider resolving ', CAST(minor AS BIGINT), ' minor issues') END) AS recommendations FROM {_SCORES} x")
+_CONFLICTS = f"(SELECT a.character_id, count(*) AS conflicts FROM {{knowledge}} a JOIN {{knowledge}} b ON a.character_id = b.character_id AND a.valid_from > b.valid_to WHERE {_NO_LINK} GROUP BY 1)"
+entry("temporal_conflict_counts", consistency.temporal_conflict_counts, f"SELECT k.character_id, coalesce(conflicts, 0) AS conflicts FROM (SELECT DISTINCT character_id FROM {{knowledge}}) k LEFT JOIN {_CONFLICTS} x ON x.character_id = k.character_id")
+entry("character_consistency_report", consistency.character_consistency_report, f"SELECT c.character_id, coalesce(conflicts, 0) AS n_contradictions, coalesce(k, 0) AS n_knowledge, coalesce(r, 0) AS n_relationships, round(greatest(0.0, least(1.0, 1 - 0.1 * coalesce(conflicts, 0) + least(0.02 * coalesce(k, 0), 0.2)))::DOUBLE, 6) AS score, CASE WHEN conflicts > 0 THEN concat('Resolve ', conflicts, ' knowledge contradictions for ', name) ELSE '' END AS recommendations FROM {{characters}} c LEFT JOIN {_CONFLICTS} a ON a.character_id = c.character_id LEFT JOIN (SELECT character_id, count(*) AS k FROM {{knows}} GROUP BY 1) b ON b.character_id = c.character_id LEFT JOIN (SELECT id, count(*) AS r FROM (SELECT src AS id FROM {{relationships}} UNION ALL SELECT dst FROM {{relationships}}) u GROUP BY 1) d ON d.id = c.character_id")
+entry("timeline_report", consistency.timeline_report, f"SELECT s.story_id, total_scenes, coalesce(n, 0)::BIGINT AS temporal_conflicts, round(CASE WHEN coalesce(n, 0) = 0 THEN 1.0 ELSE greatest(0.0, 1 - n / total_scenes) END::DOUBLE, 6) AS coherence, concat_ws('; ', CASE WHEN n > 0 THEN concat('Resolve ', n::BIGINT, ' temporal conflicts in the story') END, CASE WHEN total_scenes > 50 THEN 'Consider breaking the story into chapters for better organization' END) AS recommendations FROM (SELECT story_id, count(DISTINCT scene_id) AS total_scenes FROM {{present_in}} p JOIN {{characters}} c ON p.character_id = c.character_id GROUP BY 1) s LEFT JOIN (SELECT story_id, sum(conflicts) AS n FROM {_CONFLICTS} x JOIN {{characters}} c ON x.character_id = c.character_id GROUP BY 1) t ON t.story_id = s.story_id")
 entry("alert_severity", records.alert_severity_rows, "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'critical' WHEN 1 THEN 'high' WHEN 2 THEN 'medium' ELSE 'low' END AS severity FROM {part}")
 
 # Validation
@@ -93,90 +111,109 @@ entry("early_presence", validation.early_presence, "SELECT character_id, count(*
 entry("early_ownership", validation.early_ownership, "SELECT own_id, item_id, ownership_start, introduced FROM {owns} JOIN (SELECT l_partkey, min(order_day) AS introduced FROM {facts} GROUP BY 1) i ON item_id = l_partkey WHERE ownership_start < introduced")
 entry("schema_property", validation.schema_property, "SELECT 'o_orderpriority' AS property, count(*) AS n FROM {orders} WHERE o_orderpriority NOT IN ('1-URGENT', '2-HIGH', '3-MEDIUM') UNION ALL SELECT 'p_size', count(*) FROM {part} WHERE p_size NOT BETWEEN 1 AND 40")
 
-# Text
-_STORIES = "(SELECT conv_id, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS content FROM {conversations} GROUP BY 1)"
-_SCENES = f"(SELECT conv_id, scene_order, regexp_replace(block, '^\\s+|\\s+$', '', 'g') AS text FROM (SELECT conv_id, unnest(regexp_split_to_array(trim(content), '\\n\\s*\\n|\\n\\s*---\\s*\\n|\\n\\s*\\*\\*\\*\\s*\\n')) AS block, generate_subscripts(regexp_split_to_array(trim(content), '\\n\\s*\\n|\\n\\s*---\\s*\\n|\\n\\s*\\*\\*\\*\\s*\\n'), 1) AS scene_order FROM {_STORIES} s) b WHERE trim(block) <> '')"
-_WORDS = f"(SELECT *, len(regexp_split_to_array(text, '\\s+')) AS word_count FROM {_SCENES} w)"
+# Text. The SQL states every word and pattern again, apart from the operators' own lists.
+_STORIES = "(SELECT conv_id, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS content FROM {turns} GROUP BY 1)"
+_BLOCKS = r"regexp_split_to_array(regexp_replace(content, '^\s+|\s+$', '', 'g'), '\n\s*\n|\n\s*---\s*\n|\n\s*\*\*\*\s*\n')"
+_SCENES = rf"(SELECT conv_id, scene_order, regexp_replace(block, '^\s+|\s+$', '', 'g') AS text FROM (SELECT conv_id, unnest({_BLOCKS}) AS block, generate_subscripts({_BLOCKS}, 1) AS scene_order FROM {_STORIES} s) b WHERE regexp_replace(block, '^\s+|\s+$', '', 'g') <> '')"
+_WORDS = rf"(SELECT *, len(regexp_split_to_array(text, '\s+')) AS word_count FROM {_SCENES} w)"
 entry("split_scenes", text.scene_counts, f"SELECT conv_id, scene_order, word_count, length(text) AS n_chars FROM {_WORDS} x")
-_CHAPTERS = f"(SELECT conv_id, scene_order, s OR t OR j AS is_boundary, CASE WHEN s THEN 0.9 WHEN t OR j THEN 0.7 ELSE 0.3 END::DOUBLE AS confidence FROM (SELECT *, regexp_matches(text, '(?i)^\\s*(chapter|part|book|act)([^a-z0-9_]|$)') AS s, word_count <= 5 AND upper(text) = text AND lower(text) <> text AS t, regexp_matches(text, '(?i)(years?|months?|weeks?|days?) (later|after)') AS j FROM {_WORDS} x) y)"
+_CHAPTERS = rf"(SELECT conv_id, scene_order, p AS pattern_match, t AS title_like, j AS time_jump, p OR t AS is_boundary, CASE WHEN p THEN 0.9 WHEN t THEN 0.7 ELSE 0.3 END::DOUBLE AS confidence FROM (SELECT *, regexp_matches(text, '(?i)^\s*(chapter|ch\.?)\s+\d+') OR regexp_matches(text, '(?i)^\s*(part|book)\s+\d+') OR regexp_matches(text, '^\s*\d+\s*$') OR regexp_matches(text, '(?i)^\s*[IVX]+\s*$') AS p, word_count <= 5 AND upper(text) = text AND lower(text) <> text AS t, regexp_matches(text, '(?i)\b(years? later|months? later|days? later|meanwhile|elsewhere)\b') AS j FROM {_WORDS} x) y)"
 entry("chapter_boundary", text.chapter_boundary, f"SELECT * FROM {_CHAPTERS} z")
-entry("episode_boundary", text.episode_boundary, f"SELECT conv_id, scene_order, t OR n AS is_boundary, CASE WHEN t THEN 0.8 WHEN n THEN 0.6 ELSE 0.4 END::DOUBLE AS confidence FROM (SELECT *, regexp_matches(text, '(?i)(meanwhile|later that|the next (day|morning)|suddenly|elsewhere)') AS t, word_count > 300 AND scene_order > 1 AND (scene_order - 1) % 4 = 0 AS n FROM {_WORDS} x) y")
-entry("chapter_episode_numbers", text.chapter_episode_numbers, f"WITH b AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY scene_order) - 1 AS i FROM {_CHAPTERS} z), c AS (SELECT *, 1 + sum(is_boundary::INT) OVER (PARTITION BY conv_id ORDER BY scene_order) AS chapter FROM b) SELECT conv_id, scene_order, chapter, 1 + sum((NOT is_boundary AND i > 0 AND i % 3 = 0)::INT) OVER (PARTITION BY conv_id, chapter ORDER BY scene_order) AS episode FROM c")
+entry("episode_boundary", text.episode_boundary, rf"SELECT conv_id, scene_order, m AS marked, l AS long, n AS natural, m OR (l AND n) AS is_boundary, CASE WHEN m THEN 0.8 WHEN l THEN 0.6 ELSE 0.4 END::DOUBLE AS confidence FROM (SELECT *, regexp_matches(text, '(?i)\b(scene|act)\s+\d+\b') OR regexp_matches(text, '(?i)\b(cut to|fade to|dissolve to)\b') OR regexp_matches(text, '(?i)\b(meanwhile|elsewhere|at the same time)\b') OR regexp_matches(text, '(?i)\b(hours? later|minutes? later|soon after)\b') AS m, word_count > 300 AS l, scene_order > 1 AND (scene_order - 1) % 4 = 0 AS n FROM {_WORDS} x) y")
+entry("chapter_episode_numbers", text.chapter_episode_numbers, f"WITH c AS (SELECT *, scene_order - 1 AS i, 1 + sum(is_boundary::INT) OVER (PARTITION BY conv_id ORDER BY scene_order) AS chapter FROM {_CHAPTERS} z) SELECT conv_id, scene_order, chapter, 1 + sum((NOT is_boundary AND i > 0 AND i % 3 = 0)::INT) OVER (PARTITION BY conv_id, chapter ORDER BY scene_order) AS episode FROM c")
 _SPLIT = r"[^\p{L}\p{N}_]+"
+_DOC_WORDS = f"(SELECT doc_id, regexp_split_to_array(lower(text), '{_SPLIT}') AS w FROM documents)"
+entry("story_arc", text.story_arc, f"WITH m AS (SELECT doc_id, len(list_filter(w, lambda x: x IN ('introduce', 'meet', 'background', 'setting', 'world'))) AS exposition, len(list_filter(w, lambda x: x IN ('conflict', 'problem', 'challenge', 'discover'))) AS rising_action, len(list_filter(w, lambda x: x IN ('battle', 'fight', 'confrontation', 'crisis', 'decisive'))) AS climax, len(list_filter(w, lambda x: x IN ('aftermath', 'consequence', 'result', 'resolve'))) AS falling_action, len(list_filter(w, lambda x: x IN ('end', 'conclude', 'peace', 'happy', 'reunion'))) AS resolution FROM {_DOC_WORDS} d) SELECT doc_id, exposition, rising_action, climax, falling_action, resolution, greatest(exposition, rising_action, climax, falling_action, resolution) AS intensity, CASE greatest(exposition, rising_action, climax, falling_action, resolution) WHEN 0 THEN 'neutral' WHEN exposition THEN 'exposition' WHEN rising_action THEN 'rising_action' WHEN climax THEN 'climax' WHEN falling_action THEN 'falling_action' ELSE 'resolution' END AS arc FROM m")
+entry("pov", text.pov, f"WITH m AS (SELECT doc_id, len(list_filter(w, lambda x: x IN ('i', 'me', 'my', 'mine', 'we', 'us', 'our', 'ours'))) AS n_first, len(list_filter(w, lambda x: x IN ('you', 'your', 'yours'))) AS n_second, len(list_filter(w, lambda x: x IN ('he', 'him', 'his', 'she', 'her', 'hers', 'they', 'them', 'their', 'theirs'))) AS n_third FROM {_DOC_WORDS} d), t AS (SELECT *, n_first + n_second + n_third AS n FROM m) SELECT doc_id, n_first, n_second, n_third, CASE WHEN n = 0 THEN 'unknown' WHEN n_first / n > 0.4 THEN 'first_person' WHEN n_second / n > 0.3 THEN 'second_person' ELSE 'third_person' END AS pov, round(CASE WHEN n = 0 THEN 0 WHEN n_first / n > 0.4 THEN n_first / n WHEN n_second / n > 0.3 THEN n_second / n ELSE n_third / n END::DOUBLE, 6) AS confidence FROM t")
 
 
-def _counted(families: dict[str, tuple[str, ...]], prefix: str = "") -> str:
-    return "SELECT doc_id, " + ", ".join(f"len(list_filter(w, lambda x: x IN ({', '.join(repr(v) for v in ws)}))) AS {prefix}{k}" for k, ws in families.items()) + f" FROM (SELECT doc_id, regexp_split_to_array(lower(text), '{_SPLIT}') AS w FROM documents) d"
+def _inside(*words: str) -> str:
+    return " + ".join(f"(length(t) - length(replace(t, '{w}', ''))) // {len(w)}" for w in words)
 
 
-entry("story_arc", text.story_arc, f"WITH m AS ({_counted(text.ARCS)}), b AS (SELECT *, greatest({', '.join(text.ARCS)}) AS most FROM m) SELECT doc_id, CASE WHEN most = 0 THEN 'neutral' {' '.join(f'WHEN {k} = most THEN {k!r}' for k in text.ARCS)} END AS arc, most AS intensity FROM b")
-entry("pov", text.pov, f"WITH m AS ({_counted(text.PERSONS, 'n_')}) SELECT doc_id, n_first, n_second, n_third, CASE WHEN n_first + n_second + n_third = 0 THEN 'unknown' WHEN n_first / (n_first + n_second + n_third) > 0.4 THEN 'first' WHEN n_second / (n_first + n_second + n_third) > 0.3 THEN 'second' ELSE 'third' END AS pov FROM m")
-_MOOD = {m: " + ".join(f"(length(lower(text)) - length(replace(lower(text), '{w}', ''))) // {len(w)}" for w in ws) for m, ws in text.MOODS.items()}
-entry("mood_lexical", text.mood_lexical, "WITH m AS (SELECT doc_id, " + ", ".join(f"{s} AS {m}" for m, s in _MOOD.items()) + " FROM {documents}), b AS (SELECT *, greatest(" + ", ".join(_MOOD) + ") AS most FROM m) SELECT doc_id, CASE WHEN most = 0 THEN 'neutral' " + " ".join(f"WHEN {m} = most THEN '{m}'" for m in _MOOD) + " END AS mood, round(least(most / 3, 1.0)::DOUBLE, 6) AS intensity FROM b")
-entry("significance_tfidf", text.significance_tfidf, "WITH t AS (SELECT conv_id, turn, unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS term FROM {conversations}), f AS (SELECT conv_id, turn, term, count(*) AS n, sum(count(*)) OVER (PARTITION BY conv_id, turn) AS total FROM t WHERE term <> '' GROUP BY 1, 2, 3), d AS (SELECT term, count(*) AS df FROM f GROUP BY 1), s AS (SELECT conv_id, turn, n / total * ((SELECT count(*) FROM {conversations})::DOUBLE / (df + 1)) AS x, row_number() OVER (PARTITION BY conv_id, turn ORDER BY n / total * ((SELECT count(*) FROM {conversations})::DOUBLE / (df + 1)) DESC, f.term) AS r FROM f JOIN d ON f.term = d.term) SELECT conv_id, turn, round(least(sum(x) / 5, 1.0), 4) AS significance FROM s WHERE r <= 5 GROUP BY 1, 2")
-entry("continuity_edges", text.continuity_edges, "WITH w AS (SELECT DISTINCT conv_id, turn, unnest(string_split(lower(text), ' ')) AS word FROM {conversations}) SELECT a.conv_id, a.turn AS turn_1, b.turn AS turn_2, count(*) AS shared, b.turn - a.turn AS order_diff FROM w a JOIN w b ON a.conv_id = b.conv_id AND a.word = b.word AND a.turn < b.turn WHERE a.word <> '' GROUP BY 1, 2, 3, 5 HAVING count(*) >= 3")
-entry("entity_type", text.entity_type, "SELECT p_partkey, CASE WHEN regexp_matches(lower(p_name), 'city|castle|house|hot') THEN 'LOCATION' WHEN regexp_matches(lower(p_name), 'king|person') THEN 'CHARACTER' WHEN regexp_matches(lower(p_name), 'sword|ring|small') THEN 'ITEM' WHEN regexp_matches(lower(p_name), 'battle|meeting') THEN 'EVENT' ELSE 'CHARACTER' END AS entity_type FROM {part}")
+_MOODS = f"SELECT doc_id, {_inside('joy', 'happy', 'pleased', 'delighted', 'cheerful', 'smile', 'laugh')} AS happy, {_inside('sad', 'sorrow', 'grief', 'melancholy', 'despair', 'cry', 'tear')} AS sad, {_inside('tension', 'suspense', 'anxious', 'worried', 'nervous', 'fear')} AS tense, {_inside('dramatic', 'intense', 'powerful', 'striking', 'significant')} AS dramatic, {_inside('mystery', 'secret', 'hidden', 'unknown', 'enigma', 'puzzle')} AS mysterious, {_inside('fight', 'battle', 'run', 'chase', 'attack', 'escape', 'rush')} AS action FROM (SELECT doc_id, lower(text) AS t FROM {{documents}}) d"
+entry("mood_lexical", text.mood_lexical, f"SELECT doc_id, CASE greatest(happy, sad, tense, dramatic, mysterious, action) WHEN 0 THEN 'neutral' WHEN happy THEN 'happy' WHEN sad THEN 'sad' WHEN tense THEN 'tense' WHEN dramatic THEN 'dramatic' WHEN mysterious THEN 'mysterious' ELSE 'action' END AS mood, round(least(greatest(happy, sad, tense, dramatic, mysterious, action) / 3, 1.0)::DOUBLE, 6) AS intensity FROM ({_MOODS}) m")
+entry("significance_tfidf", text.significance_tfidf, "WITH b AS (SELECT conv_id, turn, lower(text) AS body, list_filter(regexp_extract_all(lower(text), '[a-z]+'), lambda x: length(x) > 2) AS w, count(*) OVER (PARTITION BY conv_id) AS texts FROM {turns}), f AS (SELECT conv_id, turn, texts, len(w) AS total, term, count(*) AS n FROM (SELECT *, unnest(w) AS term FROM b) u GROUP BY ALL), d AS (SELECT k.conv_id, k.term, count(*) AS df FROM (SELECT DISTINCT conv_id, term FROM f) k JOIN b ON b.conv_id = k.conv_id AND contains(b.body, k.term) GROUP BY 1, 2), x AS (SELECT conv_id, turn, f.term, n / total * (texts / (df + 1)) AS x FROM f JOIN d USING (conv_id, term)), s AS (SELECT conv_id, turn, x, row_number() OVER (PARTITION BY conv_id, turn ORDER BY x DESC, term) AS r FROM x), t AS (SELECT conv_id, turn, least(sum(x) / 5, 1.0) AS x FROM s WHERE r <= 5 GROUP BY 1, 2) SELECT b.conv_id, b.turn, round(coalesce(x, 0.3), 4) AS significance FROM b LEFT JOIN t ON t.conv_id = b.conv_id AND t.turn = b.turn")
+_PHRASES = r"(SELECT conv_id, scene_order, text, 'pattern_0' AS pattern_type, unnest(regexp_extract_all(text, '(?i)\b(remember|recalled?|flashback|flash back)\b')) AS phrase FROM s UNION ALL SELECT conv_id, scene_order, text, 'pattern_1', unnest(regexp_extract_all(text, '(?i)\b(foreshadow|foretold?|prophes|predict)\b')) FROM s UNION ALL SELECT conv_id, scene_order, text, 'pattern_2', unnest(regexp_extract_all(text, '(?i)\b(earlier|before|previously|past)\b.*\b(mentioned|said|told)\b')) FROM s UNION ALL SELECT conv_id, scene_order, text, 'pattern_3', unnest(regexp_extract_all(text, '(?i)\b(later|future|will|shall)\b.*\b(see|find|discover|learn)\b')) FROM s UNION ALL SELECT conv_id, scene_order, text, 'pattern_4', unnest(regexp_extract_all(text, '(?i)\b(as .* had said|as .* predicted|just as .* warned)\b')) FROM s UNION ALL SELECT conv_id, scene_order, text, 'pattern_5', unnest(regexp_extract_all(text, '(?i)\b(little did .* know|unbeknownst|unknown to)\b')) FROM s)"
+entry("continuity_edges", text.continuity_edges, rf"WITH s AS (SELECT * FROM {_SCENES} q), p AS {_PHRASES}, w AS (SELECT conv_id, scene_order, list_distinct(regexp_split_to_array(lower(text), '\s+')) AS w FROM s) SELECT p.conv_id, p.scene_order AS from_scene, b.scene_order AS to_scene, pattern_type, phrase AS callback_phrase, CASE WHEN regexp_matches(lower(phrase), 'remember|recalled|earlier|before|later|future') THEN 0.8 ELSE 0.6 END::DOUBLE AS confidence, abs(b.scene_order - p.scene_order) AS scene_order_diff FROM p JOIN w a ON a.conv_id = p.conv_id AND a.scene_order = p.scene_order JOIN w b ON b.conv_id = p.conv_id AND b.scene_order <> p.scene_order WHERE len(list_intersect(a.w, b.w)) >= 3")
+_KIND = "CASE WHEN regexp_matches(lower({name}), 'castle|town|forest|mountain|river|room|house') THEN 'LOCATION' WHEN regexp_matches(lower({context}), 'said|told|spoke|thought|felt|character') THEN 'CHARACTER' WHEN regexp_matches(lower({name}), 'sword|potion|key|ring|book|scroll') THEN 'ITEM' WHEN regexp_matches(lower({context}), 'happened|occurred|event|battle|meeting') THEN 'EVENT' ELSE 'CHARACTER' END"
+_ENTITY_KIND = _KIND.format(name="name", context="summary")
+entry("entity_type", text.entity_type, f"SELECT entity_id, {_ENTITY_KIND} AS entity_type FROM {{entities}}")
 entry("traceability", text.traceability, "SELECT DISTINCT * FROM (SELECT concat('segment_', CAST(scene_id AS STRING)) AS source, scene_id FROM {scenes}) a UNION ALL SELECT concat('entity_', CAST(character_id AS STRING)), scene_id FROM {present_in}")
 entry("processing_stats", text.processing_stats, "SELECT event_id, count(*) OVER w AS n, CAST(sum(CAST(value AS DECIMAL(18, 2))) OVER w AS DOUBLE) / count(*) OVER w AS running_mean FROM {events} WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)")
-entry("fix_generic_relationships", text.fix_generic_relationships, "SELECT CASE WHEN p_partkey % 2 = 0 THEN 'RELATES_TO' ELSE 'MENTIONS' END AS type, replace(replace(upper(p_name), ' ', '_'), '-', '_') AS fixed, count(*) AS n FROM {part} GROUP BY 1, 2")
-entry("search_mapping", text.search_mapping, "SELECT conv_id, turn, CASE WHEN role = 'user' THEN 'relationship' ELSE 'entity' END AS kind, concat('Fact: ', substring(text, 1, 50)) AS fact, 0.8::DOUBLE AS confidence FROM {conversations}")
-entry("story_metadata", text.story_metadata, f"SELECT conv_id, sum(word_count) AS word_count, count(*) AS scene_count FROM {_WORDS} x GROUP BY 1")
-entry("narrative_context", text.narrative_context, f"SELECT conv_id, length(content) AS n_chars, md5(content) AS digest FROM {_STORIES} s")
-_NAMED = f"WITH n0 AS (SELECT conv_id, turn, role, list_distinct(list_filter(regexp_split_to_array(text, '{_SPLIT}'), lambda x: regexp_full_match(x, '[A-Z][a-z]+'))) AS names FROM conversations), n AS (SELECT conv_id, turn, role, unnest(names) AS name FROM n0 WHERE len(names) BETWEEN 2 AND 40), p AS (SELECT a.conv_id, a.turn, a.role, a.name AS a, b.name AS b FROM n a JOIN n b ON a.conv_id = b.conv_id AND a.turn = b.turn AND a.name < b.name), s AS (SELECT a, b, sum(CASE WHEN role = 'user' THEN 2 ELSE 1 END) AS strength FROM p GROUP BY 1, 2)"
+entry("fix_generic_relationships", text.fix_generic_relationships, "SELECT from_type, replace(replace(upper(name), ' ', '_'), '-', '_') AS to_type, name AS original_name, count(*) AS converted FROM (SELECT CASE p_partkey % 4 WHEN 0 THEN 'RELATES_TO' WHEN 1 THEN 'MENTIONS' WHEN 2 THEN 'HAS_MEMBER' END AS from_type, CASE WHEN p_partkey % 16 = 0 THEN 'RELATES_TO' ELSE p_name END AS name FROM {part}) x WHERE from_type IS NOT NULL AND name <> from_type GROUP BY 1, 2, 3")
+_HIT = _KIND.format(name="substring(text, 1, 20)", context="text")
+entry("search_mapping", text.search_mapping, f"SELECT conv_id, turn, 'relationship' AS kind, 'RELATED_TO' AS name, NULL AS entity_type, 0.8::DOUBLE AS confidence FROM {{turns}} WHERE role = 'user' UNION ALL SELECT conv_id, turn, 'knowledge', concat('Fact: ', substring(text, 1, 50), '...'), NULL, 0.8 FROM {{turns}} WHERE role = 'user' AND text <> '' UNION ALL SELECT conv_id, turn, 'entity', substring(text, 1, 20), {_HIT}, 0.8 FROM {{turns}} WHERE role <> 'user'")
+entry("upsert_rows", text.upsert_rows, f"SELECT {_ENTITY_KIND} AS type, CAST(entity_id AS STRING) AS id, name FROM {{entities}} UNION ALL SELECT 'SCENE', CAST(scene_id AS STRING), title FROM {{scenes}} UNION ALL SELECT 'KNOWLEDGE', knowledge_id, max(concat('Fact: ', substring(content, 1, 50), '...')) FROM {{knowledge}} GROUP BY 2")
+entry("story_metadata", text.story_metadata, rf"SELECT conv_id, sum(word_count) AS word_count, count(*) AS scene_count, sum((NOT regexp_matches(text, '[\p{{L}}\p{{N}}]'))::INT) AS scene_errors FROM {_WORDS} x GROUP BY 1")
+_TOLD = r"SELECT conv_id, turn, CASE WHEN contains(text, 'Story Content:') THEN regexp_replace(split_part(split_part(text, 'Story Content:', 2), chr(10) || chr(10) || 'Entities:', 1), '^\s+|\s+$', '', 'g') ELSE text END AS told FROM {turns}"
+entry("narrative_context", text.narrative_context, f"SELECT conv_id, length(content) AS n_chars, md5(content) AS digest FROM (SELECT conv_id, string_agg(told, chr(10) || chr(10) ORDER BY turn) AS content FROM ({_TOLD}) x WHERE told <> '' GROUP BY 1) s")
+entry("scene_context", lambda g: text.narrative_context(g, "Battle"), "SELECT conv_id, length(content) AS n_chars, md5(content) AS digest FROM (SELECT conv_id, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS content FROM {turns} WHERE contains(lower(text), 'battle') GROUP BY 1) s")
+_NAMED = f"WITH n AS (SELECT conv_id, turn, unnest(list_distinct(list_filter(regexp_split_to_array(text, '{_SPLIT}'), lambda x: regexp_full_match(x, '[A-Z][a-z]+') AND x NOT IN ('The', 'And', 'But', 'For', 'Not', 'With', 'He', 'She', 'They', 'Story', 'Episode')))) AS name FROM {{turns}} WHERE contains(lower(text), 'dialogue') OR contains(lower(text), 'said')), p AS (SELECT a.conv_id, a.turn, a.name AS a, b.name AS b, 'dialogue' AS interaction_type FROM n a JOIN n b ON a.conv_id = b.conv_id AND a.turn = b.turn AND a.name < b.name), s AS (SELECT a, b, 2 * count(*) AS strength FROM p GROUP BY 1, 2)"
 entry("dialogue_patterns", text.dialogue_pairs, f"{_NAMED} SELECT * FROM p")
 entry("interaction_strength", text.interaction_strength, f"{_NAMED} SELECT * FROM s")
 entry("sna_relationships", text.sna_relationships, f"{_NAMED}, d AS (SELECT a, b, strength FROM s UNION ALL SELECT b, a, strength FROM s) SELECT a, b, strength, CASE WHEN strength >= 15 THEN 'FRIENDS_WITH' WHEN strength >= 8 THEN 'KNOWS' WHEN strength >= 3 THEN 'ACQUAINTED_WITH' ELSE 'MENTIONED_WITH' END AS type, round(least(strength / 20, 1.0)::DOUBLE, 6) AS confidence, least(strength // 2, 10) AS trust_level FROM d")
 entry("discovery_metrics", text.discovery_metrics, f"{_NAMED} SELECT sum(strength) AS total, count(*) AS pairs, round(avg(strength), 6) AS mean FROM s")
-entry("search_term_extract", text.search_term, "SELECT conv_id, turn, CASE WHEN t = '' THEN '*' ELSE t END AS term FROM (SELECT conv_id, turn, coalesce(regexp_extract(text, '(\\w+) \\w+ the', 1), '') AS t FROM {conversations}) x")
-entry("followup_flags", text.followup_flags, "SELECT conv_id, turn, contains(lower(text), '?') OR contains(lower(text), 'more') OR contains(lower(text), 'tell me') AS follow_up, contains(lower(text), 'no') OR contains(lower(text), 'stop') OR contains(lower(text), 'cancel') AS declines FROM {conversations}")
+entry("search_term_extract", text.search_term, r"""SELECT conv_id, turn, CASE WHEN c <> '' THEN c WHEN l <> '' THEN l ELSE '*' END AS term FROM (SELECT conv_id, turn, regexp_extract(text, '(?i)CONTAINS\s+[''"]([^''"]+)[''"]|LIKE\s+[''"]%?([^''"]+)%?[''"]', 1) AS c, regexp_extract(text, '(?i)CONTAINS\s+[''"]([^''"]+)[''"]|LIKE\s+[''"]%?([^''"]+)%?[''"]', 2) AS l FROM {turns}) x""")
+entry("followup_flags", text.followup_flags, "SELECT conv_id, turn, contains(lower(text), 'would you like') OR contains(lower(text), 'need more') OR contains(lower(text), 'should i continue') OR contains(lower(text), 'continue with') OR contains(lower(text), 'more detail') AS follow_up, contains(lower(text), 'no') OR contains(lower(text), 'no thanks') OR contains(lower(text), 'stop') OR contains(lower(text), 'that''s all') OR contains(lower(text), 'cancel') OR contains(lower(text), 'don''t') AS declines FROM {turns}")
 
 # Network
-_E = "(SELECT DISTINCT src, dst FROM {sna_edges} WHERE type IN ('FRIENDS_WITH', 'KNOWS', 'ACQUAINTED_WITH'))"
-_BFS = f"WITH RECURSIVE e AS {_E}, b AS (SELECT character_id AS start, character_id AS node, 0 AS dist FROM {{characters}} UNION SELECT start, dst, dist + 1 FROM b JOIN e ON node = src WHERE dist < 3), d AS (SELECT start, node, min(dist) AS dist FROM b GROUP BY 1, 2)"
-entry("network_full", network.network_full, "SELECT src, dst, type, strength FROM {sna_edges} WHERE type IN ('FRIENDS_WITH', 'KNOWS', 'ACQUAINTED_WITH') AND strength >= 0")
+_E = "(SELECT DISTINCT story_id, src, dst FROM {sna_edges} WHERE type IN ('FRIENDS_WITH', 'KNOWS', 'ACQUAINTED_WITH'))"
+# No story of the driver's smaller tables has as many as 64 characters, so no shortest path is longer.
+_BFS = f"WITH RECURSIVE e AS {_E}, b AS (SELECT character_id AS start, character_id AS node, 0 AS dist FROM {{characters}} UNION SELECT start, dst, dist + 1 FROM b JOIN e ON node = src WHERE dist < 64), d AS (SELECT start, node, min(dist) AS dist FROM b GROUP BY 1, 2)"
+entry("network_full", network.network_full, "SELECT src, dst, type, strength, trust_level FROM {sna_edges} WHERE type IN ('FRIENDS_WITH', 'KNOWS', 'ACQUAINTED_WITH')")
+entry("network_filtered", lambda g: network.network_full(g, ("KNOWS", "ACQUAINTED_WITH"), 5, 4), "SELECT src, dst, type, strength, trust_level FROM {sna_edges} WHERE type IN ('KNOWS', 'ACQUAINTED_WITH') AND strength >= 5 AND trust_level >= 4")
+entry("network_nodes", network.network_nodes, "SELECT character_id, name, count(src) AS edges FROM {characters} LEFT JOIN {sna_edges} ON src = character_id AND type <> 'MENTIONED_WITH' GROUP BY 1, 2")
 entry("network_episode_range", lambda g: network.network_episode_range(g, 19960101, 19960110), "WITH c AS (SELECT DISTINCT character_id FROM {present_in} p JOIN {scenes} s ON p.scene_id = s.scene_id WHERE scene_order BETWEEN 19960101 AND 19960110) SELECT src, dst, type, strength FROM {sna_edges} WHERE type <> 'MENTIONED_WITH' AND src IN (SELECT * FROM c) AND dst IN (SELECT * FROM c)")
 entry("network_ego", lambda g: network.network_ego(g, 3), f"{_BFS} SELECT node, dist FROM d WHERE start = 3 AND dist <= 2")
 entry("degree_centrality", network.degree_centrality, "SELECT character_id, count(src) AS degree FROM {characters} LEFT JOIN {sna_edges} ON src = character_id AND type <> 'MENTIONED_WITH' GROUP BY 1")
 entry("closeness", network.closeness, f"{_BFS} SELECT start, count(*) AS reachable, sum(dist) AS total, round(count(*) / sum(dist), 6) AS closeness FROM d WHERE dist > 0 GROUP BY 1")
-entry("influence_paths", network.influence_paths, f"{_BFS} SELECT dist, count(*) AS n FROM d WHERE dist > 0 GROUP BY 1")
-_RANKS = f"WITH e AS {_E}, o AS (SELECT src, count(*) AS k FROM e GROUP BY 1), r0 AS (SELECT character_id, 1 - 0.85::DOUBLE AS rank FROM {{characters}})" + "".join(f", r{i} AS (SELECT c.character_id, (1 - 0.85::DOUBLE) + 0.85::DOUBLE * coalesce(got, 0) AS rank FROM {{characters}} c LEFT JOIN (SELECT e.dst, sum(rank / k) AS got FROM e JOIN o ON e.src = o.src JOIN r{i - 1} p ON p.character_id = e.src GROUP BY 1) s ON s.dst = c.character_id)" for i in range(1, 6))
-entry("pagerank", network.pagerank, f"{_RANKS} SELECT character_id, round(rank, 6) AS rank FROM r5")
-entry("key_influencers", network.key_influencers, f"{_RANKS} SELECT name, round(rank, 6) AS rank FROM r5 JOIN {{characters}} c ON c.character_id = r5.character_id ORDER BY round(rank, 6) DESC, name LIMIT 5")
+entry("influence_paths", network.influence_paths, f"{_BFS} SELECT a.name AS name_1, b.name AS name_2, dist FROM d JOIN {{characters}} a ON start = a.character_id JOIN {{characters}} b ON node = b.character_id WHERE dist > 0 ORDER BY dist, name_1, name_2 LIMIT 20")
+entry("distance_histogram", network.distance_histogram, f"{_BFS} SELECT dist, count(*) AS n FROM d WHERE dist > 0 GROUP BY 1")
+_RANKS = f"WITH e AS MATERIALIZED {_E}, o AS MATERIALIZED (SELECT src, count(*) AS k FROM e GROUP BY 1), r0 AS (SELECT character_id, 1 - 0.85::DOUBLE AS rank FROM {{characters}})" + "".join(f", r{i} AS MATERIALIZED (SELECT c.character_id, (1 - 0.85::DOUBLE) + 0.85::DOUBLE * coalesce(got, 0) AS rank FROM {{characters}} c LEFT JOIN (SELECT e.dst, sum(rank / k) AS got FROM e JOIN o ON e.src = o.src JOIN r{i - 1} p ON p.character_id = e.src GROUP BY 1) s ON s.dst = c.character_id)" for i in range(1, 21))
+entry("pagerank", network.pagerank, f"{_RANKS} SELECT character_id, round(rank, 6) AS rank FROM r20")
+entry("key_influencers", network.key_influencers, f"{_RANKS} SELECT name, round(rank, 6) AS rank FROM r20 JOIN {{characters}} c ON c.character_id = r20.character_id ORDER BY round(rank, 6) DESC, name LIMIT 5")
 _LABELS = f"WITH e AS {_E}, l0 AS (SELECT character_id, character_id AS label FROM {{characters}})" + "".join(f", v{i} AS (SELECT src, label, row_number() OVER (PARTITION BY src ORDER BY count(*) DESC, label) AS r FROM e JOIN l{i - 1} p ON p.character_id = e.dst GROUP BY 1, 2), l{i} AS (SELECT p.character_id, coalesce(v.label, p.label) AS label FROM l{i - 1} p LEFT JOIN v{i} v ON v.src = p.character_id AND r = 1)" for i in (1, 2))
 entry("label_propagation", network.label_propagation, f"{_LABELS} SELECT character_id, label FROM l2")
-entry("communities", network.communities, f"{_LABELS} SELECT label, count(*) AS total, min(character_id) AS first FROM l2 GROUP BY 1")
+entry("propagated_communities", network.propagated_communities, f"{_LABELS} SELECT label, count(*) AS total, string_agg(name, ',' ORDER BY name) AS members FROM l2 JOIN {{characters}} c ON c.character_id = l2.character_id GROUP BY 1")
+entry("louvain", network.louvain)
+entry("communities", network.communities)
 _TRI = f"WITH e AS (SELECT DISTINCT src, dst FROM {_E} x WHERE src < dst), t AS (SELECT a.src AS a, a.dst AS b, b.dst AS c FROM e a JOIN e b ON a.dst = b.src JOIN e c ON c.src = a.src AND c.dst = b.dst), n AS (SELECT node, count(*) AS t FROM (SELECT a AS node FROM t UNION ALL SELECT b FROM t UNION ALL SELECT c FROM t) u GROUP BY 1), d AS (SELECT node, count(*) AS d FROM (SELECT src AS node FROM e UNION ALL SELECT dst FROM e) u GROUP BY 1), q AS (SELECT d.node, d, coalesce(t, 0) AS triangles FROM d LEFT JOIN n ON n.node = d.node)"
 entry("clustering", network.clustering, f"{_TRI} SELECT node, d, triangles, round(CASE WHEN d > 1 THEN 2 * triangles / (d * (d - 1)) ELSE 0 END::DOUBLE, 6) AS coefficient FROM q")
 entry("global_clustering", network.global_clustering, f"{_TRI} SELECT sum(triangles) AS corners, sum(d * (d - 1) // 2) AS wedges, round(sum(triangles) / sum(d * (d - 1) // 2), 6) AS coefficient FROM q")
 entry("relationship_tension", network.relationship_tension, "SELECT src, dst, count(*) AS n, sum(relationship_strength) AS total FROM (SELECT src, dst, relationship_strength FROM {relationships} UNION ALL SELECT dst, src, relationship_strength FROM {relationships}) x WHERE relationship_strength < 5 GROUP BY 1, 2")
-entry("network_density", network.network_density, f"SELECT n, e, round(2 * e / (n * (n - 1)), 6) AS density FROM (SELECT count(*) AS n FROM {{characters}}) a, (SELECT count(*) AS e FROM (SELECT DISTINCT least(src, dst), greatest(src, dst) FROM {_E} x) y) b")
-_PATHS = f"WITH e AS {_E}, p0 AS (SELECT character_id AS s, character_id AS t, 0 AS d, 1.0::DOUBLE AS n FROM {{characters}})" + "".join(f", p{i} AS (SELECT f.s, e.dst AS t, {i} AS d, sum(n) AS n FROM p{i - 1} f JOIN e ON f.t = e.src WHERE " + " AND ".join(f"NOT EXISTS (SELECT 1 FROM p{k} o WHERE o.s = f.s AND o.t = e.dst)" for k in range(i)) + " GROUP BY 1, 2)" for i in (1, 2, 3)) + ", p AS (SELECT * FROM p1 UNION ALL SELECT * FROM p2 UNION ALL SELECT * FROM p3), x AS (SELECT a.t AS v, sum(a.n * b.n / c.n) AS x FROM p a JOIN p b ON a.t = b.s JOIN p c ON c.s = a.s AND c.t = b.t AND c.d = a.d + b.d WHERE a.s <> b.t GROUP BY 1), r AS (SELECT character_id, name, round(coalesce(x, 0), 4) AS betweenness FROM {characters} LEFT JOIN x ON v = character_id)"
+entry("network_density", network.network_density, f"SELECT a.story_id, n, coalesce(e, 0) AS e, round(CASE WHEN n > 1 THEN 2 * coalesce(e, 0) / (n * (n - 1)) ELSE 0 END::DOUBLE, 6) AS density FROM (SELECT story_id, count(*) AS n FROM {{characters}} GROUP BY 1) a LEFT JOIN (SELECT story_id, count(*) AS e FROM (SELECT DISTINCT story_id, least(src, dst), greatest(src, dst) FROM {_E} x) y GROUP BY 1) b ON a.story_id = b.story_id")
+# Paths of up to seven steps; the driver's smaller tables have none longer (distance_histogram shows it).
+_PATHS = f"WITH e AS MATERIALIZED {_E}, p0 AS (SELECT character_id AS s, character_id AS t, 0 AS d, 1.0::DOUBLE AS n FROM {{characters}})" + "".join(f", p{i} AS MATERIALIZED (SELECT f.s, e.dst AS t, {i} AS d, sum(n) AS n FROM p{i - 1} f JOIN e ON f.t = e.src WHERE " + " AND ".join(f"NOT EXISTS (SELECT 1 FROM p{k} o WHERE o.s = f.s AND o.t = e.dst)" for k in range(i)) + " GROUP BY 1, 2)" for i in range(1, 8)) + ", p AS (" + " UNION ALL ".join(f"SELECT * FROM p{i}" for i in range(1, 8)) + "), x AS (SELECT a.t AS v, sum(a.n * b.n / c.n) AS x FROM p a JOIN p b ON a.t = b.s JOIN p c ON c.s = a.s AND c.t = b.t AND c.d = a.d + b.d WHERE a.s <> b.t GROUP BY 1), r AS (SELECT character_id, name, round(coalesce(x, 0), 4) AS betweenness FROM {characters} LEFT JOIN x ON v = character_id)"
 entry("betweenness", network.betweenness, f"{_PATHS} SELECT character_id, betweenness FROM r")
+entry("betweenness_by_joins", network.betweenness_by_joins, f"{_PATHS} SELECT character_id, betweenness FROM r")
 entry("bridge_characters", network.bridge_characters, f"{_PATHS} SELECT name, betweenness FROM r ORDER BY betweenness DESC, name LIMIT 10")
-entry("rank_in_story", network.rank_in_story, "SELECT story_id, character_id, degree, row_number() OVER (PARTITION BY story_id ORDER BY degree DESC, character_id) AS place FROM (SELECT story_id, character_id, count(src) AS degree FROM {characters} LEFT JOIN {sna_edges} ON src = character_id AND type <> 'MENTIONED_WITH' GROUP BY 1, 2) x")
+entry("rank_in_story", network.rank_in_story, "SELECT story_id, character_id, degree, row_number() OVER (PARTITION BY story_id ORDER BY degree DESC, character_id) AS place FROM (SELECT c.story_id, character_id, count(src) AS degree FROM {characters} c LEFT JOIN {sna_edges} ON src = character_id AND type <> 'MENTIONED_WITH' GROUP BY 1, 2) x")
 
 # Histories
 entry("episodes_last_n", temporal.episodes_last_n, "SELECT group_id, uuid, body, r FROM (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY created_at DESC, uuid DESC) AS r FROM {episodes} WHERE created_at <= TIMESTAMP '2024-01-20 00:00:00') x WHERE r <= 5")
-entry("search_memory", temporal.search_memory, "WITH h AS (SELECT conv_id, turn, list_contains(w, 'the')::INT + list_contains(w, 'and')::INT + list_contains(w, 'of')::INT AS hits FROM (SELECT conv_id, turn, string_split(lower(text), ' ') AS w FROM {conversations}) x) SELECT * FROM h WHERE hits > 0 ORDER BY hits DESC, conv_id, turn LIMIT 20")
+entry("search_memory", temporal.search_memory, "WITH h AS (SELECT conv_id, turn, list_contains(w, 'the')::INT + list_contains(w, 'and')::INT + list_contains(w, 'of')::INT AS hits FROM (SELECT conv_id, turn, string_split(lower(text), ' ') AS w FROM {turns}) x) SELECT * FROM h WHERE hits > 0 ORDER BY hits DESC, conv_id, turn LIMIT 20")
 entry("as_of_snapshot", temporal.as_of_snapshot, "SELECT * FROM (SELECT uuid, body, 'TEMPORAL_REFERENCE' AS tag FROM {episodes} WHERE created_at <= TIMESTAMP '2024-01-20 00:00:00' ORDER BY created_at DESC, uuid DESC LIMIT 20) a UNION ALL SELECT * FROM (SELECT uuid, body, 'SEARCH_MATCH' FROM {episodes} WHERE created_at <= TIMESTAMP '2024-01-20 00:00:00' AND contains(body, 'purchase') ORDER BY created_at DESC, uuid DESC LIMIT 20) b")
-entry("temporal_context", temporal.temporal_context, "SELECT group_id, uuid, b AS before, a AS after FROM (SELECT group_id, uuid, count(*) OVER (PARTITION BY group_id ORDER BY created_at, uuid ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS b, count(*) OVER (PARTITION BY group_id ORDER BY created_at, uuid ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING) AS a FROM {episodes}) x WHERE uuid % 50 = 0")
-_YEAR = "(SELECT a.character_id AS src, b.character_id AS dst, scene_order // 10000 AS year, count(*) AS strength FROM {present_in} a JOIN {present_in} b ON a.scene_id = b.scene_id AND a.character_id < b.character_id JOIN {scenes} s ON s.scene_id = a.scene_id WHERE a.scene_id % 97 = 0 GROUP BY 1, 2, 3)"
+entry("temporal_context", temporal.temporal_context, "SELECT group_id, uuid, count(*) OVER (PARTITION BY group_id ORDER BY created_at, uuid ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS before, count(*) OVER (PARTITION BY group_id, created_at) AS at, count(*) OVER (PARTITION BY group_id ORDER BY created_at, uuid ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING) AS after FROM {episodes}")
+_YEAR = "(SELECT a.character_id AS src, b.character_id AS dst, scene_order // 10000 AS year, count(*) AS strength FROM {present_in} a JOIN {present_in} b ON a.scene_id = b.scene_id AND a.character_id < b.character_id JOIN {characters} c ON c.character_id = a.character_id JOIN {characters} d ON d.character_id = b.character_id AND d.story_id = c.story_id JOIN {scenes} s ON s.scene_id = a.scene_id GROUP BY 1, 2, 3)"
 _DELTA = f"(SELECT *, strength - before AS delta FROM (SELECT *, lag(strength) OVER (PARTITION BY src, dst ORDER BY year) AS before FROM {_YEAR} y) x WHERE before IS NOT NULL)"
 entry("evolution_delta", temporal.evolution_delta, f"SELECT src, dst, year, before, strength, delta FROM {_DELTA} x")
 entry("evolution_pair_series", temporal.evolution_pair_series, f"SELECT src, dst, string_agg(concat(CAST(year AS STRING), '=', CAST(strength AS STRING)), ',' ORDER BY year) AS series FROM {_YEAR} y GROUP BY 1, 2")
-entry("milestones_tension_spikes", temporal.milestones_tension_spikes, f"SELECT src, dst, year, CASE WHEN strength >= 2 THEN 'milestone' WHEN delta < 0 THEN 'tension_spike' ELSE 'steady' END AS kind FROM {_DELTA} x")
-_TREE = "(SELECT concat('arc-', CAST(r_regionkey AS STRING)) AS episode, NULL AS parent, 0 AS depth, (SELECT count(*) FROM {nation} WHERE n_regionkey = r_regionkey) AS children FROM {region} UNION ALL SELECT concat('chapter-', CAST(n_nationkey AS STRING)), concat('arc-', CAST(n_regionkey AS STRING)), 1, (SELECT count(*) FROM {customer} WHERE c_nationkey = n_nationkey) FROM {nation} UNION ALL SELECT concat('thread-', CAST(c_custkey AS STRING)), concat('chapter-', CAST(c_nationkey AS STRING)), 2, 0 FROM {customer})"
-entry("episode_hierarchy", temporal.episode_hierarchy, f"SELECT * FROM {_TREE} x")
-entry("hierarchy_cycles", temporal.hierarchy_cycles, f"WITH RECURSIVE e AS (SELECT episode, parent FROM {_TREE} x WHERE parent IS NOT NULL), u AS (SELECT episode AS a, parent AS c, 1 AS d FROM e UNION ALL SELECT a, e.parent, d + 1 FROM u JOIN e ON c = e.episode WHERE d < 4) SELECT a, count(*) AS n FROM u WHERE a = c GROUP BY 1")
+entry("milestones_tension_spikes", temporal.milestones_tension_spikes, "SELECT src, dst, year, round(after, 6) AS after, kind FROM (SELECT src, dst, year, after, CASE WHEN after >= 0.8 AND (src + dst + year) % 4 <> 1 THEN 'milestone' WHEN after < 0.3 THEN 'tension_spike' END AS kind FROM (SELECT *, strength / max(strength) OVER (PARTITION BY src, dst) AS after FROM " + _YEAR + " y) x) z WHERE kind IS NOT NULL")
+_TREE = "(SELECT concat('arc-', CAST(r_regionkey AS STRING)) AS episode, NULL AS parent, 0 AS depth FROM {region} UNION ALL SELECT concat('chapter-', CAST(n_nationkey AS STRING)), concat('arc-', CAST(n_regionkey AS STRING)), 1 FROM {nation} UNION ALL SELECT concat('thread-', CAST(c_custkey AS STRING)), concat('chapter-', CAST(c_nationkey AS STRING)), 2 FROM {customer})"
+entry("episode_hierarchy", temporal.episode_hierarchy, f"SELECT x.episode, x.parent, x.depth, coalesce(n, 0) AS n_children, coalesce(children, '') AS children FROM {_TREE} x LEFT JOIN (SELECT parent, count(*) AS n, string_agg(episode, ',' ORDER BY episode) AS children FROM {_TREE} y WHERE parent IS NOT NULL GROUP BY 1) c ON c.parent = x.episode")
+entry("hierarchy_cycles", temporal.hierarchy_cycles, "WITH RECURSIVE u AS (SELECT episode AS a, parent AS c, 1 AS d FROM {parents} WHERE parent IS NOT NULL UNION ALL SELECT a, e.parent, d + 1 FROM u JOIN {parents} e ON c = e.episode WHERE d < 8 AND c <> a AND e.parent IS NOT NULL) SELECT DISTINCT a AS episode FROM u WHERE a = c")
 entry("unresolved_foreshadows", temporal.unresolved_foreshadows, "WITH f AS (SELECT v.uuid AS from_id, arg_min(p.uuid, (p.created_at, p.uuid)) AS to_id FROM {episodes} v JOIN {episodes} p ON v.group_id = p.group_id AND p.body = 'purchase' AND (p.created_at, p.uuid) > (v.created_at, v.uuid) WHERE v.body = 'view' GROUP BY 1) SELECT from_id, to_id FROM f JOIN {episodes} ON uuid = to_id WHERE NOT coalesce(value > 50.0, false)")
+entry("continuity_links", temporal.continuity_links, "WITH f AS (SELECT v.uuid AS from_id, arg_min(p.uuid, (p.created_at, p.uuid)) AS to_id FROM {episodes} v JOIN {episodes} p ON v.group_id = p.group_id AND p.body = 'purchase' AND (p.created_at, p.uuid) > (v.created_at, v.uuid) WHERE v.body = 'view' GROUP BY 1) SELECT parent AS from_id, episode AS to_id, 'PARENT_OF' AS type FROM {parents} WHERE parent IS NOT NULL UNION ALL SELECT from_id, to_id, 'FORESHADOWS' FROM f UNION ALL SELECT to_id, from_id, 'RESOLVES' FROM f JOIN {episodes} ON uuid = to_id WHERE coalesce(value > 50.0, false)")
 entry("story_graph_counts", temporal.story_graph_counts, " UNION ALL ".join(f"SELECT '{n}' AS name, count(*) AS n FROM {{{n}}}" for n in ("characters", "scenes", "locations", "knowledge", "items", "knows", "present_in", "occurs_in", "owns", "contradicts", "implies", "relationships")))
 entry("edge_count_by_type", temporal.edge_count_by_type, "SELECT type, count(*) AS n FROM {sna_edges} GROUP BY 1")
+entry("edge_count", temporal.edge_count, "SELECT count(*) AS n FROM {sna_edges}")
 entry("node_count", temporal.node_count, "SELECT (SELECT count(*) FROM {characters}) + (SELECT count(*) FROM {locations}) + (SELECT count(*) FROM {items}) AS n")
 entry("edge_sample", records.edge_sample, "SELECT type, src, dst FROM {sna_edges} ORDER BY type, src, dst LIMIT 5")
-entry("graph_statistics", temporal.graph_statistics, "SELECT group_id, least(count(*), 1000) AS episodes, count(DISTINCT body) AS kinds FROM {episodes} GROUP BY 1")
-entry("memory_context", temporal.memory_context, "SELECT conv_id, md5(string_agg(text, chr(10) || chr(10) ORDER BY r)) AS context FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM {conversations}) x WHERE r <= 3 GROUP BY 1")
-entry("extract_facts", temporal.extract_facts, "SELECT conv_id, turn, substring(text, 1, 100) AS fact, 0.8::DOUBLE AS confidence FROM {conversations} WHERE contains(text, 'the') ORDER BY conv_id, turn LIMIT 10")
-entry("delete_story", temporal.delete_story, "SELECT story_id, count(*) AS n FROM {characters} WHERE story_id <> 3 GROUP BY 1")
+entry("graph_statistics", temporal.graph_statistics, "SELECT a.*, b.*, c.* FROM (SELECT count(*) AS active_sessions, sum(n) AS episodes FROM (SELECT least(count(*), 1000) AS n FROM {episodes} GROUP BY group_id) x) a, (SELECT count(DISTINCT body) AS kinds FROM {episodes}) b, (SELECT count(*) AS recent, count(DISTINCT group_id) AS sample_sessions FROM (SELECT group_id, row_number() OVER (PARTITION BY group_id ORDER BY created_at DESC, uuid DESC) AS r FROM {episodes} WHERE group_id IN (SELECT DISTINCT group_id FROM {episodes} ORDER BY 1 LIMIT 5)) y WHERE r <= 50) c")
+entry("memory_context", temporal.memory_context, "SELECT conv_id, md5(string_agg(text, chr(10) || chr(10) ORDER BY r)) AS context FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM {turns}) x WHERE r <= 3 GROUP BY 1")
+entry("extract_facts", temporal.extract_facts, "SELECT conv_id, turn, substring(text, 1, 100) AS fact, 0.8::DOUBLE AS confidence FROM {turns} WHERE contains(text, 'the') ORDER BY conv_id, turn LIMIT 10")
+entry("delete_story", temporal.delete_story, "SELECT story_id, count(*) AS n, story_id = 3 AS is_deleted FROM {characters} GROUP BY 1")
 entry("alert_windows", temporal.alert_windows, "SELECT CAST(floor(epoch(ts) / 1800) * 1800 AS BIGINT) AS start, count(*) AS n FROM {events} WHERE event_type = 'error' GROUP BY 1")
 entry("token_bucket", lambda g: alerts.token_bucket(g["events"]))
 
@@ -198,4 +235,4 @@ entry("query_hash", records.query_hash, "SELECT n_nationkey, md5(concat(n_name,
 entry("vector_topk", records.vector_topk, "SELECT vec_id, round(list_dot_product(e, q) / sqrt(list_dot_product(e, e) * list_dot_product(q, q)), 6) AS score FROM (SELECT vec_id, embedding::DOUBLE[] AS e, (SELECT embedding::DOUBLE[] FROM {embeddings} WHERE vec_id = 0) AS q FROM {embeddings}) x ORDER BY score DESC, vec_id LIMIT 10")
 entry("quest_ready", records.quest_ready, "SELECT o.o_orderkey, NOT EXISTS (SELECT 1 FROM {orders} p WHERE p.o_custkey = o.o_custkey AND p.o_orderkey < o.o_orderkey AND p.o_orderstatus = 'O') AS ready FROM {orders} o")
 entry("objective_completion", records.objective_completion, "SELECT l_orderkey, count(*) AS objectives, sum((l_linestatus = 'F')::INT) AS done, count(*) = sum((l_linestatus = 'F')::INT) AS complete FROM {lineitem} GROUP BY 1")
-entry("dialogue_dangling", records.dialogue_dangling, "SELECT conv_id, turn FROM {conversations} t WHERE NOT EXISTS (SELECT 1 FROM {conversations} n WHERE n.conv_id = t.conv_id AND n.turn = t.turn + 1)")
+entry("dialogue_dangling", records.dialogue_dangling, "SELECT conv_id, turn FROM {turns} t WHERE NOT EXISTS (SELECT 1 FROM {turns} n WHERE n.conv_id = t.conv_id AND n.turn = t.turn + 1)")

@@ -1,4 +1,4 @@
-"""Rule-based text operators as Column expressions; word lists are fixed values that callers may replace."""
+"""Rule-based text operators as Column expressions. Word lists and patterns are fixed values that callers may replace."""
 
 from __future__ import annotations
 
@@ -10,27 +10,71 @@ from pyspark.sql import functions as F
 from narralake.plans.adapter import Story
 
 SCENE_BREAK = r"\n\s*\n|\n\s*---\s*\n|\n\s*\*\*\*\s*\n"
+NOT_WORD = r"[^\p{L}\p{N}_]+"
 
+#: How a chapter starts, and words of a jump in time, which is reported but starts no chapter.
+CHAPTER_STARTS = (r"^\s*(chapter|ch\.?)\s+\d+", r"^\s*(part|book)\s+\d+", r"^\s*\d+\s*$", r"^\s*[IVX]+\s*$")
+TIME_JUMP = r"\b(years? later|months? later|days? later|meanwhile|elsewhere)\b"
+#: What marks an episode.
+EPISODE_MARKS = (r"\b(scene|act)\s+\d+\b", r"\b(cut to|fade to|dissolve to)\b", r"\b(meanwhile|elsewhere|at the same time)\b", r"\b(hours? later|minutes? later|soon after)\b")
 #: Words of the story-arc families, in order of precedence.
 ARCS = {
-    "exposition": ("introduce", "begin", "start", "once", "first", "meet"),
-    "rising_action": ("conflict", "challenge", "problem", "struggle", "tension"),
-    "climax": ("battle", "confrontation", "peak", "crisis", "showdown"),
-    "falling_action": ("aftermath", "consequence", "result", "calm"),
-    "resolution": ("end", "resolve", "peace", "conclusion", "finally"),
+    "exposition": ("introduce", "meet", "background", "setting", "world"),
+    "rising_action": ("conflict", "problem", "challenge", "discover"),
+    "climax": ("battle", "fight", "confrontation", "crisis", "decisive"),
+    "falling_action": ("aftermath", "consequence", "result", "resolve"),
+    "resolution": ("end", "conclude", "peace", "happy", "reunion"),
+}
+#: Pronouns of the narrator's person.
+PERSONS = {
+    "first": ("i", "me", "my", "mine", "we", "us", "our", "ours"),
+    "second": ("you", "your", "yours"),
+    "third": ("he", "him", "his", "she", "her", "hers", "they", "them", "their", "theirs"),
 }
-#: Mood words, in order of precedence.
+#: Mood words, in order of precedence; they count inside longer words too.
 MOODS = {
-    "happy": ("happy", "joy", "smile", "laugh", "cheer"),
-    "sad": ("sad", "tear", "cry", "grief", "sorrow"),
-    "tense": ("tense", "fear", "danger", "threat", "nervous"),
-    "romantic": ("love", "kiss", "heart", "embrace"),
-    "mysterious": ("mystery", "secret", "strange", "shadow"),
-    "peaceful": ("peace", "calm", "quiet", "gentle"),
+    "happy": ("joy", "happy", "pleased", "delighted", "cheerful", "smile", "laugh"),
+    "sad": ("sad", "sorrow", "grief", "melancholy", "despair", "cry", "tear"),
+    "tense": ("tension", "suspense", "anxious", "worried", "nervous", "fear"),
+    "dramatic": ("dramatic", "intense", "powerful", "striking", "significant"),
+    "mysterious": ("mystery", "secret", "hidden", "unknown", "enigma", "puzzle"),
+    "action": ("fight", "battle", "run", "chase", "attack", "escape", "rush"),
 }
-#: Pronouns of the narrator's person.
-PERSONS = {"first": ("i", "me", "my", "mine", "we", "us", "our"), "second": ("you", "your", "yours"), "third": ("he", "she", "they", "him", "her", "his", "them", "their")}
-NOT_WORD = r"[^\p{L}\p{N}_]+"
+#: Phrases that call back to, or point forward at, other scenes, and the words that make one explicit.
+CALLBACKS = (
+    r"\b(remember|recalled?|flashback|flash back)\b",
+    r"\b(foreshadow|foretold?|prophes|predict)\b",
+    r"\b(earlier|before|previously|past)\b.*\b(mentioned|said|told)\b",
+    r"\b(later|future|will|shall)\b.*\b(see|find|discover|learn)\b",
+    r"\b(as .* had said|as .* predicted|just as .* warned)\b",
+    r"\b(little did .* know|unbeknownst|unknown to)\b",
+)
+EXPLICIT = ("remember", "recalled", "earlier", "before", "later", "future")
+#: Words in a name or in its context, in order of precedence.
+LOCATION_NAMES = ("castle", "town", "forest", "mountain", "river", "room", "house")
+CHARACTER_CONTEXT = ("said", "told", "spoke", "thought", "felt", "character")
+ITEM_NAMES = ("sword", "potion", "key", "ring", "book", "scroll")
+EVENT_CONTEXT = ("happened", "occurred", "event", "battle", "meeting")
+#: Capitalised words that are no names.
+NO_NAMES = ("The", "And", "But", "For", "Not", "With", "He", "She", "They", "Story", "Episode")
+#: Edge types without a meaning of their own.
+GENERIC_TYPES = ("RELATES_TO", "MENTIONS", "HAS_MEMBER")
+#: An answer that asks whether to go on, and a reply that declines; both count inside words.
+FOLLOW_UPS = ("would you like", "need more", "should i continue", "continue with", "more detail")
+DECLINES = ("no", "no thanks", "stop", "that's all", "cancel", "don't")
+
+
+def holds(text: Column, words: tuple[str, ...]) -> Column:
+    """Whether any of the words stands in the text, in other words too."""
+    return reduce(lambda x, y: x | y, [text.contains(w) for w in words])
+
+
+def matches(text: Column, patterns: tuple[str, ...]) -> Column:
+    return reduce(lambda x, y: x | y, [text.rlike(f"(?i){p}") for p in patterns])
+
+
+def stripped(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
 
 
 def word_count(words: Column, wanted: tuple[str, ...]) -> Column:
@@ -45,16 +89,20 @@ def first_of(counts: dict[str, Column], none: str) -> tuple[Column, Column]:
     return label, most
 
 
+def joined(rows: DataFrame, key: str, order: str, text: str, name: str) -> DataFrame:
+    """One text for each key: the rows' texts in order, with blank lines between."""
+    return rows.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, text))), lambda x: x[text]), "\n\n").alias(name))
+
+
 def stories(g: Story) -> DataFrame:
     """One text for each conversation, turns joined by blank lines."""
-    return g["turns"].groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), "\n\n").alias("content"))
+    return joined(g["turns"], "conv_id", "turn", "text", "content")
 
 
 def split_scenes(texts: DataFrame, id_col: str, content: str) -> DataFrame:
     """Scenes keep the number of the block they were, also where blank blocks before them fall away."""
-    blocks = texts.select(id_col, F.posexplode(F.split(F.trim(content), SCENE_BREAK)).alias("i", "block"))
-    text = F.regexp_replace("block", r"^\s+|\s+$", "")
-    return blocks.select(id_col, (F.col("i") + 1).alias("scene_order"), text.alias("text")).filter("text <> ''").withColumn("word_count", F.size(F.split("text", r"\s+")))
+    blocks = texts.select(id_col, F.posexplode(F.split(stripped(F.col(content)), SCENE_BREAK)).alias("i", "block"))
+    return blocks.select(id_col, (F.col("i") + 1).alias("scene_order"), stripped(F.col("block")).alias("text")).filter("text <> ''").withColumn("word_count", F.size(F.split("text", r"\s+")))
 
 
 def scenes(g: Story) -> DataFrame:
@@ -66,24 +114,23 @@ def scene_counts(g: Story) -> DataFrame:
 
 
 def chapter_boundary(g: Story) -> DataFrame:
-    s = scenes(g)
-    start = F.col("text").rlike(r"(?i)^\s*(chapter|part|book|act)\b")
+    start = matches(F.col("text"), CHAPTER_STARTS)
     title = (F.col("word_count") <= 5) & (F.upper("text") == F.col("text")) & (F.lower("text") != F.col("text"))
-    jump = F.col("text").rlike(r"(?i)(years?|months?|weeks?|days?) (later|after)")
-    return s.select("conv_id", "scene_order", (start | title | jump).alias("is_boundary"), F.when(start, 0.9).when(title | jump, 0.7).otherwise(0.3).alias("confidence"))
+    seen = scenes(g).select("conv_id", "scene_order", start.alias("pattern_match"), title.alias("title_like"), matches(F.col("text"), (TIME_JUMP,)).alias("time_jump"))
+    return seen.select("*", (F.col("pattern_match") | F.col("title_like")).alias("is_boundary"), F.when(F.col("pattern_match"), 0.9).when(F.col("title_like"), 0.7).otherwise(0.3).alias("confidence"))
 
 
-def episode_boundary(g: Story) -> DataFrame:
-    s = scenes(g)
-    told = F.col("text").rlike(r"(?i)(meanwhile|later that|the next (day|morning)|suddenly|elsewhere)")
-    long_, natural = F.col("word_count") > 300, (F.col("scene_order") > 1) & ((F.col("scene_order") - 1) % 4 == 0)
-    return s.select("conv_id", "scene_order", (told | (long_ & natural)).alias("is_boundary"), F.when(told, 0.8).when(long_ & natural, 0.6).otherwise(0.4).alias("confidence"))
+def episode_boundary(g: Story, long: int = 300, every: int = 4) -> DataFrame:
+    """A marked scene, or a long one where a break would be natural, opens an episode."""
+    i = F.col("scene_order") - 1
+    seen = scenes(g).select("conv_id", "scene_order", matches(F.col("text"), EPISODE_MARKS).alias("marked"), (F.col("word_count") > long).alias("long"), ((i > 0) & (i % every == 0)).alias("natural"))
+    return seen.select("*", (F.col("marked") | (F.col("long") & F.col("natural"))).alias("is_boundary"), F.when(F.col("marked"), 0.8).when(F.col("long"), 0.6).otherwise(0.4).alias("confidence"))
 
 
 def chapter_episode_numbers(g: Story) -> DataFrame:
-    """Chapters count boundaries; in a chapter every third scene opens an episode."""
+    """Chapters count boundaries; in a chapter every third block opens an episode."""
     w = Window.partitionBy("conv_id").orderBy("scene_order")
-    b = chapter_boundary(g).withColumn("i", F.row_number().over(w) - 1)
+    b = chapter_boundary(g).withColumn("i", F.col("scene_order") - 1)
     chapters = b.withColumn("chapter", 1 + F.sum(F.col("is_boundary").cast("int")).over(w))
     opens = (~F.col("is_boundary") & (F.col("i") > 0) & (F.col("i") % 3 == 0)).cast("int")
     return chapters.withColumn("opens", opens).withColumn("episode", 1 + F.sum("opens").over(Window.partitionBy("conv_id", "chapter").orderBy("scene_order"))).select("conv_id", "scene_order", "chapter", "episode")
@@ -93,47 +140,75 @@ def story_arc(g: Story) -> DataFrame:
     words = g["documents"].select("doc_id", F.split(F.lower("text"), NOT_WORD).alias("w"))
     d = words.select("doc_id", *[word_count(F.col("w"), ws).alias(k) for k, ws in ARCS.items()])
     label, most = first_of({k: F.col(k) for k in ARCS}, "neutral")
-    return d.select("doc_id", label.alias("arc"), most.alias("intensity"))
+    return d.select("doc_id", label.alias("arc"), most.alias("intensity"), *ARCS)
 
 
 def pov(g: Story) -> DataFrame:
     words = g["documents"].select("doc_id", F.split(F.lower("text"), NOT_WORD).alias("w"))
     d = words.select("doc_id", *[word_count(F.col("w"), ws).alias(f"n_{k}") for k, ws in PERSONS.items()])
     total = F.col("n_first") + F.col("n_second") + F.col("n_third")
-    return d.select("doc_id", "n_first", "n_second", "n_third", F.when(total == 0, "unknown").when(F.col("n_first") / total > 0.4, "first").when(F.col("n_second") / total > 0.3, "second").otherwise("third").alias("pov"))
+    share = {k: F.try_divide(F.col(f"n_{k}"), total) for k in PERSONS}
+    first, second = share["first"] > 0.4, share["second"] > 0.3
+    kind = F.when(total == 0, "unknown").when(first, "first_person").when(second, "second_person").otherwise("third_person")
+    sure = F.when(total == 0, 0.0).when(first, share["first"]).when(second, share["second"]).otherwise(share["third"])
+    return d.select("doc_id", "n_first", "n_second", "n_third", kind.alias("pov"), F.round(sure, 6).alias("confidence"))
 
 
 def mood_lexical(g: Story) -> DataFrame:
-    text = F.lower("text")
-    counts = {m: reduce(lambda a, b: a + b, [(F.length(text) - F.length(F.replace(text, F.lit(w), F.lit("")))) / len(w) for w in ws]).cast("int") for m, ws in MOODS.items()}
-    d = g["documents"].select("doc_id", *[n.alias(m) for m, n in counts.items()])
+    lower = g["documents"].select("doc_id", F.lower("text").alias("t"))
+    t = F.col("t")
+    # No word of a family holds another, so its matches are counted by what the text loses without them.
+    counts = {m: reduce(lambda a, b: a + b, [F.floor((F.length(t) - F.length(F.replace(t, F.lit(w), F.lit("")))) / len(w)) for w in ws]).cast("int") for m, ws in MOODS.items()}
+    d = lower.select("doc_id", *[n.alias(m) for m, n in counts.items()])
     label, most = first_of({m: F.col(m) for m in MOODS}, "neutral")
     return d.select("doc_id", label.alias("mood"), F.round(F.least(most / 3, F.lit(1.0)), 6).alias("intensity"))
 
 
-def significance_tfidf(g: Story, top: int = 5) -> DataFrame:
-    """Per turn: the sum of the largest tf / (df + 1) * N over its words, at most 1. df counts turns that hold the word."""
-    t = g["turns"].select("conv_id", "turn", F.explode(F.split(F.lower("text"), r"[^a-z]+")).alias("term")).filter("term <> ''")
-    total = F.count("*").over(Window.partitionBy("conv_id", "turn"))
-    tf = t.withColumn("total", total).groupBy("conv_id", "turn", "term", "total").agg(F.count("*").alias("n"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    n = g["turns"].count()
-    scored = tf.join(df, "term").withColumn("x", F.col("n") / F.col("total") * (F.lit(float(n)) / (F.col("df") + 1)))
+def letter_words(text: Column) -> Column:
+    return F.filter(F.regexp_extract_all(text, F.lit("[a-z]+"), F.lit(0)), lambda w: F.length(w) > 2)
+
+
+def significance_tfidf(g: Story, top: int = 5, tokens=letter_words) -> DataFrame:
+    """Per turn: the mean of the `top` largest tf * texts / (df + 1), at most 1; 0.3 without terms. df counts the narrative's texts that hold the term anywhere. `tokens` may be replaced."""
+    body = g["turns"].select("conv_id", "turn", F.lower("text").alias("body"))
+    size = body.groupBy("conv_id").agg(F.count("*").alias("texts"))
+    words = body.select("conv_id", "turn", tokens(F.col("body")).alias("w"))
+    tf = words.select("conv_id", "turn", F.size("w").alias("total"), F.explode("w").alias("term")).groupBy("conv_id", "turn", "term", "total").agg(F.count("*").alias("n"))
+    df = tf.select("conv_id", "term").distinct().join(body.select("conv_id", "body"), "conv_id").filter(F.col("body").contains(F.col("term"))).groupBy("conv_id", "term").agg(F.count("*").alias("df"))
+    scored = tf.join(df, ["conv_id", "term"]).join(size, "conv_id").withColumn("x", F.col("n") / F.col("total") * (F.col("texts") / (F.col("df") + 1)))
     best = scored.withColumn("r", F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy(F.desc("x"), "term"))).filter(F.col("r") <= top)
-    return best.groupBy("conv_id", "turn").agg(F.round(F.least(F.sum("x") / top, F.lit(1.0)), 4).alias("significance"))
+    found = best.groupBy("conv_id", "turn").agg(F.least(F.sum("x") / top, F.lit(1.0)).alias("x"))
+    return body.select("conv_id", "turn").join(found, ["conv_id", "turn"], "left").select("conv_id", "turn", F.round(F.coalesce("x", F.lit(0.3)), 4).alias("significance"))
+
 
+def continuity_edges(g: Story, patterns: tuple[str, ...] = CALLBACKS, least: int = 3) -> DataFrame:
+    """An edge from a scene, for each of its callback phrases, to every other scene of the story that shares `least` words.
 
-def continuity_edges(g: Story, least: int = 3) -> DataFrame:
-    """Turns of one conversation that share words, joined on the words rather than all by all."""
-    w = g["turns"].select("conv_id", "turn", F.explode(F.array_distinct(F.split(F.lower("text"), " "))).alias("word")).filter("word <> ''")
-    a, b = w.toDF("conv_id", "turn_1", "word"), w.toDF("conv_id", "turn_2", "word")
-    return a.join(b, ["conv_id", "word"]).filter("turn_1 < turn_2").groupBy("conv_id", "turn_1", "turn_2").agg(F.count("*").alias("shared")).filter(F.col("shared") >= least).withColumn("order_diff", F.col("turn_2") - F.col("turn_1"))
+    Only scenes with a phrase enter the join on words, from the left.
+    """
+    s = scenes(g).select("conv_id", "scene_order", "text")
+
+    def phrases_of(k: int, pattern: str) -> Column:
+        return F.transform(F.regexp_extract_all("text", F.lit(f"(?i){pattern}"), F.lit(0)), lambda x: F.struct(F.lit(f"pattern_{k}").alias("pattern_type"), x.alias("phrase")))
+
+    phrases = F.concat(*[phrases_of(k, p) for k, p in enumerate(patterns)])
+    found = s.select("conv_id", "scene_order", "text", phrases.alias("p")).filter("size(p) > 0")
+    words = F.explode(F.array_distinct(F.split(F.lower("text"), r"\s+")))
+    a = found.select("conv_id", F.col("scene_order").alias("from_scene"), words.alias("word"))
+    b = s.select("conv_id", F.col("scene_order").alias("to_scene"), words.alias("word"))
+    near = a.join(b, ["conv_id", "word"]).filter("from_scene <> to_scene").groupBy("conv_id", "from_scene", "to_scene").agg(F.count("*").alias("shared")).filter(F.col("shared") >= least)
+    each = found.select("conv_id", F.col("scene_order").alias("from_scene"), F.explode("p").alias("p"))
+    sure = F.when(holds(F.lower("p.phrase"), EXPLICIT), 0.8).otherwise(0.6)
+    return near.join(each, ["conv_id", "from_scene"]).select("conv_id", "from_scene", "to_scene", "p.pattern_type", F.col("p.phrase").alias("callback_phrase"), sure.alias("confidence"), F.abs(F.col("to_scene") - F.col("from_scene")).alias("scene_order_diff"))
+
+
+def entity_kind(name: Column, context: Column) -> Column:
+    name, context = F.lower(name), F.lower(context)
+    return F.when(holds(name, LOCATION_NAMES), "LOCATION").when(holds(context, CHARACTER_CONTEXT), "CHARACTER").when(holds(name, ITEM_NAMES), "ITEM").when(holds(context, EVENT_CONTEXT), "EVENT").otherwise("CHARACTER")
 
 
 def entity_type(g: Story) -> DataFrame:
-    name = F.lower("p_name")
-    has = lambda *ws: reduce(lambda x, y: x | y, [name.contains(x) for x in ws])
-    return g["part"].select("p_partkey", F.when(has("city", "castle", "house", "hot"), "LOCATION").when(has("king", "person"), "CHARACTER").when(has("sword", "ring", "small"), "ITEM").when(has("battle", "meeting"), "EVENT").otherwise("CHARACTER").alias("entity_type"))
+    return g["entities"].select("entity_id", entity_kind(F.col("name"), F.col("summary")).alias("entity_type"))
 
 
 def traceability(g: Story) -> DataFrame:
@@ -148,34 +223,62 @@ def processing_stats(g: Story) -> DataFrame:
     return g["events"].select("event_id", F.count("*").over(w).alias("n"), (F.sum(F.col("value").cast("decimal(18,2)")).over(w).cast("double") / F.count("*").over(w)).alias("running_mean"))
 
 
+def fix_generic(edges: DataFrame) -> DataFrame:
+    """edges (type, name): generic ones with a name of their own take it as their type, in capitals; counted by (from, to, name)."""
+    own = edges.filter(F.col("type").isin(*GENERIC_TYPES) & F.col("name").isNotNull() & (F.col("name") != F.col("type")))
+    return own.groupBy(F.col("type").alias("from_type"), F.translate(F.upper("name"), " -", "__").alias("to_type"), F.col("name").alias("original_name")).agg(F.count("*").alias("converted"))
+
+
 def fix_generic_relationships(g: Story) -> DataFrame:
-    """Generic edges take the upper-cased name as their type."""
-    edges = g["part"].select("p_partkey", F.when(F.col("p_partkey") % 2 == 0, "RELATES_TO").otherwise("MENTIONS").alias("type"), "p_name").filter("p_name IS NOT NULL AND p_name <> type")
-    return edges.withColumn("fixed", F.translate(F.upper("p_name"), " -", "__")).groupBy("type", "fixed").agg(F.count("*").alias("n"))
+    kind = F.expr("CASE p_partkey % 4 WHEN 0 THEN 'RELATES_TO' WHEN 1 THEN 'MENTIONS' WHEN 2 THEN 'HAS_MEMBER' ELSE 'KNOWS' END")
+    return fix_generic(g["part"].select(kind.alias("type"), F.when(F.col("p_partkey") % 16 == 0, "RELATES_TO").otherwise(F.col("p_name")).alias("name")))
 
 
 def search_mapping(g: Story) -> DataFrame:
-    return g["turns"].select("conv_id", "turn", F.when(F.col("role") == "user", "relationship").otherwise("entity").alias("kind"), F.concat(F.lit("Fact: "), F.substring("text", 1, 50)).alias("fact"), F.lit(0.8).alias("confidence"))
+    """Search hits as typed rows: an edge gives a relationship and, if it states a fact, a knowledge row; a node gives an entity."""
+    hits = g["turns"].select("conv_id", "turn", (F.col("role") == "user").alias("is_edge"), "text")
+    row = lambda kind, name, entity: F.struct(F.lit(kind).alias("kind"), name.alias("name"), entity.alias("entity_type"))
+    none = F.lit(None).cast("string")
+    fact = F.concat(F.lit("Fact: "), F.substring("text", 1, 50), F.lit("..."))
+    rows = F.when(F.col("is_edge"), F.when(F.col("text") != "", F.array(row("relationship", F.lit("RELATED_TO"), none), row("knowledge", fact, none))).otherwise(F.array(row("relationship", F.lit("RELATED_TO"), none)))).otherwise(F.array(row("entity", F.substring("text", 1, 20), entity_kind(F.substring("text", 1, 20), F.col("text")))))
+    return hits.select("conv_id", "turn", F.explode(rows).alias("x")).select("conv_id", "turn", "x.kind", "x.name", "x.entity_type", F.lit(0.8).alias("confidence"))
+
+
+def upsert_rows(g: Story) -> DataFrame:
+    """What a story writes to the graph, as typed rows; one row for each kind and id."""
+    row = lambda table, kind, key, name: g[table].select(kind.alias("type"), F.col(key).cast("string").alias("id"), name.alias("name"))
+    found = [row("entities", entity_kind(F.col("name"), F.col("summary")), "entity_id", F.col("name")), row("scenes", F.lit("SCENE"), "scene_id", F.col("title")), row("knowledge", F.lit("KNOWLEDGE"), "knowledge_id", F.concat(F.lit("Fact: "), F.substring("content", 1, 50), F.lit("...")))]
+    return reduce(DataFrame.unionByName, found).groupBy("type", "id").agg(F.max("name").alias("name"))
 
 
 def story_metadata(g: Story) -> DataFrame:
-    return scenes(g).groupBy("conv_id").agg(F.sum("word_count").alias("word_count"), F.count("*").alias("scene_count"))
+    """Words, scenes, and scenes that hold no word at all, which later steps can't read."""
+    return scenes(g).groupBy("conv_id").agg(F.sum("word_count").alias("word_count"), F.count("*").alias("scene_count"), F.sum((~F.col("text").rlike(r"[\p{L}\p{N}]")).cast("int")).alias("scene_errors"))
 
 
-def narrative_context(g: Story) -> DataFrame:
-    return stories(g).select("conv_id", F.length("content").alias("n_chars"), F.md5("content").alias("digest"))
+def narrative_context(g: Story, scene: str | None = None) -> DataFrame:
+    """A story's bodies in order with blank lines between; of a body with `Story Content:`, what stands before its entities. scene: only bodies that name it."""
+    t = g["turns"] if scene is None else g["turns"].filter(F.lower("text").contains(scene.lower()))
+    part = stripped(F.get(F.split(F.get(F.split("text", "Story Content:"), F.lit(1)), "\n\nEntities:"), F.lit(0)))
+    told = F.when(F.col("text").contains("Story Content:"), part).otherwise(F.col("text")) if scene is None else F.col("text")
+    return joined(t.select("conv_id", "turn", told.alias("told")).filter("told <> ''"), "conv_id", "turn", "told", "content").select("conv_id", F.length("content").alias("n_chars"), F.md5("content").alias("digest"))
 
 
 def dialogue_pairs(g: Story) -> DataFrame:
-    """Unordered pairs of capitalised names in a turn."""
-    names = F.array_sort(F.array_distinct(F.filter(F.split("text", NOT_WORD), lambda w: w.rlike("^[A-Z][a-z]+$"))))
-    t = g["turns"].select("conv_id", "turn", "role", names.alias("names")).filter("size(names) BETWEEN 2 AND 40")
-    one = t.select("conv_id", "turn", "role", "names", F.posexplode("names").alias("i", "a"))
-    return one.select("conv_id", "turn", "role", "a", F.explode(F.slice("names", F.col("i") + 2, F.size("names"))).alias("b"))
+    """Unordered pairs of the names in a body that tells of speech."""
+    names = F.array_sort(F.array_distinct(F.filter(F.split("text", NOT_WORD), lambda w: w.rlike("^[A-Z][a-z]+$") & ~w.isin(*NO_NAMES))))
+    t = g["turns"].filter(holds(F.lower("text"), ("dialogue", "said"))).select("conv_id", "turn", names.alias("names")).filter("size(names) >= 2")
+    one = t.select("conv_id", "turn", "names", F.posexplode("names").alias("i", "a"))
+    return one.select("conv_id", "turn", "a", F.explode(F.slice("names", F.col("i") + 2, F.size("names"))).alias("b"), F.lit("dialogue").alias("interaction_type"))
+
+
+def strengths(pairs: DataFrame) -> DataFrame:
+    """Dialogue counts 2, any other interaction 1."""
+    return pairs.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum(F.when(F.col("interaction_type") == "dialogue", 2).otherwise(1)).alias("strength"))
 
 
 def interaction_strength(g: Story) -> DataFrame:
-    return dialogue_pairs(g).groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum(F.when(F.col("role") == "user", 2).otherwise(1)).alias("strength"))
+    return strengths(dialogue_pairs(g))
 
 
 def sna_relationships(g: Story) -> DataFrame:
@@ -191,11 +294,12 @@ def discovery_metrics(g: Story) -> DataFrame:
 
 
 def search_term(g: Story) -> DataFrame:
-    term = F.regexp_extract("text", r"(\w+) \w+ the", 1)
-    return g["turns"].select("conv_id", "turn", F.when(term == "", "*").otherwise(term).alias("term"))
+    """The literal of a query's CONTAINS or LIKE; * without one."""
+    found = F.regexp_extract("text", r"""(?i)CONTAINS\s+['"]([^'"]+)['"]|LIKE\s+['"]%?([^'"]+)%?['"]""", 1)
+    like = F.regexp_extract("text", r"""(?i)CONTAINS\s+['"]([^'"]+)['"]|LIKE\s+['"]%?([^'"]+)%?['"]""", 2)
+    return g["turns"].select("conv_id", "turn", F.when(found != "", found).when(like != "", like).otherwise("*").alias("term"))
 
 
 def followup_flags(g: Story) -> DataFrame:
     text = F.lower("text")
-    has = lambda ws: reduce(lambda x, y: x | y, [text.contains(w) for w in ws])
-    return g["turns"].select("conv_id", "turn", has(("?", "more", "tell me")).alias("follow_up"), has(("no", "stop", "cancel")).alias("declines"))
+    return g["turns"].select("conv_id", "turn", holds(text, FOLLOW_UPS).alias("follow_up"), holds(text, DECLINES).alias("declines"))

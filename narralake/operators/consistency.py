@@ -1,4 +1,5 @@
-"""Contradiction and plot-hole rules. Word pairs are parameters; the defaults are the story vocabulary."""
+"""Contradiction and plot-hole rules. Words are parameters; the defaults are fixed values, and SUBSTITUTES stand for them
+in the driver's part names."""
 
 from __future__ import annotations
 
@@ -7,13 +8,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from narralake.operators.templates import _pairs, _unlinked, pair_knowledge
+from narralake.operators.templates import unlinked
 from narralake.plans.adapter import Story
 
-#: Opposed words of the episode scan.
-ANTONYMS = (("dead", "alive"), ("love", "hate"), ("friend", "enemy"), ("happy", "sad"), ("trust", "betray"))
-#: Opposed words that occur in the driver's tables.
-PART_ANTONYMS = (("hot", "cold"), ("old", "new"), ("small", "large"))
+#: Opposed words of the episode scan, and the terms that a story is searched for.
+ANTONYMS = (("dead", "alive"), ("enemy", "friend"), ("married", "single"), ("rich", "poor"), ("young", "old"))
+TERMS = ("dead", "alive", "enemy", "friend", "not", "never", "always")
+#: Opposed words that occur in the driver's tables: the negation, and pairs of contents.
+SUBSTITUTES = ("hot", (("small", "large"), ("old", "new")))
+SECONDS = 3600
 
 
 def either_way(a: Column, b: Column, pairs: tuple[tuple[str, str], ...]) -> Column:
@@ -21,75 +24,136 @@ def either_way(a: Column, b: Column, pairs: tuple[tuple[str, str], ...]) -> Colu
 
 
 def temporal_contradictions(g: Story) -> DataFrame:
-    """Later knowledge that repeats what had ended before. Contents are few, so containment is settled once for each pair of contents."""
-    k = pair_knowledge(g)
-    c = k.select("content").distinct()
-    within = c.withColumnRenamed("content", "content_1").join(F.broadcast(c.withColumnRenamed("content", "content_2")), F.col("content_1").contains(F.col("content_2")))
-    pairs = _pairs(k).filter("valid_from_1 > valid_to_2").join(F.broadcast(within), ["content_1", "content_2"])
-    return _unlinked(pairs, g["contradicts"]).select("character_id", "knowledge_id_1", "knowledge_id_2", F.lit("temporal").alias("severity"), F.lit(0.8).alias("confidence"))
+    """Later knowledge of one character that repeats what had ended before. Containment is settled between the contents
+    that a character knows; knowledge then joins on character and content."""
+    k = g["known"].select("character_id", "knowledge_id", "content", "valid_from", "valid_to")
+    c = k.select("character_id", "content").distinct()
+    within = c.withColumnRenamed("content", "content_1").join(c.withColumnRenamed("content", "content_2"), "character_id").filter(F.col("content_1").contains(F.col("content_2")))
+    a = k.select("character_id", F.col("content").alias("content_1"), F.col("knowledge_id").alias("knowledge_id_1"), "valid_from")
+    b = k.filter("valid_to IS NOT NULL").select("character_id", F.col("content").alias("content_2"), F.col("knowledge_id").alias("knowledge_id_2"), "valid_to")
+    pairs = a.join(within, ["character_id", "content_1"]).join(b, ["character_id", "content_2"]).filter("valid_from > valid_to AND knowledge_id_1 <> knowledge_id_2")
+    return unlinked(pairs, g["contradicts"]).select("character_id", "knowledge_id_1", "knowledge_id_2", F.lit("temporal").alias("severity"), F.lit(0.8).alias("confidence"))
 
 
 def relationship_contradictions(g: Story) -> DataFrame:
-    """Two states of one ordered pair with different types, the first made earlier."""
-    r = g["sna_edges"].select("src", "dst", "type", "strength")
-    other = r.select("src", "dst", F.col("type").alias("type_2"), F.col("strength").alias("strength_2"))
-    states = r.unionAll(g["relationships"].select("src", "dst", F.col("relationship_type").alias("type"), F.col("relationship_strength").alias("strength")))
-    return states.join(other, ["src", "dst"]).filter("type <> type_2 AND strength < strength_2").select(F.concat_ws("_", F.col("src").cast("string"), "type").alias("from_id"), F.concat_ws("_", F.col("src").cast("string"), "type_2").alias("to_id"), F.col("dst"), F.lit("medium").alias("severity"), F.lit(0.9).alias("confidence"))
+    """Two states of one ordered pair with different types, the first made earlier; pairs that a link joins are left out."""
+    r = g["bonds"].select("src", "dst", F.col("relationship_type").alias("type"), "created_at")
+    other = r.select("src", "dst", F.col("type").alias("type_2"), F.col("created_at").alias("created_2"))
+    pairs = r.join(other, ["src", "dst"]).filter("type <> type_2 AND created_at < created_2").select(F.col("src").alias("knowledge_id_1"), F.col("dst").alias("knowledge_id_2"), "type", "type_2", "created_at", "created_2")
+    free = unlinked(pairs, g["character_contradicts"])
+    key = lambda kind: F.concat(F.col("knowledge_id_1").cast("string"), F.lit("_"), F.col(kind))
+    return free.select(key("type").alias("from_id"), key("type_2").alias("to_id"), F.col("knowledge_id_2").alias("dst"), "created_at", "created_2", F.lit("medium").alias("severity"), F.lit(0.9).alias("confidence"))
 
 
 def location_contradictions(g: Story) -> DataFrame:
-    """One character on one day in two places, in both orders."""
+    """One character on one day in two places, in both orders; scenes that a link joins are left out."""
     where = g["present_in"].select("character_id", "scene_id").join(g["occurs_in"].select("scene_id", "scene_order", "location_id"), "scene_id")
-    a, b = where.toDF("scene_1", "character_id", "scene_order", "location_1"), where.toDF("scene_2", "character_id", "scene_order", "location_2")
-    return a.join(b, ["character_id", "scene_order"]).filter("location_1 <> location_2").select("character_id", "scene_1", "scene_2", F.lit("high").alias("severity"), F.lit(0.95).alias("confidence"))
-
-
-def state_contradictions(g: Story, first: str = "dead", second: str = "alive", days: int = 1) -> DataFrame:
-    """Opposed states of one character that begin on the same day. Word filters run before the join."""
-    cols = ("character_id", "knowledge_id", "valid_from")
-    k = g["knowledge"]
-    a = k.filter(F.col("content").contains(first)).select(*cols).toDF("character_id", "knowledge_id_1", "valid_from")
-    b = k.filter(F.col("content").contains(second)).select(*cols).toDF("character_id", "knowledge_id_2", "valid_from")
-    return _unlinked(a.join(b, ["character_id", "valid_from"]), g["contradicts"], False).select("character_id", "knowledge_id_1", "knowledge_id_2", F.lit("critical").alias("severity"), F.lit(0.99).alias("confidence"))
-
-
-def unlinked_contradictions(g: Story, pairs: tuple[tuple[str, str], ...] = PART_ANTONYMS) -> DataFrame:
-    """Opposed contents in one story that no edge links, counted by story and pair of words: each arm is joined after its filter."""
-    k = g["knowledge"].filter("l_linenumber = 1 AND l_orderkey % 50 = 0").join(g["characters"].select("character_id", "story_id"), "character_id").select("story_id", "knowledge_id", "content")
-    arms = []
-    for p, q in pairs:
-        a = k.filter(F.col("content").contains(p)).select("story_id", F.col("knowledge_id").alias("knowledge_id_1"))
-        b = k.filter(F.col("content").contains(q)).select("story_id", F.col("knowledge_id").alias("knowledge_id_2"))
-        arms.append(_unlinked(a.join(b, "story_id"), g["contradicts"]).groupBy("story_id").agg(F.count("*").alias("n")).select("story_id", F.lit(f"{p}/{q}").alias("words"), "n"))
-    return reduce(DataFrame.unionAll, arms)
+    a, b = where.toDF("knowledge_id_1", "character_id", "scene_order", "location_1"), where.toDF("knowledge_id_2", "character_id", "scene_order", "location_2")
+    pairs = unlinked(a.join(b, ["character_id", "scene_order"]).filter("location_1 <> location_2"), g["scene_contradicts"])
+    return pairs.select("character_id", F.col("knowledge_id_1").alias("scene_1"), F.col("knowledge_id_2").alias("scene_2"), F.lit("high").alias("severity"), F.lit(0.95).alias("confidence"))
+
+
+def state_contradictions(g: Story, first: str = "dead", second: str = "alive", seconds: int = SECONDS) -> DataFrame:
+    """Opposed states of one character that begin less than `seconds` apart. Word filters run before the join, which is
+    an equi join on spans of that length and their neighbours."""
+    at = F.unix_timestamp(F.col("valid_from_ts").cast("timestamp"))
+    k = g["knowledge"].select("character_id", "knowledge_id", "content", at.alias("at"))
+    span = F.floor(F.col("at") / seconds)
+    a = k.filter(F.col("content").contains(first)).select("character_id", F.col("knowledge_id").alias("knowledge_id_1"), F.col("at").alias("at_1"), F.explode(F.array(span - 1, span, span + 1)).alias("span"))
+    b = k.filter(F.col("content").contains(second)).select("character_id", F.col("knowledge_id").alias("knowledge_id_2"), F.col("at").alias("at_2"), span.alias("span"))
+    pairs = a.join(b, ["character_id", "span"]).filter((F.abs(F.col("at_1") - F.col("at_2")) < seconds) & (F.col("knowledge_id_1") != F.col("knowledge_id_2")))
+    return unlinked(pairs, g["contradicts"], False).select("character_id", "knowledge_id_1", "knowledge_id_2", F.lit("critical").alias("severity"), F.lit(0.99).alias("confidence"))
+
+
+def opposed(a: Column, b: Column, negation: str = "not", pairs: tuple[tuple[str, str], ...] = ANTONYMS[:2]) -> Column:
+    """a is negated and b holds what follows its first four characters (all do, if nothing follows), or they hold a pair's words."""
+    rest = F.substring(a, 5, 1 << 30)
+    return reduce(lambda x, y: x | y, [a.contains(negation) & b.contains(rest), *[a.contains(p) & b.contains(q) for p, q in pairs]])
+
+
+def unlinked_contradictions(g: Story, negation: str = SUBSTITUTES[0], pairs: tuple[tuple[str, str], ...] = SUBSTITUTES[1]) -> DataFrame:
+    """How many pairs of a story's knowledge are opposed and linked neither way. Contents are compared, not knowledge:
+    a story's pairs are products of the contents' counts, less each one with itself, less the linked ones."""
+    k = g["knowledge"].select("story_id", "knowledge_id", "content")
+    c = k.groupBy("story_id", "content").agg(F.count("*").alias("n"))
+    both = c.toDF("story_id", "content_1", "n_1").join(c.toDF("story_id", "content_2", "n_2"), "story_id").filter(opposed(F.col("content_1"), F.col("content_2"), negation, pairs))
+    total = both.groupBy("story_id").agg(F.sum(F.col("n_1") * F.col("n_2") - F.when(F.col("content_1") == F.col("content_2"), F.col("n_1")).otherwise(0)).alias("n"))
+    one = k.select("story_id", F.col("knowledge_id").alias("from_id"), F.col("content").alias("content_1"))
+    two = k.select(F.col("knowledge_id").alias("to_id"), F.col("content").alias("content_2"))
+    links = g["contradicts"].select("from_id", "to_id").filter("from_id <> to_id")
+    links = links.unionAll(links.select("to_id", "from_id")).distinct()
+    linked = links.join(one, "from_id").join(two, "to_id").filter(opposed(F.col("content_1"), F.col("content_2"), negation, pairs)).groupBy("story_id").agg(F.count("*").alias("linked"))
+    return total.join(linked, "story_id", "left").select("story_id", (F.col("n") - F.coalesce("linked", F.lit(0))).alias("n")).filter("n > 0")
+
+
+def unlinked_pairs(g: Story, negation: str = "not", pairs: tuple[tuple[str, str], ...] = ANTONYMS[:2]) -> DataFrame:
+    """The pairs that `unlinked_contradictions` counts: contents are compared first, knowledge joins on story and content."""
+    k = g["knowledge"].select("story_id", "knowledge_id", "content")
+    c = k.select("story_id", "content").distinct()
+    both = c.withColumnRenamed("content", "content_1").join(c.withColumnRenamed("content", "content_2"), "story_id").filter(opposed(F.col("content_1"), F.col("content_2"), negation, pairs))
+    a, b = k.toDF("story_id", "knowledge_id_1", "content_1"), k.toDF("story_id", "knowledge_id_2", "content_2")
+    found = a.join(both, ["story_id", "content_1"]).join(b, ["story_id", "content_2"]).filter("knowledge_id_1 <> knowledge_id_2")
+    return unlinked(found, g["contradicts"]).select("story_id", "knowledge_id_1", "knowledge_id_2", F.lit("medium").alias("severity"), F.lit(0.7).alias("confidence"))
 
 
 def episode_temporal_contradictions(g: Story, pairs: tuple[tuple[str, str], ...] = ANTONYMS) -> DataFrame:
-    """Turns of a conversation against the next four."""
-    t = g["turns"].withColumn("body", F.lower("text")).withColumn("r", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")))
+    """Turns of a conversation against the next four. A turn without any of the words meets none."""
+    words = [w for p in pairs for w in p]
+    t = g["turns"].withColumn("body", F.lower("text")).withColumn("r", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))).filter(reduce(lambda x, y: x | y, [F.col("body").contains(w) for w in words]))
     a = t.select("conv_id", F.col("turn").alias("turn_1"), F.col("body").alias("body_1"), F.explode(F.expr("sequence(r + 1, r + 4)")).alias("r"))
     b = t.select("conv_id", F.col("turn").alias("turn_2"), F.col("body").alias("body_2"), "r")
     return a.join(b, ["conv_id", "r"]).filter(either_way(F.col("body_1"), F.col("body_2"), pairs)).select("conv_id", "turn_1", "turn_2", F.lit("medium").alias("severity"), F.lit(0.6).alias("confidence"))
 
 
-def search_contradictions(g: Story, pairs: tuple[tuple[str, str], ...] = (("he", "she"), ("the", "thing"))) -> DataFrame:
-    """Rows that hold both words of a pair are reported once for each of the two search terms."""
+def search_contradictions(g: Story, terms: tuple[str, ...] = TERMS, top: int = 50) -> DataFrame:
+    """Each term's `top` hits in a story (most uses first, then the order of turns). A hit that holds both words of a pair is reported for each of them; other terms only collect."""
     t = g["turns"].withColumn("body", F.lower("text"))
-    terms = F.array(*[F.struct(F.lit(w).alias("term"), F.lit(p).alias("p"), F.lit(q).alias("q")) for p, q in pairs for w in (p, q)])
-    hit = t.select("conv_id", "turn", "body", F.explode(terms).alias("x")).filter(F.col("body").contains(F.col("x.p")) & F.col("body").contains(F.col("x.q")))
-    return hit.select("conv_id", "turn", F.col("x.term").alias("term"), F.when(F.col("x.p") == pairs[0][0], "critical").otherwise("medium").alias("severity"))
+    uses = lambda w: F.size(F.split(F.col("body"), w)) - 1
+    hits = t.select("conv_id", "turn", "body", F.explode(F.array(*[F.struct(F.lit(w).alias("term"), uses(w).alias("uses")) for w in terms])).alias("x")).filter("x.uses > 0")
+    best = hits.withColumn("r", F.row_number().over(Window.partitionBy("conv_id", "x.term").orderBy(F.desc("x.uses"), "turn"))).filter(F.col("r") <= top)
+    holds = lambda p, q: F.col("body").contains(p) & F.col("body").contains(q)
+    critical, medium = F.col("x.term").isin("dead", "alive") & holds("dead", "alive"), F.col("x.term").isin("enemy", "friend") & holds("enemy", "friend")
+    return best.select("conv_id", "turn", F.col("x.term").alias("term"), F.when(critical, "critical").when(medium, "medium").alias("severity"), F.when(critical, 0.9).when(medium, 0.7).alias("confidence")).filter("severity IS NOT NULL")
+
+
+def _finding(rows: DataFrame, rule: str, a: str, b: str, reason: str, severity: Column | None = None) -> DataFrame:
+    return rows.select(F.lit(rule).alias("rule"), "character_id", F.col(a).cast("string").alias("from_id"), F.col(b).cast("string").alias("to_id"), (severity if severity is not None else F.col("severity")).alias("severity"), F.lit(reason).alias("reason"), "confidence")
+
+
+#: Rules of the scan: name -> findings (rule, character_id, from_id, to_id, severity, reason, confidence).
+RULES = {
+    "temporal": lambda g: _finding(temporal_contradictions(g), "temporal", "knowledge_id_1", "knowledge_id_2", "Knowledge timeline contradiction", F.lit("medium")),
+    "location": lambda g: _finding(location_contradictions(g), "location", "scene_1", "scene_2", "Character in multiple locations simultaneously"),
+    "state": lambda g: _finding(state_contradictions(g, "hot", "cold"), "state", "knowledge_id_1", "knowledge_id_2", "Character state contradiction (dead/alive)"),
+}
 
 
 def unified(g: Story) -> DataFrame:
     """All findings with the severities of the report: temporal counts as medium."""
-    one = temporal_contradictions(g).select(F.lit("temporal").alias("rule"), F.lit("medium").alias("severity"))
-    two = state_contradictions(g, "hot", "cold").select(F.lit("state").alias("rule"), "severity")
-    three = location_contradictions(g).select(F.lit("location").alias("rule"), "severity")
-    return one.unionAll(two).unionAll(three)
+    return reduce(DataFrame.unionAll, [rule(g) for rule in RULES.values()])
+
+
+def record(findings: DataFrame, detected_at: str = "2024-01-31T00:00:00") -> DataFrame:
+    """Findings as episodes of text, one for each, for the log."""
+    body = F.concat(F.lit("CONTRADICTION DETECTED:\nFrom: "), "from_id", F.lit("\nTo: "), "to_id", F.lit("\nSeverity: "), "severity", F.lit("\nReason: "), "reason", F.lit("\nConfidence: "), F.col("confidence").cast("string"), F.lit(f"\nDetected At: {detected_at}"))
+    return findings.select(F.concat(F.lit("Contradiction: "), "from_id", F.lit(" <-> "), "to_id").alias("name"), body.alias("body"))
+
+
+def parse_report(episodes: DataFrame) -> DataFrame:
+    """Recorded findings back from text: severity medium, ends unknown and confidence 0.5 where the text has none."""
+    body = F.col("body")
+    line = lambda key: F.regexp_extract("body", rf"(?m)^\s*{key}: *(.*?)\s*$", 1)
+    held = lambda key, none: F.when(line(key) != "", line(key)).otherwise(none)
+    severity = F.when(body.contains("Severity: critical"), "critical").when(body.contains("Severity: high"), "high").when(body.contains("Severity: low"), "low").otherwise("medium")
+    return episodes.filter(body.contains("CONTRADICTION DETECTED")).select(held("From", "unknown").alias("from_id"), held("To", "unknown").alias("to_id"), severity.alias("severity"), held("Reason", "Contradiction detected via episodic analysis").alias("reason"), F.coalesce(line("Confidence").try_cast("double"), F.lit(0.5)).alias("confidence"))
+
+
+def contradiction_details(g: Story) -> DataFrame:
+    return parse_report(record(unified(g)))
 
 
 def contradiction_report(g: Story) -> DataFrame:
-    return unified(g).groupBy("rule", "severity").agg(F.count("*").alias("n"))
+    return contradiction_details(g).groupBy("severity", "reason").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 6).alias("confidence"))
 
 
 def severity_breakdown(g: Story) -> DataFrame:
@@ -103,37 +167,61 @@ def critical_alerts(g: Story) -> DataFrame:
 def plot_holes(g: Story) -> DataFrame:
     """Knowledge before its holder's first scene, and characters in two places on one day, without repeats."""
     first = g["present_in"].join(g["scenes"].select("scene_id", "scene_order"), "scene_id").groupBy("character_id").agg(F.min("scene_order").alias("first"))
-    early = g["knows"].join(g["knowledge"].select("knowledge_id", "valid_from"), "knowledge_id").join(first, "character_id", "left").filter("first IS NULL OR valid_from IS NULL OR first > valid_from").select(F.lit("impossible_knowledge").alias("issue"), "character_id", F.col("knowledge_id").alias("subject"))
+    early = g["known"].select("character_id", "knowledge_id", "valid_from").join(first, "character_id", "left").filter("first IS NULL OR valid_from IS NULL OR first > valid_from").select(F.lit("impossible_knowledge").alias("issue"), "character_id", F.col("knowledge_id").alias("subject"))
     twice = location_contradictions(g).select(F.lit("location_contradiction").alias("issue"), "character_id", F.concat_ws("/", F.col("scene_1").cast("string"), F.col("scene_2").cast("string")).alias("subject"))
     return early.unionByName(twice).distinct()
 
 
+def hole_severity(issue: Column) -> Column:
+    return F.when(issue == "temporal_paradox", "critical").when(issue == "location_contradiction", "major").otherwise("minor")
+
+
 def plot_hole_severity(g: Story) -> DataFrame:
-    holes = plot_holes(g)
-    level = F.when(holes.issue == "temporal_paradox", "critical").when(holes.issue == "location_contradiction", "major").otherwise("minor")
-    return holes.groupBy("issue", level.alias("severity")).agg(F.count("*").alias("n"))
+    return plot_holes(g).groupBy("issue", hole_severity(F.col("issue")).alias("severity")).agg(F.count("*").alias("n"))
 
 
 def coherence_score(g: Story) -> DataFrame:
-    by = plot_holes(g).join(g["characters"].select("character_id", "story_id"), "character_id").groupBy("story_id").agg(F.sum((F.col("issue") == "location_contradiction").cast("int")).alias("major"), F.sum((F.col("issue") == "impossible_knowledge").cast("int")).alias("minor"))
-    return by.select("story_id", "major", "minor", F.round(F.greatest(F.lit(0.0), 1 - (0.2 * F.col("major") + 0.1 * F.col("minor"))), 6).alias("coherence"))
+    """By story; one without holes has 1."""
+    count = lambda level: F.sum((hole_severity(F.col("issue")) == level).cast("int")).alias(level)
+    by = plot_holes(g).join(g["characters"].select("character_id", "story_id"), "character_id").groupBy("story_id").agg(count("critical"), count("major"), count("minor"))
+    out = g["characters"].select("story_id").distinct().join(by, "story_id", "left").na.fill(0)
+    return out.select("story_id", "critical", "major", "minor", F.round(F.greatest(F.lit(0.0), 1 - (0.3 * F.col("critical") + 0.2 * F.col("major") + 0.1 * F.col("minor"))), 6).alias("coherence"))
+
+
+def temporal_conflict_counts(g: Story) -> DataFrame:
+    """How many pairs of a character's knowledge conflict in time (the second had ended when the first began) and aren't
+    linked, without forming pairs: ends before each beginning are counted along time, linked ones are taken off."""
+    k = g["known"].select("character_id", "knowledge_id", "valid_from", "valid_to")
+    marks = k.select("character_id", F.col("valid_from").alias("t"), F.lit(0).alias("ends")).unionAll(k.filter("valid_to IS NOT NULL").select("character_id", F.col("valid_to").alias("t"), F.lit(1).alias("ends")))
+    before = F.sum("ends").over(Window.partitionBy("character_id").orderBy("t", "ends").rowsBetween(Window.unboundedPreceding, 0))
+    pairs = marks.withColumn("before", before).filter("ends = 0").groupBy("character_id").agg(F.sum("before").alias("pairs"))
+    a, b = k.select("character_id", F.col("knowledge_id").alias("from_id"), "valid_from"), k.select(F.col("knowledge_id").alias("to_id"), "valid_to")
+    linked = g["contradicts"].select("from_id", "to_id").distinct().join(a, "from_id").join(b, "to_id").filter("valid_from > valid_to").groupBy("character_id").agg(F.count("*").alias("linked"))
+    return pairs.join(linked, "character_id", "left").select("character_id", (F.col("pairs") - F.coalesce("linked", F.lit(0))).alias("conflicts"))
 
 
 def character_consistency_report(g: Story) -> DataFrame:
-    n = temporal_contradictions(g).groupBy("character_id").agg(F.count("*").alias("n_contradictions"))
+    n = temporal_conflict_counts(g).select("character_id", F.col("conflicts").alias("n_contradictions"))
     k = g["knows"].groupBy("character_id").agg(F.count("*").alias("n_knowledge"))
     r = g["relationships"].select(F.col("src").alias("character_id")).unionAll(g["relationships"].select(F.col("dst").alias("character_id"))).groupBy("character_id").agg(F.count("*").alias("n_relationships"))
-    out = g["characters"].select("character_id").join(n, "character_id", "left").join(k, "character_id", "left").join(r, "character_id", "left").na.fill(0)
+    out = g["characters"].select("character_id", "name").join(n, "character_id", "left").join(k, "character_id", "left").join(r, "character_id", "left").na.fill(0)
     score = 1 - 0.1 * F.col("n_contradictions") + F.least(0.02 * F.col("n_knowledge"), F.lit(0.2))
-    return out.withColumn("score", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 6))
+    hint = F.when(F.col("n_contradictions") > 0, F.concat(F.lit("Resolve "), F.col("n_contradictions").cast("string"), F.lit(" knowledge contradictions for "), "name")).otherwise("")
+    return out.select("character_id", "n_contradictions", "n_knowledge", "n_relationships", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 6).alias("score"), hint.alias("recommendations"))
 
 
 def timeline_report(g: Story) -> DataFrame:
-    scenes = g["present_in"].join(g["characters"], "character_id").groupBy("story_id").agg(F.countDistinct("scene_id").alias("total_scenes"))
-    clashes = temporal_contradictions(g).join(g["characters"].select("character_id", "story_id"), "character_id").groupBy("story_id").agg(F.count("*").alias("temporal_conflicts"))
+    scenes = g["casts"].groupBy("story_id").agg(F.countDistinct("scene_id").alias("total_scenes"))
+    clashes = temporal_conflict_counts(g).join(g["characters"].select("character_id", "story_id"), "character_id").groupBy("story_id").agg(F.sum("conflicts").alias("temporal_conflicts"))
     both = scenes.join(clashes, "story_id", "left").na.fill(0)
-    hint = F.when(F.col("total_scenes") > 50, "split into chapters").otherwise("")
-    return both.select("*", F.round(F.when(F.col("temporal_conflicts") == 0, 1.0).otherwise(F.greatest(F.lit(0.0), 1 - F.col("temporal_conflicts") / F.col("total_scenes"))), 6).alias("coherence"), hint.alias("hint"))
+    hints = F.array_compact(F.array(F.when(F.col("temporal_conflicts") > 0, F.concat(F.lit("Resolve "), F.col("temporal_conflicts").cast("string"), F.lit(" temporal conflicts in the story"))), F.when(F.col("total_scenes") > 50, "Consider breaking the story into chapters for better organization")))
+    return both.select("*", F.round(F.when(F.col("temporal_conflicts") == 0, 1.0).otherwise(F.greatest(F.lit(0.0), 1 - F.col("temporal_conflicts") / F.col("total_scenes"))), 6).alias("coherence"), F.array_join(hints, "; ").alias("recommendations"))
+
+
+def plot_hole_recommendations(g: Story) -> DataFrame:
+    say = lambda level, head, tail: F.when(F.col(level) > 0, F.concat(F.lit(head), F.col(level).cast("string"), F.lit(tail)))
+    hints = F.array_compact(F.array(say("critical", "Address ", " critical plot holes immediately"), say("major", "Review ", " major inconsistencies"), say("minor", "Consider resolving ", " minor issues")))
+    return coherence_score(g).select("story_id", F.array_join(hints, "; ").alias("recommendations"))
 
 
 def alert_severity(reason: Column) -> Column:

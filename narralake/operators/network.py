@@ -1,58 +1,64 @@
-"""Social-network operators: fixed-depth and fixed-round algorithms as joins over a (src, dst) edge table.
+"""Social-network operators over the projection (src, dst) of a story's ties.
 
-A story's projection is small next to the corpus, but nothing here depends on that: frontiers are tables, each round
-is a join and an aggregation, and rounds are written to the checkpoint folder where one is set.
+The projection is written once, and so is every round: plans don't grow with rounds, and lineitem is read once. Rounds
+go on until nothing new is reached; frontiers and ranks are tables. Stories don't touch each other, so all are run at
+once. `brandes` and `louvain` take a story as one group of bounded size; larger ones go the way of joins, or are refused.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import deque
 from itertools import count
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from narralake.plans.adapter import Story
+from narralake.plans.storage import written
 
 PROJECTED = ("FRIENDS_WITH", "KNOWS", "ACQUAINTED_WITH")
+GROUP_EDGES = 200_000
 
 
 def projection(g: Story) -> DataFrame:
-    return g["sna_edges"].filter(F.col("type").isin(*PROJECTED)).select("src", "dst", "strength")
+    return g["sna_edges"].filter(F.col("type").isin(*PROJECTED)).select("story_id", "src", "dst", "strength")
 
 
-def network_full(g: Story, types: tuple[str, ...] = PROJECTED, min_strength: int = 0) -> DataFrame:
-    return g["sna_edges"].filter(F.col("type").isin(*types) & (F.col("strength") >= min_strength)).select("src", "dst", "type", "strength")
+def pairs(g: Story) -> DataFrame:
+    """(story_id, src, dst), each once, written."""
+    return written(projection(g).select("story_id", "src", "dst").distinct(), "projection")
 
 
-def network_episode_range(g: Story, start: int, end: int) -> DataFrame:
-    cast = g["present_in"].join(g["scenes"].filter(F.col("scene_order").between(start, end)), "scene_id").select("character_id").distinct()
-    return network_full(g).join(cast.withColumnRenamed("character_id", "src"), "src", "left_semi").join(cast.withColumnRenamed("character_id", "dst"), "dst", "left_semi").select("src", "dst", "type", "strength")
+def network_full(g: Story, types: tuple[str, ...] = PROJECTED, min_strength: int = 0, min_trust: int = 0) -> DataFrame:
+    """Edges of these types from these bounds on."""
+    return g["sna_edges"].filter(F.col("type").isin(*types) & (F.col("strength") >= min_strength) & (F.col("trust_level") >= min_trust)).select("src", "dst", "type", "strength", "trust_level")
 
 
-def _written(df: DataFrame) -> DataFrame:
-    """In the checkpoint folder where one is set, so that a round can be looked at and plans don't grow."""
-    folder = df.sparkSession.sparkContext._jsc.sc().getCheckpointDir()
-    return df.checkpoint() if folder.isDefined() else df.localCheckpoint()
+def network_nodes(g: Story, types: tuple[str, ...] = PROJECTED, min_strength: int = 0, min_trust: int = 0) -> DataFrame:
+    """The characters of a story with their number of such edges, none included."""
+    n = network_full(g, types, min_strength, min_trust).groupBy(F.col("src").alias("character_id")).agg(F.count("*").alias("edges"))
+    return g["characters"].join(n, "character_id", "left").select("character_id", "name", F.coalesce("edges", F.lit(0)).alias("edges"))
 
 
-def _rounds(depth: int | None) -> Iterator[int]:
-    return count(1) if depth is None else iter(range(1, depth + 1))
+def network_episode_range(g: Story, start: int, end: int) -> DataFrame:
+    cast = g["present_in"].join(g["scenes"].filter(F.col("scene_order").between(start, end)), "scene_id").select("character_id").distinct()
+    return network_full(g).join(cast.withColumnRenamed("character_id", "src"), "src", "left_semi").join(cast.withColumnRenamed("character_id", "dst"), "dst", "left_semi").select("src", "dst", "type", "strength")
 
 
-def distances(g: Story, depth: int | None, start: int | None = None) -> DataFrame:
-    """(start, node, dist) up to depth hops, or as far as paths go, by frontier rounds with an anti join on what has been seen."""
-    e = projection(g).select("src", "dst").distinct()
-    e = _written(e) if depth is None else e
+def distances(g: Story, depth: int | None = None, start: int | None = None) -> DataFrame:
+    """(start, node, dist) up to depth hops, or as far as paths go: a frontier a round, less what has been seen."""
+    e = pairs(g)
     nodes = g["characters"].select(F.col("character_id").alias("start"))
     nodes = nodes if start is None else nodes.filter(F.col("start") == start)
-    seen = frontier = nodes.select("start", F.col("start").alias("node"), F.lit(0).alias("dist"))
-    for d in _rounds(depth):
-        frontier = frontier.join(e, F.col("node") == F.col("src")).select("start", F.col("dst").alias("node"), F.lit(d).alias("dist")).distinct().join(seen.select("start", "node"), ["start", "node"], "left_anti")
-        if depth is None:
-            frontier = _written(frontier)
-            if frontier.isEmpty():
-                break
+    seen = frontier = written(nodes.select("start", F.col("start").alias("node"), F.lit(0).alias("dist")), "frontier")
+    for d in count(1):
+        if depth is not None and d > depth:
+            break
+        reached = frontier.join(e, F.col("node") == F.col("src")).select("start", F.col("dst").alias("node"), F.lit(d).alias("dist")).distinct()
+        frontier = written(reached.join(seen.select("start", "node"), ["start", "node"], "left_anti"), "frontier")
+        if frontier.isEmpty():
+            break
         seen = seen.unionByName(frontier)
     return seen
 
@@ -66,40 +72,123 @@ def degree_centrality(g: Story) -> DataFrame:
     return g["characters"].join(n, F.col("character_id") == F.col("src"), "left").select("character_id", F.coalesce("degree", F.lit(0)).alias("degree"))
 
 
-def closeness(g: Story, depth: int | None = None) -> DataFrame:
-    return distances(g, depth).filter("dist > 0").groupBy("start").agg(F.count("*").alias("reachable"), F.sum("dist").alias("total")).withColumn("closeness", F.round(F.col("reachable") / F.col("total"), 6))
+def closeness(g: Story) -> DataFrame:
+    return distances(g).filter("dist > 0").groupBy("start").agg(F.count("*").alias("reachable"), F.sum("dist").alias("total")).withColumn("closeness", F.round(F.col("reachable") / F.col("total"), 6))
+
 
+def influence_paths(g: Story, top: int = 20) -> DataFrame:
+    """The shortest distances between two characters; the top report itself is the feature."""
+    c = g["characters"]
+    a, b = c.select(F.col("character_id").alias("start"), F.col("name").alias("name_1")), c.select(F.col("character_id").alias("node"), F.col("name").alias("name_2"))
+    return distances(g).filter("dist > 0").join(a, "start").join(b, "node").orderBy("dist", "name_1", "name_2").limit(top).select("name_1", "name_2", "dist")
 
-def influence_paths(g: Story, depth: int | None = None) -> DataFrame:
-    return distances(g, depth).filter("dist > 0").groupBy("dist").agg(F.count("*").alias("n"))
 
+def distance_histogram(g: Story) -> DataFrame:
+    return distances(g).filter("dist > 0").groupBy("dist").agg(F.count("*").alias("n"))
 
-def pagerank(g: Story, rounds: int = 5, damping: float = 0.85) -> DataFrame:
+
+def pagerank(g: Story, rounds: int = 20, damping: float = 0.85) -> DataFrame:
     """(1 - d) + d * sum of rank / out-degree over in-edges, from (1 - d), a fixed number of rounds."""
-    e = projection(g).select("src", "dst").distinct()
-    out = e.groupBy("src").agg(F.count("*").alias("k"))
-    share = e.join(out, "src")
-    rank = g["characters"].select("character_id", F.lit(1 - damping).alias("rank"))
+    e = pairs(g)
+    share = written(e.join(e.groupBy("src").agg(F.count("*").alias("k")), "src").select("src", "dst", "k"), "share")
+    everyone = written(g["characters"].select("character_id"), "everyone")
+    rank = everyone.withColumn("rank", F.lit(1 - damping))
     for _ in range(rounds):
         sent = share.join(rank, F.col("src") == F.col("character_id")).groupBy("dst").agg(F.sum(F.col("rank") / F.col("k")).alias("got"))
-        rank = g["characters"].select("character_id").join(sent, F.col("character_id") == F.col("dst"), "left").select("character_id", ((1 - damping) + damping * F.coalesce("got", F.lit(0.0))).alias("rank"))
+        rank = written(everyone.join(sent, F.col("character_id") == F.col("dst"), "left").select("character_id", ((1 - damping) + damping * F.coalesce("got", F.lit(0.0))).alias("rank")), "rank")
     return rank.withColumn("rank", F.round("rank", 6))
 
 
 def label_propagation(g: Story, rounds: int = 2) -> DataFrame:
-    """Every round a node takes its neighbours' most frequent label, the least of equals."""
-    e = projection(g).select("src", "dst").distinct()
-    label = g["characters"].select("character_id", F.col("character_id").alias("label"))
+    """Every round a node takes its neighbours' most frequent label, the least of equals; a fixed number of rounds."""
+    e = pairs(g)
+    label = written(g["characters"].select("character_id", F.col("character_id").alias("label")), "label")
     for _ in range(rounds):
         votes = e.join(label, F.col("dst") == F.col("character_id")).groupBy("src", "label").agg(F.count("*").alias("n"))
         best = votes.groupBy("src").agg(F.min(F.struct((-F.col("n")).alias("m"), "label")).alias("x")).select("src", F.col("x.label").alias("new"))
-        label = label.join(best, F.col("character_id") == F.col("src"), "left").select("character_id", F.coalesce("new", "label").alias("label"))
+        label = written(label.join(best, F.col("character_id") == F.col("src"), "left").select("character_id", F.coalesce("new", "label").alias("label")), "label")
     return label
 
 
+def louvain_members(nodes: list[int], edges: list[tuple[int, int]]) -> dict[int, int]:
+    """node -> community, named by its least member. Each edge has weight 1 in both directions together; moves go in the
+    order of ids, to the community of the largest gain in modularity, the one of the least name among equals, and levels
+    are folded until none moves."""
+    weight: dict[int, dict[int, float]] = {n: {} for n in nodes}
+    for a, b in edges:
+        for x, y in ((a, b), (b, a)):
+            weight[x][y] = weight[x].get(y, 0.0) + 0.5
+    member = {n: n for n in nodes}
+    total = sum(sum(w.values()) for w in weight.values())
+    while total:
+        own = {n: n for n in weight}
+        degree = {n: sum(w.values()) for n, w in weight.items()}
+        held = dict(degree)
+        moved, again = False, True
+        while again:
+            again = False
+            for n in sorted(weight):
+                links: dict[int, float] = {own[n]: 0.0}
+                for m, w in weight[n].items():
+                    if m != n:
+                        links[own[m]] = links.get(own[m], 0.0) + w
+                held[own[n]] -= degree[n]
+                gain = {c: w - held[c] * degree[n] / total for c, w in links.items()}
+                best = min(gain, key=lambda c: (-round(gain[c], 12), c))
+                if gain[best] <= gain[own[n]] + 1e-12:
+                    best = own[n]
+                held[best] += degree[n]
+                if best != own[n]:
+                    own[n], moved, again = best, True, True
+        if not moved:
+            break
+        folded: dict[int, dict[int, float]] = {}
+        for n, w in weight.items():
+            into = folded.setdefault(own[n], {})
+            for m, x in w.items():
+                into[own[m]] = into.get(own[m], 0.0) + x
+        weight = folded
+        member = {n: own[c] for n, c in member.items()}
+    least: dict[int, int] = {}
+    for n, c in member.items():
+        least[c] = min(n, least.get(c, n))
+    return {n: least[c] for n, c in member.items()}
+
+
+def _bounded(g: Story) -> DataFrame:
+    """The projection, if no story has more than GROUP_EDGES edges."""
+    e = pairs(g)
+    most = e.groupBy("story_id").count().agg(F.max("count")).first()[0] or 0
+    if most > GROUP_EDGES:
+        raise ValueError(f"a story has {most} edges, more than {GROUP_EDGES} for one group; use label_propagation")
+    return e
+
+
+def louvain(g: Story) -> DataFrame:
+    """character_id, community: by modularity, story by story. A story of over GROUP_EDGES edges is refused: use label_propagation."""
+    e = _bounded(g)
+
+    def group(key: tuple, cast: pd.DataFrame, ties: pd.DataFrame) -> pd.DataFrame:
+        found = louvain_members(sorted(cast["character_id"].tolist()), list(zip(ties["src"].tolist(), ties["dst"].tolist(), strict=True)))
+        return pd.DataFrame({"character_id": list(found), "community": list(found.values())})
+
+    return g["characters"].select("story_id", "character_id").groupBy("story_id").cogroup(e.groupBy("story_id")).applyInPandas(group, "character_id long, community long")
+
+
+def communities(g: Story) -> DataFrame:
+    """Each community with its members' names in order, and their number."""
+    named = louvain(g).join(g["characters"].select("character_id", "name"), "character_id")
+    return named.groupBy("community").agg(F.count("*").alias("total"), F.array_join(F.array_sort(F.collect_list("name")), ",").alias("members"))
+
+
+def propagated_communities(g: Story) -> DataFrame:
+    named = label_propagation(g).join(g["characters"].select("character_id", "name"), "character_id")
+    return named.groupBy("label").agg(F.count("*").alias("total"), F.array_join(F.array_sort(F.collect_list("name")), ",").alias("members"))
+
+
 def clustering(g: Story) -> DataFrame:
     """Local coefficients on the undirected simple graph; triangles by edges oriented from low to high."""
-    e = projection(g).filter("src < dst").select("src", "dst").distinct()
+    e = written(projection(g).filter("src < dst").select("src", "dst").distinct(), "oriented")
     ab, ac, bc = e.toDF("a", "b"), e.toDF("a", "c"), e.toDF("b", "c")
     tri = ab.join(ac, "a").filter("b < c").join(bc, ["b", "c"]).select(F.explode(F.array("a", "b", "c")).alias("node")).groupBy("node").agg(F.count("*").alias("triangles"))
     deg = e.select(F.explode(F.array("src", "dst")).alias("node")).groupBy("node").agg(F.count("*").alias("d"))
@@ -118,9 +207,10 @@ def relationship_tension(g: Story, below: int = 5) -> DataFrame:
 
 
 def network_density(g: Story) -> DataFrame:
-    e = projection(g).select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct().agg(F.count("*").alias("e"))
-    n = g["characters"].agg(F.count("*").alias("n"))
-    return e.withColumn("k", F.lit(1)).join(n.withColumn("k", F.lit(1)), "k").select("n", "e", F.round(2 * F.col("e") / (F.col("n") * (F.col("n") - 1)), 6).alias("density"))
+    """By story, on the undirected simple graph."""
+    e = projection(g).select("story_id", F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct().groupBy("story_id").agg(F.count("*").alias("e"))
+    n = g["characters"].groupBy("story_id").agg(F.count("*").alias("n"))
+    return n.join(e, "story_id", "left").na.fill(0).select("story_id", "n", "e", F.round(F.when(F.col("n") > 1, 2 * F.col("e") / (F.col("n") * (F.col("n") - 1))).otherwise(0.0), 6).alias("density"))
 
 
 def key_influencers(g: Story, top: int = 5) -> DataFrame:
@@ -128,35 +218,84 @@ def key_influencers(g: Story, top: int = 5) -> DataFrame:
     return pagerank(g).join(g["characters"].select("character_id", "name"), "character_id").orderBy(F.desc("rank"), "name").limit(top).select("name", "rank")
 
 
-def betweenness(g: Story, depth: int | None = None) -> DataFrame:
-    """Shortest-path betweenness, within `depth` hops where it is given: paths are counted on the way out, then pairs meet at v where distances add up."""
-    e = projection(g).select("src", "dst").distinct()
-    e = _written(e) if depth is None else e
-    paths = g["characters"].select(F.col("character_id").alias("s"), F.col("character_id").alias("t"), F.lit(0).alias("d"), F.lit(1.0).alias("sigma"))
-    front = paths
-    for d in _rounds(depth):
-        front = front.join(e, F.col("t") == F.col("src")).groupBy("s", F.col("dst").alias("t")).agg(F.sum("sigma").alias("sigma")).join(paths.select("s", "t"), ["s", "t"], "left_anti").select("s", "t", F.lit(d).alias("d"), "sigma")
-        if depth is None:
-            front = _written(front)
-            if front.isEmpty():
-                break
-        paths = paths.unionByName(front)
-    p = paths.filter("d > 0")
-    sv, vt, st = p.toDF("s", "v", "d1", "n1"), p.toDF("v", "t", "d2", "n2"), p.toDF("s", "t", "d3", "n3")
-    on = sv.join(vt, "v").filter("s <> t").join(st, ["s", "t"]).filter("d1 + d2 = d3")
-    score = on.groupBy("v").agg(F.sum(F.col("n1") * F.col("n2") / F.col("n3")).alias("x"))
-    return g["characters"].join(score, F.col("character_id") == F.col("v"), "left").select("character_id", F.round(F.coalesce("x", F.lit(0.0)), 4).alias("betweenness"))
+def brandes(nodes: list[int], edges: list[tuple[int, int]]) -> dict[int, float]:
+    """Shortest-path betweenness of directed unweighted edges: a breadth-first search from every node, and its
+    dependencies summed from the far end."""
+    out: dict[int, list[int]] = {n: [] for n in nodes}
+    for a, b in sorted(set(edges)):
+        out[a].append(b)
+    score = dict.fromkeys(nodes, 0.0)
+    for s in nodes:
+        dist, ways, before, order, queue = {s: 0}, {s: 1.0}, {s: []}, [], deque([s])
+        while queue:
+            v = queue.popleft()
+            order.append(v)
+            for w in out[v]:
+                if w not in dist:
+                    dist[w], ways[w], before[w] = dist[v] + 1, 0.0, []
+                    queue.append(w)
+                if dist[w] == dist[v] + 1:
+                    ways[w] += ways[v]
+                    before[w].append(v)
+        share = dict.fromkeys(order, 0.0)
+        for w in reversed(order):
+            for v in before[w]:
+                share[v] += ways[v] / ways[w] * (1 + share[w])
+            if w != s:
+                score[w] += share[w]
+    return score
+
+
+def betweenness(g: Story) -> DataFrame:
+    """Story by story where a story has at most GROUP_EDGES edges, else by joins."""
+    e = pairs(g)
+    most = e.groupBy("story_id").count().agg(F.max("count")).first()[0] or 0
+    if most > GROUP_EDGES:
+        return betweenness_by_joins(g, e)
+
+    def group(key: tuple, cast: pd.DataFrame, ties: pd.DataFrame) -> pd.DataFrame:
+        found = brandes(sorted(cast["character_id"].tolist()), list(zip(ties["src"].tolist(), ties["dst"].tolist(), strict=True)))
+        return pd.DataFrame({"character_id": list(found), "betweenness": [round(x, 4) + 0.0 for x in found.values()]})
+
+    return g["characters"].select("story_id", "character_id").groupBy("story_id").cogroup(e.groupBy("story_id")).applyInPandas(group, "character_id long, betweenness double")
+
+
+def betweenness_by_joins(g: Story, e: DataFrame | None = None) -> DataFrame:
+    """The same with tables only: paths are counted on the way out; on the way back, farthest nodes first, each node
+    hands its dependency to those before it. Rows are (source, node) pairs, never triples."""
+    e = pairs(g) if e is None else e
+    front = written(g["characters"].select(F.col("character_id").alias("s"), F.col("character_id").alias("t"), F.lit(0).alias("d"), F.lit(1.0).alias("ways")), "paths")
+    levels = [front]
+    while True:
+        seen = levels[0]
+        for more in levels[1:]:
+            seen = seen.unionByName(more)
+        reached = front.join(e.select(F.col("src").alias("t"), "dst"), "t").groupBy("s", F.col("dst").alias("t")).agg(F.sum("ways").alias("ways"))
+        front = written(reached.join(seen.select("s", "t"), ["s", "t"], "left_anti").select("s", "t", F.lit(len(levels)).alias("d"), "ways"), "paths")
+        if front.isEmpty():
+            break
+        levels.append(front)
+    shares, score = None, []
+    for level in reversed(levels[1:]):
+        own = level.withColumn("share", F.lit(0.0)) if shares is None else level.join(shares, ["s", "t"], "left").withColumn("share", F.coalesce("share", F.lit(0.0)))
+        own = written(own, "shares")
+        score.append(own.groupBy(F.col("t").alias("character_id")).agg(F.sum("share").alias("x")))
+        depth = len(levels) - len(score) - 1
+        back = own.select("s", F.col("t").alias("dst"), (((1 + F.col("share")) / F.col("ways"))).alias("part")).join(e.select(F.col("src").alias("t"), "dst"), "dst")
+        shares = back.join(levels[depth].select("s", "t", "ways"), ["s", "t"]).groupBy("s", "t").agg(F.sum(F.col("part") * F.col("ways")).alias("share"))
+    total = g["characters"].select("character_id")
+    found = None
+    for part in score:
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        return total.withColumn("betweenness", F.lit(0.0))
+    return total.join(found.groupBy("character_id").agg(F.sum("x").alias("x")), "character_id", "left").select("character_id", F.round(F.coalesce("x", F.lit(0.0)), 4).alias("betweenness"))
 
 
 def bridge_characters(g: Story, top: int = 10) -> DataFrame:
     return betweenness(g).join(g["characters"].select("character_id", "name"), "character_id").orderBy(F.desc("betweenness"), "name").limit(top).select("name", "betweenness")
 
 
-def communities(g: Story) -> DataFrame:
-    """Members of each propagated label, and its size."""
-    return label_propagation(g).groupBy("label").agg(F.count("*").alias("total"), F.min("character_id").alias("first"))
-
-
 def rank_in_story(g: Story) -> DataFrame:
     w = Window.partitionBy("story_id").orderBy(F.desc("degree"), "character_id")
     return degree_centrality(g).join(g["characters"].select("character_id", "story_id"), "character_id").select("story_id", "character_id", "degree", F.row_number().over(w).alias("place"))

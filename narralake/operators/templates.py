@@ -21,10 +21,15 @@ def severity_rank(severity: Column) -> Column:
     return F.when(severity == "critical", 1).when(severity == "major", 2).when(severity == "minor", 3).when(severity == "potential", 4).otherwise(5)
 
 
-def character_knowledge_at_time(g: Story, day: int, story_id: int | None = None) -> DataFrame:
-    who = g["characters"] if story_id is None else g["characters"].filter(F.col("story_id") == story_id)
-    what = g["knowledge"].filter((F.col("valid_from") <= day) & (F.col("valid_to").isNull() | (F.col("valid_to") >= day)))
-    return who.join(g["knows"], "character_id").join(what.drop("character_id"), "knowledge_id").select("name", "knowledge_id", "content", "learned_at", "confidence_level", "emotional_impact", "valid_from")
+def _named(rows: DataFrame, column: str, name: str | None) -> DataFrame:
+    return rows if name is None else rows.filter(F.col(column) == name)
+
+
+def character_knowledge_at_time(g: Story, day: int, character_name: str | None = None) -> DataFrame:
+    """What characters knew on a day; intervals are closed, and open-ended ones go on."""
+    what = g["known"].filter((F.col("valid_from") <= day) & (F.col("valid_to").isNull() | (F.col("valid_to") >= day)))
+    who = _named(g["characters"], "name", character_name).select("character_id", "name")
+    return what.join(who, "character_id").select("name", "knowledge_id", "content", "learned_at", "confidence_level", "emotional_impact", "valid_from")
 
 
 def characters_in_scene(g: Story, scene_id: int | None = None) -> DataFrame:
@@ -32,14 +37,15 @@ def characters_in_scene(g: Story, scene_id: int | None = None) -> DataFrame:
     return here.join(g["characters"], "character_id").select("scene_id", "character_id", "name", "participation_level", "dialogue_count", "character_state")
 
 
-def scene_location_details(g: Story) -> DataFrame:
-    return g["occurs_in"].join(g["locations"], "location_id").select("scene_id", "location_id", "name", "time_of_day", "weather_conditions", "scene_duration")
+def scene_location_details(g: Story, scene_id: int | None = None) -> DataFrame:
+    here = g["occurs_in"] if scene_id is None else g["occurs_in"].filter(F.col("scene_id") == scene_id)
+    return here.join(g["locations"], "location_id").select("scene_id", "location_id", "name", "time_of_day", "weather_conditions", "scene_duration")
 
 
-def character_relationships_detailed(g: Story) -> DataFrame:
+def character_relationships_detailed(g: Story, character_name: str | None = None) -> DataFrame:
     c = g["characters"]
     a, b = c.select(F.col("character_id").alias("src"), F.col("name").alias("name_1")), c.select(F.col("character_id").alias("dst"), F.col("name").alias("name_2"))
-    return g["relationships"].join(a, "src").join(b, "dst").select("name_1", "name_2", "relationship_type", "relationship_strength", "trust_level", "emotional_valence", "established_at", "updated_at")
+    return g["relationships"].join(_named(a, "name_1", character_name), "src").join(b, "dst").select("name_1", "name_2", "relationship_type", "relationship_strength", "trust_level", "emotional_valence", "established_at", "updated_at")
 
 
 def knowledge_by_type(g: Story, knowledge_type: str | None = None, importance_level: str | None = None) -> DataFrame:
@@ -51,23 +57,12 @@ def knowledge_by_type(g: Story, knowledge_type: str | None = None, importance_le
 
 
 def secret_knowledge(g: Story) -> DataFrame:
-    secret = g["knowledge"].filter("is_secret").drop("character_id")
-    return g["knows"].filter(F.col("sharing_restrictions").isin("need_to_know", "top_secret")).join(secret, "knowledge_id").join(g["characters"], "character_id").select("name", "knowledge_id", "content", "importance_level", "sharing_restrictions")
-
-
-def pair_knowledge(g: Story) -> DataFrame:
-    """The subset of knowledge on which pair rules run on the driver's tables: line 1 of even orders."""
-    return g["knowledge"].filter("l_linenumber = 1 AND l_orderkey % 2 = 0")
+    secret = g["known"].filter(F.col("is_secret") & F.col("sharing_restrictions").isin("need_to_know", "top_secret"))
+    return secret.join(g["characters"].select("character_id", "name"), "character_id").select("name", "knowledge_id", "content", "importance_level", "sharing_restrictions")
 
 
-def _pairs(k: DataFrame) -> DataFrame:
-    cols = ("knowledge_id", "content", "valid_from", "valid_to")
-    a = k.select("character_id", *[F.col(c).alias(f"{c}_1") for c in cols])
-    b = k.select("character_id", *[F.col(c).alias(f"{c}_2") for c in cols])
-    return a.join(b, "character_id").filter("knowledge_id_1 <> knowledge_id_2")
-
-
-def _unlinked(pairs: DataFrame, links: DataFrame, both_ways: bool = True) -> DataFrame:
+def unlinked(pairs: DataFrame, links: DataFrame, both_ways: bool = True) -> DataFrame:
+    """Pairs (knowledge_id_1, knowledge_id_2) that no link (from_id, to_id) joins, in either direction or the given one."""
     one = links.select(F.col("from_id").alias("knowledge_id_1"), F.col("to_id").alias("knowledge_id_2"))
     if both_ways:
         one = one.unionAll(links.select(F.col("to_id").alias("knowledge_id_1"), F.col("from_id").alias("knowledge_id_2")))
@@ -75,15 +70,24 @@ def _unlinked(pairs: DataFrame, links: DataFrame, both_ways: bool = True) -> Dat
 
 
 def temporal_knowledge_conflicts(g: Story) -> DataFrame:
-    return _unlinked(_pairs(pair_knowledge(g)).filter("valid_from_1 > valid_to_2"), g["contradicts"], False).select("character_id", "knowledge_id_1", "knowledge_id_2", "valid_from_1", "valid_to_2")
+    """Pairs of one character's knowledge, the second of which had ended when the first began. As many rows as there are
+    such pairs; consistency.temporal_conflict_counts counts them without forming them."""
+    k = g["known"]
+    a = k.select("character_id", F.col("knowledge_id").alias("knowledge_id_1"), F.col("valid_from").alias("valid_from_1"))
+    b = k.filter("valid_to IS NOT NULL").select("character_id", F.col("knowledge_id").alias("knowledge_id_2"), F.col("valid_to").alias("valid_to_2"))
+    pairs = a.join(b, "character_id").filter("valid_from_1 > valid_to_2 AND knowledge_id_1 <> knowledge_id_2")
+    return unlinked(pairs, g["contradicts"], False).select("character_id", "knowledge_id_1", "knowledge_id_2", "valid_from_1", "valid_to_2")
 
 
-def relationship_milestones(g: Story, start: int, end: int) -> DataFrame:
-    """Both orientations of every relationship with a date in the closed range."""
+def relationship_milestones(g: Story, start: int, end: int, character_a: str | None = None, character_b: str | None = None) -> DataFrame:
+    """Both orientations of every relationship with a date in the closed range, or of those of two characters."""
     cols = ["relationship_type", "relationship_strength", "trust_level", "emotional_valence", "established_at", "updated_at"]
     r = g["relationships"]
     both = r.select("src", "dst", *cols).unionAll(r.select(F.col("dst").alias("src"), F.col("src").alias("dst"), *cols))
-    return both.filter(F.col("established_at").between(start, end) | F.col("updated_at").between(start, end))
+    dated = both.filter(F.col("established_at").between(start, end) | F.col("updated_at").between(start, end))
+    c = g["characters"]
+    a, b = (_named(c.select(F.col("character_id").alias(k), F.col("name").alias(n)), n, who) for k, n, who in (("src", "character_a", character_a), ("dst", "character_b", character_b)))
+    return dated.join(a, "src").join(b, "dst").select("character_a", "character_b", *cols)
 
 
 def plot_thread_resolution_status(g: Story, verification_status: str | None = None) -> DataFrame:
@@ -106,20 +110,20 @@ def knowledge_propagation(g: Story) -> DataFrame:
     return g["implies"].join(a, "from_id").join(b, "to_id").select("from_id", "to_id", "content_1", "content_2", "implication_strength", "logical_basis")
 
 
-def contradictions_by_severity(g: Story) -> DataFrame:
-    return g["contradicts"].filter("resolution_status = 'unresolved'").select("from_id", "to_id", "severity", "detected_at", severity_rank(F.col("severity")).alias("severity_rank"))
+def contradictions_by_severity(g: Story, severity: str | None = None) -> DataFrame:
+    return _named(g["contradicts"], "severity", severity).filter("resolution_status = 'unresolved'").select("from_id", "to_id", "severity", "detected_at", severity_rank(F.col("severity")).alias("severity_rank"))
 
 
-def character_activity_timeline(g: Story) -> DataFrame:
-    """Scenes and knowledge are aggregated apart, so that no product of the two is formed."""
-    s = g["present_in"].groupBy("character_id").agg(F.countDistinct("scene_id").alias("n_scenes"), F.min("scene_id").alias("first_scene"))
-    k = g["knows"].groupBy("character_id").agg(F.countDistinct("knowledge_id").alias("n_knowledge"), F.max("learned_at").alias("last_learned"))
-    return g["characters"].select("character_id", "name").join(s, "character_id", "left").join(k, "character_id", "left")
+def character_activity_timeline(g: Story, character_name: str | None = None) -> DataFrame:
+    """A character's distinct scenes and knowledge, in order. They are gathered apart, so that no product of the two is formed."""
+    s = g["present_in"].groupBy("character_id").agg(F.array_join(F.array_sort(F.collect_set("scene_id")), ",").alias("scenes"))
+    k = g["knows"].groupBy("character_id").agg(collected(F.col("knowledge_id")).alias("knowledge"))
+    return _named(g["characters"], "name", character_name).select("character_id", "name").join(s, "character_id", "left").join(k, "character_id", "left")
 
 
-def location_accessibility(g: Story) -> DataFrame:
+def location_accessibility(g: Story, accessibility: str | None = None) -> DataFrame:
     n = g["occurs_in"].groupBy("location_id").agg(F.count("scene_id").alias("scene_count"))
-    return g["locations"].join(n, "location_id", "left").na.fill(0, ["scene_count"]).select("location_id", "name", "accessibility", "scene_count")
+    return _named(g["locations"], "accessibility", accessibility).join(n, "location_id", "left").na.fill(0, ["scene_count"]).select("location_id", "name", "accessibility", "scene_count")
 
 
 def relationship_strength_analysis(g: Story, min_strength: int | None = None) -> DataFrame:
@@ -133,10 +137,10 @@ def character_trust_network(g: Story, min_trust_level: int) -> DataFrame:
 
 
 def knowledge_sharing_patterns(g: Story) -> DataFrame:
-    """First learner of a part to later ones: how many pairs of characters, by part."""
-    k = g["facts"].filter("l_orderkey % 10 = 0").select("l_partkey", "l_suppkey", "ship_day")
-    a, b = k.toDF("l_partkey", "c1", "d1"), k.toDF("l_partkey", "c2", "d2")
-    return a.join(b, "l_partkey").filter("c1 <> c2 AND d1 < d2").groupBy("l_partkey").agg(F.count("*").alias("n_shared"), F.countDistinct("c1", "c2").alias("n_pairs"))
+    """Pairs of a story's characters that came to know of the same part, the first before the second."""
+    k = g["facts"].select("story_id", "l_partkey", "l_suppkey", "ship_day")
+    a, b = k.toDF("story_id", "l_partkey", "character_1", "learned_at_1"), k.toDF("story_id", "l_partkey", "character_2", "learned_at_2")
+    return a.join(b, ["story_id", "l_partkey"]).filter("character_1 <> character_2 AND learned_at_1 < learned_at_2").select("l_partkey", "character_1", "character_2", "learned_at_1", "learned_at_2")
 
 
 def scene_participation_analysis(g: Story) -> DataFrame:
@@ -156,15 +160,16 @@ def must_keep_secret(g: Story) -> DataFrame:
     return secret_knowledge(g).filter("sharing_restrictions = 'top_secret'").select("name", "knowledge_id", "content")
 
 
-def ownership_history(g: Story) -> DataFrame:
-    return g["owns"].join(g["items"], "item_id").join(g["characters"].select("character_id", F.col("name").alias("owner")), "character_id").select("item_id", "name", "owner", "ownership_start", "ownership_end", "transfer_method")
+def ownership_history(g: Story, item_name: str | None = None) -> DataFrame:
+    return g["owns"].join(_named(g["items"], "name", item_name), "item_id").join(g["characters"].select("character_id", F.col("name").alias("owner")), "character_id").select("item_id", "name", "owner", "ownership_start", "ownership_end", "transfer_method")
 
 
 def current_owner(g: Story) -> DataFrame:
-    latest = Window.partitionBy("item_id").orderBy(F.col("ownership_start").desc(), F.col("own_id").desc())
-    return g["owns"].filter("ownership_end IS NULL").withColumn("r", F.row_number().over(latest)).filter("r = 1").select("item_id", "character_id", "ownership_start")
+    latest = Window.partitionBy("story_id", "item_id").orderBy(F.col("ownership_start").desc(), F.col("own_id").desc())
+    return g["owns"].filter("ownership_end IS NULL").withColumn("r", F.row_number().over(latest)).filter("r = 1").select("story_id", "item_id", "character_id", "ownership_start")
 
 
-def item_transfer_chain(g: Story) -> DataFrame:
+def item_transfer_chain(g: Story, item_id: int | None = None) -> DataFrame:
     previous = g["characters"].select(F.col("character_id").alias("obtained_from"), F.col("name").alias("previous_owner"))
-    return g["owns"].join(g["characters"].select("character_id", F.col("name").alias("owner")), "character_id").join(previous, "obtained_from", "left").select("item_id", "own_id", "owner", "previous_owner", "ownership_start", "transfer_method")
+    owned = g["owns"] if item_id is None else g["owns"].filter(F.col("item_id") == item_id)
+    return owned.join(g["characters"].select("character_id", F.col("name").alias("owner")), "character_id").join(previous, "obtained_from", "left").select("item_id", "own_id", "owner", "previous_owner", "ownership_start", "transfer_method")

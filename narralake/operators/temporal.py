@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from narralake.plans.adapter import Story
+from narralake.plans.storage import written
 
 
 def episodes_last_n(g: Story, reference: str = "2024-01-20 00:00:00", n: int = 5) -> DataFrame:
@@ -28,17 +29,14 @@ def as_of_snapshot(g: Story, reference: str = "2024-01-20 00:00:00", word: str =
     return recent.unionAll(hits)
 
 
-def temporal_context(g: Story, every: int = 50, n: int = 5) -> DataFrame:
-    """For every marked episode, how many of its group's episodes lie among the n before and the n after it."""
-    w = Window.partitionBy("group_id").orderBy("created_at", "uuid")
-    e = g["episodes"].select("group_id", "uuid", "created_at", F.count("*").over(w.rowsBetween(-n, -1)).alias("before"), F.count("*").over(w.rowsBetween(1, n)).alias("after"))
-    return e.filter(F.col("uuid") % every == 0).select("group_id", "uuid", "before", "after")
+def temporal_context(g: Story, n: int = 5) -> DataFrame:
+    """For every episode, how many of its group's are among the n before it, at its time, and among the n after it."""
+    w, same = Window.partitionBy("group_id").orderBy("created_at", "uuid"), Window.partitionBy("group_id", "created_at")
+    return g["episodes"].select("group_id", "uuid", F.count("*").over(w.rowsBetween(-n, -1)).alias("before"), F.count("*").over(same).alias("at"), F.count("*").over(w.rowsBetween(1, n)).alias("after"))
 
 
 def relationship_by_year(g: Story) -> DataFrame:
-    days = g["present_in"].filter("scene_id % 97 = 0").join(g["scenes"].select("scene_id", "scene_order"), "scene_id").select("character_id", "scene_id", F.expr("scene_order div 10000").alias("year"))
-    a, b = days.toDF("src", "scene_id", "year"), days.toDF("dst", "scene_id", "year")
-    return a.join(b, ["scene_id", "year"]).filter("src < dst").groupBy("src", "dst", "year").agg(F.count("*").alias("strength"))
+    return g["years"].select("src", "dst", "year", "strength")
 
 
 def evolution_delta(g: Story) -> DataFrame:
@@ -51,25 +49,63 @@ def evolution_pair_series(g: Story) -> DataFrame:
     return by.groupBy("src", "dst").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("year", "strength"))), lambda x: F.concat_ws("=", x["year"].cast("string"), x["strength"].cast("string"))), ",").alias("series"))
 
 
-def milestones_tension_spikes(g: Story) -> DataFrame:
-    d = evolution_delta(g)
-    return d.select("src", "dst", "year", F.when(F.col("strength") >= 2, "milestone").when(F.col("delta") < 0, "tension_spike").otherwise("steady").alias("kind"))
+def milestones_tension_spikes(g: Story, high: float = 0.8, low: float = 0.3) -> DataFrame:
+    """Strengths as shares of a pair's best year: from `high` on a milestone, unless they are allies then; under `low` a tension spike."""
+    b = g["bonds"].withColumn("after", F.col("strength") / F.max("strength").over(Window.partitionBy("src", "dst")))
+    kind = F.when((F.col("after") >= high) & (F.col("relationship_type") != "ally"), "milestone").when(F.col("after") < low, "tension_spike")
+    return b.select("src", "dst", F.col("created_at").alias("year"), F.round("after", 6).alias("after"), kind.alias("kind")).filter("kind IS NOT NULL")
+
+
+def episode_tree(g: Story) -> DataFrame:
+    """Region over nation over customer, as (episode, parent)."""
+    name = lambda kind, key: F.concat(F.lit(f"{kind}-"), F.col(key).cast("string"))
+    arcs = g["region"].select(name("arc", "r_regionkey").alias("episode"), F.lit(None).cast("string").alias("parent"))
+    chapters = g["nation"].select(name("chapter", "n_nationkey"), name("arc", "n_regionkey"))
+    return arcs.unionAll(chapters).unionAll(g["customer"].select(name("thread", "c_custkey"), name("chapter", "c_nationkey")))
 
 
 def episode_hierarchy(g: Story) -> DataFrame:
-    """Region over nation over customer: number of children and depth."""
-    r, n, c = g["region"], g["nation"], g["customer"]
-    arcs = r.join(n.groupBy("n_regionkey").agg(F.count("*").alias("k")), F.col("r_regionkey") == F.col("n_regionkey"), "left").select(F.concat(F.lit("arc-"), F.col("r_regionkey").cast("string")).alias("episode"), F.lit(None).cast("string").alias("parent"), F.lit(0).alias("depth"), F.coalesce("k", F.lit(0)).alias("children"))
-    chapters = n.join(c.groupBy("c_nationkey").agg(F.count("*").alias("k")), F.col("n_nationkey") == F.col("c_nationkey"), "left").select(F.concat(F.lit("chapter-"), F.col("n_nationkey").cast("string")), F.concat(F.lit("arc-"), F.col("n_regionkey").cast("string")), F.lit(1), F.coalesce("k", F.lit(0)))
-    threads = c.select(F.concat(F.lit("thread-"), F.col("c_custkey").cast("string")), F.concat(F.lit("chapter-"), F.col("c_nationkey").cast("string")), F.lit(2), F.lit(0).cast("long"))
-    return arcs.unionAll(chapters).unionAll(threads)
+    """episode, parent, depth, children in order and their number. Depths follow level by level until none is below."""
+    tree = written(episode_tree(g), "tree")
+    level = done = tree.filter("parent IS NULL").select("episode", F.lit(0).alias("depth"))
+    depth = 0
+    while True:
+        depth += 1
+        level = written(tree.select("episode", "parent").join(level.select(F.col("episode").alias("parent")), "parent").select("episode", F.lit(depth).alias("depth")), "level")
+        if level.isEmpty():
+            break
+        done = done.unionByName(level)
+    below = tree.filter("parent IS NOT NULL").groupBy(F.col("parent").alias("episode")).agg(F.count("*").alias("n_children"), F.array_join(F.array_sort(F.collect_list("episode")), ",").alias("children"))
+    return tree.join(done, "episode").join(below, "episode", "left").select("episode", "parent", "depth", F.coalesce("n_children", F.lit(0)).alias("n_children"), F.coalesce("children", F.lit("")).alias("children"))
+
+
+def ring_members(links: DataFrame) -> DataFrame:
+    """links (episode, parent), a parent at most for each -> the episodes that are their own ancestors. Jumps are doubled
+    until they are longer than any path, so what still has an ancestor has one on a ring."""
+    jump = written(links.filter("parent IS NOT NULL").select("episode", "parent"), "jump")
+    left = jump.count()
+    for _ in range(left.bit_length()):
+        jump = written(jump.join(jump.select(F.col("episode").alias("parent"), F.col("parent").alias("top")), "parent").select("episode", F.col("top").alias("parent")), "jump")
+    return jump.select(F.col("parent").alias("episode")).distinct()
 
 
 def hierarchy_cycles(g: Story) -> DataFrame:
-    """Parent links that lead back to where they began; two steps settle a tree of depth three."""
-    e = episode_hierarchy(g).filter("parent IS NOT NULL").select("episode", "parent")
-    up = e.toDF("a", "b").join(e.toDF("b", "c"), "b")
-    return e.filter("episode = parent").select(F.col("episode").alias("a")).unionAll(up.filter("a = c").select("a")).groupBy("a").agg(F.count("*").alias("n"))
+    return ring_members(g["parents"])
+
+
+def continuity_links(g: Story) -> DataFrame:
+    """The log of typed links between episodes: appended as they are found."""
+    link = lambda rows, kind: rows.select("from_id", "to_id", F.lit(kind).alias("type"))
+    parents = g["parents"].filter("parent IS NOT NULL").select(F.col("parent").alias("from_id"), F.col("episode").alias("to_id"))
+    resolved = foreshadows(g).join(unresolved_foreshadows(g), ["from_id", "to_id"], "left_anti").select(F.col("to_id").alias("from_id"), F.col("from_id").alias("to_id"))
+    return append_links(link(parents, "PARENT_OF"), [link(foreshadows(g), "FORESHADOWS"), link(resolved, "RESOLVES")])
+
+
+def append_links(log: DataFrame, more: list[DataFrame]) -> DataFrame:
+    """A log of links (from_id, to_id, type) with further ones; a link that is there already isn't repeated."""
+    for rows in more:
+        log = log.unionByName(rows)
+    return log.distinct()
 
 
 def foreshadows(g: Story) -> DataFrame:
@@ -85,14 +121,19 @@ def unresolved_foreshadows(g: Story, bound: float = 50.0) -> DataFrame:
 
 
 def story_graph_counts(g: Story) -> DataFrame:
-    names = ("characters", "scenes", "locations", "knowledge", "items", "knows", "present_in", "occurs_in", "owns", "contradicts", "implies", "relationships")
-    out = None
-    for n in names:
-        one = g[n].agg(F.lit(n).alias("name"), F.count("*").alias("n"))
-        out = one if out is None else out.unionAll(one)
+    """Rows of each table of the snapshot. Those that are as many as their source's rows are counted there once."""
+    facts = g["lineitem"].join(g["orders"], F.col("l_orderkey") == F.col("o_orderkey"), "left_semi").join(g["part"], F.col("l_partkey") == F.col("p_partkey"), "left_semi").join(g["supplier"], F.col("l_suppkey") == F.col("s_suppkey"), "left_semi").agg(F.count("*").alias("n"))
+    same = facts.select(F.explode(F.array(*[F.lit(n) for n in ("knowledge", "knows", "owns")])).alias("name"), "n")
+    out = same
+    for n in ("characters", "scenes", "locations", "items", "present_in", "occurs_in", "contradicts", "implies", "relationships"):
+        out = out.unionByName(g[n].agg(F.count("*").alias("n")).select(F.lit(n).alias("name"), "n"))
     return out
 
 
+def edge_count(g: Story) -> DataFrame:
+    return g["sna_edges"].agg(F.count("*").alias("n"))
+
+
 def edge_count_by_type(g: Story) -> DataFrame:
     return g["sna_edges"].groupBy("type").agg(F.count("*").alias("n"))
 
@@ -101,8 +142,15 @@ def node_count(g: Story) -> DataFrame:
     return g["characters"].select("character_id").unionAll(g["locations"].select("location_id")).unionAll(g["items"].select("item_id")).agg(F.count("*").alias("n"))
 
 
-def graph_statistics(g: Story, cap: int = 1000) -> DataFrame:
-    return g["episodes"].groupBy("group_id").agg(F.least(F.count("*"), F.lit(cap)).alias("episodes"), F.countDistinct("body").alias("kinds"))
+def graph_statistics(g: Story, cap: int = 1000, recent: int = 50, sessions: int = 5) -> DataFrame:
+    """One row: sessions, episodes (at most `cap` of each), kinds, and how many are recent: the newest `recent` of the first `sessions` sessions."""
+    e = g["episodes"]
+    by = e.groupBy("group_id").agg(F.least(F.count("*"), F.lit(cap)).alias("n"))
+    some = e.join(by.orderBy("group_id").limit(sessions).select("group_id"), "group_id").withColumn("r", F.row_number().over(Window.partitionBy("group_id").orderBy(F.desc("created_at"), F.desc("uuid")))).filter(F.col("r") <= recent)
+    one = lambda df, **aggs: df.agg(*[a.alias(n) for n, a in aggs.items()]).withColumn("k", F.lit(1))
+    total = one(by, active_sessions=F.count("*"), episodes=F.sum("n"))
+    kinds, last = one(e, kinds=F.countDistinct("body")), one(some, recent=F.count("*"), sample_sessions=F.countDistinct("group_id"))
+    return total.join(kinds, "k").join(last, "k").drop("k")
 
 
 def memory_context(g: Story, n: int = 3) -> DataFrame:
@@ -116,7 +164,8 @@ def extract_facts(g: Story, word: str = "the", top: int = 10) -> DataFrame:
 
 
 def delete_story(g: Story, story_id: int = 3) -> DataFrame:
-    return g["characters"].filter(F.col("story_id") != story_id).groupBy("story_id").agg(F.count("*").alias("n"))
+    """Sessions after a story was deleted: its row stays as a tombstone, so that its episodes can be told from unknown ones."""
+    return g["characters"].groupBy("story_id").agg(F.count("*").alias("n")).withColumn("is_deleted", F.col("story_id") == story_id)
 
 
 def alert_windows(g: Story, width: str = "30 minutes") -> DataFrame:

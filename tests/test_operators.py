@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from narralake.functions.text import split_scenes
-from narralake.operators import network
+from narralake.operators import consistency, network, templates, temporal
 from narralake.operators.consistency import alert_severity
 from narralake.operators.records import insert_missing, partial_update
 from narralake.operators.validation import rpg_variable, validate_edges
@@ -60,7 +60,19 @@ def test_upserts(spark):
 
 
 def test_isolation(spark):
-    assert Story(spark, "/root/testdata/sf0.001").scoped(3, "NOBODY").count() == 0
+    g = Story(spark, "/root/testdata/sf0.01")
+    assert g.scoped(3, "NOBODY")["characters"].count() == 0
+    one = g["characters"].orderBy("character_id").first()
+    mine = g.scoped(one.story_id, one.user_id)
+    own = {r.character_id for r in g["characters"].filter((F.col("story_id") == one.story_id) & (F.col("user_id") == one.user_id)).collect()}
+    ids = lambda df, *columns: {v for r in df.select(*columns).distinct().collect() for v in r}
+    assert own and ids(mine["characters"], "character_id") == own
+    for table, columns in {"known": ["character_id"], "present_in": ["character_id"], "owns": ["character_id"], "sna_edges": ["src", "dst"], "relationships": ["src", "dst"], "years": ["src", "dst"]}.items():
+        assert ids(mine[table], *columns) <= own, table
+    assert mine["owns"].filter(~F.col("obtained_from").isin(list(own))).count() == 0
+    assert ids(mine["scenes"], "scene_id") == ids(mine["present_in"], "scene_id")
+    stories = g["characters"].select(F.col("character_id").alias("src"), F.col("story_id").alias("own"))
+    assert g["met"].join(stories, "src").filter("story_id <> own").count() == 0
 
 
 def test_token_bucket_folds_in_order(spark):
@@ -92,9 +104,57 @@ def test_stream_equals_batch(spark, tmp_path):
 def test_distances_have_no_bound(spark):
     """A path of seven characters: its ends are six hops apart."""
     g = {
-        "characters": spark.createDataFrame([(i, f"c{i}") for i in range(7)], "character_id long, name string"),
-        "sna_edges": spark.createDataFrame([(a, b, "KNOWS", 9) for i in range(6) for a, b in ((i, i + 1), (i + 1, i))], "src long, dst long, type string, strength long"),
+        "characters": spark.createDataFrame([(i, f"c{i}", 1) for i in range(7)], "character_id long, name string, story_id int"),
+        "sna_edges": spark.createDataFrame([(1, a, b, "KNOWS", 9) for i in range(6) for a, b in ((i, i + 1), (i + 1, i))], "story_id int, src long, dst long, type string, strength long"),
     }
     assert {r.start: (r.reachable, r.total) for r in network.closeness(g).collect()} == {i: (6, sum(abs(i - j) for j in range(7))) for i in range(7)}
-    assert {r.dist: r.n for r in network.influence_paths(g).collect()} == {d: 2 * (7 - d) for d in range(1, 7)}
-    assert {r.character_id: r.betweenness for r in network.betweenness(g).collect()} == {i: 2.0 * i * (6 - i) for i in range(7)}
+    assert {r.dist: r.n for r in network.distance_histogram(g).collect()} == {d: 2 * (7 - d) for d in range(1, 7)}
+    for way in (network.betweenness, network.betweenness_by_joins):
+        assert {r.character_id: r.betweenness for r in way(g).collect()} == {i: 2.0 * i * (6 - i) for i in range(7)}
+
+
+def modularity(edges, member):
+    m = len(edges)
+    inside = sum(member[a] == member[b] for a, b in edges) / m
+    degree, total = {}, {}
+    for a, b in edges:
+        degree[a], degree[b] = degree.get(a, 0) + 1, degree.get(b, 0) + 1
+    for n, d in degree.items():
+        total[member[n]] = total.get(member[n], 0) + d
+    return inside - sum((t / (2 * m)) ** 2 for t in total.values())
+
+
+def test_louvain_finds_the_best_partition_of_small_graphs():
+    import itertools
+    import random
+
+    rng = random.Random(4)
+    cliques = [(a, b) for base in (0, 10) for a, b in itertools.combinations(range(base, base + 4), 2)] + [(3, 10)]
+    both = lambda edges: [(a, b) for a, b in edges] + [(b, a) for a, b in edges]
+    assert network.louvain_members([*range(4), *range(10, 14), 99], both(cliques)) == {**{i: 0 for i in range(4)}, **{i: 10 for i in range(10, 14)}, 99: 99}
+    for _ in range(20):
+        edges = [e for e in itertools.combinations(range(6), 2) if rng.random() < 0.5]
+        if not edges:
+            continue
+        found = network.louvain_members(list(range(6)), both(edges))
+        best = max(modularity(edges, dict(enumerate(p))) for p in itertools.product(range(3), repeat=6))
+        assert modularity(edges, found) >= best - 0.08
+
+
+def test_ring_members(spark):
+    links = [(1, 2), (2, 3), (3, 1), (4, 1), (5, 4), (6, None), (7, 6), (8, 8)]
+    assert {r.episode for r in temporal.ring_members(spark.createDataFrame(links, "episode long, parent long")).collect()} == {1, 2, 3, 8}
+    assert temporal.ring_members(spark.createDataFrame([], "episode long, parent long")).count() == 0
+
+
+def test_conflicts_equal_all_pairs(spark):
+    g = Story(spark, "/root/testdata/sf0.001")
+    pairs = templates.temporal_knowledge_conflicts(g).groupBy("character_id").count()
+    assert {tuple(r) for r in pairs.collect()} == {(r.character_id, r.conflicts) for r in consistency.temporal_conflict_counts(g).filter("conflicts > 0").collect()}
+
+
+def test_findings_survive_the_log(spark):
+    rows = spark.createDataFrame([("r", 1, "a", "b", "high", "why so", 0.95), ("r", 1, "c", "d", "medium", "x", 0.5)], "rule string, character_id long, from_id string, to_id string, severity string, reason string, confidence double")
+    log = consistency.record(rows).unionByName(spark.createDataFrame([("n", "CONTRADICTION DETECTED:\nConfidence: much"), ("n", "hello")], "name string, body string"))
+    got = sorted(map(tuple, consistency.parse_report(log).collect()))
+    assert got == [("a", "b", "high", "why so", 0.95), ("c", "d", "medium", "x", 0.5), ("unknown", "unknown", "medium", "Contradiction detected via episodic analysis", 0.5)]
