@@ -23,6 +23,8 @@ def shared_dir(spark: SparkSession) -> str:
         current = sc._jsc.sc().getCheckpointDir()
         root = current.get() if current.isDefined() else None
     if not root:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors and the driver share")
         root = f"file:///tmp/checkpoints/{uuid.uuid4().hex}"
         sc.setCheckpointDir(root)
     return root
@@ -40,6 +42,23 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+HOT_KEYS, HOT_ROWS = 1000, 10_000
+
+
+def join_one(big: DataFrame, small: DataFrame, on: list[str], rows: str, total: int) -> DataFrame:
+    """Inner join with `small`, which has one row for each key and in column `rows` how many of big's `total` rows have it.
+
+    Keys with more than one in HOT_KEYS of all rows, so HOT_KEYS keys at most, don't go through the shuffle, where all
+    their rows would meet in one task: their rows of small are broadcast.
+    """
+    bound = max(HOT_ROWS, total // HOT_KEYS)
+    hot = small.filter(F.col(rows) > bound)
+    if hot.isEmpty():
+        return big.join(small, on)
+    cold = big.join(F.broadcast(hot.select(*on)), on, "left_anti").join(small.filter(F.col(rows) <= bound), on)
+    return big.join(F.broadcast(hot), on).unionByName(cold)
+
+
 def bound_arrow(spark: SparkSession) -> None:
     """Bound Arrow batches by bytes as well as rows, so that very long texts do not pile up in a Python worker.
 

@@ -13,6 +13,10 @@ from narralake.llm.common import id_and_text, load
 
 
 
+#: Runs of repeats under so many words are stock phrases: documents that share no more than those are left alone.
+STOCK_WORDS = 25
+
+
 def _vocabulary(name: str) -> str:
     """Path of a public tokenizer file; operators take it as a parameter."""
     return public_tokenizers.path(name)
@@ -23,7 +27,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.repeats(load(spark, sf_dir, "documents"))
+    return substring_dedup.repeats(load(spark, sf_dir, "documents"), STOCK_WORDS)
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

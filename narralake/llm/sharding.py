@@ -1,103 +1,157 @@
 """Operator 6 [native]: shards of nearly equal bytes by sampled splitters.
 
-Order: (hash of the text, id), so that equal texts lie side by side. Rows are sampled with a chance in proportion to
-their size; quantiles of the sample split the order into RANGES, a row finds its range by two short lookups in a
-literal splitter table of fixed size. Ranges that hold more than OVERFULL mean sizes are split again by splitters
-from a denser sample of themselves. Exact sizes of the ranges (a table of fixed size) and a running sum in each range
-give every row its place in the order of all bytes, and its shard is the one that the middle of its bytes falls in. A
-group of equal texts that a shard border cuts goes whole to the shard of its middle, if it is under WHOLE of a shard;
-larger groups are split there.
+Order: (hash of the text, id, place in the input), so that equal texts lie side by side. Rows are sampled with a chance
+in proportion to their size; quantiles of the sample split the order into ranges, RANGES of them and more where there
+are more than RANGE_ROWS rows for each. A row finds its range by two short lookups in a literal table of splitters.
+Ranges that hold more than OVERFULL mean sizes are split again by splitters from a denser sample of themselves, until
+none is left. Exact sizes of the ranges and a running sum in each give every row its place in the order of all bytes.
+
+Groups of equal texts of more than LARGE of a shard (24 / LARGE of them at most) are placed first, the largest first,
+each whole on the shard with most room; only a group that no shard has room for is split, along its order, over the
+shards with most room. The other rows fill what room the shards have left, in order: a row goes to the shard that the
+middle of its bytes falls in, and a group that a border cuts goes whole to the shard of its middle.
 
 Nulls: a null text has no bytes and counts as an empty text in groups; null ids sort first. Empty tables give no rows.
-Rows repeated in every column are told apart by an arbitrary but stable order. Other columns are not read.
+Rows repeated in every column are told apart by their place in the input. Very long texts are rows like others, however
+much of a shard they fill. Other columns are not read.
 """
 
 from __future__ import annotations
 
+from math import isqrt
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from narralake.llm.common import id_and_text, materialize
 
-RANGES, PER_RANGE, OVERFULL, WHOLE, ROUNDS = 1024, 16, 4, 0.02, 4
-
-
-def _literal(keys: list[tuple[int, int]]) -> Column:
-    rows = ",".join(f"named_struct('g',{_long(g)},'d',{_long(d)})" for g, d in keys)
-    return F.expr(f"array({rows})")
+RANGES, RANGE_ROWS, PER_RANGE, OVERFULL, LARGE = 1024, 1 << 20, 16, 4, 0.02
 
 
 def _long(x: int) -> str:
     return f"CAST('{x}' AS BIGINT)"
 
 
-def _range_of(splitters: list[tuple[int, int]]) -> Column:
-    """How many splitters are not beyond the row's key, by a table of every 32nd and then one of 32."""
-    key = F.struct(F.col("g").alias("g"), F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).alias("d"))
+def _literal(keys: list[tuple[int, int, int]]) -> Column:
+    rows = ",".join(f"named_struct('g',{_long(g)},'d',{_long(d)},'p',{_long(p)})" for g, d, p in keys)
+    return F.expr(f"array({rows})")
+
+
+def _range_of(splitters: list[tuple[int, int, int]]) -> Column:
+    """How many splitters are not beyond the row's key, by a table of the last one of each block and then one of a block."""
+    key = F.struct(F.col("g").alias("g"), F.col("d").alias("d"), F.col("place").alias("p"))
     if not splitters:
         return F.lit(0)
-    heads = splitters[31::32]
-    block = F.size(F.filter(_literal(heads), lambda s: s <= key)) if heads else F.lit(0)
-    inner = F.array(*[_literal(splitters[i : i + 32]) for i in range(0, len(splitters), 32)])
-    rest = F.when(block * 32 < len(splitters), F.size(F.filter(F.element_at(inner, block + 1), lambda s: s <= key))).otherwise(0)
-    return (block * 32 + rest).cast("int")
+    size = max(1, isqrt(len(splitters)))
+    heads = splitters[size - 1 :: size]
+    block = F.size(F.filter(_literal(heads), lambda s: s <= key))
+    inner = F.array(*[_literal(splitters[i : i + size]) for i in range(0, len(splitters), size)])
+    rest = F.when(block * size < len(splitters), F.size(F.filter(F.element_at(inner, block + 1), lambda s: s <= key))).otherwise(0)
+    return (block * size + rest).cast("int")
+
+
+def _sample(rows: DataFrame, rate: float, salt: int) -> list[tuple[int, int, int]]:
+    chance = F.pmod(F.xxhash64("g", "d", "place", F.lit(salt)), F.lit(1 << 30)) / float(1 << 30)
+    return sorted((r.g, r.d, r.place) for r in rows.filter(chance < F.col("size") * rate).select("g", "d", "place").collect())
+
+
+def _splitters(rows: DataFrame, total: int, ranges: int) -> list[tuple[int, int, int]]:
+    """Splitters of ranges none of which is overfull but those of a single row."""
+    splitters = sorted(set(_sample(rows, ranges * PER_RANGE / total, 0)[PER_RANGE - 1 :: PER_RANGE]))
+    round_ = 0
+    while True:
+        round_ += 1
+        sums = rows.groupBy(_range_of(splitters).alias("range")).agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
+        over = [r["range"] for r in sums.filter((F.col("bytes") > OVERFULL * total / ranges) & (F.col("n") > 1)).collect()]
+        if not over:
+            return splitters
+        inside = rows.withColumn("range", _range_of(splitters)).filter(F.col("range").isin(over))
+        more = _sample(inside, 2 * ranges * PER_RANGE / total, round_)
+        new = sorted(set(splitters) | set(more[PER_RANGE - 1 :: PER_RANGE]))
+        if new == splitters:
+            return splitters
+        splitters = new
 
 
-def _sample(rows: DataFrame, rate: Column, salt: int) -> list[tuple[int, int]]:
-    chance = F.pmod(F.xxhash64("g", "doc_id", F.lit(salt)), F.lit(1 << 30)) / float(1 << 30)
-    got = rows.filter(chance < F.col("size") * rate).select("g", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("d")).collect()
-    return sorted((r.g, r.d) for r in got)
+def place_groups(groups: list[tuple[int, int]], room: list[float]) -> tuple[dict[int, list[tuple[float, int]]], list[float]]:
+    """groups: (key, bytes) -> ({key: [(bytes of the group up to here, shard)]}, the room that is left).
+
+    The largest first, each on the shard with most room; one that finds no room is split over the shards with most.
+    """
+    left, placed = list(room), {}
+    for key, size in sorted(groups, key=lambda x: (-x[1], x[0])):
+        parts, at = [], 0.0
+        while at < size:
+            s = max(range(len(left)), key=lambda k: (left[k], -k))
+            take = size - at if size - at <= left[s] or left[s] <= 0 else left[s]
+            at += take
+            left[s] -= take
+            parts.append((at, s))
+        placed[key] = parts
+    return placed, left
 
 
 def shard(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text", ranges: int = RANGES) -> DataFrame:
     """doc_id, size, text_crc32, g (text hash), range, shard, slot; law: nearly equal bytes."""
+    spark = docs.sparkSession
     text = F.coalesce("text", F.lit(""))
-    keyed = id_and_text(docs, id_col, text_col).select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(F.encode(text, "utf-8")).alias("text_crc32"), F.xxhash64(text).alias("g"))
+    keyed = id_and_text(docs, id_col, text_col).select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(F.encode(text, "utf-8")).alias("text_crc32"), F.xxhash64(text).alias("g"), F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).cast("long").alias("d"), F.monotonically_increasing_id().alias("place"))
     rows = materialize(keyed, "keys")
-    total = rows.agg(F.sum("size")).first()[0]
+    total, count = rows.agg(F.sum("size"), F.count("*")).first()
+    own = ("doc_id", "size", "text_crc32", "g", "range", "shard", "slot")
     if not total:
-        return rows.select("*", F.lit(0).alias("range"), F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"))
-    sample = _sample(rows, F.lit(ranges * PER_RANGE / total), 0)
-    splitters = sorted(set(sample[PER_RANGE - 1 :: PER_RANGE]))
-    for round_ in range(ROUNDS):
-        sums = {r["range"]: (r.bytes, r.n, r.lo, r.hi) for r in rows.groupBy(_range_of(splitters).alias("range")).agg(F.sum("size").alias("bytes"), F.count("*").alias("n"), F.min(F.struct("g", "doc_id")).alias("lo"), F.max(F.struct("g", "doc_id")).alias("hi")).collect()}
-        over = {k: v[0] for k, v in sums.items() if v[0] > OVERFULL * total / ranges and v[1] > 1 and v[2] != v[3]}
-        if not over or round_ == ROUNDS - 1:
-            break
-        inside = rows.withColumn("range", _range_of(splitters)).filter(F.col("range").isin(list(over)))
-        more = _sample(inside, F.lit(2 * ranges * PER_RANGE / total), round_ + 1)
-        new = sorted(set(splitters) | set(more[PER_RANGE - 1 :: PER_RANGE]))
-        if new == splitters:
-            break
-        splitters = new
-    starts, at = {}, 0
-    for k in sorted(sums):
+        return rows.select("*", F.lit(0).alias("range"), F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot")).select(*own)
+    capacity = total / shards
+    splitters = _splitters(rows, total, max(ranges, -(-count // RANGE_ROWS)))
+    large = [(r.g, r.bytes) for r in rows.groupBy("g").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).filter((F.col("bytes") > LARGE * capacity) & (F.col("n") > 1)).collect()]
+    groups, room = place_groups(large, [capacity] * shards)
+    # One row for each large group: its shard, or null where it is split.
+    listed = ",".join(f"({_long(g)},{parts[0][1] if len(parts) == 1 else 'NULL'},true)" for g, parts in groups.items()) or "(0L,0,false)"
+    known = spark.sql(f"SELECT g, CAST(whole AS INT) AS whole, large FROM VALUES {listed} AS t(g, whole, large)").filter("large")
+    marked = materialize(rows.withColumn("range", _range_of(splitters)).join(F.broadcast(known), "g", "left").withColumn("large", F.coalesce("large", F.lit(False))), "marked")
+    of_rest = F.when(F.col("large"), 0).otherwise(F.col("size"))
+    sums = sorted((r["range"], r.bytes, r.rest) for r in marked.groupBy("range").agg(F.sum("size").alias("bytes"), F.sum(of_rest).alias("rest")).collect())
+    starts, at = {}, (0, 0)
+    for k, bytes_, rest in sums:
         starts[k] = at
-        at += sums[k][0]
-    begin = F.element_at(F.array(*[F.lit(starts.get(k, 0)).cast("long") for k in range(max(starts) + 1)]), F.col("range") + 1)
-    order = Window.partitionBy("range").orderBy("g", F.col("doc_id").asc_nulls_first())
-    before = begin + F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
-    middle = F.expr(f"least({shards - 1}, cast(floor((before + size / 2D) * {shards} / {total}D) as int))")
-    placed = materialize(rows.withColumn("range", _range_of(splitters)).withColumn("before", before).withColumn("shard", middle), "placed")
-    # At most shards - 1 groups lie across a border.
-    edges = placed.groupBy("shard").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).collect()
+        at = (at[0] + bytes_, at[1] + rest)
+    begins = [F.element_at(F.array(*[F.lit(starts.get(k, (0, 0))[i]).cast("long") for k in range(sums[-1][0] + 1)]), F.col("range") + 1) for i in (0, 1)]
+    upto = Window.partitionBy("range").orderBy("g", "d", "place").rowsBetween(Window.unboundedPreceding, 0)
+    before, before_rest = begins[0] + F.sum("size").over(upto) - F.col("size"), begins[1] + F.sum(of_rest).over(upto) - of_rest
+    # Where each shard's room ends along the bytes of the other rows.
+    ends, filled = [], 0.0
+    for r in room:
+        filled += max(r, 0.0)
+        ends.append(filled)
+    scale = at[1] / filled if filled else 1.0
+    shard_of = lambda middle: F.least(F.size(F.filter(F.array(*[F.lit(e * scale) for e in ends[:-1]]), lambda e: e <= middle)), F.lit(shards - 1)).cast("int")
+    placed = materialize(marked.withColumn("before", before).withColumn("before_rest", before_rest).withColumn("shard", F.when(F.col("large"), F.col("whole")).otherwise(shard_of(F.col("before_rest") + F.col("size") / 2))), "placed")
+    split = {g: parts for g, parts in groups.items() if len(parts) > 1}
+    if split:
+        first = {r.g: r.a for r in placed.filter(F.col("g").isin(list(split))).groupBy("g").agg(F.min("before").alias("a")).collect()}
+        where = F.col("shard")
+        for g, parts in split.items():
+            middle = F.col("before") - first[g] + F.col("size") / 2
+            part = F.element_at(F.array(*[F.lit(s) for _, s in parts]), F.least(F.size(F.filter(F.array(*[F.lit(float(e)) for e, _ in parts[:-1]]), lambda e: e <= middle)) + 1, F.lit(len(parts))))
+            where = F.when(F.col("g") == g, part).otherwise(where)
+        placed = placed.withColumn("shard", where)
+    # At most shards - 1 of the other groups lie across a border.
+    rest = placed.filter("NOT large")
+    edges = rest.groupBy("shard").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).collect()
     cut = sorted({g for e in edges for g in (e.lo, e.hi)})
-    groups = placed.filter(F.col("g").isin(cut)).groupBy("g").agg(F.min("before").alias("a"), F.sum("size").alias("bytes"), F.countDistinct("shard").alias("n")).collect()
-    moved = {r.g: min(shards - 1, int((r.a + r.bytes / 2) * shards / total)) for r in groups if r.n > 1 and r.bytes <= WHOLE * total / shards}
-    if moved:
+    found = rest.filter(F.col("g").isin(cut)).groupBy("g").agg(F.min("before_rest").alias("a"), F.sum("size").alias("bytes"), F.countDistinct("shard").alias("n"), shard_of(F.min("before_rest") + F.sum("size") / 2).alias("to")).filter("n > 1").collect()
+    if found:
         where = F.col("shard")
-        for g, s in moved.items():
-            where = F.when(F.col("g") == g, F.lit(s)).otherwise(where)
+        for r in found:
+            where = F.when(F.col("g") == r.g, F.lit(r.to)).otherwise(where)
         placed = placed.withColumn("shard", where)
     counts = placed.groupBy("shard", "range").count().collect()
-    offset, at = [], {}
+    slots: dict[int, list[tuple[int, int]]] = {}
+    taken: dict[int, int] = {}
     for r in sorted(counts, key=lambda r: (r.shard, r.range)):
-        offset.append((r.shard, r.range, at.get(r.shard, 0)))
-        at[r.shard] = at.get(r.shard, 0) + r["count"]
-    first: dict[int, list[tuple[int, int]]] = {}
-    for s, k, o in offset:
-        first.setdefault(k, []).append((s, o))
-    maps = F.array(*[F.create_map(*[F.lit(x).cast(t) for s, o in first.get(k, [(0, 0)]) for x, t in ((s, "int"), (o, "long"))]) for k in range(max(starts) + 1)])
-    inner = Window.partitionBy("range", "shard").orderBy("g", F.col("doc_id").asc_nulls_first())
+        slots.setdefault(r.range, []).append((r.shard, taken.get(r.shard, 0)))
+        taken[r.shard] = taken.get(r.shard, 0) + r["count"]
+    maps = F.array(*[F.create_map(*[F.lit(x).cast(t) for s, o in slots.get(k, [(0, 0)]) for x, t in ((s, "int"), (o, "long"))]) for k in range(sums[-1][0] + 1)])
+    inner = Window.partitionBy("range", "shard").orderBy("g", "d", "place")
     slot = F.element_at(F.element_at(maps, F.col("range") + 1), F.col("shard")) + F.row_number().over(inner) - 1
-    return placed.withColumn("slot", slot.cast("long")).drop("before")
+    return placed.withColumn("slot", slot.cast("long")).select(*own)

@@ -2,13 +2,16 @@
 
 Units are the lines of a text, cut further behind sentence ends, so that a passage is found wherever in a line it
 stands. A unit is normalised (lower case, runs of white space as one blank) and digested; digests are grouped over all
-texts. The occurrence with the least rank (doc_id, text hash, position) is kept. Other occurrences are repeats, and
-runs of neighbouring repeats with MIN_WORDS words or more in all are removed; shorter runs are stock phrases and stay.
-Offsets are those of the original text, in characters.
+texts, so a line that stands elsewhere is a run of repeats. The occurrence with the least rank (doc_id, text hash, position) is kept, and
+every other one is removed. With `stock_words`, which is off by default, a run of neighbouring repeats of fewer words
+in all is taken for stock phrases and stays. Offsets are those of the original text, in characters.
+
+Occurrences are written once and read by both steps. A digest that stands in a large share of all texts is kept out of
+the join's shuffle.
 
 Nulls: a null text stays null; null ids rank last. Empty tables give no rows. Rows repeated in both columns are one
-occurrence, so all stay; further columns, whatever their names, are kept as they are by `repeat_rows` and not read by
-`repeats`.
+occurrence, so all stay. Texts of any length are cut whole, one text at a time. Ties of rank don't occur but between
+such rows. Further columns, whatever their names, are kept as they are by `repeat_rows` and not read by `repeats`.
 """
 
 from __future__ import annotations
@@ -22,9 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from narralake.llm.common import bound_arrow, id_and_text, materialize, slices
+from narralake.llm.common import bound_arrow, id_and_text, join_one, materialize, slices
 
-MIN_WORDS = 25
 _END = re.compile(r"[.!?]+(?=\s)|\n")
 LAST = (1 << 63) - 1
 
@@ -51,8 +53,8 @@ def text_key(text: str | None) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-def runs(text: str, repeated: set[int], min_words: int) -> list[tuple[int, int]]:
-    """Offsets of the runs of repeated units that have min_words words or more."""
+def runs(text: str, repeated: set[int], stock_words: int) -> list[tuple[int, int]]:
+    """Offsets of the runs of repeated units that have stock_words words or more."""
     out, words, begin, end = [], 0, None, 0
     spans = units(text)
     for k, (a, b) in enumerate([*spans, (len(text), len(text))]):
@@ -62,7 +64,7 @@ def runs(text: str, repeated: set[int], min_words: int) -> list[tuple[int, int]]
             words += len(text[a:b].split())
             end = b
         elif begin is not None:
-            if words >= min_words:
+            if words >= stock_words:
                 out.append((begin, end))
             begin = None
     return out
@@ -91,20 +93,20 @@ def _occurrences(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(cut, "rank_id long, key long, pos int, hi long, lo long")
 
 
-def repeat_rows(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeat_rows(docs: DataFrame, stock_words: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, row (all columns of docs), text (without repeats), removed (array of start, end in the original), n_removed (characters)."""
     bound_arrow(docs.sparkSession)
-    found = _occurrences(id_and_text(docs, id_col, text_col))
+    found = materialize(_occurrences(id_and_text(docs, id_col, text_col)), "occurrences")
     rank = F.struct("rank_id", "key", "pos")
-    first = materialize(found.groupBy("hi", "lo").agg(F.min(rank).alias("first"), F.max(rank).alias("last")).filter("first <> last").select("hi", "lo", "first"), "first")
-    marks = found.join(first, ["hi", "lo"]).filter(rank != F.col("first")).groupBy("rank_id", "key").agg(F.collect_list("pos").alias("again"))
+    first = materialize(found.groupBy("hi", "lo").agg(F.min(rank).alias("first"), F.max(rank).alias("last"), F.count("*").alias("n")).filter("first <> last").select("hi", "lo", "first", "n"), "first")
+    marks = join_one(found, first, ["hi", "lo"], "n", found.count()).filter(rank != F.col("first")).groupBy("rank_id", "key").agg(F.collect_list("pos").alias("again"))
     spans_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, removed, sizes = [], [], []
             for text, again in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                spans = runs(text, set(again), min_words) if text and again else []
+                spans = runs(text, set(again), stock_words) if text and again else []
                 if spans:
                     edges = [0, *(x for s in spans for x in s), len(text)]
                     text = "".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
@@ -120,9 +122,9 @@ def repeat_rows(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_
     return joined.mapInArrow(remove, T.StructType([whole[0], row, whole[1], *T.StructType.fromDDL("removed array<struct<start:int,end:int>>, n_removed long")]))
 
 
-def repeats(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeats(docs: DataFrame, stock_words: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text, removed, n_removed; only the two named columns are read."""
-    return repeat_rows(docs.select(id_col, text_col), min_words, id_col, text_col).drop("row")
+    return repeat_rows(docs.select(id_col, text_col), stock_words, id_col, text_col).drop("row")
 
 
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

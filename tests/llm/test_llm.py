@@ -98,15 +98,50 @@ def test_pack_unpack(n):
         assert (token_binary.unpack(token_binary.pack(x)[0]) == x).all()
 
 
-def test_sharding(docs, empty):
-    out = sharding.shard(docs, 4).toPandas()
-    assert len(out) == docs.count() and sharding.shard(empty, 4).count() == 0
+def sharded(table, shards):
+    out = sharding.shard(table, shards).toPandas()
     for _, s in out.groupby("shard"):
         assert sorted(s.slot) == list(range(len(s)))
+    want = Counter((None if r.doc_id is None else r.doc_id, len((r.text or "").encode()) + 8, zlib.crc32((r.text or "").encode())) for r in table.collect())
+    assert Counter((None if np.isnan(a) else int(a), b, c) for a, b, c in zip(out.doc_id, out["size"], out.text_crc32, strict=True)) == want
+    return out
+
+
+def test_sharding(docs, empty):
+    out = sharded(docs, 4)
+    assert sharding.shard(empty, 4).count() == 0
     sizes = out.groupby("shard")["size"].sum()
     assert sizes.max() - sizes.min() <= 2 * out["size"].max()
-    want = Counter((None if r.doc_id is None else r.doc_id, len((r.text or "").encode()) + 8, zlib.crc32((r.text or "").encode())) for r in docs.collect())
-    assert Counter((None if np.isnan(a) else int(a), b, c) for a, b, c in zip(out.doc_id, out["size"], out.text_crc32, strict=True)) == want
+
+
+def test_sharding_keeps_groups_whole_unless_they_cannot_fit(spark):
+    """A third of all rows has one text, one id and no other column; groups of 40, 20 and 10 rows have texts of their own."""
+    rng = np.random.default_rng(6)
+    single = [(i, " ".join(rng.choice(list("abcdefgh"), 60))) for i in range(3000)]
+    groups = [(10_000 + 100 * g + i, f"group {g} " + "same " * 22) for g, n in enumerate((40, 40, 20, 20, 10)) for i in range(n)]
+    table = spark.createDataFrame(single + groups + [(None, "everywhere " * 11)] * 1500, "doc_id long, text string").repartition(5)
+    out = sharded(table, 24)
+    sizes = out.groupby("shard")["size"].sum()
+    assert len(sizes) == 24 and sizes.max() - sizes.min() <= 0.03 * sizes.mean()
+    parts = out.groupby("g").shard.nunique()
+    hot = out[out["size"] == len("everywhere " * 11) + 8].g.iloc[0]
+    assert (parts.drop(hot) == 1).all() and parts[hot] >= 8
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_placing_groups(seed):
+    rng = np.random.default_rng(seed)
+    groups = [(i, int(x)) for i, x in enumerate(rng.integers(1, 90, 30))] + [(99, 260)]
+    capacity = sum(b for _, b in groups) / 10 + 20
+    placed, room = sharding.place_groups(groups, [capacity] * 10)
+    load = Counter()
+    for key, size in groups:
+        at = 0
+        for upto, s in placed[key]:
+            load[s] += upto - at
+            at = upto
+        assert at == size and (len(placed[key]) == 1 or size > min(room))
+    assert all(abs(capacity - load[s] - room[s]) < 1e-6 for s in range(10)) and len(placed[99]) >= 2 and min(room) > -1e-6
 
 
 def test_packing(docs, empty, tokenizers_):
@@ -119,6 +154,21 @@ def test_packing(docs, empty, tokenizers_):
     assert out.length.sum() == total and out.sequence_id.nunique() == packing.bound(out.length.to_numpy(), 4096)
 
 
+def test_pieces_of_long_and_odd_documents(spark, tokenizers_):
+    """Every piece against the library: ids, cuts, places. The longest text has over three times the capacity."""
+    rows = [(1, "lorem ipsum dolor " * 5000), (2, None), (2, "x"), (None, "no id"), (3, "same"), (3, "same"), (4, "word " * 4095), (5, "word " * 4096)]
+    out = packing.pack_documents(spark.createDataFrame([(*r, 1, 2, "p") for r in rows], "doc_id long, text string, length int, offset int, piece string"), WORD).toPandas()
+    want = Counter()
+    for i, t in rows:
+        ids = [*tokenizers_[WORD].encode(t or "", add_special_tokens=False).ids, 1]
+        for p, s in enumerate(range(0, len(ids), 4096)):
+            want[i, p, s, len(ids[s : s + 4096]), zlib.crc32(np.array(ids[s : s + 4096], "<u4").tobytes())] += 1
+    got = Counter((None if np.isnan(r.doc_id) else int(r.doc_id), r.piece, r.start, r.length, r.ids_crc32) for r in out.itertuples())
+    assert got == want and max(k[1] for k in want) >= 3
+    for _, s in out.sort_values("offset").groupby("sequence_id"):
+        assert (s.offset == s.length.cumsum() - s.length).all() and s.length.sum() <= 4096
+
+
 def test_bounds_never_exceed_an_optimum():
     rng = np.random.default_rng(3)
     for _ in range(50):
@@ -178,12 +228,60 @@ def test_components_of_a_path_and_a_star(spark):
 def test_repeats(spark, empty):
     passage = " ".join(f"word{i}" for i in range(60)) + "."
     rows = [(3, f"Intro one. {passage} Outro."), (1, f"Other start. {passage}"), (2, "Stock phrase. Own words here."), (4, "Stock phrase. More of it."), (5, None), (None, passage), (6, "")]
-    got = {r.doc_id: r for r in substring_dedup.repeat_rows(spark.createDataFrame([(a, b, "x", 1) for a, b in rows], "doc_id long, text string, again string, key int")).collect()}
+    got = {r.doc_id: r for r in substring_dedup.repeat_rows(spark.createDataFrame([(a, b, "x", 1) for a, b in rows], "doc_id long, text string, again string, key int"), 25).collect()}
     assert got[1].n_removed == 0 and got[3].n_removed > 300 and got[3].text == "Intro one. Outro." and got[None].n_removed > 300
     assert got[3].removed[0].start == len("Intro one.") and got[4].n_removed == 0 and got[5].text is None and got[6].text == ""
     assert got[3].row.again == "x" and substring_dedup.repeats(empty).count() == 0
 
 
+def plain_repeats(rows, stock):
+    """What is left of each text, by plain code: sentence ends and line ends close a unit, blank units join the one behind."""
+    seen, out = {}, {}
+    cut = {}
+    for k, (i, text) in enumerate(rows):
+        spans, start = [], 0
+        for m in re.finditer(r"[.!?]+(?=\s)|\n", text or ""):
+            if text[start : m.end()].strip():
+                spans.append((start, m.end()))
+                start = m.end()
+        if (text or "")[start:].strip():
+            spans.append((start, len(text)))
+        cut[k] = [(a, b, " ".join(text[a:b].lower().split())) for a, b in spans]
+        for p, (_, _, unit) in enumerate(cut[k]):
+            rank = (substring_dedup.LAST if i is None else i, substring_dedup.text_key(text), p)
+            seen[unit] = min(seen.get(unit, rank), rank)
+    for k, (i, text) in enumerate(rows):
+        gone, run = [], []
+        for p, (a, b, unit) in enumerate([*cut[k], (0, 0, None)]):
+            rank = (substring_dedup.LAST if i is None else i, substring_dedup.text_key(text), p)
+            if unit is not None and seen[unit] != rank:
+                run.append((a, b, unit))
+                continue
+            if run and sum(len(u.split()) for _, _, u in run) >= stock:
+                gone.append((run[0][0], run[-1][1]))
+            run = []
+        out.setdefault(i, Counter())[tuple(gone)] += 1
+    return out
+
+
+@pytest.mark.parametrize("stock", [0, 6])
+def test_repeats_equal_plain_code(spark, stock):
+    rng = np.random.default_rng(9)
+    lines = [" ".join(rng.choice(list("abcdef"), rng.integers(1, 6))) + rng.choice([".", "!", "", "?!"]) for _ in range(25)]
+    text = lambda: "".join(rng.choice(lines) + rng.choice([" ", "\n", "\n\n", "  "]) for _ in range(rng.integers(0, 9)))
+    rows = [(int(i), text()) for i in rng.integers(0, 60, 90)] + [(None, text()), (None, lines[0]), (5, None), (5, ""), (7, "\n \n"), (61, "A B. a  b."), (62, "x " * 30_000)]
+    rows += [rows[0], rows[1]]
+    rows = [(i, re.sub("a", lambda m: rng.choice(["a", "A"]), t) if t else t) for i, t in rows]
+    table = spark.createDataFrame([(*r, 1, "k") for r in rows], "doc_id long, text string, pos int, key string").repartition(3)
+    got = substring_dedup.repeat_rows(table, stock).collect()
+    found: dict = {}
+    for r in got:
+        spans = tuple((x.start, x.end) for x in r.removed)
+        found.setdefault(r.doc_id, Counter())[spans] += 1
+        assert r.row.key == "k" and r.n_removed == sum(b - a for a, b in spans)
+    assert found == plain_repeats(rows, stock)
+
+
 def test_token_counts(docs, empty):
     from tokenizers import Tokenizer, models, pre_tokenizers
 
@@ -220,34 +318,64 @@ def test_toxicity_on_held_out_rows(spark, empty):
     assert toxicity.score(empty, labels).count() == 0
 
 
+def neighbours_of(x, ids, got, k=20):
+    """Recall with ties counted as hits; ranks, scores and order are checked on the way."""
+    place = {i: n for n, i in enumerate(ids)}
+    hits = []
+    for q, found in got.groupby("query_id"):
+        found = found.sort_values("rank")
+        own = x[place[q]].astype(float)
+        s = x.astype(float) @ own
+        assert list(found["rank"]) == list(range(1, min(k, len(ids) - 1) + 1)) and q not in set(found.vec_id)
+        exact = [float(sum(a * b for a, b in zip(own.tolist(), x[place[v]].astype(float).tolist(), strict=True))) for v in found.vec_id]
+        assert np.allclose(found.score, exact, rtol=1e-12, atol=1e-12)
+        order = list(zip(-found.score, found.vec_id, strict=True))
+        assert order == sorted(order)
+        s[place[q]] = -np.inf
+        bound = np.sort(s)[-min(k, len(ids) - 1)]
+        hits.append((s[[place[v] for v in found.vec_id]] >= bound - 1e-9).mean())
+    return np.mean(hits)
+
+
 def test_nearest_neighbours(spark):
     rng = np.random.default_rng(5)
     x = rng.standard_normal((600, 16)).astype(np.float32)
     x[50:90] = x[50]
-    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(1000, None), (1001, [0.0] * 16), (1002, [float("nan")] * 16), (1003, [None] * 16), (None, [1.0] * 16)]
-    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit(1))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(1000, None), (1001, [0.0] * 16), (1002, [float("nan")] * 16), (1003, [None] * 16), (None, [1.0] * 16), (599, x[599].tolist())]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit(1)).withColumn("node", F.lit("n"))
     got = ann.nearest(table).toPandas()
-    s = x.astype(float) @ x.astype(float).T
-    hits = []
-    for q, found in got.groupby("query_id"):
-        order = sorted((i for i in range(600) if i != q), key=lambda i: (-round(s[q, i], 9), i))[:20]
-        assert list(found.sort_values("rank")["rank"]) == list(range(1, 21))
-        hits.append(len(set(order) & set(found.vec_id)) / 20)
-    assert len(hits) == 30 and np.mean(hits) >= 0.9
+    assert got.query_id.nunique() == 30 and neighbours_of(x, list(range(600)), got) >= 0.95
+    same = got[got.query_id == 60].sort_values("rank").vec_id.tolist()
+    assert same == [i for i in range(50, 90) if i != 60][:20]  # equal vectors: the least ids
     assert ann.nearest(table.limit(0)).count() == 0
+    few = spark.createDataFrame([(i, x[i].tolist()) for i in (0, 20, 41)], "vec_id long, embedding array<float>")
+    assert sorted((r.query_id, r.vec_id) for r in ann.nearest(few).collect()) == [(0, 20), (0, 41), (20, 0), (20, 41)]
+    with pytest.raises(ValueError, match="components"):
+        ann.nearest(table.union(spark.createDataFrame([(2000, [1.0, 2.0], 1, "n")], table.schema)))
+
+
+@pytest.mark.parametrize(("n", "spread"), [(12_000, 0.0), (2_000, 0.8)])
+def test_nearest_neighbours_without_clusters(spark, n, spread):
+    """Isotropic vectors, of one length or of very unequal ones, which tells inner products from angles."""
+    rng = np.random.default_rng(11)
+    x = rng.standard_normal((n, 64))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True) * np.exp(spread * rng.standard_normal((n, 1)))).astype(np.float32)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = ann.nearest(table, k=20, every=40).toPandas()
+    assert got.query_id.nunique() == n // 40 and neighbours_of(x, list(range(n)), got) >= 0.9
 
 
-def test_nearest_neighbours_without_clusters(spark):
-    """Isotropic vectors, far more than a fixed budget of neighbours reaches."""
-    n = 12000
-    x = np.random.default_rng(11).standard_normal((n, 96)).astype(np.float32)
+def test_graph_reaches_the_true_neighbours(spark):
+    """NN-descent against brute force, and no search."""
+    x = np.random.default_rng(3).standard_normal((3000, 24)).astype(np.float32)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
-    got = ann.nearest(table, k=20, every=60).toPandas()
-    s = x[::60] @ x.T
-    s[np.arange(len(s)), np.arange(0, n, 60)] = -2
-    order = np.argsort(-s, axis=1)[:, :20]
-    assert np.mean([len(set(order[q // 60]) & set(f.vec_id)) / 20 for q, f in got.groupby("query_id")]) >= 0.9 and got.query_id.nunique() == n // 60
+    ready, count = ann._ready(spark.createDataFrame([(i, v.astype(float).tolist()) for i, v in enumerate(x)], "node long, v array<double>"), 24)
+    graph = ann.build_graph(ready, count).toPandas()
+    s = x @ x.T
+    np.fill_diagonal(s, -2)
+    true = np.argsort(-s, axis=1)[:, :10]
+    near = {u: set(g.v) for u, g in graph.groupby("u")}
+    assert np.mean([len(near[u] & set(true[u])) / 10 for u in range(3000)]) >= 0.9 and max(map(len, near.values())) == ann.near_of(3000)
 
 
 def test_pipeline(spark):
