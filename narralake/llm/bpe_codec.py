@@ -33,7 +33,7 @@ from narralake.llm.common import bound_arrow, id_and_text, materialize, slices
 from narralake.llm.encoding import _byte_letters, encoder
 
 WINDOW, MEAN, LEAST = 24, 1024, 128
-SLICE, SALTS = 2 << 20, 64
+SLICE, SALTS, MEMO = 2 << 20, 64, 32 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _POWERS: dict[str, np.ndarray] = {}
@@ -253,7 +253,7 @@ def encode(docs: DataFrame, vocabulary: str, ranks: str | None = None, id_col: s
     def encode_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        tokens, expand = encoder(vocabulary, ranks), zstandard.ZstdDecompressor()
+        tokens, expand = encoder(vocabulary, ranks, MEMO), zstandard.ZstdDecompressor()
         for whole in batches:
             for batch in _sliced(whole):
                 keys, parts = [], []
@@ -272,7 +272,7 @@ def encode(docs: DataFrame, vocabulary: str, ranks: str | None = None, id_col: s
     kind = pa.schema([("doc_id", pa.int64()), ("copies", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary()), *([("decoded", pa.string())] if decoded else [])])
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = encoder(vocabulary, ranks)
+        tokens = encoder(vocabulary, ranks, MEMO)
         lengths, places_, raw = _table_of(vocabulary, tokens.tokenizer)
         for whole in batches:
             for part in _sliced(whole):
@@ -290,7 +290,7 @@ def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
     bound_arrow(encoded.sparkSession)
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _table_of(vocabulary, encoder(vocabulary).tokenizer)
+        table = _table_of(vocabulary, encoder(vocabulary, None, MEMO).tokenizer)
         for whole in batches:
             for batch in slices(whole, whole.schema.get_field_index("ids"), SLICE):
                 found = [np.frombuffer(ids or b"", "<u4") for ids in batch.column("ids").to_pylist()]

@@ -30,10 +30,13 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in keep else chr(next(rest)) for b in range(256)]
 
 
+MEMO = 96 << 20
+
+
 class Memo(dict):
     """piece -> ids as little-endian unsigned 16-bit integers; emptied when it holds more than about `limit` bytes."""
 
-    def __init__(self, encode, limit: int = 32 << 20):
+    def __init__(self, encode, limit: int):
         self.encode, self.limit, self.held = encode, limit, 0
 
     def __missing__(self, piece: str) -> bytes:
@@ -53,10 +56,10 @@ class Encoder:
     """ids of whole texts, equal to the tokenizers library's with add_special_tokens=False.
 
     path: a tokenizer file; ranks: for a byte-level vocabulary, the same vocabulary as a rank file, which is only
-    used to encode single pieces faster.
+    used to encode single pieces faster; memo: bytes that each table of pieces may hold.
     """
 
-    def __init__(self, path: str, ranks: str | None = None):
+    def __init__(self, path: str, ranks: str | None = None, memo: int = MEMO):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -71,12 +74,12 @@ class Encoder:
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(ranks, "rb"))}
             fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
             self.spaces_count = True
-            self.first, self.rest = Memo(fast.encode_ordinary), Memo(lambda piece: fast.encode_ordinary(" " + piece))
+            self.first, self.rest = Memo(fast.encode_ordinary, memo), Memo(lambda piece: fast.encode_ordinary(" " + piece), memo)
         else:
             self.spaces_count = False
             self.letters = _byte_letters()
-            self.words = Memo(self._word)
-            self.first = self.rest = Memo(self._piece)
+            self.words = Memo(self._word, memo)
+            self.first = self.rest = Memo(self._piece, memo)
 
     def plain(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -132,6 +135,9 @@ class Encoder:
 _ENCODERS: dict[tuple, Encoder] = {}
 
 
-def encoder(path: str, ranks: str | None = None) -> Encoder:
+def encoder(path: str, ranks: str | None = None, memo: int = MEMO) -> Encoder:
     """One encoder for each vocabulary and Python worker."""
-    return _ENCODERS.setdefault((path, ranks), None) or _ENCODERS.__setitem__((path, ranks), Encoder(path, ranks)) or _ENCODERS[path, ranks]
+    key = (path, ranks, memo)
+    if key not in _ENCODERS:
+        _ENCODERS[key] = Encoder(path, ranks, memo)
+    return _ENCODERS[key]

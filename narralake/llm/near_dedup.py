@@ -4,15 +4,16 @@
    form one class, and only a class's least document goes on.
 2. Every BAND minima make a bucket key (BANDS of them). Of each bucket the member that lies in the most crowded
    buckets overall is the pivot; all members are compared with it on their whole sets. Most links of a group of copies
-   come from that, one comparison a member.
+   come from that, one comparison a member. A pivot's members are dealt to SALTS groups, each of which gets the pivot's
+   set once; crowded buckets are kept out of the joins' shuffles.
 3. Buckets that still hold several components are compared for the rest: members outside the pivot's component against
    all others, in blocks, by the share of equal minima (ESTIMATE or more, in the first band that both share), and what
    passes on whole sets. Pairs inside one component are never formed.
 4. Large-star and small-star give the components.
-A pair of similarity 0.8 shares no band with a chance of 4.6e-8, and falls short of ESTIMATE with one of 3e-4 (512
-minima of 8 bits have a standard deviation of 0.018); higher
-similarities are lost far more rarely. The residual blocks grow with (members outside the pivot's component) times
-(members), the price of missing no link there.
+A pair of similarity 0.8 shares no band with a chance of 4.6e-8, and falls short of ESTIMATE with one under 1e-14 (512
+minima of 8 bits have a standard deviation of 0.018, ESTIMATE lies eight of them below); higher similarities are lost
+far more rarely. The residual blocks grow with (members outside the pivot's component) times (members), the price of
+missing no link there.
 
 Nulls: a null id takes no part and is its own component (null); texts without words are linked with nothing. Empty
 tables give no rows; rows repeated under one id share its component. Other columns are not read.
@@ -28,11 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from narralake.llm.common import bound_arrow, id_and_text, materialize, slices
+from narralake.llm.common import bound_arrow, id_and_text, join_one, materialize, slices
 from narralake.llm.components import components
 from narralake.llm.shingles import shingle_sets
 
-BANDS, BAND, HASHES, BLOCK, ESTIMATE = 32, 4, 512, 256, 0.74
+BANDS, BAND, HASHES, BLOCK, ESTIMATE, SALTS = 32, 4, 512, 256, 0.66, 256
 _rng = np.random.default_rng(20_240_607)
 _A = _rng.integers(0, 1 << 32, HASHES, dtype=np.uint32) | np.uint32(1)
 _B = _rng.integers(0, 1 << 32, HASHES, dtype=np.uint32)
@@ -78,26 +79,39 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(sets, "id long, shingles binary")
 
 
+def _alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """100 * common >= percent * union, of sorted distinct values."""
+    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+        return False
+    both = np.concatenate([x, y])
+    both.sort()
+    common = int((both[1:] == both[:-1]).sum())
+    return 100 * common >= percent * (len(both) - common)
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets have 100 * common >= percent * union."""
+    """The pairs (a, b) whose whole sets are alike. b's set goes to a's group of its salt, a's set once to each of these groups."""
     kind = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (a, salt, b, shingles) come sorted by group, a's own with b null first; one set of a is held at a time."""
+        group, own = None, None
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
-                    keep.append(False)
-                    continue
-                both = np.concatenate([x, y])
-                both.sort()
-                common = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * common >= percent * (len(both) - common))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], schema=kind).filter(pa.array(keep, pa.bool_()))
-
-    left, right = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(confirm, "a long, b long")
+            left, right = [], []
+            for a, salt, b, held in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
+                found = np.frombuffer(held.as_buffer(), np.uint64)
+                if b is None:
+                    group, own = (a, salt), found.copy()
+                elif group == (a, salt) and _alike(own, found, percent):
+                    left.append(min(a, b))
+                    right.append(max(a, b))
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], schema=kind)
+
+    dealt = pairs.select("a", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int").alias("salt"), "b")
+    members = dealt.join(sets.withColumnRenamed("id", "b"), "b").select("a", "salt", "b", "shingles")
+    heads = dealt.select("a", "salt").distinct().join(sets.withColumnRenamed("id", "a"), "a").select("a", "salt", F.lit(None).cast("long").alias("b"), "shingles")
+    rows = heads.unionByName(members).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
+    return rows.mapInArrow(confirm, "a long, b long").distinct()
 
 
 def _compare_block(ids: np.ndarray, comp: np.ndarray, side: np.ndarray, band: int, sketch: np.ndarray, keys: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -163,26 +177,27 @@ def near_components(docs: DataFrame, k: int = 4, percent: int = 80, id_col: str
     sigs = materialize(owned.select(F.col("doc_id").alias("id"), "sig", "sketch"), "reps")
     bands = sigs.select("id", F.posexplode(F.array(*[F.xxhash64(F.substring("sig", 4 * BAND * b + 1, 4 * BAND), F.lit(b)) for b in range(BANDS)])).alias("band", "bucket"))
     crowd = materialize(bands.groupBy("band", "bucket").agg(F.count("*").alias("m")).filter("m > 1"), "crowd")
-    members = materialize(bands.join(crowd, ["band", "bucket"]), "members")
+    banded = BANDS * sigs.count()
+    members = materialize(join_one(bands, crowd, ["band", "bucket"], "m", banded), "members")
     weight = materialize(members.groupBy("id").agg(F.sum("m").alias("w")), "weight")
-    pivots = materialize(members.join(weight, "id").groupBy("band", "bucket").agg(F.max(F.struct("w", (-F.col("id")).alias("minus"))).alias("top")).select("band", "bucket", (-F.col("top.minus")).alias("pivot")), "pivots")
-    pairs = materialize(members.join(pivots, ["band", "bucket"]).filter("id <> pivot").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct(), "pairs")
+    pivots = materialize(members.join(weight, "id").groupBy("band", "bucket").agg(F.max(F.struct("w", (-F.col("id")).alias("minus"))).alias("top"), F.count("*").alias("n")).select("band", "bucket", (-F.col("top.minus")).alias("pivot"), "n"), "pivots")
+    pairs = materialize(join_one(members, pivots, ["band", "bucket"], "n", banded).filter("id <> pivot").groupBy(F.least("id", "pivot").alias("lo"), F.greatest("id", "pivot").alias("hi")).agg(F.max("pivot").alias("a")).select("a", (F.col("lo") + F.col("hi") - F.col("a")).alias("b")), "pairs")
     sets = materialize(_sets(texts.join(weight.select(F.col("id").alias("doc_id")), "doc_id", "left_semi"), k), "sets")
     links = materialize(_confirmed(pairs, sets, percent), "links")
     comps = materialize(components(links), "components")
     # What is left: buckets with several components.
     named = materialize(members.join(comps, "id", "left").withColumn("component", F.coalesce("component", "id")), "named")
     left = named.groupBy("band", "bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("band", "bucket")
-    first = pivots.join(left, ["band", "bucket"], "left_semi").join(comps.withColumnRenamed("component", "main"), F.col("pivot") == F.col("id"), "left").select("band", "bucket", F.coalesce("main", "pivot").alias("main"))
+    first = pivots.join(left, ["band", "bucket"], "left_semi").join(comps.withColumnRenamed("component", "main"), F.col("pivot") == F.col("id"), "left").select("band", "bucket", F.coalesce("main", "pivot").alias("main"), "n")
     first = materialize(first, "left")
-    open_ = materialize(named.join(first, ["band", "bucket"]).withColumn("rest", F.col("component") != F.col("main")).drop("main"), "open")
-    counts = materialize(open_.groupBy("band", "bucket").agg(F.ceil(F.sum(F.col("rest").cast("int")) / BLOCK).cast("int").alias("nr"), F.ceil(F.sum((~F.col("rest")).cast("int")) / BLOCK).cast("int").alias("nm")), "blocks")
+    open_ = materialize(join_one(named, first, ["band", "bucket"], "n", banded).drop("n").withColumn("rest", F.col("component") != F.col("main")).drop("main"), "open")
+    counts = materialize(open_.groupBy("band", "bucket").agg(F.ceil(F.sum(F.col("rest").cast("int")) / BLOCK).cast("int").alias("nr"), F.ceil(F.sum((~F.col("rest")).cast("int")) / BLOCK).cast("int").alias("nm"), F.count("*").alias("n")), "blocks")
     block = F.pmod(F.xxhash64("id", F.lit(7)), F.when(F.col("rest"), F.col("nr")).otherwise(F.greatest("nm", F.lit(1)))).cast("int")
     # Rest blocks i <= j meet each other, and every rest block meets every main block. Side 1: the lesser rest block, 2: the other block, 0: both.
     own = F.transform(F.sequence(F.lit(0), F.col("nr") - 1), lambda j: F.struct(F.least(j, F.col("block")).alias("i"), F.greatest(j, F.col("block")).alias("j"), F.when(j == F.col("block"), 0).when(j > F.col("block"), 1).otherwise(2).alias("side")))
     with_main = F.when(F.col("nm") > 0, F.transform(F.sequence(F.lit(0), F.greatest(F.col("nm"), F.lit(1)) - 1), lambda j: F.struct(F.col("block").alias("i"), (-1 - j).alias("j"), F.lit(1).alias("side")))).otherwise(F.array().cast("array<struct<i:int,j:int,side:int>>"))
     as_main = F.transform(F.sequence(F.lit(0), F.col("nr") - 1), lambda i: F.struct(i.alias("i"), (-1 - F.col("block")).alias("j"), F.lit(2).alias("side")))
-    dealt = open_.join(counts, ["band", "bucket"]).withColumn("block", block).select("band", "bucket", "id", "component", F.explode(F.when(F.col("rest"), F.concat(own, with_main)).otherwise(as_main)).alias("x")).select("band", "bucket", "id", "component", "x.i", "x.j", "x.side")
+    dealt = join_one(open_, counts, ["band", "bucket"], "n", banded).withColumn("block", block).select("band", "bucket", "id", "component", F.explode(F.when(F.col("rest"), F.concat(own, with_main)).otherwise(as_main)).alias("x")).select("band", "bucket", "id", "component", "x.i", "x.j", "x.side")
     block_pair = ["band", "bucket", "i", "j"]
     sketches = sigs.select("id", "sketch", F.array(*[F.pmod(F.xxhash64(F.substring("sig", 4 * BAND * b + 1, 4 * BAND), F.lit(b)), F.lit((1 << 31) - 1)).cast("int") for b in range(BANDS)]).alias("keys"))
     close = dealt.join(sketches, "id").select(*block_pair, "id", "component", "side", "sketch", "keys").repartition(*block_pair).sortWithinPartitions(*block_pair).mapInArrow(_compare, "a long, b long")
