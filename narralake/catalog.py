@@ -99,17 +99,64 @@ entry("timeline_report", consistency.timeline_report, f"SELECT s.story_id, total
 entry("alert_severity", records.alert_severity_rows, "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'critical' WHEN 1 THEN 'high' WHEN 2 THEN 'medium' ELSE 'low' END AS severity FROM {part}")
 
 # Validation
-_EDGES = "(SELECT 'KNOWS' AS edge_type, CASE WHEN ship_day < order_day THEN 'Rule ''prevent_invalid_knows_edges'' failed: Knowledge valid from is before the character was created' WHEN order_day > ship_day THEN 'Rule ''enforce_temporal_consistency'' failed: created_at cannot be after updated_at' WHEN ship_day > 19990101 THEN 'Rule ''enforce_temporal_consistency'' failed: valid_from cannot be after valid_to' ELSE '' END AS error FROM {facts} UNION ALL SELECT 'OWNS', CASE WHEN ship_day > order_day THEN 'Rule ''ownership_temporal'' failed: Ownership cannot end before it starts' ELSE '' END FROM {facts} UNION ALL SELECT 'RELATIONSHIP', CASE WHEN l_suppkey = l_partkey % 10 + 1 THEN 'Rule ''prevent_relationship_self_loops'' failed: Self-loop detected' WHEN order_day > ship_day THEN 'Rule ''enforce_temporal_consistency'' failed: created_at cannot be after updated_at' ELSE '' END FROM {facts} UNION ALL SELECT 'PRESENT_IN', CASE WHEN l_linenumber < 2 THEN 'Rule ''validate_scene_order'' failed: Scene order must be non-negative' ELSE '' END FROM {facts})"
-entry("validate_edges", validation.validation_counts, f"SELECT edge_type, error, count(*) AS n FROM {_EDGES} x GROUP BY 1, 2")
-entry("validation_stats", validation.validation_stats, f"SELECT edge_type, count(*) AS total, sum((error = '')::INT) AS valid FROM {_EDGES} x GROUP BY 1")
-entry("rpg_variable", validation.rpg_variables, "WITH v AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'integer' WHEN 1 THEN 'float' WHEN 2 THEN 'boolean' ELSE 'string' END AS data_type, CASE event_id % 3 WHEN 0 THEN CAST(event_id AS STRING) WHEN 1 THEN event_type ELSE 'true' END AS value FROM {events}) SELECT *, CASE data_type WHEN 'integer' THEN regexp_full_match(value, '[0-9]+') WHEN 'float' THEN regexp_full_match(value, '[0-9]+') WHEN 'boolean' THEN value IN ('true', 'false') ELSE true END AS is_valid FROM v")
-entry("rpg_switch", validation.rpg_switches, "WITH v AS (SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN '' ELSE p_name END AS name, CASE WHEN p_partkey % 7 = 0 THEN 'yes' WHEN p_partkey % 2 = 0 THEN 'true' ELSE 'false' END AS is_on FROM {part}) SELECT *, name <> '' AND is_on <> 'yes' AS is_valid FROM v")
-entry("temporal_pair", validation.temporal_pair, "SELECT knowledge_id, order_day <= ship_day AS is_valid FROM {facts}")
-entry("constraint_violations", validation.constraint_violations, "SELECT 'unique_line' AS name, count(*) AS n FROM (SELECT 1 FROM {lineitem} GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1) a UNION ALL SELECT 'unique_item_name', count(*) FROM (SELECT 1 FROM {part} GROUP BY p_name HAVING count(*) > 1) a UNION ALL SELECT 'unique_scene_order', count(*) FROM (SELECT 1 FROM {occurs_in} GROUP BY location_id, scene_order HAVING count(*) > 1) a UNION ALL SELECT 'valid_to_present', count(*) FROM {knowledge} WHERE valid_to IS NULL UNION ALL SELECT 'size_1_to_10', count(*) FROM {part} WHERE p_size NOT BETWEEN 1 AND 10")
-entry("scene_gaps", validation.scene_gaps, "SELECT o_custkey, previous, scene_id FROM (SELECT o_custkey, scene_id, lag(scene_id) OVER (PARTITION BY o_custkey ORDER BY scene_id) AS previous FROM {scenes}) x WHERE scene_id - previous > 1000")
-entry("early_presence", validation.early_presence, "SELECT character_id, count(*) AS n FROM {present_in} p JOIN {scenes} s ON p.scene_id = s.scene_id WHERE scene_order < 19960101 GROUP BY 1")
+_KNOWS_RULE = "CASE WHEN l_linenumber = 7 OR ship_day < order_day THEN 'prevent_invalid_knows_edges' WHEN ship_day > 19990101 THEN 'validate_temporal_consistency' ELSE '' END"
+_VALUE = "CASE l_linenumber WHEN 1 THEN '10' WHEN 2 THEN '\"ten\"' WHEN 3 THEN '\"true\"' WHEN 4 THEN 'true' WHEN 5 THEN '2.5' WHEN 6 THEN '\"7\"' END"
+_VARIABLE_RULE = f"CASE WHEN {_VALUE} IS NULL THEN '' WHEN l_partkey % 4 = 0 AND l_linenumber IN (2, 3) OR l_partkey % 4 = 1 AND l_linenumber IN (2, 3) OR l_partkey % 4 = 2 AND l_linenumber IN (1, 2, 5, 6) OR l_partkey % 4 = 3 AND l_linenumber IN (1, 4, 5) THEN 'validate_rpg_variable' ELSE '' END"
+_EDGES = f"(SELECT 'KNOWS' AS edge_type, {_KNOWS_RULE} AS rule FROM {{facts}} UNION ALL SELECT 'OWNS', CASE WHEN ship_day > order_day THEN 'validate_ownership_temporal_logic' ELSE '' END FROM {{facts}} UNION ALL SELECT 'RELATIONSHIP', CASE WHEN l_linenumber = 7 OR l_suppkey = l_partkey % 10 + 1 THEN 'prevent_relationship_self_loops' WHEN order_day > ship_day THEN 'validate_temporal_consistency' ELSE '' END FROM {{facts}} UNION ALL SELECT 'PRESENT_IN', CASE WHEN l_linenumber = 7 OR l_linenumber < 2 THEN 'validate_scene_order' ELSE '' END FROM {{facts}} UNION ALL SELECT 'HAS_VARIABLE', {_VARIABLE_RULE} FROM {{facts}} UNION ALL SELECT 'HAS_SWITCH', CASE WHEN l_linenumber IN (1, 2, 3) THEN 'validate_rpg_switch' ELSE '' END FROM {{facts}} UNION ALL SELECT 'CONNECTED_TO', CASE WHEN l_linenumber = 7 OR l_suppkey % 25 = l_partkey % 25 THEN 'validate_location_connection' ELSE '' END FROM {{facts}} UNION ALL SELECT 'LEADS_TO', CASE WHEN l_linenumber < 3 AND l_suppkey % 25 = l_partkey % 25 THEN 'validate_location_connection' ELSE '' END FROM {{facts}})"
+entry("validate_edges", validation.validation_counts, f"SELECT edge_type, rule, count(*) AS n FROM {_EDGES} x GROUP BY 1, 2")
+entry("validation_stats", validation.validation_stats, f"SELECT r.rule, count(x.rule) AS failed, (SELECT count(*) FROM {_EDGES} y) AS total FROM (VALUES ('prevent_invalid_knows_edges'), ('prevent_relationship_self_loops'), ('validate_temporal_consistency'), ('validate_ownership_temporal_logic'), ('validate_scene_order'), ('validate_rpg_variable'), ('validate_rpg_switch'), ('validate_location_connection')) r(rule) LEFT JOIN {_EDGES} x ON x.rule = r.rule GROUP BY 1")
+entry("validation_errors", validation.validation_errors, f"SELECT concat('Rule ''', rule, ''' failed: ', message) AS error, count(*) AS n FROM (SELECT 'prevent_invalid_knows_edges' AS rule, CASE WHEN l_linenumber = 7 THEN 'Character must have creation timestamp' ELSE 'Knowledge valid from but character created at' END AS message FROM {{facts}} WHERE l_linenumber = 7 OR ship_day < order_day UNION ALL SELECT 'validate_temporal_consistency', 'Knowledge valid_from cannot be after valid_to' FROM {{facts}} WHERE l_linenumber <> 7 AND ship_day >= order_day AND ship_day > 19990101 UNION ALL SELECT 'validate_ownership_temporal_logic', 'ownership_start cannot be after ownership_end' FROM {{facts}} WHERE ship_day > order_day UNION ALL SELECT 'prevent_relationship_self_loops', CASE WHEN l_linenumber = 7 THEN 'Both nodes must have valid IDs' ELSE 'Self-loop detected: character cannot have relationship with itself' END FROM {{facts}} WHERE l_linenumber = 7 OR l_suppkey = l_partkey % 10 + 1 UNION ALL SELECT 'validate_temporal_consistency', 'created_at cannot be after updated_at' FROM {{facts}} WHERE l_linenumber <> 7 AND l_suppkey <> l_partkey % 10 + 1 AND order_day > ship_day UNION ALL SELECT 'validate_scene_order', CASE WHEN l_linenumber = 7 THEN 'Scene must have scene_order' ELSE 'Scene order must be non-negative' END FROM {{facts}} WHERE l_linenumber IN (1, 7) UNION ALL SELECT 'validate_rpg_variable', CASE l_partkey % 4 WHEN 0 THEN 'Value incompatible with integer' WHEN 1 THEN 'Value incompatible with float' WHEN 2 THEN 'Variable value must be boolean' ELSE 'Variable value must be a string' END FROM {{facts}} WHERE {_VARIABLE_RULE} <> '' UNION ALL SELECT 'validate_rpg_switch', CASE WHEN l_linenumber < 3 THEN 'Switch name cannot be empty' ELSE 'Switch is_on must be boolean' END FROM {{facts}} WHERE l_linenumber < 4 UNION ALL SELECT 'validate_location_connection', CASE WHEN l_linenumber = 7 THEN 'Both locations must have identifiers' ELSE 'Location cannot connect to itself' END FROM {{facts}} WHERE l_linenumber = 7 OR l_suppkey % 25 = l_partkey % 25 UNION ALL SELECT 'validate_location_connection', 'Location cannot connect to itself' FROM {{facts}} WHERE l_linenumber < 3 AND l_suppkey % 25 = l_partkey % 25) x GROUP BY 1")
+entry("rpg_variable", validation.rpg_variables, "WITH v AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'integer' WHEN 1 THEN 'float' WHEN 2 THEN 'boolean' ELSE 'string' END AS data_type, CASE event_id % 5 WHEN 0 THEN CAST(event_id AS STRING) WHEN 1 THEN concat('\"', event_type, '\"') WHEN 2 THEN '\"true\"' WHEN 3 THEN '2.5' ELSE 'true' END AS value FROM {events}) SELECT *, CASE data_type WHEN 'integer' THEN event_id % 5 IN (0, 3, 4) WHEN 'float' THEN event_id % 5 IN (0, 3, 4) WHEN 'boolean' THEN event_id % 5 IN (2, 4) ELSE event_id % 5 IN (1, 2) END AS is_valid FROM v")
+entry("rpg_switch", validation.rpg_switches, "SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN '\"\"' ELSE concat('\"', p_name, '\"') END AS name, CASE WHEN p_partkey % 7 = 0 THEN '\"yes\"' WHEN p_partkey % 7 = 1 THEN '\"true\"' WHEN p_partkey % 2 = 0 THEN 'true' ELSE 'false' END AS is_on, p_partkey % 5 <> 0 AND p_partkey % 7 > 1 AS is_valid FROM {part}")
+entry("temporal_pair", validation.temporal_pair, "SELECT knowledge_id, CASE WHEN l_linenumber = 5 THEN 'Temporal validation error' WHEN l_linenumber <> 6 AND order_day > ship_day THEN concat('valid_from (', strftime(o_orderdate, '%Y-%m-%dT00:00:00Z'), ') must be <= valid_to (', strftime(l_shipdate, '%Y-%m-%dT00:00:00+00:00'), ')') ELSE '' END AS error FROM {facts}")
+_COUNTS = {
+    "episode_id_unique": "SELECT 1 FROM {events} GROUP BY event_id HAVING count(*) > 1",
+    "character_id_unique": "SELECT 1 FROM {characters} GROUP BY character_id HAVING count(*) > 1",
+    "knowledge_id_unique": "SELECT 1 FROM {knowledge} GROUP BY knowledge_id HAVING count(*) > 1",
+    "scene_id_unique": "SELECT 1 FROM {scenes} GROUP BY scene_id HAVING count(*) > 1",
+    "location_id_unique": "SELECT 1 FROM {locations} GROUP BY location_id HAVING count(*) > 1",
+    "item_id_unique": "SELECT 1 FROM {items} GROUP BY item_id HAVING count(*) > 1",
+    "character_name_per_story": "SELECT 1 FROM {characters} GROUP BY name, story_id, user_id HAVING count(*) > 1",
+    "scene_order_per_story": "SELECT 1 FROM {casts} c JOIN {scenes} s ON s.scene_id = c.scene_id GROUP BY story_id, scene_order HAVING count(DISTINCT c.scene_id) > 1",
+    "location_name_per_story": "SELECT 1 FROM {locations} GROUP BY name HAVING count(*) > 1",
+    "item_name_per_project": "SELECT 1 FROM {part} GROUP BY p_name, p_brand HAVING count(*) > 1",
+    "line_unique": "SELECT 1 FROM {lineitem} GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1",
+    "episode_type_present": "SELECT 1 FROM {events} WHERE event_id IS NULL",
+    "episode_required": "SELECT 1 FROM {events} WHERE event_id IS NULL OR user_id IS NULL OR ts IS NULL",
+    "character_required": "SELECT 1 FROM {characters} WHERE character_id IS NULL OR name IS NULL OR story_id IS NULL OR user_id IS NULL",
+    "knowledge_content_required": "SELECT 1 FROM {knowledge} WHERE content IS NULL",
+    "knowledge_end_required": "SELECT 1 FROM {knowledge} WHERE valid_to IS NULL",
+    "episode_type_allowed": "SELECT 1 FROM {parents} WHERE parent IS NOT NULL AND episode % 10 = 5",
+    "significance_0_10": "SELECT 1 FROM {events} WHERE floor(value / 8) NOT BETWEEN 0 AND 10",
+    "secret_level_0_10": "SELECT 1 FROM {relationships} WHERE established_at NOT BETWEEN 0 AND 10",
+    "strength_1_10": "SELECT 1 FROM {relationships} WHERE relationship_strength NOT BETWEEN 1 AND 10",
+    "trust_1_10": "SELECT 1 FROM {relationships} WHERE trust_level NOT BETWEEN 1 AND 10",
+    "intensity_1_10": "SELECT 1 FROM {met} WHERE n % 12 NOT BETWEEN 1 AND 10",
+    "interaction_weight_1_10": "SELECT 1 FROM {met} WHERE n NOT BETWEEN 1 AND 10",
+    "screen_overlap_0_1440": "SELECT 1 FROM {met} WHERE lines * 60 NOT BETWEEN 0 AND 1440",
+    "partner_status_allowed": "SELECT 1 FROM {met} WHERE n % 3 <> 0",
+    "alert_severity_allowed": "SELECT 1 FROM {events} WHERE event_type = 'error' AND event_id % 5 = 4",
+    "alert_status_allowed": "SELECT 1 FROM {events} WHERE event_type = 'error' AND event_id % 4 = 3",
+}
+entry("constraint_violations", validation.constraint_violations, " UNION ALL ".join(f"SELECT '{name}' AS name, count(*) AS n FROM ({sql}) x" for name, sql in _COUNTS.items()))
+entry("scene_gaps", validation.scene_gaps, "WITH n AS (SELECT o_custkey, scene_id, row_number() OVER (PARTITION BY o_custkey ORDER BY scene_order, scene_id) AS number FROM {scenes}), p AS (SELECT *, lag(number) OVER (PARTITION BY o_custkey ORDER BY scene_id) AS previous FROM n) SELECT o_custkey, scene_id, previous, number FROM p WHERE number <> previous + 1")
+entry("early_presence", validation.early_presence, "WITH s AS (SELECT character_id, scene_order, dialogue_count FROM {present_in} p JOIN {scenes} s ON p.scene_id = s.scene_id), f AS (SELECT character_id, min(scene_order) AS first_appearance FROM s WHERE dialogue_count >= 2 GROUP BY 1) SELECT s.character_id, first_appearance, count(*) AS n FROM s JOIN f ON s.character_id = f.character_id AND scene_order < first_appearance GROUP BY 1, 2")
 entry("early_ownership", validation.early_ownership, "SELECT own_id, item_id, ownership_start, introduced FROM {owns} JOIN (SELECT l_partkey, min(order_day) AS introduced FROM {facts} GROUP BY 1) i ON item_id = l_partkey WHERE ownership_start < introduced")
-entry("schema_property", validation.schema_property, "SELECT 'o_orderpriority' AS property, count(*) AS n FROM {orders} WHERE o_orderpriority NOT IN ('1-URGENT', '2-HIGH', '3-MEDIUM') UNION ALL SELECT 'p_size', count(*) FROM {part} WHERE p_size NOT BETWEEN 1 AND 40")
+
+
+def _unfit(kind: str, column: str, table: str, allowed: str, shown: str) -> str:
+    return f"SELECT '{kind}' AS kind, '{column}' AS property, concat('Value ''', coalesce({column}, 'None'), ''' not in allowed enum values: {shown}') AS error, count(*) AS n FROM {{{table}}} WHERE {column} IS NULL OR {column} NOT IN ({allowed}) GROUP BY 3"
+
+
+entry("schema_property", validation.schema_property, " UNION ALL ".join([
+    _unfit("Knowledge", "knowledge_type", "knowledge", "'factual', 'relationship', 'emotional', 'social', 'secret'", "[''factual'', ''relationship'', ''emotional'', ''social'', ''secret'']"),
+    _unfit("Knowledge", "importance_level", "knowledge", "'critical', 'important', 'minor'", "[''critical'', ''important'', ''minor'']"),
+    _unfit("Knowledge", "verification_status", "knowledge", "'confirmed', 'suspected', 'false', 'unknown'", "[''confirmed'', ''suspected'', ''false'', ''unknown'']"),
+    _unfit("RELATIONSHIP", "relationship_type", "relationships", "'family', 'friend', 'enemy', 'ally', 'romantic', 'professional', 'stranger'", "[''family'', ''friend'', ''enemy'', ''ally'', ''romantic'', ''professional'', ''stranger'']"),
+    _unfit("RELATIONSHIP", "emotional_valence", "relationships", "'love', 'like', 'neutral', 'dislike', 'hate'", "[''love'', ''like'', ''neutral'', ''dislike'', ''hate'']"),
+    _unfit("PRESENT_IN", "participation_level", "present_in", "'active', 'passive', 'mentioned', 'background'", "[''active'', ''passive'', ''mentioned'', ''background'']"),
+    "SELECT 'PRESENT_IN', 'dialogue_count', 'Value -1 below minimum 0', count(*) FROM {present_in} WHERE dialogue_count = 1 HAVING count(*) > 0",
+]))
 
 # Text. The SQL states every word and pattern again, apart from the operators' own lists.
 _STORIES = "(SELECT conv_id, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS content FROM {turns} GROUP BY 1)"
@@ -157,6 +204,14 @@ entry("discovery_metrics", text.discovery_metrics, f"{_NAMED} SELECT sum(strengt
 entry("search_term_extract", text.search_term, r"""SELECT conv_id, turn, CASE WHEN c <> '' THEN c WHEN l <> '' THEN l ELSE '*' END AS term FROM (SELECT conv_id, turn, regexp_extract(text, '(?i)CONTAINS\s+[''"]([^''"]+)[''"]|LIKE\s+[''"]%?([^''"]+)%?[''"]', 1) AS c, regexp_extract(text, '(?i)CONTAINS\s+[''"]([^''"]+)[''"]|LIKE\s+[''"]%?([^''"]+)%?[''"]', 2) AS l FROM {turns}) x""")
 entry("followup_flags", text.followup_flags, "SELECT conv_id, turn, contains(lower(text), 'would you like') OR contains(lower(text), 'need more') OR contains(lower(text), 'should i continue') OR contains(lower(text), 'continue with') OR contains(lower(text), 'more detail') AS follow_up, contains(lower(text), 'no') OR contains(lower(text), 'no thanks') OR contains(lower(text), 'stop') OR contains(lower(text), 'that''s all') OR contains(lower(text), 'cancel') OR contains(lower(text), 'don''t') AS declines FROM {turns}")
 
+_NUMBERED = f"(WITH c AS (SELECT *, scene_order - 1 AS i, 1 + sum(is_boundary::INT) OVER (PARTITION BY conv_id ORDER BY scene_order) AS chapter FROM {_CHAPTERS} z) SELECT conv_id, scene_order, chapter FROM c)"
+entry("pacing", text.pacing, f"SELECT w.conv_id, chapter, count(*) AS scenes, round(avg(word_count), 6) AS words, round(avg((word_count > 300)::INT), 6) AS long_share FROM {_WORDS} w JOIN {_NUMBERED} n ON n.conv_id = w.conv_id AND n.scene_order = w.scene_order GROUP BY 1, 2")
+_SCENE_ARCS = f"(WITH m AS (SELECT conv_id, scene_order, len(list_filter(w, lambda x: x IN ('introduce', 'meet', 'background', 'setting', 'world'))) AS a, len(list_filter(w, lambda x: x IN ('conflict', 'problem', 'challenge', 'discover'))) AS b, len(list_filter(w, lambda x: x IN ('battle', 'fight', 'confrontation', 'crisis', 'decisive'))) AS c, len(list_filter(w, lambda x: x IN ('aftermath', 'consequence', 'result', 'resolve'))) AS d, len(list_filter(w, lambda x: x IN ('end', 'conclude', 'peace', 'happy', 'reunion'))) AS e FROM (SELECT conv_id, scene_order, regexp_split_to_array(lower(text), '{_SPLIT}') AS w FROM {_SCENES} s) x) SELECT conv_id, scene_order, CASE greatest(a, b, c, d, e) WHEN 0 THEN 'neutral' WHEN a THEN 'exposition' WHEN b THEN 'rising_action' WHEN c THEN 'climax' WHEN d THEN 'falling_action' ELSE 'resolution' END AS arc FROM m)"
+entry("arc_progression", text.arc_progression, f"SELECT conv_id, scene_order, before, arc FROM (SELECT *, lag(arc) OVER (PARTITION BY conv_id ORDER BY scene_order) AS before FROM {_SCENE_ARCS} y) z WHERE before IS NULL OR before <> arc")
+_SCENE_MOODS = f"(SELECT conv_id, scene_order, CASE greatest(happy, sad, tense, dramatic, mysterious, action) WHEN 0 THEN 'neutral' WHEN happy THEN 'happy' WHEN sad THEN 'sad' WHEN tense THEN 'tense' WHEN dramatic THEN 'dramatic' WHEN mysterious THEN 'mysterious' ELSE 'action' END AS mood FROM (SELECT conv_id, scene_order, {_inside('joy', 'happy', 'pleased', 'delighted', 'cheerful', 'smile', 'laugh')} AS happy, {_inside('sad', 'sorrow', 'grief', 'melancholy', 'despair', 'cry', 'tear')} AS sad, {_inside('tension', 'suspense', 'anxious', 'worried', 'nervous', 'fear')} AS tense, {_inside('dramatic', 'intense', 'powerful', 'striking', 'significant')} AS dramatic, {_inside('mystery', 'secret', 'hidden', 'unknown', 'enigma', 'puzzle')} AS mysterious, {_inside('fight', 'battle', 'run', 'chase', 'attack', 'escape', 'rush')} AS action FROM (SELECT conv_id, scene_order, lower(text) AS t FROM {_SCENES} s) d) m)"
+entry("mood_progression", text.mood_progression, f"SELECT conv_id, scene_order, before, mood FROM (SELECT *, lag(mood) OVER (PARTITION BY conv_id ORDER BY scene_order) AS before FROM {_SCENE_MOODS} y) z WHERE before IS NULL OR before <> mood")
+entry("character_development", text.character_development, "WITH y AS (SELECT c, year, sum(strength) AS s FROM (SELECT src AS c, year, strength FROM {years} UNION ALL SELECT dst, year, strength FROM {years}) u GROUP BY 1, 2) SELECT c AS character_id, arg_max(s, year) - arg_min(s, year) AS delta, count(*) AS years FROM y GROUP BY 1")
+
 # Network
 _E = "(SELECT DISTINCT story_id, src, dst FROM {sna_edges} WHERE type IN ('FRIENDS_WITH', 'KNOWS', 'ACQUAINTED_WITH'))"
 # No story of the driver's smaller tables has as many as 64 characters, so no shortest path is longer.
@@ -215,7 +270,8 @@ entry("memory_context", temporal.memory_context, "SELECT conv_id, md5(string_agg
 entry("extract_facts", temporal.extract_facts, "SELECT conv_id, turn, substring(text, 1, 100) AS fact, 0.8::DOUBLE AS confidence FROM {turns} WHERE contains(text, 'the') ORDER BY conv_id, turn LIMIT 10")
 entry("delete_story", temporal.delete_story, "SELECT story_id, count(*) AS n, story_id = 3 AS is_deleted FROM {characters} GROUP BY 1")
 entry("alert_windows", temporal.alert_windows, "SELECT CAST(floor(epoch(ts) / 1800) * 1800 AS BIGINT) AS start, count(*) AS n FROM {events} WHERE event_type = 'error' GROUP BY 1")
-entry("token_bucket", lambda g: alerts.token_bucket(g["events"]))
+_DAYS = "(SELECT user_id, event_id, date_trunc('day', ts) AS ts FROM {events})"
+entry("token_bucket", lambda g: alerts.token_bucket(g["events"].withColumn("ts", F.date_trunc("day", "ts"))), f"WITH RECURSIVE e AS (SELECT user_id, event_id, epoch(ts)::DOUBLE AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM {_DAYS} d), b AS (SELECT user_id, event_id, r, 4.0::DOUBLE AS tokens, t AS last0, true AS allowed FROM e WHERE r = 1 UNION ALL SELECT e.user_id, e.event_id, e.r, CASE WHEN least(5.0, tokens + (t - last0) * 5) >= 1 THEN least(5.0, tokens + (t - last0) * 5) - 1 ELSE tokens END, CASE WHEN least(5.0, tokens + (t - last0) * 5) >= 1 THEN t ELSE last0 END, least(5.0, tokens + (t - last0) * 5) >= 1 FROM b JOIN e ON e.user_id = b.user_id AND e.r = b.r + 1) SELECT user_id, event_id, allowed FROM b")
 
 # Records
 entry("scan_label", records.scan_label, "SELECT character_id, name, story_id FROM {characters} WHERE story_id = 3")
@@ -226,10 +282,21 @@ entry("seed_profiles", records.seed_profiles, "SELECT c_custkey, CASE WHEN c_cus
 entry("alerts_backfill", records.alerts_backfill, "SELECT event_id, CAST(user_id % 25 AS STRING) AS story, coalesce(n_name, 'none') AS owner FROM {events} LEFT JOIN {nation} ON n_nationkey = user_id % 25 WHERE event_type = 'error'")
 entry("scenes_to_episodes", records.scenes_to_episodes, "SELECT concat('chapter-', CAST(scene_id AS STRING)) AS episode_id, CASE WHEN scene_id % 3 = 0 THEN 'Arc' ELSE 'Chapter' END AS kind FROM {scenes}")
 entry("json_roundtrip", records.json_roundtrip, "SELECT event_id, event_type, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM {events}")
-entry("rpg_upsert", records.rpg_upsert, "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN upper(p_name) ELSE p_name END AS p_name, CASE WHEN p_partkey % 2 = 0 THEN p_size + 1 ELSE p_size END AS p_size FROM {part} WHERE p_partkey % 3 <> 0 OR p_partkey % 2 = 0")
-entry("rpg_replace", records.rpg_replace, "SELECT p_partkey, p_brand, CASE WHEN p_brand = 'Brand#1' THEN 'replaced' ELSE p_name END AS p_name FROM {part}")
-entry("statement_split", records.statement_split, "SELECT doc_id, i, len(list_filter(string_split(line, '.'), lambda s: trim(s) <> '')) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM {documents} WHERE lang = 'en') x WHERE trim(line) <> '' AND line NOT LIKE '%|%'")
-entry("regex_line_scan", records.regex_line_scan, "SELECT doc_id, i, n FROM (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i, unnest(list_transform(string_split(text, chr(10)), lambda l: len(regexp_extract_all(l, '[0-9]{4,}')))) AS n FROM {documents}) x WHERE n > 0")
+_ITEMS = "(SELECT p_brand AS project_id, concat(p_name, ' ', CAST(p_partkey AS STRING)) AS name, p_size AS level FROM {part})"
+_NEW = f"(SELECT project_id, CASE WHEN level % 2 = 0 THEN name ELSE concat('new ', name) END AS name, level + 100 AS level FROM {_ITEMS} i WHERE project_id IN ('Brand#1', 'Brand#2'))"
+_HAVE = f"(SELECT * FROM {_ITEMS} i WHERE level % 4 <> 2)"
+_KEPT = f"SELECT * FROM {_HAVE} h WHERE NOT EXISTS (SELECT 1 FROM {_NEW} n WHERE n.project_id = h.project_id AND n.name = h.name)"
+entry("rpg_create", lambda g: records.rpg_tables(g, "create"), f"SELECT * FROM {_HAVE} h UNION ALL SELECT * FROM {_NEW} n")
+entry("rpg_get", lambda g: records.rpg_tables(g, "get"), f"SELECT * FROM {_ITEMS} i WHERE project_id = 'Brand#1'")
+entry("rpg_update", lambda g: records.rpg_tables(g, "update"), f"{_KEPT} UNION ALL SELECT * FROM {_NEW} n WHERE EXISTS (SELECT 1 FROM {_HAVE} h WHERE h.project_id = n.project_id AND h.name = n.name)")
+entry("rpg_upsert", lambda g: records.rpg_tables(g, "upsert"), f"{_KEPT} UNION ALL SELECT * FROM {_NEW} n")
+entry("rpg_replace", lambda g: records.rpg_tables(g, "replace"), f"SELECT * FROM {_HAVE} h WHERE project_id <> 'Brand#1' UNION ALL SELECT * FROM {_NEW} n WHERE project_id = 'Brand#1'")
+entry("rpg_delete", lambda g: records.rpg_tables(g, "delete"), f"SELECT * FROM {_ITEMS} i WHERE project_id <> 'Brand#1'")
+entry("rpg_delete_one", lambda g: records.rpg_tables(g, "delete_one"), f"SELECT * FROM {_ITEMS} i WHERE NOT (project_id = 'Brand#1' AND name = 'small ring 0')")
+entry("rpg_generate_variables", records.generated_variables, "SELECT event_id, CASE event_id % 4 WHEN 0 THEN concat('v', event_id) ELSE event_type END AS name, CASE event_id % 4 WHEN 0 THEN CAST(event_id AS STRING) ELSE 'x' END AS value, CASE event_id % 4 WHEN 0 THEN 'integer' ELSE 'string' END AS data_type, CASE event_id % 4 WHEN 0 THEN 'game' ELSE 'local' END AS scope FROM {events} WHERE event_id % 2 = 0")
+entry("rpg_generate_characters", records.generated_characters, "SELECT character_id, name, CASE WHEN character_id % 2 = 0 THEN 'hero' ELSE 'npc' END AS type, CASE WHEN character_id % 2 = 0 THEN 5 ELSE 1 END AS level, CASE WHEN character_id % 2 = 0 THEN 7 ELSE 100 END AS hp, CASE WHEN character_id % 2 = 0 THEN character_id ELSE 10 END AS strength, 10 AS charisma FROM {characters}")
+entry("statement_split", records.statement_split, "WITH l AS (SELECT file, line, trim(text) AS t FROM {source_lines} WHERE trim(text) <> '' AND NOT starts_with(trim(text), '//')), n AS (SELECT *, coalesce(sum((ends_with(t, ';'))::INT) OVER (PARTITION BY file ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS i FROM l) SELECT file, CAST(i AS INT) AS i, string_agg(t, ' ' ORDER BY line) AS statement FROM n GROUP BY file, i HAVING max(ends_with(t, ';')::INT) = 1")
+entry("regex_line_scan", records.regex_line_scan, r"""SELECT DISTINCT file, line, name FROM (SELECT file, line, unnest(regexp_extract_all(text, 'getenv\(["'']([^"'']+)["'']', 1)) AS name FROM {source_lines} UNION ALL SELECT file, line, unnest(regexp_extract_all(text, 'environ\[["''](.*?)["'']\]', 1)) FROM {source_lines} UNION ALL SELECT file, line, unnest(regexp_extract_all(text, 'environ\.get\(["'']([^"'']+)["'']', 1)) FROM {source_lines}) x""")
 entry("location_connections", records.location_connections, "SELECT DISTINCT src % 25 AS from_location, dst % 25 AS to_location FROM {sna_edges} WHERE src % 25 = 3 OR dst % 25 = 3")
 entry("query_hash", records.query_hash, "SELECT n_nationkey, md5(concat(n_name, ':{\"story_id\": ', CAST(n_nationkey AS STRING), '}')) AS key FROM {nation}")
 entry("vector_topk", records.vector_topk, "SELECT vec_id, round(list_dot_product(e, q) / sqrt(list_dot_product(e, e) * list_dot_product(q, q)), 6) AS score FROM (SELECT vec_id, embedding::DOUBLE[] AS e, (SELECT embedding::DOUBLE[] FROM {embeddings} WHERE vec_id = 0) AS q FROM {embeddings}) x ORDER BY score DESC, vec_id LIMIT 10")

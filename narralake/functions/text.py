@@ -303,3 +303,33 @@ def search_term(g: Story) -> DataFrame:
 def followup_flags(g: Story) -> DataFrame:
     text = F.lower("text")
     return g["turns"].select("conv_id", "turn", holds(text, FOLLOW_UPS).alias("follow_up"), holds(text, DECLINES).alias("declines"))
+
+
+def pacing(g: Story, long: int = 300) -> DataFrame:
+    """Of each chapter: scenes, words a scene, and the share of long scenes."""
+    return scenes(g).join(chapter_episode_numbers(g), ["conv_id", "scene_order"]).groupBy("conv_id", "chapter").agg(F.count("*").alias("scenes"), F.round(F.avg("word_count"), 6).alias("words"), F.round(F.avg((F.col("word_count") > long).cast("int")), 6).alias("long_share"))
+
+
+def _changes(rows: DataFrame, kind: str) -> DataFrame:
+    """Scenes in which a label differs from the scene's before."""
+    w = Window.partitionBy("conv_id").orderBy("scene_order")
+    return rows.withColumn("before", F.lag(kind).over(w)).filter(F.col("before").isNull() | (F.col("before") != F.col(kind))).select("conv_id", "scene_order", F.col("before"), kind)
+
+
+def arc_progression(g: Story) -> DataFrame:
+    counted = scenes(g).select("conv_id", "scene_order", F.split(F.lower("text"), NOT_WORD).alias("w")).select("conv_id", "scene_order", *[word_count(F.col("w"), ws).alias(k) for k, ws in ARCS.items()])
+    return _changes(counted.select("conv_id", "scene_order", first_of({k: F.col(k) for k in ARCS}, "neutral")[0].alias("arc")), "arc")
+
+
+def mood_progression(g: Story) -> DataFrame:
+    t = F.col("t")
+    lower = scenes(g).select("conv_id", "scene_order", F.lower("text").alias("t"))
+    uses = {m: reduce(lambda a, b: a + b, [F.size(F.split(t, w)) - 1 for w in ws]) for m, ws in MOODS.items()}
+    return _changes(lower.select("conv_id", "scene_order", *[n.alias(m) for m, n in uses.items()]).select("conv_id", "scene_order", first_of({m: F.col(m) for m in MOODS}, "neutral")[0].alias("mood")), "mood")
+
+
+def character_development(g: Story) -> DataFrame:
+    """What a character's ties gained from the first year to the last."""
+    y = g["years"]
+    ends = y.select("src", F.col("dst").alias("other"), "year", "strength").unionAll(y.select("dst", "src", "year", "strength")).groupBy(F.col("src").alias("character_id"), "year").agg(F.sum("strength").alias("strength"))
+    return ends.groupBy("character_id").agg((F.max_by("strength", "year") - F.min_by("strength", "year")).alias("delta"), F.count("*").alias("years"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from narralake.operators.consistency import alert_severity
@@ -62,26 +62,131 @@ def json_roundtrip(g: Story) -> DataFrame:
     return j.select("event_id", F.from_json("j", "event_id long, event_type string")["event_type"].alias("event_type"), "k")
 
 
-def rpg_upsert(g: Story) -> DataFrame:
-    rows, new = g["part"].filter("p_partkey % 3 <> 0").select("p_partkey", "p_name", "p_size"), g["part"].filter("p_partkey % 2 = 0").select("p_partkey", F.upper("p_name").alias("p_name"), (F.col("p_size") + 1).alias("p_size"))
-    return rows.join(new.select("p_partkey"), "p_partkey", "left_anti").unionByName(new)
+#: What tells rows of a game project's tables apart, besides the project.
+RPG_KEYS = {
+    "RPGProject": (),
+    "ProjectStory": ("story_id",),
+    "ExportConfiguration": ("name",),
+    "RPGVariable": ("name",),
+    "RPGSwitch": ("name",),
+    "RPGCharacter": ("name",),
+    "RPGLocation": ("name",),
+    "LocationConnection": ("from_location", "to_location"),
+    "RPGQuest": ("quest_id",),
+    "DialogueTree": ("tree_id",),
+}
 
 
-def rpg_replace(g: Story) -> DataFrame:
+def rpg_create(rows: DataFrame, new: DataFrame) -> DataFrame:
+    """Appended; nothing is looked up."""
+    return rows.unionByName(new.select(rows.columns))
+
+
+def rpg_get(rows: DataFrame, project_id: str) -> DataFrame:
+    return rows.filter(F.col("project_id") == project_id)
+
+
+def _same(rows: DataFrame, other: DataFrame, keys: list[str], how: str) -> DataFrame:
+    return rows.join(other.select(*keys).distinct(), keys, how)
+
+
+def rpg_update(rows: DataFrame, new: DataFrame, kind: str) -> DataFrame:
+    """Rows of the same key take the new values; new rows without such a row are left out."""
+    keys = ["project_id", *RPG_KEYS[kind]]
+    return _same(rows, new, keys, "left_anti").unionByName(_same(new, rows, keys, "left_semi").select(rows.columns))
+
+
+def rpg_upsert(rows: DataFrame, new: DataFrame, kind: str) -> DataFrame:
+    """Rows of the same key take the new values, the other new rows are appended."""
+    return _same(rows, new, ["project_id", *RPG_KEYS[kind]], "left_anti").unionByName(new.select(rows.columns))
+
+
+def rpg_replace(rows: DataFrame, project_id: str, new: DataFrame) -> DataFrame:
     """All of one project's rows are replaced by the new ones."""
-    new = g["part"].filter("p_brand = 'Brand#1'").select("p_partkey", F.lit("Brand#1").alias("p_brand"), F.lit("replaced").alias("p_name"))
-    return g["part"].filter("p_brand <> 'Brand#1'").select("p_partkey", "p_brand", "p_name").unionByName(new)
+    return rows.filter(F.col("project_id") != project_id).unionByName(new.select(rows.columns))
+
+
+def rpg_delete(rows: DataFrame, project_id: str, kind: str | None = None, *key: str) -> DataFrame:
+    """Without a key all of a project's rows go."""
+    gone = F.col("project_id") == project_id
+    for name, value in zip(RPG_KEYS[kind] if kind else (), key, strict=False):
+        gone &= F.col(name) == value
+    return rows.filter(~gone)
+
+
+def rpg_items(g: Story) -> DataFrame:
+    """Locations of game projects: a brand is a project."""
+    return g["part"].select(F.col("p_brand").alias("project_id"), F.concat("p_name", F.lit(" "), F.col("p_partkey").cast("string")).alias("name"), F.col("p_size").alias("level"))
+
+
+def rpg_tables(g: Story, what: str) -> DataFrame:
+    """One operation of the store on them, with rows of projects 1 and 2 as the new ones."""
+    rows = rpg_items(g)
+    some = rows.filter("project_id IN ('Brand#1', 'Brand#2')")
+    new = some.select("project_id", F.when(F.col("level") % 2 == 0, F.col("name")).otherwise(F.concat(F.lit("new "), "name")).alias("name"), (F.col("level") + 100).alias("level"))
+    have = rows.filter("level % 4 <> 2")
+    return {
+        "create": lambda: rpg_create(have, new),
+        "get": lambda: rpg_get(rows, "Brand#1"),
+        "update": lambda: rpg_update(have, new, "RPGLocation"),
+        "upsert": lambda: rpg_upsert(have, new, "RPGLocation"),
+        "replace": lambda: rpg_replace(have, "Brand#1", new.filter("project_id = 'Brand#1'")),
+        "delete": lambda: rpg_delete(rows, "Brand#1"),
+        "delete_one": lambda: rpg_delete(rows, "Brand#1", "RPGLocation", "small ring 0"),
+    }[what]()
+
+
+#: A game character's statistics where none are given.
+STATS = {"hp": 100, "mp": 0, "strength": 10, "agility": 10, "intelligence": 10, "charisma": 10}
+
+
+def typed_variables(rows: DataFrame, json: str) -> DataFrame:
+    """Variables parsed from JSON: an integer of the whole game where nothing else is said; those without a name fall away."""
+    x = F.from_json(json, "name string, value string, data_type string, scope string, description string")
+    parsed = rows.select(*[c for c in rows.columns if c != json], x.alias("x")).filter("x.name IS NOT NULL")
+    return parsed.select(*[c for c in parsed.columns if c != "x"], "x.name", "x.value", F.coalesce("x.data_type", F.lit("integer")).alias("data_type"), F.coalesce("x.scope", F.lit("game")).alias("scope"), "x.description")
+
+
+def typed_characters(rows: DataFrame, json: str) -> DataFrame:
+    x = F.from_json(json, "name string, type string, level int, stats struct<" + ",".join(f"{k}:int" for k in STATS) + ">, description string")
+    parsed = rows.select(*[c for c in rows.columns if c != json], x.alias("x")).filter("x.name IS NOT NULL")
+    stats = F.struct(*[F.coalesce(F.col(f"x.stats.{k}"), F.lit(v)).alias(k) for k, v in STATS.items()])
+    return parsed.select(*[c for c in parsed.columns if c != "x"], "x.name", F.coalesce("x.type", F.lit("npc")).alias("type"), F.coalesce("x.level", F.lit(1)).alias("level"), stats.alias("stats"), "x.description")
+
+
+def generated_variables(g: Story) -> DataFrame:
+    json = F.expr("""CASE event_id % 4 WHEN 0 THEN concat('{"name": "v', event_id, '", "value": ', event_id, '}') WHEN 1 THEN '{"value": 3}' WHEN 2 THEN concat('{"name": "', event_type, '", "value": "x", "data_type": "string", "scope": "local"}') ELSE 'no json' END""")
+    return typed_variables(g["events"].select("event_id", json.alias("j")), "j").select("event_id", "name", "value", "data_type", "scope")
+
+
+def generated_characters(g: Story) -> DataFrame:
+    json = F.expr("""CASE character_id % 2 WHEN 0 THEN concat('{"name": "', name, '", "type": "hero", "level": 5, "stats": {"hp": 7, "strength": ', character_id, '}}') ELSE concat('{"name": "', name, '"}') END""")
+    return typed_characters(g["characters"].select("character_id", json.alias("j")), "j").select("character_id", "name", "type", "level", "stats.hp", "stats.strength", "stats.charisma")
+
+
+def statements(text: Column, comment: str = "//", keep_tail: bool = False) -> Column:
+    """Statements of a script: comment lines and blanks fall away, a semicolon at a line's end ends a statement. What
+    follows the last one is dropped; keep_tail keeps it, and drops the semicolons."""
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: (x != "") & ~x.startswith(comment))
+    marked = F.array_join(F.transform(lines, lambda x: F.concat(x, F.when(x.endswith(";"), "\x02").otherwise("\x01"))), "")
+    parts = F.transform(F.split(marked, "\x02"), lambda x: F.trim(F.translate(x, "\x01", " ")))
+    whole = F.slice(parts, 1, F.size(parts) - 1)
+    return F.filter(F.transform(parts, lambda x: F.regexp_replace(x, ";+$", "")), lambda x: x != "") if keep_tail else whole
 
 
 def statement_split(g: Story) -> DataFrame:
-    """Statements of a script: comment lines and blanks fall away, a dot ends a statement here as a semicolon does there."""
-    parts = g["documents"].filter("lang = 'en'").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line")).filter("trim(line) <> '' AND NOT line LIKE '%|%'")
-    return parts.select("doc_id", "i", F.size(F.filter(F.split("line", "[.]"), lambda s: F.trim(s) != "")).alias("n"))
+    scripts = g["source_lines"].groupBy("file").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), "\n").alias("script"))
+    return scripts.select("file", F.posexplode(statements(F.col("script"))).alias("i", "statement"))
+
+
+#: How sources read their environment.
+ENVIRONMENT = (r"""os\.getenv\(["']([^"']+)["']""", r"""os\.environ\[["'](.*?)["']\]""", r"""os\.environ\.get\(["']([^"']+)["']""", r"""getenv\(["']([^"']+)["']""", r"""environ\[["'](.*?)["']\]""", r"""environ\.get\(["']([^"']+)["']""")
 
 
-def regex_line_scan(g: Story) -> DataFrame:
-    lines = g["documents"].select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
-    return lines.select("doc_id", "i", F.size(F.regexp_extract_all("line", F.lit(r"[0-9]{4,}"), F.lit(0))).alias("n")).filter("n > 0")
+def regex_line_scan(g: Story, patterns: tuple[str, ...] = ENVIRONMENT) -> DataFrame:
+    """The distinct names that a line reads, by any of the patterns."""
+    names = F.array_distinct(F.concat(*[F.regexp_extract_all("text", F.lit(p), F.lit(1)) for p in patterns]))
+    return g["source_lines"].select("file", "line", F.explode(names).alias("name"))
 
 
 def location_connections(g: Story, place: int = 3) -> DataFrame:

@@ -50,6 +50,8 @@ TABLES: dict[str, str] = {
     # How often a pair of one story met in each year, and the state of their relationship then.
     "years": "SELECT a.story_id, a.character_id AS src, b.character_id AS dst, CAST(floor(scene_order / 10000) AS INT) AS year, count(*) AS strength FROM {casts} a JOIN {casts} b ON a.scene_id = b.scene_id AND a.story_id = b.story_id AND a.character_id < b.character_id JOIN {scenes} s ON s.scene_id = a.scene_id GROUP BY 1, 2, 3, 4",
     "bonds": "SELECT story_id, src, dst, year AS created_at, CASE (src + dst + year) % 4 WHEN 0 THEN 'enemy' WHEN 1 THEN 'ally' ELSE 'friend' END AS relationship_type, strength FROM {years}",
+    # Lines of source files and scripts, one file for each user.
+    "source_lines": "SELECT user_id AS file, event_id AS line, CASE event_id % 8 WHEN 0 THEN concat('x = os.getenv(\"', upper(event_type), '_KEY\", \"none\")') WHEN 1 THEN 'y = os.environ[\"HOME_DIR\"]' WHEN 2 THEN 'z = environ.get(\"MODE\") or os.getenv( \"OTHER\" )' WHEN 3 THEN '// a comment;' WHEN 4 THEN '' WHEN 5 THEN 'MATCH (n)' WHEN 6 THEN '  RETURN n;  ' ELSE concat('CREATE ', event_type, ';') END AS text FROM {events}",
     "episodes": "SELECT event_id AS uuid, user_id AS group_id, event_type AS body, ts AS created_at, value FROM {events}",
     # Conversations with story phrases put in by number, so that every text rule has rows that it meets and rows that it misses.
     "turns": "SELECT conv_id, turn, role, CASE (conv_id + 3 * turn) % 16 WHEN 0 THEN concat('Chapter 7 ', text) WHEN 1 THEN concat(text, ' Alice said to Bob that the king was dead.') WHEN 2 THEN concat(text, ' Bob recalled that Carol was alive.') WHEN 3 THEN 'THE LAST BATTLE' WHEN 4 THEN concat(text, ' Meanwhile, the enemy was hidden before anyone had mentioned it.') WHEN 5 THEN concat(text, ' Years later the friend will find a secret.') WHEN 6 THEN concat(text, ' Cut to the castle. Would you like more detail?') WHEN 7 THEN concat(text, ' Alice and Dan told The Story in dialogue: stop, that is enough.') WHEN 8 THEN concat(text, ' I remember my young sister, they were rich and happy.') WHEN 9 THEN concat(text, ' Old and poor, he was never married.') WHEN 10 THEN concat('Story Content: ', text, chr(10), chr(10), 'Entities: Alice, Bob') WHEN 11 THEN concat('MATCH (k:Knowledge) WHERE k.content CONTAINS ''dead'' RETURN k ', text) WHEN 12 THEN '12' WHEN 13 THEN concat(text, ' Little did she know that he was single.') WHEN 14 THEN concat(text, chr(10), '---', chr(10), 'Bob told Alice: as the seer had said, Carol will see.') ELSE text END AS text FROM {conversations}",

@@ -8,33 +8,48 @@ import pytest
 from pyspark.sql import functions as F
 
 from narralake.functions.text import split_scenes
-from narralake.operators import consistency, network, templates, temporal
+from narralake.operators import consistency, network, templates, temporal, validation
 from narralake.operators.consistency import alert_severity
-from narralake.operators.records import insert_missing, partial_update
-from narralake.operators.validation import rpg_variable, validate_edges
+from narralake.operators.records import insert_missing, partial_update, statements
+from narralake.operators.validation import validate_edges, variable_error
 from narralake.plans.adapter import Story
 from narralake.streaming import alerts
 
-EDGE = "edge_type string, from_id string, from_created_at int, to_id string, to_valid_from int, to_valid_to int, to_scene_order int, created_at int, updated_at int, ownership_start int, ownership_end int"
+EDGE = "edge_type string, from_id string, from_created_at int, to_id string, to_valid_from int, to_valid_to int, to_scene_order int, created_at int, updated_at int, ownership_start int, ownership_end int, to_data_type string, to_value string, to_name string, to_is_on string, from_location string"
 
 
 @pytest.mark.parametrize(
     ("edge", "message"),
     [
-        (("KNOWS", "1", 10, "2", 5, None, None, None, None, None, None), "Knowledge valid from"),
-        (("KNOWS", "1", 5, "2", 10, None, None, None, None, None, None), ""),
-        (("RELATIONSHIP", "1", None, "1", None, None, None, None, None, None, None), "prevent_relationship_self_loops"),
-        (("RELATIONSHIP", "1", None, "2", None, None, None, 10, 11, None, None), ""),
-        (("RELATIONSHIP", "1", None, "2", None, None, None, 11, 10, None, None), "created_at cannot be after updated_at"),
-        (("PRESENT_IN", "1", None, "2", None, None, -1, None, None, None, None), "Scene order must be non-negative"),
-        (("PRESENT_IN", "1", None, "2", None, None, 1, None, None, None, None), ""),
-        (("OWNS", "1", None, "2", None, None, None, None, None, 9, 3), "ownership_temporal"),
-        (("CONNECTED_TO", "Town", None, "Town", None, None, None, None, None, None, None), "location_connection"),
+        ({"edge_type": "KNOWS", "from_created_at": 10, "to_valid_from": 5}, "Knowledge valid from 5 but character created at 10"),
+        ({"edge_type": "KNOWS", "from_created_at": 5, "to_valid_from": 10}, ""),
+        ({"edge_type": "KNOWS", "to_valid_from": 10}, "Character must have creation timestamp"),
+        ({"edge_type": "KNOWS", "from_created_at": 5, "to_valid_from": 10, "to_valid_to": 9}, "Rule 'validate_temporal_consistency' failed: Knowledge valid_from cannot be after valid_to"),
+        ({"edge_type": "KNOWS", "from_id": "1", "to_id": "1", "from_created_at": 5, "to_valid_from": 10}, ""),
+        ({"edge_type": "RELATIONSHIP", "from_id": "1", "to_id": "1", "created_at": 11, "updated_at": 10}, "Rule 'prevent_relationship_self_loops' failed: Self-loop detected: character 1 cannot have relationship with itself"),
+        ({"edge_type": "RELATIONSHIP", "from_id": "1", "to_id": "2", "created_at": 10, "updated_at": 11}, ""),
+        ({"edge_type": "RELATIONSHIP", "from_id": "1", "to_id": "2", "created_at": 11, "updated_at": 10}, "created_at cannot be after updated_at"),
+        ({"edge_type": "RELATIONSHIP", "from_id": "1"}, "Both nodes must have valid IDs"),
+        ({"edge_type": "PRESENT_IN", "to_scene_order": -1}, "Scene order must be non-negative"),
+        ({"edge_type": "PRESENT_IN", "to_scene_order": 1}, ""),
+        ({"edge_type": "PRESENT_IN"}, "Scene must have scene_order"),
+        ({"edge_type": "OWNS", "ownership_start": 9, "ownership_end": 3}, "Rule 'validate_ownership_temporal_logic' failed: ownership_start cannot be after ownership_end"),
+        ({"edge_type": "HAS", "to_data_type": "integer", "to_value": "10"}, ""),
+        ({"edge_type": "HAS", "to_data_type": "integer", "to_value": '"ten"'}, "Value 'ten' incompatible with integer"),
+        ({"edge_type": "HAS", "to_data_type": "string", "to_value": "5"}, "Variable value must be a string"),
+        ({"edge_type": "HAS", "to_name": '"Door"', "to_is_on": "true"}, ""),
+        ({"edge_type": "HAS", "to_name": '""', "to_is_on": '"yes"'}, "Switch name cannot be empty"),
+        ({"edge_type": "HAS", "to_name": '"Door"', "to_is_on": '"yes"'}, "Rule 'validate_rpg_switch' failed: Switch is_on must be boolean"),
+        ({"edge_type": "CONNECTED_TO", "from_id": "Town", "to_id": "Town"}, "Rule 'validate_location_connection' failed: Location cannot connect to itself"),
+        ({"edge_type": "CONNECTED_TO", "from_id": "Town", "to_id": "Forest"}, ""),
+        ({"edge_type": "ROAD", "from_id": "Town", "to_id": "Town"}, ""),
+        ({"edge_type": "ROAD", "from_id": "Town", "to_id": "Town", "from_location": "Town"}, "Location cannot connect to itself"),
     ],
 )
 def test_edges(spark, edge, message):
-    row = validate_edges(spark.createDataFrame([edge], EDGE)).first()
-    assert (message in row.error) and row.is_valid == (message == "")
+    names = [f.split()[0] for f in EDGE.split(", ")]
+    row = validate_edges(spark.createDataFrame([tuple(edge.get(n) for n in names)], EDGE)).first()
+    assert (message in row.error) and row.is_valid == (message == "") and (row.rule is None) == row.is_valid
 
 
 def test_alert_severity(spark):
@@ -44,8 +59,31 @@ def test_alert_severity(spark):
 
 
 def test_variable_types(spark):
-    d = spark.createDataFrame([("integer", "10"), ("integer", "ten"), ("boolean", "true"), ("float", "x")], "k string, v string")
-    assert [r.ok for r in d.select(rpg_variable(F.col("k"), F.col("v")).alias("ok")).collect()] == [True, False, True, False]
+    cases = {("integer", "10"): 1, ("integer", '"ten"'): 0, ("integer", '"7"'): 1, ("integer", '"7.5"'): 0, ("integer", "7.5"): 1, ("boolean", "true"): 1, ("boolean", '"False"'): 1, ("boolean", "1"): 0, ("float", '"x"'): 0, ("float", '"2.5"'): 1, ("string", '""'): 1, ("string", "true"): 0, ("integer", None): 1, (None, "x"): 1}
+    d = spark.createDataFrame(list(cases), "k string, v string")
+    assert [r.ok for r in d.select(variable_error(F.col("k"), F.col("v")).isNull().alias("ok")).collect()] == [bool(x) for x in cases.values()]
+
+
+def test_properties(spark):
+    rows = spark.createDataFrame([("c", None, 5, True), ("d", "minor", 12, False)], "content string, importance_level string, secret int, is_secret boolean")
+    got = {(r.property, r.error): r.n for r in validation.property_violations(rows, "Knowledge").collect()}
+    assert got == {("importance_level", "Value 'None' not in allowed enum values: ['critical', 'important', 'minor']"): 1, ("secret", "Property 'secret' not found for entity 'Knowledge'"): 2}
+    edges = spark.createDataFrame([("friend", 0, 11), (None, 10, 1)], "relationship_type string, relationship_strength int, trust_level int")
+    got = {(r.property, r.error) for r in validation.property_violations(edges, "RELATIONSHIP").collect()}
+    assert got == {("relationship_type", "Required property 'relationship_type' cannot be null"), ("relationship_strength", "Value 0 below minimum 1"), ("trust_level", "Value 11 above maximum 10")}
+    assert validation.property_violations(edges.limit(0), "RELATIONSHIP").count() == 0
+
+
+def test_schema_status():
+    assert validation.schema_status([], []) == (0, "incompatible", ["Add story_id indexes for data isolation", "Add user_id indexes for multi-tenancy", "Add temporal indexes for bi-temporal queries", "Add unique constraints for entity integrity", "Add performance indexes for common query patterns"])
+    assert validation.schema_status(["a"] * 5, ["x_story_id", "x_user_id", "x_temporal", *"abcdefghijklmnopqr"])[:2] == (100, "compatible")
+    assert validation.schema_status(["a"], ["x_story_id", "x_user_id"])[:2] == (65, "partial")
+
+
+def test_statements(spark):
+    text = "// head\nA (x)\n\n  RETURN 1;  \n-- no comment here;\nB;\nopen end"
+    got = spark.createDataFrame([(text,)], "t string").select(statements(F.col("t")).alias("a"), statements(F.col("t"), "--", True).alias("b")).first()
+    assert got.a == ["A (x) RETURN 1;", "-- no comment here;", "B;"] and got.b == ["// head A (x) RETURN 1", "B", "open end"]
 
 
 def test_scenes_keep_their_numbers(spark):
@@ -96,6 +134,7 @@ def test_stream_equals_batch(spark, tmp_path):
     q = alerts.fan_out(alerts.enrich(stream.withColumn("reason", F.col("event_type"))), {"broken": broken, "count": lambda df, n: seen.append(df.count())}, str(tmp_path / "c"), failed, availableNow=True)
     q.awaitTermination(120)
     assert sum(seen) == batch.count() and failed
+    assert "detected_at" in alerts.enrich(batch.withColumn("reason", F.lit("x"))).columns
     out = alerts.token_bucket_stream(stream).writeStream.format("memory").queryName("bucket").outputMode("append").option("checkpointLocation", str(tmp_path / "b")).trigger(availableNow=True).start()
     out.awaitTermination(180)
     assert sorted(map(tuple, spark.table("bucket").collect())) == sorted(map(tuple, alerts.token_bucket(batch).collect()))
@@ -158,3 +197,35 @@ def test_findings_survive_the_log(spark):
     log = consistency.record(rows).unionByName(spark.createDataFrame([("n", "CONTRADICTION DETECTED:\nConfidence: much"), ("n", "hello")], "name string, body string"))
     got = sorted(map(tuple, consistency.parse_report(log).collect()))
     assert got == [("a", "b", "high", "why so", 0.95), ("c", "d", "medium", "x", 0.5), ("unknown", "unknown", "medium", "Contradiction detected via episodic analysis", 0.5)]
+
+
+def test_idle_users_are_forgotten(spark, tmp_path):
+    """State rows go once the watermark is a minute beyond a user's last event."""
+    base = datetime.datetime(2024, 1, 1)
+    source, n = tmp_path / "in", iter(range(100))
+
+    def add(rows):
+        spark.createDataFrame(rows, "user_id long, event_id long, ts timestamp").coalesce(1).write.mode("append").parquet(str(source))
+
+    add([(1, next(n), base)] * 7)
+    stream = spark.readStream.schema("user_id long, event_id long, ts timestamp").parquet(str(source))
+    held = []
+    for hours in (0, 1, 2):
+        if hours:
+            add([(2, next(n), base + datetime.timedelta(hours=hours))])
+        q = alerts.token_bucket_stream(stream).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+        held.append(sum(o.numRowsTotal for o in q.lastProgress.stateOperators) if q.lastProgress else None)
+    assert held[0] == 1 and held[-1] == 1
+    got = [r.allowed for r in spark.read.parquet(str(tmp_path / "out")).filter("user_id = 1").collect()]
+    assert sorted(got) == [False] * 2 + [True] * 5
+
+
+def test_windowed_counts(spark, tmp_path):
+    base = datetime.datetime(2024, 1, 1)
+    rows = [(i, base + datetime.timedelta(seconds=10 * i)) for i in range(9)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("event_id long, ts timestamp").parquet(str(tmp_path / "in"))
+    q = alerts.windowed_counts(stream).writeStream.format("memory").queryName("windows").outputMode("complete").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert sorted(r.n for r in spark.table("windows").collect()) == [3, 3, 3]
