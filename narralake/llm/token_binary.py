@@ -5,10 +5,12 @@ the file stores the minimum, the bit width that PERCENT of its differences from
 as bit planes of that width, and the larger differences as an exception list (place, whole difference). The footer
 is an Arrow stream of segments (byte start, ids before it, ids in it, and the start of each block in the segment)
 and of documents (id, ids before it in the file, number of ids), followed by the footer's length and MAGIC.
-Any id range can be read by seeking to its segments; nothing else of the file is touched.
+Any id range can be read by seeking to its blocks; nothing else of the segments is touched. A file ends when it has
+FILE_BYTES, so a writer holds the document index of that much at most.
 
 Nulls: a null text is an empty one, a null id is kept and sorts first; an empty table gives no files; repeated ids
-keep all their rows, in text order. Columns other than the two named ones are not read.
+keep all their rows, in the order of a hash of their texts, over as many tasks as their number needs; of rows equal in
+both, each is a document. Columns other than the two named ones are not read.
 """
 
 from __future__ import annotations
@@ -28,6 +30,7 @@ from narralake.llm.common import bound_arrow, id_and_text, scratch_path, slices
 from narralake.llm.encoding import encoder
 
 BLOCK, SEGMENT, PERCENT, MAGIC = 128, 1 << 18, 0.9, b"NLPFOR1\n"
+FILE_BYTES = 256 << 20
 _WIDTHS = np.array([0] + [i.bit_length() for i in range(1, 1 << 16)], np.uint8)
 
 
@@ -148,19 +151,25 @@ def _fs(folder: str) -> tuple[pyarrow.fs.FileSystem, str]:
     return pyarrow.fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
 
 
-def write_tokens(docs: DataFrame, path: str, vocabulary: str, ranks: str | None = None, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def write_tokens(docs: DataFrame, path: str, vocabulary: str, ranks: str | None = None, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", file_bytes: int = FILE_BYTES) -> DataFrame:
     """Encode, append end_id to each document and write files in ascending id order.
 
-    Returns the manifest (file, first_id, n_docs, n_tokens, n_bytes, start), one row for each task that had rows. A
-    task that is run again writes a file of another name; only files in the manifest count.
+    Returns the manifest (file, first_id, last_id, n_docs, n_tokens, n_bytes, start), one row for each file. A task that
+    is run again writes files of other names; only files in the manifest count.
     """
     spark = docs.sparkSession
     bound_arrow(spark)
-    schema = "file string, first_id long, n_docs long, n_tokens long, n_bytes long"
+    schema = "file string, first_id long, last_id long, n_docs long, n_tokens long, n_bytes long"
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, out, first = encoder(vocabulary, ranks), None, None
-        docs_in = 0
+        tokens, out = encoder(vocabulary, ranks), None
+        kind = pa.schema([("file", pa.string()), *((c, pa.int64()) for c in ("first_id", "last_id", "n_docs", "n_tokens", "n_bytes"))])
+
+        def listed() -> pa.RecordBatch:
+            out.close()
+            stream.close()
+            return pa.RecordBatch.from_pylist([{"file": name, "first_id": first, "last_id": last, "n_docs": docs_in, "n_tokens": out.count, "n_bytes": out.at}], kind)
+
         for whole in batches:
             for batch in slices(whole, 1):
                 if out is None:
@@ -168,7 +177,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, ranks: str | None
                     fs.create_dir(folder, recursive=True)
                     name = f"part-{uuid.uuid4().hex}.nlpfor"
                     stream = fs.open_output_stream(f"{folder}/{name}")
-                    out, first = Writer(stream), batch.column(0)[0].as_py()
+                    out, first, docs_in = Writer(stream), batch.column(0)[0].as_py(), 0
                 ids, bounds = tokens.encode(batch.column(1))
                 sizes = np.diff(bounds) + 1
                 ends = np.cumsum(sizes)
@@ -177,19 +186,22 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, ranks: str | None
                 keep[ends - 1] = False
                 held[keep] = ids
                 out.add(held, batch.column(0).cast(pa.int64()), sizes)
-                docs_in += batch.num_rows
+                docs_in, last = docs_in + batch.num_rows, batch.column(0)[-1].as_py()
+                if out.at + 2 * out.size >= file_bytes:  # written, and held for the next segment
+                    yield listed()
+                    out = None
         if out is not None:
-            out.close()
-            stream.close()
-            yield pa.RecordBatch.from_pylist([{"file": name, "first_id": first, "n_docs": docs_in, "n_tokens": out.count, "n_bytes": out.at}], pa.schema([("file", pa.string()), *((c, pa.int64()) for c in ("first_id", "n_docs", "n_tokens", "n_bytes"))]))
+            yield listed()
 
-    ordered = id_and_text(docs, id_col, text_col).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    rows = sorted(ordered.mapInArrow(write, schema).collect(), key=lambda r: (r.first_id is not None, r.first_id or 0))
-    start, listed = 0, []
+    keyed = id_and_text(docs, id_col, text_col).select("doc_id", "text", F.xxhash64("text").alias("tie"), F.monotonically_increasing_id().alias("place"))
+    ordered = keyed.repartitionByRange("doc_id", "tie", "place").sortWithinPartitions("doc_id", "tie", "place").select("doc_id", "text")
+    order = lambda x: (x is not None, x or 0)
+    rows = sorted(ordered.mapInArrow(write, schema).collect(), key=lambda r: (order(r.first_id), order(r.last_id), r.file))
+    start, manifest = 0, []
     for r in rows:
-        listed.append((*r, start))
+        manifest.append((*r, start))
         start += r.n_tokens
-    return spark.createDataFrame(listed, f"{schema}, start long")
+    return spark.createDataFrame(manifest, f"{schema}, start long")
 
 
 def read_tokens(manifest: DataFrame, path: str, digest: bool = False) -> DataFrame:
@@ -226,6 +238,50 @@ def read_tokens(manifest: DataFrame, path: str, digest: bool = False) -> DataFra
     return manifest.select("file", "start").repartition(width, "file").mapInArrow(read, f"doc_id long, start long, n_tokens long, {tail}")
 
 
+def _part(file, at: int, starts: list[int], first: int, last: int) -> np.ndarray:
+    """The ids of the blocks first to last - 1 of the segment at `at`; starts: each block's planes in it."""
+    file.seek(at)
+    n, extra, size = struct.unpack("<III", file.read(12))
+    blocks = len(starts)
+    meta = file.read(4 * blocks)
+    low, width, counts = np.frombuffer(meta, np.uint16, blocks), np.frombuffer(meta, np.uint8, blocks, 2 * blocks), np.frombuffer(meta, np.uint8, blocks, 3 * blocks)
+    upto = np.concatenate([[0], np.cumsum(counts.astype(np.int64))])
+    x, y = int(upto[first]), int(upto[last])
+    base = at + 12 + 4 * blocks
+
+    def piece(begin: int, end: int) -> bytes:
+        file.seek(begin)
+        return file.read(end - begin)
+
+    place, values = piece(base + x, base + y), piece(base + extra + 2 * x, base + extra + 2 * y)
+    planes = piece(base + 3 * extra + starts[first], base + 3 * extra + (starts[last] if last < blocks else size))
+    count = min(n, last * BLOCK) - first * BLOCK
+    return unpack(struct.pack("<III", count, y - x, len(planes)) + low[first:last].tobytes() + width[first:last].tobytes() + counts[first:last].tobytes() + place + values + planes)
+
+
+def read_range(manifest: DataFrame, path: str, first: int, last: int) -> DataFrame:
+    """(start, ids) of the ids first to last - 1 of all files together, a row for each segment that has some, by seeking to their blocks."""
+    bound_arrow(manifest.sparkSession)
+    kind = pa.schema([("start", pa.int64()), ("ids", pa.list_(pa.int32()))])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, folder = _fs(path)
+        for batch in batches:
+            for name, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                size = fs.get_file_info(f"{folder}/{name}").size
+                with fs.open_input_file(f"{folder}/{name}") as file:
+                    segments, _ = _footer(file, size)
+                    for s in segments.to_pylist():
+                        a, b = max(first - base - s["before"], 0), min(last - base - s["before"], s["n"])
+                        if a < b:
+                            block = a // BLOCK
+                            ids = _part(file, s["at"], s["blocks"], block, -(-b // BLOCK))[a - block * BLOCK : b - block * BLOCK]
+                            yield pa.RecordBatch.from_arrays([pa.array([base + s["before"] + a]), pa.array([ids.astype(np.int32)], kind.field(1).type)], schema=kind)
+
+    some = manifest.filter((F.col("start") < last) & (F.col("start") + F.col("n_tokens") > first))
+    return some.select("file", "start").mapInArrow(read, "start long, ids array<int>")
+
+
 def token_files(spark: SparkSession, docs: DataFrame, vocabulary: str, ranks: str | None = None, digest: bool = True) -> DataFrame:
     """Write the files in the shared folder and read them back."""
     path = scratch_path(spark, "tokens")

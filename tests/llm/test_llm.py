@@ -90,6 +90,28 @@ def test_token_files_round_trip(docs, empty, spark, tokenizers_):
     assert token_binary.token_files(spark, empty, BYTE, RANKS).count() == 0
 
 
+def test_ranges_of_ids_over_small_files(spark, tmp_path, tokenizers_):
+    """Files end early, one id is on many rows, and any range is read back by its blocks."""
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
+    rng = np.random.default_rng(8)
+    texts = [" ".join(rng.choice(["alpha", "beta", "12345", "ñandú", "x"], rng.integers(0, 300))) for _ in range(150)]
+    rows = [(7 if i % 3 == 0 else i, t) for i, t in enumerate(texts)] + [(None, "no id"), (None, None)]
+    path = f"file://{tmp_path}/tokens"
+    manifest = token_binary.write_tokens(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), path, BYTE, RANKS, file_bytes=2000).cache()
+    assert manifest.count() > 4
+    docs_ = sorted(token_binary.read_tokens(manifest, path).collect(), key=lambda r: r.start)
+    ids = [x for r in docs_ for x in r.ids]
+    assert [r.start for r in docs_] == np.concatenate([[0], np.cumsum([r.n_tokens for r in docs_])[:-1]]).tolist()
+    order = [-1 if r.doc_id is None else r.doc_id for r in docs_]
+    assert order == sorted(order) and Counter((r.doc_id, tuple(r.ids)) for r in docs_) == Counter((i, (*tokenizers_[BYTE].encode(t or "", add_special_tokens=False).ids, 2)) for i, t in rows)
+    for first, last in ((0, 1), (0, len(ids)), (127, 129), (995, 1010), (len(ids) - 3, len(ids) + 50), (len(ids), len(ids) + 5), (2500, 2500), (640, 1920)):
+        got = sorted(token_binary.read_range(manifest, path, first, last).collect(), key=lambda r: r.start)
+        assert [x for r in got for x in r.ids] == ids[first:last]
+    manifest.unpersist()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+
+
 @pytest.mark.parametrize("n", [1, 127, 128, 129, 1000])
 def test_pack_unpack(n):
     rng = np.random.default_rng(n)
