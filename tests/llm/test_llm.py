@@ -332,6 +332,48 @@ def test_quality_rules(docs, empty, spark):
     assert quality.judge(empty.select("doc_id", "text"), labels).count() == 0
 
 
+def test_log_ratio_equals_plain_code(spark):
+    """The verdict from hashed counts, computed again in plain Python; conflicting labels, null texts and repeated rows included."""
+    import regex
+
+    rng = np.random.default_rng(12)
+    words = ["good", "fine", "ñandú", "x1", "--", "spam", "???", "buy"]
+    text = lambda bad: " ".join(rng.choice(words[4 if bad else 0 : 8 if bad else 5], 80)) + rng.choice(["", "\n", "\tend."])
+    rows = [(i, text(i % 3 == 0)) for i in range(60)] + [(100, None), (101, ""), (None, text(False)), (5, "second text of one id"), (7, "same"), (7, "same")]
+    labels = [(i, int(i % 3 != 0)) for i in range(60)] + [(3, 1), (None, 1), (200, 1), (1, None)]
+
+    def buckets(t):
+        tokens = regex.findall(r"[\p{L}\p{N}]+|[^\p{L}\p{N} \t\n\x0b\f\r]+", t or "")
+        h = [xxhash.xxh64_intdigest(x.encode(), 42) for x in tokens]
+        as_long = lambda x, seed: xxhash.xxh64_intdigest(x.to_bytes(8, "little"), seed)
+        both = [as_long(b, as_long(a, 42)) for a, b in zip(h, h[1:], strict=False)]
+        signed = lambda x: x - (1 << 64) if x >> 63 else x
+        return [signed(x) % quality.BUCKETS for x in (*h, *both)]
+
+    good = {i for i, q in labels if i is not None and q == 1}
+    raw, target = Counter(), Counter()
+    for i, t in rows:
+        raw.update(buckets(t))
+        if i in good:
+            target.update(buckets(t))
+    n = {k: sum(c.values()) + quality.PRIOR * quality.BUCKETS for k, c in (("r", raw), ("t", target))}
+    weight = lambda b: np.log((target[b] + quality.PRIOR) / n["t"]) - np.log((raw[b] + quality.PRIOR) / n["r"])
+    want = Counter()
+    for i, t in rows:
+        b = buckets(t)
+        llr = float(np.mean([weight(x) for x in b])) if b else 0.0
+        w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        want[i, round(llr, 9), len(w) >= 50 and llr >= quality.THRESHOLD] += 1
+    docs_ = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter()
+    for r in quality.judge(docs_, spark.createDataFrame(labels, "doc_id long, quality int")).collect():
+        assert not r.kept or not r.base_failed
+        got[r.doc_id, round(r.llr, 9), r.kept if not (r.base_failed and r.n_words >= 50) else True] += 1
+    repeated = {k for k in want if k not in got}  # texts of few words repeat windows, and fail by that rule alone
+    assert {(k[0], k[1]) for k in got} == {(k[0], k[1]) for k in want} and all(not x[2] or (x[0], x[1], False) in got for x in repeated)
+    assert len({k[2] for k in want}) == 2
+
+
 def test_toxicity_on_held_out_rows(spark, empty):
     sf = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{sf}/labels.parquet")
@@ -400,6 +442,37 @@ def test_graph_reaches_the_true_neighbours(spark):
     assert np.mean([len(near[u] & set(true[u])) / 10 for u in range(3000)]) >= 0.9 and max(map(len, near.values())) == ann.near_of(3000)
 
 
+@pytest.mark.parametrize("name", ["quality_rules", "toxicity", "near_dedup", "substring_dedup", "packing"])
+def test_stages_one_by_one(spark, name):
+    """Odd rows and columns of clashing names through each stage, and an empty table."""
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    table = spark.read.parquet(f"{sf}/documents.parquet")
+    odd = spark.createDataFrame([(None, None, "en", "src0", None), (900_001, None, "en", None, 0), (None, "word " * 60, None, "s", 5), (900_002, "", "en", "s", 0), (900_003, "long text " * 9000, "en", "s", 90_000), (900_003, "long text " * 9000, "en", "s", 90_000)], table.schema)
+    extra = {"key": F.lit("k"), "row": F.lit(1), "score": F.lit(0.5), "kept": F.lit("yes"), "pos": F.lit(2)}
+    docs_ = table.unionByName(odd).withColumns(extra)
+    stage = dict(corpus_pipeline.STAGES)[name]
+    out = stage(spark, docs_, sf)
+    assert stage(spark, docs_.limit(0), sf).count() == 0
+    if name == "packing":
+        rows = out.toPandas()
+        assert rows.groupby("sequence_id").length.sum().max() <= 4096 and rows[rows.piece == 0].shape[0] == docs_.count()
+        return
+    assert out.columns == docs_.columns
+    kept, before = [tuple(r) for r in out.collect()], Counter(tuple(r) for r in docs_.collect())
+    if name == "substring_dedup":
+        assert len(kept) == sum(before.values())
+        left = {r.doc_id: r.text for r in docs_.collect()}
+        assert all(r.text is None if left[r.doc_id] is None else len(r.text) <= len(left[r.doc_id]) for r in out.collect() if r.doc_id is not None)
+        assert all(r.n_chars == (None if r.text is None else len(r.text)) for r in out.collect())
+    else:
+        assert not Counter(kept) - before and 0 < len(kept) < sum(before.values())
+    if name == "near_dedup":
+        truth = near_truth([(r.doc_id, r.text) for r in docs_.collect() if r.doc_id is not None], 5, 80)
+        assert {r.doc_id for r in out.collect()} - {None} == {i for i, (_, c) in truth.items() if i == c}
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
