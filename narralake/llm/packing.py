@@ -7,8 +7,9 @@ Windows that a bound cannot fault (full ones) are final. Of every partition, the
 partition, which is packed and certified again, until one partition is left. A round moves windows, never all
 pieces, so no task holds more than a partition or FAN * leavings, at any size of input.
 
-Nulls: a null text is an empty one and still gets its end token. Empty tables give no rows. Repeated rows are packed
-each for itself. Other columns are not read.
+Nulls: a null text is an empty one and still gets its end token; null ids stay, their pieces are told apart by number
+and checksum only. Empty tables give no rows. Repeated rows are packed each for itself, and equal sizes in any order.
+Only texts longer than a window are cut. Other columns are not read.
 """
 
 from __future__ import annotations

@@ -7,8 +7,10 @@ texts of at most TRUSTED rows that the labels mark with quality 1, chosen by a h
 are rejected. The rules reject further texts of fewer than MIN_WORDS words, and those of which more than MAX_REPEATED
 percent of the words lie in a three-word window that the text repeats.
 
-Nulls: a null text is an empty one (rejected by the rules), null ids stay. Empty tables give no rows; repeated rows
-are counted and judged each for itself. Extra columns of other names are not read.
+Nulls: a null text is an empty one (rejected by the rules), null ids stay; null labels and ids of labels mark nothing.
+Of conflicting label rows of one id, one with quality 1 is enough. Empty tables give no rows, and without trusted texts
+the target is even over all buckets; repeated rows are counted and judged each for itself. Texts of any length are
+judged whole. Extra columns of other names are not read.
 """
 
 from __future__ import annotations
