@@ -2,17 +2,18 @@
 
 1. Each text's distinct word shingles are hashed; HASHES universal functions give its minima. Texts with equal sets
    form one class, and only a class's least document goes on.
-2. Every BAND minima make a bucket key (BANDS of them). Of each bucket the member that lies in the most crowded
+2. Every BAND of the first minima make a bucket key (BANDS of them). Of each bucket the member that lies in the most crowded
    buckets overall is the pivot; all members are compared with it on their whole sets. Most links of a group of copies
-   come from that, one comparison a member. A pivot's members are dealt to SALTS groups, each of which gets the pivot's
-   set once; crowded buckets are kept out of the joins' shuffles.
+   come from that, one comparison a member. A pivot's members are dealt to groups of about MEMBERS, each of which gets
+   the pivot's set once; crowded buckets are kept out of the joins' shuffles.
 3. Buckets that still hold several components are compared for the rest: members outside the pivot's component against
    all others, in blocks, by the share of equal minima (ESTIMATE or more, in the first band that both share), and what
    passes on whole sets. Pairs inside one component are never formed.
 4. Large-star and small-star give the components.
-A pair of similarity 0.8 shares no band with a chance of 4.6e-8, and falls short of ESTIMATE with one under 1e-14 (512
-minima of 8 bits have a standard deviation of 0.018, ESTIMATE lies eight of them below); higher similarities are lost
-far more rarely. The residual blocks grow with (members outside the pivot's component) times (members), the price of
+A pair of similarity 0.8 shares no band with a chance of 4.6e-8, and falls short of ESTIMATE with one of 1e-7 (HASHES
+minima of 8 bits have a standard deviation of 0.0125, ESTIMATE lies 5.2 of them below); higher similarities are lost far
+more rarely. Only the members of buckets that stay open get these sketches. The residual blocks grow with (members
+outside the pivot's component) times (members), the price of
 missing no link there.
 
 Nulls: a null id takes no part and is its own component (null); texts without words are linked with nothing. Empty
@@ -33,20 +34,20 @@ from narralake.llm.common import bound_arrow, id_and_text, join_one, materialize
 from narralake.llm.components import components
 from narralake.llm.shingles import shingle_sets
 
-BANDS, BAND, HASHES, BLOCK, ESTIMATE, SALTS = 32, 4, 512, 256, 0.66, 256
+BANDS, BAND, HASHES, BLOCK, ESTIMATE, MEMBERS = 32, 4, 1024, 256, 0.735, 4096
 _rng = np.random.default_rng(20_240_607)
 _A = _rng.integers(0, 1 << 32, HASHES, dtype=np.uint32) | np.uint32(1)
 _B = _rng.integers(0, 1 << 32, HASHES, dtype=np.uint32)
 
 
-def minima(found: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """HASHES minima for each set that isn't empty, by multiply-add functions modulo 2**32."""
+def minima(found: np.ndarray, bounds: np.ndarray, count: int = HASHES) -> np.ndarray:
+    """The first `count` minima for each set that isn't empty, by multiply-add functions modulo 2**32."""
     short = (found >> np.uint64(32)).astype(np.uint32)
-    return np.stack([np.minimum.reduceat(short * a + b, bounds) for a, b in zip(_A, _B, strict=True)], axis=1)
+    return np.stack([np.minimum.reduceat(short * a + b, bounds) for a, b in zip(_A[:count], _B[:count], strict=True)], axis=1)
 
 
 def _signatures(docs: DataFrame, k: int) -> DataFrame:
-    kind = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("sig", pa.binary()), ("sketch", pa.binary())])
+    kind = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("sig", pa.binary())])
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -54,17 +55,15 @@ def _signatures(docs: DataFrame, k: int) -> DataFrame:
                 found, bounds = shingle_sets(batch.column(1), k)
                 sizes = np.diff(bounds)
                 full = np.flatnonzero(sizes)
-                keys, sigs, sketches = ([None] * len(sizes) for _ in range(3))
+                keys, sigs = ([None] * len(sizes) for _ in range(2))
                 if len(full):
-                    table = minima(found, bounds[full])
-                    low, first = table.astype(np.uint8), np.ascontiguousarray(table[:, : BANDS * BAND])
+                    table = minima(found, bounds[full], BANDS * BAND)
                     for row, d in enumerate(full):
                         keys[d] = hashlib.blake2b(found[bounds[d] : bounds[d + 1]].tobytes(), digest_size=16).digest()
-                        sigs[d] = first[row].tobytes()
-                        sketches[d] = low[row].tobytes()
-                yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary()), pa.array(sketches, pa.binary())], schema=kind)
+                        sigs[d] = table[row].tobytes()
+                yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())], schema=kind)
 
-    return docs.mapInArrow(sign, "doc_id long, n_shingles long, set_key binary, sig binary, sketch binary")
+    return docs.mapInArrow(sign, "doc_id long, n_shingles long, set_key binary, sig binary")
 
 
 def _sets(docs: DataFrame, k: int) -> DataFrame:
@@ -79,6 +78,20 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(sets, "id long, shingles binary")
 
 
+def _sketches(sets: DataFrame) -> DataFrame:
+    """The low bytes of all HASHES minima of each set."""
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, 1, 2 << 20):
+                rows = batch.column(1).to_pylist()
+                bounds = np.concatenate([[0], np.cumsum([len(r) // 8 for r in rows])])
+                table = minima(np.frombuffer(b"".join(rows), np.uint64), bounds[:-1]).astype(np.uint8)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in table], pa.binary())], ["id", "sketch"])
+
+    return sets.select("id", "shingles").mapInArrow(sketch, "id long, sketch binary")
+
+
 def _alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     """100 * common >= percent * union, of sorted distinct values."""
     if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
@@ -90,7 +103,7 @@ def _alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets are alike. b's set goes to a's group of its salt, a's set once to each of these groups."""
+    """The pairs (a, b) whose whole sets are alike. b's set goes to a's group of its salt, of about MEMBERS, a's set once to each of these groups."""
     kind = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,9 +120,10 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                     right.append(max(a, b))
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], schema=kind)
 
-    dealt = pairs.select("a", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int").alias("salt"), "b")
+    groups = materialize(pairs.groupBy("a").agg(F.count("*").alias("n")).withColumn("salts", F.ceil(F.col("n") / MEMBERS).cast("int")), "groups")
+    dealt = join_one(pairs, groups, ["a"], "n", pairs.count()).select("a", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), "b")
     members = dealt.join(sets.withColumnRenamed("id", "b"), "b").select("a", "salt", "b", "shingles")
-    heads = dealt.select("a", "salt").distinct().join(sets.withColumnRenamed("id", "a"), "a").select("a", "salt", F.lit(None).cast("long").alias("b"), "shingles")
+    heads = groups.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")).join(sets.withColumnRenamed("id", "a"), "a").select("a", "salt", F.lit(None).cast("long").alias("b"), "shingles")
     rows = heads.unionByName(members).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
     return rows.mapInArrow(confirm, "a long, b long").distinct()
 
@@ -174,7 +188,7 @@ def near_components(docs: DataFrame, k: int = 4, percent: int = 80, id_col: str
     least = classes.select("id").distinct()
     # A repeated id may have several texts: each class keeps its own signature, the id joins them.
     owned = some.join(classes.withColumnRenamed("id", "least"), "set_key").filter("doc_id = least").dropDuplicates(["set_key"])
-    sigs = materialize(owned.select(F.col("doc_id").alias("id"), "sig", "sketch"), "reps")
+    sigs = materialize(owned.select(F.col("doc_id").alias("id"), "sig"), "reps")
     bands = sigs.select("id", F.posexplode(F.array(*[F.xxhash64(F.substring("sig", 4 * BAND * b + 1, 4 * BAND), F.lit(b)) for b in range(BANDS)])).alias("band", "bucket"))
     crowd = materialize(bands.groupBy("band", "bucket").agg(F.count("*").alias("m")).filter("m > 1"), "crowd")
     banded = BANDS * sigs.count()
@@ -199,7 +213,7 @@ def near_components(docs: DataFrame, k: int = 4, percent: int = 80, id_col: str
     as_main = F.transform(F.sequence(F.lit(0), F.col("nr") - 1), lambda i: F.struct(i.alias("i"), (-1 - F.col("block")).alias("j"), F.lit(2).alias("side")))
     dealt = join_one(open_, counts, ["band", "bucket"], "n", banded).withColumn("block", block).select("band", "bucket", "id", "component", F.explode(F.when(F.col("rest"), F.concat(own, with_main)).otherwise(as_main)).alias("x")).select("band", "bucket", "id", "component", "x.i", "x.j", "x.side")
     block_pair = ["band", "bucket", "i", "j"]
-    sketches = sigs.select("id", "sketch", F.array(*[F.pmod(F.xxhash64(F.substring("sig", 4 * BAND * b + 1, 4 * BAND), F.lit(b)), F.lit((1 << 31) - 1)).cast("int") for b in range(BANDS)]).alias("keys"))
+    sketches = _sketches(sets.join(open_.select("id").distinct(), "id", "left_semi")).join(sigs, "id").select("id", "sketch", F.array(*[F.pmod(F.xxhash64(F.substring("sig", 4 * BAND * b + 1, 4 * BAND), F.lit(b)), F.lit((1 << 31) - 1)).cast("int") for b in range(BANDS)]).alias("keys"))
     close = dealt.join(sketches, "id").select(*block_pair, "id", "component", "side", "sketch", "keys").repartition(*block_pair).sortWithinPartitions(*block_pair).mapInArrow(_compare, "a long, b long")
     more = materialize(_confirmed(materialize(close.distinct(), "close"), sets, percent), "more")
     if not more.isEmpty():
