@@ -99,8 +99,10 @@ def _connection() -> Column:
 def validate_edges(edges: DataFrame, rules: dict[str, Rule] | None = None) -> DataFrame:
     """Adds rule (the first that fails), error (empty if valid) and is_valid."""
     whole = edges.select("*", *[F.lit(None).cast("string").alias(n) for n in EDGE_COLUMNS if n not in edges.columns])
-    found = [F.when(r().isNotNull(), F.struct(F.lit(name).alias("rule"), F.concat(F.lit(f"Rule '{name}' failed: "), r()).alias("error"))) for name, r in (rules or RULES).items()]
-    return whole.withColumn("x", F.coalesce(*found)).select(*edges.columns, c("x.rule").alias("rule"), F.coalesce("x.error", F.lit("")).alias("error"), c("x").isNull().alias("is_valid"))
+    messages = {name: r() for name, r in (rules or RULES).items()}
+    first = F.coalesce(*[F.when(m.isNotNull(), name) for name, m in messages.items()])
+    error = F.coalesce(*[F.concat(F.lit(f"Rule '{name}' failed: "), m) for name, m in messages.items()], F.lit(""))
+    return whole.select(*edges.columns, first.alias("rule"), error.alias("error"), first.isNull().alias("is_valid"))
 
 
 def edges_of(g: Story) -> DataFrame:
