@@ -268,7 +268,7 @@ def build_graph(ready: DataFrame, count: int) -> DataFrame:
         known = edges.select("u", "v", "s", F.when(F.col("state") == 1, 1).otherwise(0).cast("tinyint").alias("state"))
         graph, round_ = merged(known.unionByName(found), round_ + 1), round_ + 1
         changed = graph.agg(F.sum("changed")).first()[0] or 0
-        if changed < SETTLED * near * count:
+        if changed <= SETTLED * near * count:
             return graph.mapInArrow(_edges, "u long, v long, s float, state tinyint").select("u", "v", "s")
 
 
