@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from narralake.llm import ann, bpe_codec, filter_audit, hard_negatives, near_dedup, packing, quality, sharding, substring_dedup, token_binary, token_count, toxicity
+from narralake.llm import ann, bpe_codec, filter_audit, hard_negatives, near_dedup, packing, pii, quality, sharding, substring_dedup, token_binary, token_count, toxicity
 from narralake.llm.common import id_and_text, load
 
 
@@ -65,6 +65,10 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(load(spark, sf_dir, "embeddings"), k=20, every=20)
 
 
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find(load(spark, sf_dir, "documents")))
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return hard_negatives.mine(load(spark, sf_dir, "embeddings"), label=label, every=100, positives=5, negatives=5)
@@ -85,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_dedup": op8_near_dedup,
     "op9_packing": op9_packing,
     "op10_ann": op10_ann,
+    "op11_pii": op11_pii,
     "op12_hard_negatives": op12_hard_negatives,
     "op13_filter_audit": op13_filter_audit,
 }
