@@ -247,8 +247,16 @@ entry("rank_in_story", network.rank_in_story, "SELECT story_id, character_id, de
 
 # Histories
 entry("episodes_last_n", temporal.episodes_last_n, "SELECT group_id, uuid, body, r FROM (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY created_at DESC, uuid DESC) AS r FROM {episodes} WHERE created_at <= TIMESTAMP '2024-01-20 00:00:00') x WHERE r <= 5")
-entry("search_memory", temporal.search_memory, "WITH h AS (SELECT conv_id, turn, list_contains(w, 'the')::INT + list_contains(w, 'and')::INT + list_contains(w, 'of')::INT AS hits FROM (SELECT conv_id, turn, string_split(lower(text), ' ') AS w FROM {turns}) x) SELECT * FROM h WHERE hits > 0 ORDER BY hits DESC, conv_id, turn LIMIT 20")
-entry("as_of_snapshot", temporal.as_of_snapshot, "SELECT * FROM (SELECT uuid, body, 'TEMPORAL_REFERENCE' AS tag FROM {episodes} WHERE created_at <= TIMESTAMP '2024-01-20 00:00:00' ORDER BY created_at DESC, uuid DESC LIMIT 20) a UNION ALL SELECT * FROM (SELECT uuid, body, 'SEARCH_MATCH' FROM {episodes} WHERE created_at <= TIMESTAMP '2024-01-20 00:00:00' AND contains(body, 'purchase') ORDER BY created_at DESC, uuid DESC LIMIT 20) b")
+def _ranked(terms: str, top: int, per: str = "conv_id") -> str:
+    """BM25 over the turns of each conversation, straight from the formula; `terms` gives (term) or (name, term)."""
+    named = ", name" if per != "conv_id" else ""
+    return rf"""t AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(lower(text), '{_SPLIT}'), lambda x: x <> '') AS w FROM {{turns}}), z AS (SELECT conv_id, count(*) AS texts, avg(len(w)) AS usual FROM t GROUP BY 1), f AS (SELECT conv_id, turn, len(w) AS length, term, count(*) AS tf FROM (SELECT *, unnest(w) AS term FROM t) u GROUP BY ALL), d AS (SELECT conv_id, term, count(*) AS df FROM f GROUP BY 1, 2), q AS ({terms}), h AS (SELECT f.conv_id, f.turn{named}, round(sum(ln(1 + (texts - df + 0.5) / (df + 0.5)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * length / usual))), 6) AS score FROM q JOIN f ON f.term = q.term JOIN d ON d.conv_id = f.conv_id AND d.term = f.term JOIN z ON z.conv_id = f.conv_id GROUP BY ALL), r AS (SELECT *, (row_number() OVER (PARTITION BY {per} ORDER BY score DESC, turn))::INT AS place FROM h QUALIFY place <= {top})"""
+
+
+entry("search_memory", temporal.search_memory, f"WITH {_ranked("SELECT unnest(['the', 'king', 'was', 'dead']) AS term", 5)} SELECT conv_id, turn, score, place FROM r")
+entry("character_knowledge", temporal.character_knowledge, f"WITH {_ranked("SELECT name, lower(name) AS term FROM (SELECT unnest(['Alice', 'Bob', 'Carol']) AS name) n", 20, "name, conv_id")} SELECT name, conv_id, turn, score, place FROM r")
+_NEWEST = "QUALIFY row_number() OVER (PARTITION BY group_id ORDER BY created_at DESC, uuid DESC) <= 20"
+entry("as_of_snapshot", temporal.as_of_snapshot, f"SELECT * FROM (SELECT group_id, uuid, body, 'TEMPORAL_REFERENCE' AS tag FROM {{episodes}} WHERE created_at <= TIMESTAMP '2024-01-20 00:00:00' {_NEWEST}) a UNION ALL SELECT * FROM (SELECT group_id, uuid, body, 'SEARCH_MATCH' FROM {{episodes}} WHERE created_at <= TIMESTAMP '2024-01-20 00:00:00' AND contains(body, 'purchase') {_NEWEST}) b")
 entry("temporal_context", temporal.temporal_context, "SELECT group_id, uuid, count(*) OVER (PARTITION BY group_id ORDER BY created_at, uuid ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS before, count(*) OVER (PARTITION BY group_id, created_at) AS at, count(*) OVER (PARTITION BY group_id ORDER BY created_at, uuid ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING) AS after FROM {episodes}")
 _YEAR = "(SELECT a.character_id AS src, b.character_id AS dst, scene_order // 10000 AS year, count(*) AS strength FROM {present_in} a JOIN {present_in} b ON a.scene_id = b.scene_id AND a.character_id < b.character_id JOIN {characters} c ON c.character_id = a.character_id JOIN {characters} d ON d.character_id = b.character_id AND d.story_id = c.story_id JOIN {scenes} s ON s.scene_id = a.scene_id GROUP BY 1, 2, 3)"
 _DELTA = f"(SELECT *, strength - before AS delta FROM (SELECT *, lag(strength) OVER (PARTITION BY src, dst ORDER BY year) AS before FROM {_YEAR} y) x WHERE before IS NOT NULL)"
@@ -267,7 +275,7 @@ entry("node_count", temporal.node_count, "SELECT (SELECT count(*) FROM {characte
 entry("edge_sample", records.edge_sample, "SELECT type, src, dst FROM {sna_edges} ORDER BY type, src, dst LIMIT 5")
 entry("graph_statistics", temporal.graph_statistics, "SELECT a.*, b.*, c.* FROM (SELECT count(*) AS active_sessions, sum(n) AS episodes FROM (SELECT least(count(*), 1000) AS n FROM {episodes} GROUP BY group_id) x) a, (SELECT count(DISTINCT body) AS kinds FROM {episodes}) b, (SELECT count(*) AS recent, count(DISTINCT group_id) AS sample_sessions FROM (SELECT group_id, row_number() OVER (PARTITION BY group_id ORDER BY created_at DESC, uuid DESC) AS r FROM {episodes} WHERE group_id IN (SELECT DISTINCT group_id FROM {episodes} ORDER BY 1 LIMIT 5)) y WHERE r <= 50) c")
 entry("memory_context", temporal.memory_context, "SELECT conv_id, md5(string_agg(text, chr(10) || chr(10) ORDER BY r)) AS context FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM {turns}) x WHERE r <= 3 GROUP BY 1")
-entry("extract_facts", temporal.extract_facts, "SELECT conv_id, turn, substring(text, 1, 100) AS fact, 0.8::DOUBLE AS confidence FROM {turns} WHERE contains(text, 'the') ORDER BY conv_id, turn LIMIT 10")
+entry("extract_facts", temporal.extract_facts, f"WITH {_ranked("SELECT unnest(['the', 'king']) AS term", 10)} SELECT r.conv_id, r.turn, place, substring(text, 1, 100) AS fact, 0.8::DOUBLE AS confidence FROM r JOIN {{turns}} x ON x.conv_id = r.conv_id AND x.turn = r.turn")
 entry("delete_story", temporal.delete_story, "SELECT story_id, count(*) AS n, story_id = 3 AS is_deleted FROM {characters} GROUP BY 1")
 entry("alert_windows", temporal.alert_windows, "SELECT CAST(floor(epoch(ts) / 1800) * 1800 AS BIGINT) AS start, count(*) AS n FROM {events} WHERE event_type = 'error' GROUP BY 1")
 _DAYS = "(SELECT user_id, event_id, date_trunc('day', ts) AS ts FROM {events})"
@@ -299,7 +307,7 @@ entry("statement_split", records.statement_split, "WITH l AS (SELECT file, line,
 entry("regex_line_scan", records.regex_line_scan, r"""SELECT DISTINCT file, line, name FROM (SELECT file, line, unnest(regexp_extract_all(text, 'getenv\(["'']([^"'']+)["'']', 1)) AS name FROM {source_lines} UNION ALL SELECT file, line, unnest(regexp_extract_all(text, 'environ\[["''](.*?)["'']\]', 1)) FROM {source_lines} UNION ALL SELECT file, line, unnest(regexp_extract_all(text, 'environ\.get\(["'']([^"'']+)["'']', 1)) FROM {source_lines}) x""")
 entry("location_connections", records.location_connections, "SELECT DISTINCT src % 25 AS from_location, dst % 25 AS to_location FROM {sna_edges} WHERE src % 25 = 3 OR dst % 25 = 3")
 entry("query_hash", records.query_hash, "SELECT n_nationkey, md5(concat(n_name, ':{\"story_id\": ', CAST(n_nationkey AS STRING), '}')) AS key FROM {nation}")
-entry("vector_topk", records.vector_topk, "SELECT vec_id, round(list_dot_product(e, q) / sqrt(list_dot_product(e, e) * list_dot_product(q, q)), 6) AS score FROM (SELECT vec_id, embedding::DOUBLE[] AS e, (SELECT embedding::DOUBLE[] FROM {embeddings} WHERE vec_id = 0) AS q FROM {embeddings}) x ORDER BY score DESC, vec_id LIMIT 10")
+entry("vector_topk", records.vector_topk, "SELECT vec_id, label, score, place FROM (SELECT vec_id, label, round(list_dot_product(e, q) / sqrt(list_dot_product(e, e) * list_dot_product(q, q)), 6) AS score, (row_number() OVER (PARTITION BY label ORDER BY round(list_dot_product(e, q) / sqrt(list_dot_product(e, e) * list_dot_product(q, q)), 6) DESC, vec_id))::INT AS place FROM (SELECT vec_id, label, embedding::DOUBLE[] AS e, (SELECT embedding::DOUBLE[] FROM {embeddings} WHERE vec_id = 0) AS q FROM {embeddings}) x) y WHERE place <= 10")
 entry("quest_ready", records.quest_ready, "SELECT o.o_orderkey, NOT EXISTS (SELECT 1 FROM {orders} p WHERE p.o_custkey = o.o_custkey AND p.o_orderkey < o.o_orderkey AND p.o_orderstatus = 'O') AS ready FROM {orders} o")
 entry("objective_completion", records.objective_completion, "SELECT l_orderkey, count(*) AS objectives, sum((l_linestatus = 'F')::INT) AS done, count(*) = sum((l_linestatus = 'F')::INT) AS complete FROM {lineitem} GROUP BY 1")
 entry("dialogue_dangling", records.dialogue_dangling, "SELECT conv_id, turn FROM {turns} t WHERE NOT EXISTS (SELECT 1 FROM {turns} n WHERE n.conv_id = t.conv_id AND n.turn = t.turn + 1)")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from narralake.operators.consistency import alert_severity
@@ -199,12 +199,12 @@ def query_hash(g: Story) -> DataFrame:
 
 
 def vector_topk(g: Story, query: int = 0, top: int = 10) -> DataFrame:
-    """Cosine search for one stored vector; its row is joined by a broadcast of that one row."""
-    e = g["embeddings"].select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    """Cosine search for one stored vector inside every group (label); the query is a scalar of one row."""
+    e = g["embeddings"].select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
     q = e.filter(F.col("vec_id") == query).select(F.col("v").alias("q"))
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    s = e.withColumn("q", q.scalar()).select("vec_id", F.round(dot("v", "q") / F.sqrt(dot("v", "v") * dot("q", "q")), 6).alias("score"))
-    return s.orderBy(F.desc("score"), "vec_id").limit(top)
+    s = e.withColumn("q", q.scalar()).select("vec_id", "label", F.round(dot("v", "q") / F.sqrt(dot("v", "v") * dot("q", "q")), 6).alias("score"))
+    return s.withColumn("place", F.row_number().over(Window.partitionBy("label").orderBy(F.desc("score"), "vec_id"))).filter(F.col("place") <= top)
 
 
 def quest_ready(g: Story) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from narralake.operators import search
 from narralake.plans.adapter import Story
 from narralake.plans.storage import written
 
@@ -15,18 +16,26 @@ def episodes_last_n(g: Story, reference: str = "2024-01-20 00:00:00", n: int = 5
     return g["episodes"].filter(F.col("created_at") <= F.lit(reference).cast("timestamp_ntz")).withColumn("r", F.row_number().over(w)).filter(F.col("r") <= n).select("group_id", "uuid", "body", "r")
 
 
-def search_memory(g: Story, terms: tuple[str, ...] = ("the", "and", "of"), top: int = 20) -> DataFrame:
-    """Top turns by the number of query terms they hold, ties by place in the log."""
-    words = F.split(F.lower("text"), " ")
-    hits = sum((F.array_contains(words, t).cast("int") for t in terms), F.lit(0))
-    return g["turns"].select("conv_id", "turn", hits.alias("hits")).filter("hits > 0").orderBy(F.desc("hits"), "conv_id", "turn").limit(top)
+def search_memory(g: Story, query: str = "the king was dead", top: int = 5) -> DataFrame:
+    """The best turns of every conversation for a query, ranked by BM25 inside the conversation."""
+    found = search.search(search.build(g["turns"], "conv_id", "turn", "text"), search.terms_of(g.spark, query), top)
+    return found.select(F.col("group").alias("conv_id"), F.col("key").alias("turn"), "score", "place")
+
+
+def character_knowledge(g: Story, names: tuple[str, ...] = ("Alice", "Bob", "Carol"), top: int = 20) -> DataFrame:
+    """What a conversation holds on each character: up to `top` turns, ranked for the character's name."""
+    t = g["turns"]
+    who = t.select("conv_id").distinct().select("conv_id", F.explode(F.array(*[F.lit(n) for n in names])).alias("name"))
+    found = search.search(search.build(t, "conv_id", "turn", "text"), search.queries_of(who, "name", "conv_id", "name"), top)
+    return found.select(F.col("query").alias("name"), F.col("group").alias("conv_id"), F.col("key").alias("turn"), "score", "place")
 
 
 def as_of_snapshot(g: Story, reference: str = "2024-01-20 00:00:00", word: str = "purchase", last: int = 20) -> DataFrame:
+    """Of every group: the newest `last` episodes up to a time, and the newest that hold a word, tagged; repeats stay."""
     before = g["episodes"].filter(F.col("created_at") <= F.lit(reference).cast("timestamp_ntz"))
-    recent = before.orderBy(F.desc("created_at"), F.desc("uuid")).limit(last).select("uuid", "body", F.lit("TEMPORAL_REFERENCE").alias("tag"))
-    hits = before.filter(F.col("body").contains(word)).orderBy(F.desc("created_at"), F.desc("uuid")).limit(last).select("uuid", "body", F.lit("SEARCH_MATCH").alias("tag"))
-    return recent.unionAll(hits)
+    newest = F.row_number().over(Window.partitionBy("group_id").orderBy(F.desc("created_at"), F.desc("uuid")))
+    pick = lambda rows, tag: rows.withColumn("r", newest).filter(F.col("r") <= last).select("group_id", "uuid", "body", F.lit(tag).alias("tag"))
+    return pick(before, "TEMPORAL_REFERENCE").unionAll(pick(before.filter(F.col("body").contains(word)), "SEARCH_MATCH"))
 
 
 def temporal_context(g: Story, n: int = 5) -> DataFrame:
@@ -159,8 +168,12 @@ def memory_context(g: Story, n: int = 3) -> DataFrame:
     return top.groupBy("conv_id").agg(F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "text"))), lambda x: x["text"]), "\n\n")).alias("context"))
 
 
-def extract_facts(g: Story, word: str = "the", top: int = 10) -> DataFrame:
-    return g["turns"].filter(F.col("text").contains(word)).orderBy("conv_id", "turn").limit(top).select("conv_id", "turn", F.substring("text", 1, 100).alias("fact"), F.lit(0.8).alias("confidence"))
+def extract_facts(g: Story, query: str = "the king", top: int = 10) -> DataFrame:
+    """Facts for a query: of every conversation the first hundred characters of its best turns."""
+    t = g["turns"]
+    found = search.search(search.build(t, "conv_id", "turn", "text"), search.terms_of(g.spark, query), top)
+    best = found.select(F.col("group").alias("conv_id"), F.col("key").alias("turn"), "place")
+    return best.join(t, ["conv_id", "turn"]).select("conv_id", "turn", "place", F.substring("text", 1, 100).alias("fact"), F.lit(0.8).alias("confidence"))
 
 
 def delete_story(g: Story, story_id: int = 3) -> DataFrame:

@@ -39,8 +39,9 @@ TABLES: dict[str, str] = {
     "casts": "SELECT scene_id, story_id, p.character_id, dialogue_count FROM {present_in} p JOIN {characters} c ON p.character_id = c.character_id",
     "met": "SELECT a.story_id, a.character_id AS src, b.character_id AS dst, count(*) AS n, max(a.scene_id) AS last_scene, sum(a.dialogue_count + b.dialogue_count) AS lines FROM {casts} a JOIN {casts} b ON a.scene_id = b.scene_id AND a.story_id = b.story_id AND a.character_id < b.character_id GROUP BY a.story_id, a.character_id, b.character_id",
     "relationships": "SELECT story_id, src, dst, CASE last_scene % 3 WHEN 0 THEN 'ally' WHEN 1 THEN 'rival' ELSE 'friend' END AS relationship_type, lines % 10 + 1 AS relationship_strength, (src + dst) % 10 + 1 AS trust_level, CASE WHEN (src * dst) % 2 = 0 THEN 'warm' ELSE 'cold' END AS emotional_valence, last_scene % 28 + 1 AS established_at, last_scene % 28 + 1 + n AS updated_at FROM {met}",
-    # Half of all meetings count towards a tie, so that some pairs stay without one and paths have several steps.
-    "ties": "SELECT story_id, src, dst, CASE WHEN n % 2 = 0 THEN 0 ELSE n + lines % 16 END AS strength FROM {met}",
+    # A pair's strength: how often they met against the usual pair of their story, cubed, so that some stay without a tie.
+    "lifts": "SELECT m.story_id, src, dst, CAST(n AS DOUBLE) / usual AS lift FROM {met} m JOIN (SELECT story_id, avg(n) AS usual FROM {met} GROUP BY story_id) u ON u.story_id = m.story_id",
+    "ties": "SELECT story_id, src, dst, CAST(floor(lift * lift * lift * 3) AS INT) AS strength FROM {lifts}",
     "sna_edges": "SELECT story_id, src, dst, strength, CASE WHEN strength >= 15 THEN 'FRIENDS_WITH' WHEN strength >= 8 THEN 'KNOWS' WHEN strength >= 3 THEN 'ACQUAINTED_WITH' ELSE 'MENTIONED_WITH' END AS type, least(CAST(floor(strength / 2) AS INT), 10) AS trust_level FROM (SELECT story_id, src, dst, strength FROM {ties} UNION ALL SELECT story_id, dst AS src, src AS dst, strength FROM {ties}) x",
     # Every tenth event opens a thread, the others belong to it; of every hundred, three are each other's ancestors.
     "parents": "SELECT event_id AS episode, CASE WHEN event_id % 100 IN (1, 2) THEN event_id + 1 WHEN event_id % 100 = 3 THEN event_id - 2 WHEN event_id % 10 <> 0 THEN event_id - event_id % 10 WHEN event_id % 100 <> 0 THEN event_id - event_id % 100 END AS parent FROM {events}",
@@ -54,7 +55,7 @@ TABLES: dict[str, str] = {
     "source_lines": "SELECT user_id AS file, event_id AS line, CASE event_id % 8 WHEN 0 THEN concat('x = os.getenv(\"', upper(event_type), '_KEY\", \"none\")') WHEN 1 THEN 'y = os.environ[\"HOME_DIR\"]' WHEN 2 THEN 'z = environ.get(\"MODE\") or os.getenv( \"OTHER\" )' WHEN 3 THEN '// a comment;' WHEN 4 THEN '' WHEN 5 THEN 'MATCH (n)' WHEN 6 THEN '  RETURN n;  ' ELSE concat('CREATE ', event_type, ';') END AS text FROM {events}",
     "episodes": "SELECT event_id AS uuid, user_id AS group_id, event_type AS body, ts AS created_at, value FROM {events}",
     # Conversations with story phrases put in by number, so that every text rule has rows that it meets and rows that it misses.
-    "turns": "SELECT conv_id, turn, role, CASE (conv_id + 3 * turn) % 16 WHEN 0 THEN concat('Chapter 7 ', text) WHEN 1 THEN concat(text, ' Alice said to Bob that the king was dead.') WHEN 2 THEN concat(text, ' Bob recalled that Carol was alive.') WHEN 3 THEN 'THE LAST BATTLE' WHEN 4 THEN concat(text, ' Meanwhile, the enemy was hidden before anyone had mentioned it.') WHEN 5 THEN concat(text, ' Years later the friend will find a secret.') WHEN 6 THEN concat(text, ' Cut to the castle. Would you like more detail?') WHEN 7 THEN concat(text, ' Alice and Dan told The Story in dialogue: stop, that is enough.') WHEN 8 THEN concat(text, ' I remember my young sister, they were rich and happy.') WHEN 9 THEN concat(text, ' Old and poor, he was never married.') WHEN 10 THEN concat('Story Content: ', text, chr(10), chr(10), 'Entities: Alice, Bob') WHEN 11 THEN concat('MATCH (k:Knowledge) WHERE k.content CONTAINS ''dead'' RETURN k ', text) WHEN 12 THEN '12' WHEN 13 THEN concat(text, ' Little did she know that he was single.') WHEN 14 THEN concat(text, chr(10), '---', chr(10), 'Bob told Alice: as the seer had said, Carol will see.') ELSE text END AS text FROM {conversations}",
+    "turns": "SELECT conv_id, turn, role, CASE (conv_id + 3 * turn) % 16 WHEN 0 THEN concat('Chapter 7 ', text) WHEN 1 THEN concat(text, ' Alice said to Bob that the king was dead.') WHEN 2 THEN concat(text, ' Bob recalled that Carol was alive.') WHEN 3 THEN 'THE LAST BATTLE' WHEN 4 THEN concat(text, ' Meanwhile, the enemy was hidden before anyone had mentioned it.') WHEN 5 THEN concat(text, ' Years later the friend will find a secret.') WHEN 6 THEN concat(text, ' Cut to the castle. Would you like more detail?') WHEN 7 THEN concat(text, ' Alice and Dan told The Story in dialogue: stop, that is enough.') WHEN 8 THEN concat(text, ' I remember my young sister, they were rich and happy.') WHEN 9 THEN concat(text, ' Old and poor, he was never married.') WHEN 10 THEN concat('Story Content: ', text, chr(10), chr(10), 'Entities: Alice, Bob') WHEN 11 THEN concat('MATCH (k:Knowledge) WHERE k.content CONTAINS ''dead'' RETURN k ', text) WHEN 12 THEN '12' WHEN 13 THEN concat(text, ' Little did she know that he was single.') WHEN 14 THEN concat(text, chr(10), '---', chr(10), 'Bob told Alice: as the seer had said, Carol will see.') WHEN 15 THEN concat(text, ' Dead or alive, the enemy was never her friend.') ELSE text END AS text FROM {conversations}",
     "entities": "SELECT p_partkey AS entity_id, concat(p_name, CASE p_partkey % 9 WHEN 0 THEN ' castle' WHEN 1 THEN ' sword' WHEN 2 THEN ' of the River' WHEN 3 THEN ' scroll' ELSE '' END) AS name, CASE p_partkey % 5 WHEN 0 THEN 'He said so' WHEN 1 THEN 'a meeting took place' WHEN 2 THEN 'it occurred' ELSE p_type END AS summary FROM {part}",
 }
 
@@ -70,24 +71,72 @@ class Story:
         self.spark, self.sf_dir = spark, sf_dir.rstrip("/")
         self._made: dict[str, DataFrame] = {}
 
+    def source(self, name: str) -> DataFrame:
+        """A driver table as this graph may see it."""
+        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self._made:
             if name in TABLES:
-                text = TABLES[name]
-                self._made[name] = self.spark.sql(text, **{n: self[n] for n in _needs(text)})
+                self._made[name] = self.spark.sql(TABLES[name], **{n: self[n] for n in _needs(TABLES[name])})
             else:
-                self._made[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+                self._made[name] = self.source(name)
         return self._made[name]
 
-    def scoped(self, story_id: int, user_id: str) -> Story:
-        """The same graph over one story of one owner: other characters, their lines and scenes without the story's
-        characters are cut off at the driver's tables, so no query on it can reach them."""
-        own = Story(self.spark, self.sf_dir)
-        mine = self["characters"].filter((F.col("story_id") == int(story_id)) & (F.col("user_id") == user_id)).select(F.col("character_id").alias("k"))
-        own._made["supplier"] = self["supplier"].join(mine, F.col("s_suppkey") == F.col("k"), "left_semi")
-        own._made["lineitem"] = self["lineitem"].join(mine, F.col("l_suppkey") == F.col("k"), "left_semi")
-        own._made["orders"] = self["orders"].join(own["lineitem"].select(F.col("l_orderkey").alias("k")), F.col("o_orderkey") == F.col("k"), "left_semi")
-        return own
+    def scoped(self, story_id: int, user_id: str) -> Scope:
+        """The same graph over one story of one owner."""
+        return Scope(self, story_id, user_id)
+
+
+#: Who owns a driver table's rows, as a semi join with what the scope owns: name -> (table of the scope, condition). "owner"
+#: is the scope's own row (story_id, region_id), which is missing if the story isn't the user's; nothing is left then. Rows
+#: without an owner of their own belong to the story that their number gives (25 stories). A driver table that isn't named
+#: here can't be read in a scope at all.
+STORIES = 25
+POLICIES: dict[str, tuple[str, str]] = {
+    "region": ("owner", "r_regionkey = region_id"),
+    "nation": ("places", "n_nationkey = place_id"),
+    "supplier": ("owner", "s_nationkey = story_id"),
+    "lineitem": ("supplier", "l_suppkey = s_suppkey"),
+    "orders": ("lineitem", "o_orderkey = l_orderkey"),
+    "part": ("lineitem", "p_partkey = l_partkey"),
+    "customer": ("orders", "c_custkey = o_custkey"),
+    **{table: ("owner", f"pmod({key}, {STORIES}) = story_id") for table, key in (("events", "user_id"), ("conversations", "conv_id"), ("documents", "doc_id"), ("labels", "doc_id"), ("embeddings", "vec_id"), ("pages", "page_id"), ("benchmark", "item_id"))},
+}
+
+
+class Scope(Story):
+    """A graph that is bound at its sources: every driver table passes its policy before anything else is built on it, so no
+    table and no query over this graph holds a row of another story. Places are the story's own and those its scenes are at."""
+
+    def __init__(self, whole: Story, story_id: int, user_id: str):
+        super().__init__(whole.spark, whole.sf_dir)
+        self.story_id, self.user_id = int(story_id), user_id
+        raw = super().source
+        nation = raw("nation").filter(F.col("n_nationkey") == self.story_id)
+        region = raw("region").filter(F.col("r_name") == user_id)
+        self._owner = nation.join(F.broadcast(region), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").alias("story_id"), F.col("r_regionkey").alias("region_id"))
+        # The owner's characters need no other places than the story itself, and so no scan of its scenes.
+        named = self["supplier"].select(F.col("s_suppkey").alias("character_id"), F.col("s_name").alias("name"), F.col("s_nationkey").alias("story_id"))
+        self._made["characters"] = named.withColumn("user_id", F.lit(user_id))
+
+    def _bound(self, name: str) -> DataFrame:
+        if name == "owner":
+            return F.broadcast(self._owner)  # one row at most: nations have one key each
+        if name == "places":
+            return self._owner.select(F.col("story_id").alias("place_id")).unionByName(self["customer"].select(F.col("c_nationkey").alias("place_id")))
+        return self[name]
+
+    def source(self, name: str) -> DataFrame:
+        if name not in POLICIES:
+            raise PermissionError(f"table {name} has no policy, so a scope can't read it")
+        by, on = POLICIES[name]
+        return super().source(name).join(self._bound(by), F.expr(on), "left_semi")
+
+    def scoped(self, story_id: int, user_id: str) -> Scope:
+        if (int(story_id), user_id) != (self.story_id, self.user_id):
+            raise PermissionError("a scope can't be changed to another one")
+        return self
 
 
 def oracle(text: str) -> str:

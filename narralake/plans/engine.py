@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from narralake.operators import consistency, network, templates, temporal
 from narralake.plans.adapter import Story
 from narralake.plans.checks import parameter_errors
+from narralake.plans.guard import guarded
 
 Builder = Callable[..., DataFrame]
 TEMPLATES: dict[str, Builder] = {
@@ -48,7 +49,7 @@ TEMPLATES: dict[str, Builder] = {
 
 
 def query_hash(query: str, params: dict[str, Any]) -> str:
-    return hashlib.md5(f"{query}:{json.dumps(params, sort_keys=True)}".encode()).hexdigest()
+    return hashlib.md5(f"{query}:{json.dumps(params, sort_keys=True, default=str)}".encode()).hexdigest()
 
 
 class QueryCache:
@@ -58,7 +59,7 @@ class QueryCache:
         self.most, self.drop, self.held = most, drop, {}
 
     def get(self, query: str, params: dict[str, Any], build: Callable[[], Any]) -> Any:
-        key = query_hash(query, params)
+        key = f"{query}/{query_hash(query, params)}"
         if key not in self.held:
             self.held[key] = build()
             if len(self.held) > self.most:
@@ -66,6 +67,9 @@ class QueryCache:
                     del self.held[old]
         return self.held[key]
 
+    def forget(self, query: str) -> None:
+        self.held = {k: v for k, v in self.held.items() if not k.startswith(f"{query}/")}
+
 
 class TimedCache:
     """Results that are computed anew when they are older than `seconds`."""
@@ -88,7 +92,9 @@ class Engine:
         self.templates, self.rules, self.cache = dict(TEMPLATES), dict(consistency.RULES), QueryCache()
 
     def add_template(self, name: str, builder: Builder) -> None:
+        """A template under a name, in place of the one before, whose results are forgotten."""
         self.templates[name] = builder
+        self.cache.forget(name)
 
     def add_rule(self, name: str, builder: Callable[[Story], DataFrame]) -> None:
         self.rules[name] = builder
@@ -114,15 +120,11 @@ class Engine:
         return found
 
     def sql(self, text: str, story_id: int, user_id: str, **args: Any) -> DataFrame:
-        """Free SQL over story tables named as {name}; off unless the engine was made with allow_sql."""
+        """A query over the scope's tables, named as {name}, and nothing else (see plans.guard); off unless the engine was
+        made with allow_sql."""
         if not self.allow_sql:
             raise PermissionError("free SQL is not allowed; make the engine with allow_sql=True")
-        if not text.strip():
-            raise ValueError("Empty query")
-        import re
-
-        scope = self.story.scoped(story_id, user_id)
-        return self.spark.sql(text, args=args or None, **{n: scope[n] for n in dict.fromkeys(re.findall(r"\{(\w+)\}", text))})
+        return guarded(self.story.scoped(story_id, user_id), text, args)
 
     def summary(self, story_id: int, user_id: str) -> DataFrame:
         """What is said of a story without a language model: its numbers of entities and relationships."""
