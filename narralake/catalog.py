@@ -46,7 +46,7 @@ def _first_story(g: Story) -> Story:
 
 
 entry("temporal_knowledge_conflicts", lambda g: templates.temporal_knowledge_conflicts(_first_story(g)), f"SELECT a.character_id, a.knowledge_id AS knowledge_id_1, b.knowledge_id AS knowledge_id_2, a.valid_from AS valid_from_1, b.valid_to AS valid_to_2 FROM {{knowledge}} a JOIN {{knowledge}} b ON a.character_id = b.character_id AND a.knowledge_id <> b.knowledge_id JOIN {{characters}} s ON s.character_id = a.character_id WHERE a.valid_from > b.valid_to AND (s.story_id, s.user_id) IN {_SCOPE} AND {_NO_LINK}")
-entry("temporal_knowledge_conflicts_of_all", templates.temporal_knowledge_conflicts)
+entry("temporal_knowledge_conflicts_of_all", lambda g: templates.temporal_knowledge_conflicts(g).groupBy("character_id", "knowledge_id_1").agg(F.count("*").alias("n"), F.max("valid_to_2").alias("last_end"), F.max("knowledge_id_2").alias("last_id")), f"SELECT a.character_id, a.knowledge_id AS knowledge_id_1, count(*) AS n, max(b.valid_to) AS last_end, max(b.knowledge_id) AS last_id FROM {{knowledge}} a JOIN {{knowledge}} b ON a.character_id = b.character_id AND a.knowledge_id <> b.knowledge_id WHERE a.valid_from > b.valid_to AND {_NO_LINK} GROUP BY 1, 2")
 _BOTH = "(SELECT src, dst, relationship_type, relationship_strength, trust_level, emotional_valence, established_at, updated_at FROM {relationships} UNION ALL SELECT dst, src, relationship_type, relationship_strength, trust_level, emotional_valence, established_at, updated_at FROM {relationships})"
 entry("relationship_milestones_over_time", lambda g: templates.relationship_milestones(g, 5, 12), f"SELECT a.name AS character_a, b.name AS character_b, relationship_type, relationship_strength, trust_level, emotional_valence, established_at, updated_at FROM {_BOTH} x JOIN {{characters}} a ON src = a.character_id JOIN {{characters}} b ON dst = b.character_id WHERE established_at BETWEEN 5 AND 12 OR updated_at BETWEEN 5 AND 12")
 entry("plot_thread_resolution_status", templates.plot_thread_resolution_status, "SELECT knowledge_id, content, verification_status, coalesce(conflicts, '') AS conflicts FROM {knowledge} LEFT JOIN (SELECT kid, string_agg(DISTINCT x, ',' ORDER BY x) AS conflicts FROM (SELECT from_id AS kid, concat_ws(':', to_id, severity, resolution_status) AS x FROM {contradicts} UNION ALL SELECT to_id, concat_ws(':', from_id, severity, resolution_status) FROM {contradicts}) u GROUP BY kid) c ON kid = knowledge_id")
@@ -71,21 +71,24 @@ _X1 = f"SELECT a.character_id, a.knowledge_id AS knowledge_id_1, b.knowledge_id
 _WHERE = "(SELECT p.character_id, o.* FROM {present_in} p JOIN {occurs_in} o ON p.scene_id = o.scene_id)"
 _X3 = f"SELECT a.character_id, a.scene_id AS scene_1, b.scene_id AS scene_2, 'high' AS severity, 0.95::DOUBLE AS confidence FROM {_WHERE} a JOIN {_WHERE} b ON a.character_id = b.character_id AND a.scene_order = b.scene_order WHERE a.location_id <> b.location_id AND NOT EXISTS (SELECT 1 FROM {{scene_contradicts}} l WHERE l.from_id = a.scene_id AND l.to_id = b.scene_id) AND NOT EXISTS (SELECT 1 FROM {{scene_contradicts}} l WHERE l.from_id = b.scene_id AND l.to_id = a.scene_id)"
 _X4 = f"SELECT a.character_id, a.knowledge_id AS knowledge_id_1, b.knowledge_id AS knowledge_id_2, 'critical' AS severity, 0.99::DOUBLE AS confidence FROM {{knowledge}} a JOIN {{knowledge}} b ON a.character_id = b.character_id AND a.knowledge_id <> b.knowledge_id WHERE abs(epoch(a.valid_from_ts) - epoch(b.valid_from_ts)) < 3600 AND contains(a.content, 'hot') AND contains(b.content, 'cold') AND {_NO_LINK}"
-_UNIFIED = f"(SELECT 'temporal' AS rule, 'medium' AS severity, knowledge_id_1 AS a, knowledge_id_2 AS b, 0.8 AS confidence, 'Knowledge timeline contradiction' AS reason FROM ({_X1}) x UNION ALL SELECT 'state', severity, knowledge_id_1, knowledge_id_2, 0.99, 'Character state contradiction (dead/alive)' FROM ({_X4}) x UNION ALL SELECT 'location', severity, CAST(scene_1 AS STRING), CAST(scene_2 AS STRING), 0.95, 'Character in multiple locations simultaneously' FROM ({_X3}) x)"
+_X2 = "SELECT concat(CAST(a.src AS STRING), '_', a.relationship_type) AS from_id, concat(CAST(a.src AS STRING), '_', b.relationship_type) AS to_id, a.dst, a.created_at, b.created_at AS created_2, 'medium' AS severity, 0.9::DOUBLE AS confidence FROM {bonds} a JOIN {bonds} b ON a.src = b.src AND a.dst = b.dst WHERE a.relationship_type <> b.relationship_type AND a.created_at < b.created_at AND (a.src + a.dst) % 5 <> 0"
+_UNIFIED = f"(SELECT 'temporal' AS rule, 'medium' AS severity, knowledge_id_1 AS a, knowledge_id_2 AS b, 0.8 AS confidence, 'Knowledge timeline contradiction' AS reason FROM ({_X1}) x UNION ALL SELECT 'relationship', severity, from_id, to_id, 0.9, 'Conflicting relationship types' FROM ({_X2}) x UNION ALL SELECT 'state', severity, knowledge_id_1, knowledge_id_2, 0.99, 'Character state contradiction (dead/alive)' FROM ({_X4}) x UNION ALL SELECT 'location', severity, CAST(scene_1 AS STRING), CAST(scene_2 AS STRING), 0.95, 'Character in multiple locations simultaneously' FROM ({_X3}) x)"
+_OPPOSED = "(contains(a.content, 'hot') AND contains(b.content, substring(a.content, 5)) OR contains(a.content, 'small') AND contains(b.content, 'large') OR contains(a.content, 'old') AND contains(b.content, 'new'))"
+_X5 = f"SELECT a.story_id, a.knowledge_id AS knowledge_id_1, b.knowledge_id AS knowledge_id_2 FROM {{knowledge}} a JOIN {{knowledge}} b ON a.story_id = b.story_id AND a.knowledge_id <> b.knowledge_id WHERE {_OPPOSED} AND {_NO_LINK} AND {_NO_BACK}"
+_REPORT = f"(SELECT severity, reason, count(*) AS n, round(avg(confidence)::DOUBLE, 6) AS confidence FROM {_UNIFIED} x GROUP BY 1, 2 UNION ALL SELECT 'medium', 'Content contradiction detected', count(*), 0.7::DOUBLE FROM ({_X5}) y HAVING count(*) > 0)"
 _HOLES = f"(SELECT 'impossible_knowledge' AS issue, n.character_id, n.knowledge_id AS subject FROM {{knows}} n JOIN {{knowledge}} k ON n.knowledge_id = k.knowledge_id WHERE NOT EXISTS (SELECT 1 FROM {{present_in}} p JOIN {{scenes}} s ON p.scene_id = s.scene_id WHERE p.character_id = n.character_id AND s.scene_order <= k.valid_from) UNION SELECT 'location_contradiction', character_id, concat_ws('/', CAST(scene_1 AS STRING), CAST(scene_2 AS STRING)) FROM ({_X3}) x)"
 entry("temporal_contradictions", consistency.temporal_contradictions, _X1)
-entry("relationship_contradictions", consistency.relationship_contradictions, "SELECT concat(CAST(a.src AS STRING), '_', a.relationship_type) AS from_id, concat(CAST(a.src AS STRING), '_', b.relationship_type) AS to_id, a.dst, a.created_at, b.created_at AS created_2, 'medium' AS severity, 0.9::DOUBLE AS confidence FROM {bonds} a JOIN {bonds} b ON a.src = b.src AND a.dst = b.dst WHERE a.relationship_type <> b.relationship_type AND a.created_at < b.created_at AND (a.src + a.dst) % 5 <> 0")
+entry("relationship_contradictions", consistency.relationship_contradictions, _X2)
 entry("location_contradictions", consistency.location_contradictions, _X3)
 entry("state_contradictions", lambda g: consistency.state_contradictions(g, "hot", "cold"), _X4)
-_OPPOSED = "(contains(a.content, 'hot') AND contains(b.content, substring(a.content, 5)) OR contains(a.content, 'small') AND contains(b.content, 'large') OR contains(a.content, 'old') AND contains(b.content, 'new'))"
-entry("unlinked_contradictions", consistency.unlinked_contradictions, f"WITH c AS (SELECT story_id, content, count(*) AS n FROM {{knowledge}} GROUP BY 1, 2), t AS (SELECT a.story_id, sum(a.n * b.n - CASE WHEN a.content = b.content THEN a.n ELSE 0 END) AS n FROM c a JOIN c b ON a.story_id = b.story_id WHERE {_OPPOSED} GROUP BY 1), l AS (SELECT a.story_id, count(*) AS n FROM (SELECT from_id, to_id FROM {{contradicts}} UNION SELECT to_id, from_id FROM {{contradicts}}) u JOIN {{knowledge}} a ON a.knowledge_id = from_id JOIN {{knowledge}} b ON b.knowledge_id = to_id WHERE {_OPPOSED} GROUP BY 1) SELECT t.story_id, t.n - coalesce(l.n, 0) AS n FROM t LEFT JOIN l ON l.story_id = t.story_id WHERE t.n - coalesce(l.n, 0) > 0")
-entry("unlinked_pairs", lambda g: consistency.unlinked_pairs(_first_story(g), *consistency.SUBSTITUTES).groupBy("knowledge_id_1").agg(F.count("*").alias("n")), f"SELECT a.knowledge_id AS knowledge_id_1, count(*) AS n FROM {{knowledge}} a JOIN {{knowledge}} b ON a.story_id = b.story_id AND a.knowledge_id <> b.knowledge_id WHERE a.story_id = (SELECT story_id FROM {{characters}} ORDER BY character_id LIMIT 1) AND {_OPPOSED} AND {_NO_LINK} AND {_NO_BACK} GROUP BY 1")
+entry("unlinked_contradictions", consistency.unlinked_contradictions, f"SELECT story_id, count(*) AS n FROM ({_X5}) x GROUP BY 1")
+entry("unlinked_pairs", lambda g: consistency.unlinked_pairs(g, *consistency.SUBSTITUTES).groupBy("knowledge_id_1").agg(F.count("*").alias("n")), f"SELECT knowledge_id_1, count(*) AS n FROM ({_X5}) x GROUP BY 1")
 _EITHER = " OR ".join(f"(contains(lower(a.text), '{p}') AND contains(lower(b.text), '{q}')) OR (contains(lower(a.text), '{q}') AND contains(lower(b.text), '{p}'))" for p, q in (("dead", "alive"), ("enemy", "friend"), ("married", "single"), ("rich", "poor"), ("young", "old")))
 entry("episode_temporal_contradictions", consistency.episode_temporal_contradictions, f"WITH t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM {{turns}}) SELECT a.conv_id, a.turn AS turn_1, b.turn AS turn_2, 'medium' AS severity, 0.6::DOUBLE AS confidence FROM t a JOIN t b ON a.conv_id = b.conv_id AND b.r BETWEEN a.r + 1 AND a.r + 4 WHERE {_EITHER}")
 entry("search_contradictions", consistency.search_contradictions, "WITH h AS (SELECT conv_id, turn, lower(text) AS body, term, (length(lower(text)) - length(replace(lower(text), term, ''))) // length(term) AS uses FROM {turns}, (VALUES ('dead'), ('alive'), ('enemy'), ('friend'), ('not'), ('never'), ('always')) x(term)), b AS (SELECT *, row_number() OVER (PARTITION BY conv_id, term ORDER BY uses DESC, turn) AS r FROM h WHERE uses > 0) SELECT conv_id, turn, term, CASE WHEN term IN ('dead', 'alive') THEN 'critical' ELSE 'medium' END AS severity, CASE WHEN term IN ('dead', 'alive') THEN 0.9 ELSE 0.7 END::DOUBLE AS confidence FROM b WHERE r <= 50 AND ((term IN ('dead', 'alive') AND contains(body, 'dead') AND contains(body, 'alive')) OR (term IN ('enemy', 'friend') AND contains(body, 'enemy') AND contains(body, 'friend')))")
 entry("contradiction_details", consistency.contradiction_details, f"SELECT a AS from_id, b AS to_id, severity, reason, confidence::DOUBLE AS confidence FROM {_UNIFIED} x")
-entry("contradiction_report", consistency.contradiction_report, f"SELECT severity, reason, count(*) AS n, round(avg(confidence)::DOUBLE, 6) AS confidence FROM {_UNIFIED} x GROUP BY 1, 2")
-entry("severity_breakdown", consistency.severity_breakdown, f"SELECT severity, count(*) AS n FROM {_UNIFIED} x GROUP BY 1")
+entry("contradiction_report", consistency.contradiction_report, f"SELECT * FROM {_REPORT} r")
+entry("severity_breakdown", consistency.severity_breakdown, f"SELECT severity, sum(n)::BIGINT AS n FROM {_REPORT} r GROUP BY 1")
 entry("critical_alerts", consistency.critical_alerts, f"SELECT character_id, concat_ws(' vs ', knowledge_id_1, knowledge_id_2) AS explanation, 'contradiction_detected' AS alert_type FROM ({_X4}) x")
 entry("plot_holes", consistency.plot_holes, f"SELECT * FROM {_HOLES} x")
 entry("plot_hole_severity", consistency.plot_hole_severity, f"SELECT issue, CASE issue WHEN 'location_contradiction' THEN 'major' ELSE 'minor' END AS severity, count(*) AS n FROM {_HOLES} x GROUP BY 1, 2")

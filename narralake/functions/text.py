@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from narralake.operators.joins import overlapping
 from narralake.plans.adapter import Story
 
 SCENE_BREAK = r"\n\s*\n|\n\s*---\s*\n|\n\s*\*\*\*\s*\n"
@@ -154,12 +155,42 @@ def pov(g: Story) -> DataFrame:
     return d.select("doc_id", "n_first", "n_second", "n_third", kind.alias("pov"), F.round(sure, 6).alias("confidence"))
 
 
+def _trie(words: list[str]) -> str:
+    """A pattern of these words by their common beginnings; none begins another."""
+    if words == [""]:
+        return ""
+    by: dict[str, list[str]] = {}
+    for w in words:
+        by.setdefault(w[0], []).append(w[1:])
+    arms = [ch + _trie(rest) for ch, rest in by.items()]
+    return arms[0] if len(arms) == 1 else f"(?:{'|'.join(arms)})"
+
+
+def overlaps_itself(word: str) -> bool:
+    return any(word.startswith(word[k:]) for k in range(1, len(word)))
+
+
+def family_matches(text: Column, words: list[str]) -> Column:
+    """Every match of these words (plain letters), in one pass, inside other words too and where they overlap each other. No
+    word begins another, and none overlaps itself, so a word's matches are as many as its uses."""
+    words = sorted(set(words))
+    if any(b.startswith(a) for a, b in zip(words, words[1:], strict=False)) or any(map(overlaps_itself, words)):
+        raise ValueError("a word begins another or overlaps itself")
+    first = "".join(sorted({w[0] for w in words}))
+    return F.regexp_extract_all(text, F.lit(f"(?=[{first}])(?=({_trie(words)}))"), F.lit(1))
+
+
+def family_counts(rows: DataFrame, text: Column, families: dict[str, tuple[str, ...]], *keys: str) -> DataFrame:
+    """keys and, for each family, its words' uses, of one word not overlapping. One scan of the text for all words, and one for
+    each that overlaps itself, whose uses are counted by what the text loses without them."""
+    plain = [w for ws in families.values() for w in ws if not overlaps_itself(w)]
+    lost = lambda w: F.floor((F.length("text") - F.length(F.replace("text", F.lit(w), F.lit("")))) / len(w)).cast("int")
+    found = rows.select(*keys, text.alias("text")).select(*keys, "text", family_matches(F.col("text"), plain).alias("found"))
+    return found.select(*keys, *[reduce(lambda a, b: a + b, [lost(w) for w in ws if overlaps_itself(w)], word_count(F.col("found"), ws)).alias(m) for m, ws in families.items()])
+
+
 def mood_lexical(g: Story) -> DataFrame:
-    lower = g["documents"].select("doc_id", F.lower("text").alias("t"))
-    t = F.col("t")
-    # No word of a family holds another, so its matches are counted by what the text loses without them.
-    counts = {m: reduce(lambda a, b: a + b, [F.floor((F.length(t) - F.length(F.replace(t, F.lit(w), F.lit("")))) / len(w)) for w in ws]).cast("int") for m, ws in MOODS.items()}
-    d = lower.select("doc_id", *[n.alias(m) for m, n in counts.items()])
+    d = family_counts(g["documents"], F.lower("text"), MOODS, "doc_id")
     label, most = first_of({m: F.col(m) for m in MOODS}, "neutral")
     return d.select("doc_id", label.alias("mood"), F.round(F.least(most / 3, F.lit(1.0)), 6).alias("intensity"))
 
@@ -184,7 +215,7 @@ def significance_tfidf(g: Story, top: int = 5, tokens=letter_words) -> DataFrame
 def continuity_edges(g: Story, patterns: tuple[str, ...] = CALLBACKS, least: int = 3) -> DataFrame:
     """An edge from a scene, for each of its callback phrases, to every other scene of the story that shares `least` words.
 
-    Only scenes with a phrase enter the join on words, from the left.
+    Only scenes with a phrase enter the join on words, from the left, and only words that a scene can't do without.
     """
     s = scenes(g).select("conv_id", "scene_order", "text")
 
@@ -193,10 +224,9 @@ def continuity_edges(g: Story, patterns: tuple[str, ...] = CALLBACKS, least: int
 
     phrases = F.concat(*[phrases_of(k, p) for k, p in enumerate(patterns)])
     found = s.select("conv_id", "scene_order", "text", phrases.alias("p")).filter("size(p) > 0")
-    words = F.explode(F.array_distinct(F.split(F.lower("text"), r"\s+")))
-    a = found.select("conv_id", F.col("scene_order").alias("from_scene"), words.alias("word"))
-    b = s.select("conv_id", F.col("scene_order").alias("to_scene"), words.alias("word"))
-    near = a.join(b, ["conv_id", "word"]).filter("from_scene <> to_scene").groupBy("conv_id", "from_scene", "to_scene").agg(F.count("*").alias("shared")).filter(F.col("shared") >= least)
+    words = F.split(F.lower("text"), r"\s+").alias("words")
+    a, b = found.select("conv_id", F.col("scene_order").alias("from_scene"), words), s.select("conv_id", F.col("scene_order").alias("to_scene"), words)
+    near = overlapping(a, b, "conv_id", "from_scene", "to_scene", "words", least)
     each = found.select("conv_id", F.col("scene_order").alias("from_scene"), F.explode("p").alias("p"))
     sure = F.when(holds(F.lower("p.phrase"), EXPLICIT), 0.8).otherwise(0.6)
     return near.join(each, ["conv_id", "from_scene"]).select("conv_id", "from_scene", "to_scene", "p.pattern_type", F.col("p.phrase").alias("callback_phrase"), sure.alias("confidence"), F.abs(F.col("to_scene") - F.col("from_scene")).alias("scene_order_diff"))
@@ -322,10 +352,8 @@ def arc_progression(g: Story) -> DataFrame:
 
 
 def mood_progression(g: Story) -> DataFrame:
-    t = F.col("t")
-    lower = scenes(g).select("conv_id", "scene_order", F.lower("text").alias("t"))
-    uses = {m: reduce(lambda a, b: a + b, [F.size(F.split(t, w)) - 1 for w in ws]) for m, ws in MOODS.items()}
-    return _changes(lower.select("conv_id", "scene_order", *[n.alias(m) for m, n in uses.items()]).select("conv_id", "scene_order", first_of({m: F.col(m) for m in MOODS}, "neutral")[0].alias("mood")), "mood")
+    d = family_counts(scenes(g), F.lower("text"), MOODS, "conv_id", "scene_order")
+    return _changes(d.select("conv_id", "scene_order", first_of({m: F.col(m) for m in MOODS}, "neutral")[0].alias("mood")), "mood")
 
 
 def character_development(g: Story) -> DataFrame:

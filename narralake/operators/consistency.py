@@ -3,97 +3,152 @@ in the driver's part names."""
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable
+from dataclasses import dataclass
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from narralake.operators.templates import unlinked
+from narralake.operators.joins import before_pairs, containing
 from narralake.plans.adapter import Story
+from narralake.plans.storage import written
 
 #: Opposed words of the episode scan, and the terms that a story is searched for.
 ANTONYMS = (("dead", "alive"), ("enemy", "friend"), ("married", "single"), ("rich", "poor"), ("young", "old"))
 TERMS = ("dead", "alive", "enemy", "friend", "not", "never", "always")
 #: Opposed words that occur in the driver's tables: the negation, and pairs of contents.
 SUBSTITUTES = ("hot", (("small", "large"), ("old", "new")))
-SECONDS = 3600
+SECONDS, SALTS = 3600, 16
 
 
 def either_way(a: Column, b: Column, pairs: tuple[tuple[str, str], ...]) -> Column:
     return reduce(lambda x, y: x | y, [(a.contains(p) & b.contains(q)) | (a.contains(q) & b.contains(p)) for p, q in pairs])
 
 
+#: A rule over pairs: it takes rows `a` and `b` of one source, so that new rows can be paired with stored ones as well as a
+#: table with itself, and gives from_id, to_id (text) and what else it knows. Links are taken off afterwards.
+Pairs = Callable[[DataFrame, DataFrame], DataFrame]
+
+
+def statements(g: Story) -> DataFrame:
+    """Knowledge as the rules read it: character_id, story_id, knowledge_id, content, valid_from, valid_to, at (seconds)."""
+    return g["known"].select("character_id", "story_id", "knowledge_id", "content", "valid_from", "valid_to", F.unix_timestamp(F.col("valid_from_ts").cast("timestamp")).alias("at"))
+
+
+def presences(g: Story) -> DataFrame:
+    """character_id, story_id, scene_id, scene_order, location_id."""
+    where = g["casts"].select("character_id", "story_id", "scene_id").join(g["occurs_in"].select("scene_id", "scene_order", "location_id"), "scene_id")
+    return where.select("character_id", "story_id", "scene_id", "scene_order", "location_id")
+
+
+def states(g: Story) -> DataFrame:
+    """Relationships over time: story_id, src, dst, type, created_at."""
+    return g["bonds"].select("story_id", "src", "dst", F.col("relationship_type").alias("type"), "created_at")
+
+
+def temporal_pairs(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Later knowledge of one character that repeats what had ended before. Containment is settled between the distinct
+    contents of all; knowledge then joins on character and content, in order of time."""
+    within = containing(a.select(F.col("content").alias("x")), b.select(F.col("content").alias("y"))).select(F.col("x").alias("content"), F.col("y").alias("held"))
+    later = a.join(within, "content").select("character_id", "held", F.col("knowledge_id").alias("from_id"), "valid_from")
+    earlier = b.select("character_id", F.col("content").alias("held"), F.col("knowledge_id").alias("to_id"), "valid_to")
+    return before_pairs(later, earlier, ["character_id", "held"], "valid_from", "valid_to").filter("from_id <> to_id").select("character_id", "from_id", "to_id")
+
+
 def temporal_contradictions(g: Story) -> DataFrame:
-    """Later knowledge of one character that repeats what had ended before. Containment is settled between the contents
-    that a character knows; knowledge then joins on character and content."""
-    k = g["known"].select("character_id", "knowledge_id", "content", "valid_from", "valid_to")
-    c = k.select("character_id", "content").distinct()
-    within = c.withColumnRenamed("content", "content_1").join(c.withColumnRenamed("content", "content_2"), "character_id").filter(F.col("content_1").contains(F.col("content_2")))
-    a = k.select("character_id", F.col("content").alias("content_1"), F.col("knowledge_id").alias("knowledge_id_1"), "valid_from")
-    b = k.filter("valid_to IS NOT NULL").select("character_id", F.col("content").alias("content_2"), F.col("knowledge_id").alias("knowledge_id_2"), "valid_to")
-    pairs = a.join(within, ["character_id", "content_1"]).join(b, ["character_id", "content_2"]).filter("valid_from > valid_to AND knowledge_id_1 <> knowledge_id_2")
-    return unlinked(pairs, g["contradicts"]).select("character_id", "knowledge_id_1", "knowledge_id_2", F.lit("temporal").alias("severity"), F.lit(0.8).alias("confidence"))
+    k = statements(g)
+    return free(temporal_pairs(k, k), g["contradicts"]).select("character_id", F.col("from_id").alias("knowledge_id_1"), F.col("to_id").alias("knowledge_id_2"), F.lit("temporal").alias("severity"), F.lit(0.8).alias("confidence"))
+
+
+def free(pairs: DataFrame, links: DataFrame, both_ways: bool = True, by: tuple[str, str] = ("from_id", "to_id")) -> DataFrame:
+    """Pairs that no link joins, in either direction or the given one. by: the pairs' columns that links name."""
+    one = links.select(F.col("from_id").alias(by[0]), F.col("to_id").alias(by[1]))
+    if both_ways:
+        one = one.unionAll(links.select(F.col("to_id").alias(by[0]), F.col("from_id").alias(by[1])))
+    return pairs.join(one, list(by), "left_anti")
+
+
+def relationship_pairs(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Two states of one ordered pair with different types, the first made earlier."""
+    other = b.select("src", "dst", F.col("type").alias("type_2"), F.col("created_at").alias("created_2"))
+    pairs = a.join(other, ["src", "dst"]).filter("type <> type_2 AND created_at < created_2")
+    key = lambda kind: F.concat(F.col("src").cast("string"), F.lit("_"), F.col(kind))
+    return pairs.select(F.col("src").alias("character_id"), key("type").alias("from_id"), key("type_2").alias("to_id"), "src", "dst", "created_at", "created_2")
 
 
 def relationship_contradictions(g: Story) -> DataFrame:
-    """Two states of one ordered pair with different types, the first made earlier; pairs that a link joins are left out."""
-    r = g["bonds"].select("src", "dst", F.col("relationship_type").alias("type"), "created_at")
-    other = r.select("src", "dst", F.col("type").alias("type_2"), F.col("created_at").alias("created_2"))
-    pairs = r.join(other, ["src", "dst"]).filter("type <> type_2 AND created_at < created_2").select(F.col("src").alias("knowledge_id_1"), F.col("dst").alias("knowledge_id_2"), "type", "type_2", "created_at", "created_2")
-    free = unlinked(pairs, g["character_contradicts"])
-    key = lambda kind: F.concat(F.col("knowledge_id_1").cast("string"), F.lit("_"), F.col(kind))
-    return free.select(key("type").alias("from_id"), key("type_2").alias("to_id"), F.col("knowledge_id_2").alias("dst"), "created_at", "created_2", F.lit("medium").alias("severity"), F.lit(0.9).alias("confidence"))
+    s = states(g)
+    return free(relationship_pairs(s, s), g["character_contradicts"], True, ("src", "dst")).select("from_id", "to_id", "dst", "created_at", "created_2", F.lit("medium").alias("severity"), F.lit(0.9).alias("confidence"))
+
+
+def location_pairs(a: DataFrame, b: DataFrame) -> DataFrame:
+    """One character on one day in two places, in both orders."""
+    there = b.select("character_id", "scene_order", F.col("scene_id").alias("to_scene"), F.col("location_id").alias("to_place"))
+    return a.join(there, ["character_id", "scene_order"]).filter("location_id <> to_place").select("character_id", F.col("scene_id").alias("from_id"), F.col("to_scene").alias("to_id"))
 
 
 def location_contradictions(g: Story) -> DataFrame:
-    """One character on one day in two places, in both orders; scenes that a link joins are left out."""
-    where = g["present_in"].select("character_id", "scene_id").join(g["occurs_in"].select("scene_id", "scene_order", "location_id"), "scene_id")
-    a, b = where.toDF("knowledge_id_1", "character_id", "scene_order", "location_1"), where.toDF("knowledge_id_2", "character_id", "scene_order", "location_2")
-    pairs = unlinked(a.join(b, ["character_id", "scene_order"]).filter("location_1 <> location_2"), g["scene_contradicts"])
-    return pairs.select("character_id", F.col("knowledge_id_1").alias("scene_1"), F.col("knowledge_id_2").alias("scene_2"), F.lit("high").alias("severity"), F.lit(0.95).alias("confidence"))
+    """Scenes that a link joins are left out."""
+    p = presences(g)
+    return free(location_pairs(p, p), g["scene_contradicts"]).select("character_id", F.col("from_id").alias("scene_1"), F.col("to_id").alias("scene_2"), F.lit("high").alias("severity"), F.lit(0.95).alias("confidence"))
 
 
-def state_contradictions(g: Story, first: str = "dead", second: str = "alive", seconds: int = SECONDS) -> DataFrame:
+def state_pairs(a: DataFrame, b: DataFrame, first: str = "dead", second: str = "alive", seconds: int = SECONDS) -> DataFrame:
     """Opposed states of one character that begin less than `seconds` apart. Word filters run before the join, which is
     an equi join on spans of that length and their neighbours."""
-    at = F.unix_timestamp(F.col("valid_from_ts").cast("timestamp"))
-    k = g["knowledge"].select("character_id", "knowledge_id", "content", at.alias("at"))
     span = F.floor(F.col("at") / seconds)
-    a = k.filter(F.col("content").contains(first)).select("character_id", F.col("knowledge_id").alias("knowledge_id_1"), F.col("at").alias("at_1"), F.explode(F.array(span - 1, span, span + 1)).alias("span"))
-    b = k.filter(F.col("content").contains(second)).select("character_id", F.col("knowledge_id").alias("knowledge_id_2"), F.col("at").alias("at_2"), span.alias("span"))
-    pairs = a.join(b, ["character_id", "span"]).filter((F.abs(F.col("at_1") - F.col("at_2")) < seconds) & (F.col("knowledge_id_1") != F.col("knowledge_id_2")))
-    return unlinked(pairs, g["contradicts"], False).select("character_id", "knowledge_id_1", "knowledge_id_2", F.lit("critical").alias("severity"), F.lit(0.99).alias("confidence"))
+    one = a.filter(F.col("content").contains(first)).select("character_id", F.col("knowledge_id").alias("from_id"), F.col("at").alias("at_1"), F.explode(F.array(span - 1, span, span + 1)).alias("span"))
+    two = b.filter(F.col("content").contains(second)).select("character_id", F.col("knowledge_id").alias("to_id"), F.col("at").alias("at_2"), span.alias("span"))
+    return one.join(two, ["character_id", "span"]).filter((F.abs(F.col("at_1") - F.col("at_2")) < seconds) & (F.col("from_id") != F.col("to_id"))).select("character_id", "from_id", "to_id")
+
+
+def state_contradictions(g: Story, first: str = "dead", second: str = "alive", seconds: int = SECONDS) -> DataFrame:
+    k = statements(g)
+    return free(state_pairs(k, k, first, second, seconds), g["contradicts"], False).select("character_id", F.col("from_id").alias("knowledge_id_1"), F.col("to_id").alias("knowledge_id_2"), F.lit("critical").alias("severity"), F.lit(0.99).alias("confidence"))
 
 
-def opposed(a: Column, b: Column, negation: str = "not", pairs: tuple[tuple[str, str], ...] = ANTONYMS[:2]) -> Column:
-    """a is negated and b holds what follows its first four characters (all do, if nothing follows), or they hold a pair's words."""
-    rest = F.substring(a, 5, 1 << 30)
-    return reduce(lambda x, y: x | y, [a.contains(negation) & b.contains(rest), *[a.contains(p) & b.contains(q) for p, q in pairs]])
+def opposed_contents(a: DataFrame, b: DataFrame, negation: str = "not", pairs: tuple[tuple[str, str], ...] = ANTONYMS[:2]) -> DataFrame:
+    """(content_1, content_2), each once, of the distinct contents of both sides: the first is negated and the second holds
+    what follows the first's first four characters (all do, if nothing follows), or they hold a pair's words. Each arm is
+    filtered by its words before it joins."""
+    one, two = a.select(F.col("content").alias("content_1")).distinct(), b.select(F.col("content").alias("content_2")).distinct()
+    rest = one.filter(F.col("content_1").contains(negation)).withColumn("y", F.substring("content_1", 5, 1 << 30))
+    held = containing(two.select(F.col("content_2").alias("x")), rest)
+    found = rest.join(held, "y").select("content_1", F.col("x").alias("content_2"))
+    for p, q in pairs:
+        arm = one.filter(F.col("content_1").contains(p)).withColumn("k", F.lit(1)).join(two.filter(F.col("content_2").contains(q)).withColumn("k", F.lit(1)), "k")
+        found = found.unionByName(arm.select("content_1", "content_2"))
+    return written(found.distinct(), "opposed")
 
 
 def unlinked_contradictions(g: Story, negation: str = SUBSTITUTES[0], pairs: tuple[tuple[str, str], ...] = SUBSTITUTES[1]) -> DataFrame:
     """How many pairs of a story's knowledge are opposed and linked neither way. Contents are compared, not knowledge:
     a story's pairs are products of the contents' counts, less each one with itself, less the linked ones."""
-    k = g["knowledge"].select("story_id", "knowledge_id", "content")
+    k = written(statements(g).select("story_id", "knowledge_id", "content"), "statements")
+    both = opposed_contents(k, k, negation, pairs)
     c = k.groupBy("story_id", "content").agg(F.count("*").alias("n"))
-    both = c.toDF("story_id", "content_1", "n_1").join(c.toDF("story_id", "content_2", "n_2"), "story_id").filter(opposed(F.col("content_1"), F.col("content_2"), negation, pairs))
-    total = both.groupBy("story_id").agg(F.sum(F.col("n_1") * F.col("n_2") - F.when(F.col("content_1") == F.col("content_2"), F.col("n_1")).otherwise(0)).alias("n"))
+    counted = both.join(c.toDF("story_id", "content_1", "n_1"), "content_1").join(c.toDF("story_id", "content_2", "n_2"), ["story_id", "content_2"])
+    total = counted.groupBy("story_id").agg(F.sum(F.col("n_1") * F.col("n_2") - F.when(F.col("content_1") == F.col("content_2"), F.col("n_1")).otherwise(0)).alias("n"))
     one = k.select("story_id", F.col("knowledge_id").alias("from_id"), F.col("content").alias("content_1"))
-    two = k.select(F.col("knowledge_id").alias("to_id"), F.col("content").alias("content_2"))
+    two = k.select("story_id", F.col("knowledge_id").alias("to_id"), F.col("content").alias("content_2"))
     links = g["contradicts"].select("from_id", "to_id").filter("from_id <> to_id")
     links = links.unionAll(links.select("to_id", "from_id")).distinct()
-    linked = links.join(one, "from_id").join(two, "to_id").filter(opposed(F.col("content_1"), F.col("content_2"), negation, pairs)).groupBy("story_id").agg(F.count("*").alias("linked"))
+    linked = links.join(one, "from_id").join(two, ["story_id", "to_id"]).join(both, ["content_1", "content_2"], "left_semi").groupBy("story_id").agg(F.count("*").alias("linked"))
     return total.join(linked, "story_id", "left").select("story_id", (F.col("n") - F.coalesce("linked", F.lit(0))).alias("n")).filter("n > 0")
 
 
+def unlinked_content_pairs(a: DataFrame, b: DataFrame, negation: str = "not", pairs: tuple[tuple[str, str], ...] = ANTONYMS[:2]) -> DataFrame:
+    """The pairs that `unlinked_contradictions` counts. A content that a large share of a story has is dealt over SALTS parts."""
+    both = opposed_contents(a, b, negation, pairs)
+    one = a.select("story_id", F.col("knowledge_id").alias("from_id"), "character_id", F.col("content").alias("content_1"), F.pmod(F.xxhash64("knowledge_id"), F.lit(SALTS)).cast("int").alias("salt"))
+    two = b.select("story_id", F.col("knowledge_id").alias("to_id"), F.col("content").alias("content_2"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    return one.join(both, "content_1").join(two, ["story_id", "content_2", "salt"]).filter("from_id <> to_id").select("story_id", "character_id", "from_id", "to_id")
+
+
 def unlinked_pairs(g: Story, negation: str = "not", pairs: tuple[tuple[str, str], ...] = ANTONYMS[:2]) -> DataFrame:
-    """The pairs that `unlinked_contradictions` counts: contents are compared first, knowledge joins on story and content."""
-    k = g["knowledge"].select("story_id", "knowledge_id", "content")
-    c = k.select("story_id", "content").distinct()
-    both = c.withColumnRenamed("content", "content_1").join(c.withColumnRenamed("content", "content_2"), "story_id").filter(opposed(F.col("content_1"), F.col("content_2"), negation, pairs))
-    a, b = k.toDF("story_id", "knowledge_id_1", "content_1"), k.toDF("story_id", "knowledge_id_2", "content_2")
-    found = a.join(both, ["story_id", "content_1"]).join(b, ["story_id", "content_2"]).filter("knowledge_id_1 <> knowledge_id_2")
-    return unlinked(found, g["contradicts"]).select("story_id", "knowledge_id_1", "knowledge_id_2", F.lit("medium").alias("severity"), F.lit(0.7).alias("confidence"))
+    k = written(statements(g), "statements")
+    return free(unlinked_content_pairs(k, k, negation, pairs), g["contradicts"]).select("story_id", F.col("from_id").alias("knowledge_id_1"), F.col("to_id").alias("knowledge_id_2"), F.lit("medium").alias("severity"), F.lit(0.7).alias("confidence"))
 
 
 def episode_temporal_contradictions(g: Story, pairs: tuple[tuple[str, str], ...] = ANTONYMS) -> DataFrame:
@@ -116,21 +171,51 @@ def search_contradictions(g: Story, terms: tuple[str, ...] = TERMS, top: int = 5
     return best.select("conv_id", "turn", F.col("x.term").alias("term"), F.when(critical, "critical").when(medium, "medium").alias("severity"), F.when(critical, 0.9).when(medium, 0.7).alias("confidence")).filter("severity IS NOT NULL")
 
 
-def _finding(rows: DataFrame, rule: str, a: str, b: str, reason: str, severity: Column | None = None) -> DataFrame:
-    return rows.select(F.lit(rule).alias("rule"), "character_id", F.col(a).cast("string").alias("from_id"), F.col(b).cast("string").alias("to_id"), (severity if severity is not None else F.col("severity")).alias("severity"), F.lit(reason).alias("reason"), "confidence")
+@dataclass(frozen=True)
+class PairRule:
+    """source: the rows it pairs; links: the story table whose links it leaves out, both_ways or from first to second, by the
+    pairs' columns `by`. Words that the rule looks for are bound in `pairs`."""
+
+    source: Callable[[Story], DataFrame]
+    pairs: Pairs
+    links: str
+    severity: str
+    reason: str
+    confidence: float
+    both_ways: bool = True
+    by: tuple[str, str] = ("from_id", "to_id")
+
+    def findings(self, name: str, pairs: DataFrame, links: DataFrame) -> DataFrame:
+        """rule, character_id, from_id, to_id, severity, reason, confidence of pairs that no link joins."""
+        kept = free(pairs, links, self.both_ways, self.by)
+        text = lambda c: F.col(c).cast("string").alias(c)
+        return kept.select(F.lit(name).alias("rule"), "character_id", text("from_id"), text("to_id"), F.lit(self.severity).alias("severity"), F.lit(self.reason).alias("reason"), F.lit(self.confidence).alias("confidence"))
+
+    def __call__(self, name: str, g: Story) -> DataFrame:
+        rows = self.source(g)
+        return self.findings(name, self.pairs(rows, rows), g[self.links])
+
+
+#: Severity, reason and confidence of the scan's rules; temporal counts as medium in reports.
+PAIR_RULES: dict[str, PairRule] = {
+    "temporal": PairRule(statements, temporal_pairs, "contradicts", "medium", "Knowledge timeline contradiction", 0.8),
+    "relationship": PairRule(states, relationship_pairs, "character_contradicts", "medium", "Conflicting relationship types", 0.9, True, ("src", "dst")),
+    "location": PairRule(presences, location_pairs, "scene_contradicts", "high", "Character in multiple locations simultaneously", 0.95),
+    "state": PairRule(statements, lambda a, b: state_pairs(a, b, "hot", "cold"), "contradicts", "critical", "Character state contradiction (dead/alive)", 0.99, False),
+    "unlinked": PairRule(statements, lambda a, b: unlinked_content_pairs(a, b, *SUBSTITUTES), "contradicts", "medium", "Content contradiction detected", 0.7),
+}
+#: Rules of the scan: name -> findings of a story.
+RULES: dict[str, Callable[[Story], DataFrame]] = {name: partial(rule, name) for name, rule in PAIR_RULES.items()}
 
 
-#: Rules of the scan: name -> findings (rule, character_id, from_id, to_id, severity, reason, confidence).
-RULES = {
-    "temporal": lambda g: _finding(temporal_contradictions(g), "temporal", "knowledge_id_1", "knowledge_id_2", "Knowledge timeline contradiction", F.lit("medium")),
-    "location": lambda g: _finding(location_contradictions(g), "location", "scene_1", "scene_2", "Character in multiple locations simultaneously"),
-    "state": lambda g: _finding(state_contradictions(g, "hot", "cold"), "state", "knowledge_id_1", "knowledge_id_2", "Character state contradiction (dead/alive)"),
-}
+def unified(g: Story, rules: tuple[str, ...] = tuple(PAIR_RULES)) -> DataFrame:
+    """All findings of these rules."""
+    return reduce(DataFrame.unionAll, [RULES[name](g) for name in rules])
 
 
-def unified(g: Story) -> DataFrame:
-    """All findings with the severities of the report: temporal counts as medium."""
-    return reduce(DataFrame.unionAll, [rule(g) for rule in RULES.values()])
+#: Rules that find as many rows as there are contradictions that someone may look at; the pairs of the other one, opposed
+#: contents of a whole story, grow with its square, and reports count them without forming them.
+LISTED = ("temporal", "relationship", "location", "state")
 
 
 def record(findings: DataFrame, detected_at: str = "2024-01-31T00:00:00") -> DataFrame:
@@ -149,15 +234,19 @@ def parse_report(episodes: DataFrame) -> DataFrame:
 
 
 def contradiction_details(g: Story) -> DataFrame:
-    return parse_report(record(unified(g)))
+    return parse_report(record(unified(g, LISTED)))
 
 
 def contradiction_report(g: Story) -> DataFrame:
-    return contradiction_details(g).groupBy("severity", "reason").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 6).alias("confidence"))
+    """Findings of all five rules by severity and reason."""
+    listed = contradiction_details(g).groupBy("severity", "reason").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 6).alias("confidence"))
+    rule = PAIR_RULES["unlinked"]
+    counted = unlinked_contradictions(g).agg(F.sum("n").alias("n")).filter("n > 0").select(F.lit(rule.severity).alias("severity"), F.lit(rule.reason).alias("reason"), "n", F.lit(rule.confidence).alias("confidence"))
+    return listed.unionByName(counted)
 
 
 def severity_breakdown(g: Story) -> DataFrame:
-    return unified(g).groupBy("severity").agg(F.count("*").alias("n"))
+    return contradiction_report(g).groupBy("severity").agg(F.sum("n").alias("n"))
 
 
 def critical_alerts(g: Story) -> DataFrame:

@@ -4,9 +4,11 @@ A posting's impact is its share of a text's BM25 score, which depends on nothing
 index is built. Postings of a (group, term) are gathered in blocks of similar impact: the level is the impact in steps, and
 a frequent term's level is dealt over several blocks of about BLOCK postings by a hash, so no list is sorted or held whole.
 
-A search reads the summaries of the query's blocks first. In a group, the k-th best impact of any one term bounds the k-th
-best score from below; a block whose largest impact, with the best impacts of the other terms, stays under that bound
-holds no text of the best k and isn't opened. Every block of a text that is among the best k is opened, so scores are whole.
+A search reads the summaries of the query's blocks first. In a group, the k-th best impact of any one term bounds the
+k-th best score from below. Terms whose best impacts together stay under that bound can't bring a text among the best k
+alone: they are only looked up, in the blocks that the other terms' texts fall in. Of the other terms, blocks whose largest
+impact, with the best impacts of all other terms, stays under the bound aren't opened either: their texts aren't among the
+best k, and every block of a text that is among them is opened or looked up, so its score is whole.
 """
 
 from __future__ import annotations
@@ -26,9 +28,13 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), NOT_WORD), lambda w: w != "")
 
 
+def _part(parts: Column) -> Column:
+    return F.pmod(F.xxhash64("key"), parts).cast("int")
+
+
 @dataclass
 class Index:
-    """blocks: group, term, level, part, n, top, low (largest and least impact), items (key, impact)."""
+    """blocks: group, term, level, part (of parts), n, top, low (largest and least impact), items (key, impact)."""
 
     blocks: DataFrame
 
@@ -52,28 +58,35 @@ def build(rows: DataFrame, group: str, key: str, text: str) -> Index:
     impact = rare * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("usual")))
     known = holders.join(sizes, "group").select("group", "term", "texts", "usual", "df")
     scored = uses.join(known, ["group", "term"]).select("group", "term", "key", "df", impact.alias("impact"))
-    placed = scored.select("group", "term", "key", "impact", F.floor(F.col("impact") * STEPS).cast("int").alias("level"), F.pmod(F.xxhash64("key"), F.ceil(F.col("df") / BLOCK)).cast("int").alias("part"))
-    return Index(placed.groupBy("group", "term", "level", "part").agg(F.count("*").alias("n"), F.max("impact").alias("top"), F.min("impact").alias("low"), F.collect_list(F.struct("key", "impact")).alias("items")))
+    placed = scored.withColumn("parts", F.ceil(F.col("df") / BLOCK).cast("int")).select("group", "term", "key", "impact", F.floor(F.col("impact") * STEPS).cast("int").alias("level"), "parts", _part(F.col("parts")).alias("part"))
+    return Index(placed.groupBy("group", "term", "level", "part", "parts").agg(F.count("*").alias("n"), F.max("impact").alias("top"), F.min("impact").alias("low"), F.collect_list(F.struct("key", "impact")).alias("items")))
 
 
-def open_blocks(index: Index, terms: DataFrame, k: int) -> DataFrame:
-    """Blocks that may hold one of the best k. terms: term and, if queries differ, query and group."""
+def postings(index: Index, terms: DataFrame, k: int) -> DataFrame:
+    """(query,) group, key, impact of what may count for the best k. terms: term and, if queries differ, query and group."""
     on = [c for c in ("group", "term") if c in terms.columns]
     by = [c for c in ("query",) if c in terms.columns] + ["group"]
     wanted = index.blocks.join(terms, on)
     # A term's blocks from the top down: once k postings are passed, the k-th best score is no less than the block's least.
     down = Window.partitionBy(*by, "term").orderBy(F.desc("low"), "level", "part")
-    passed = wanted.select(*by, "term", "level", "part", "n", "top", "low").withColumn("before", F.sum("n").over(down) - F.col("n")).withColumn("reach", F.col("before") + F.col("n"))
-    of_term = passed.groupBy(*by, "term").agg(F.max("top").alias("best"), F.max(F.when(F.col("reach") >= k, F.col("low"))).alias("bound"))
-    of_group = of_term.groupBy(*by).agg(F.sum("best").alias("all"), F.max("bound").alias("bound"))
-    limits = of_term.select(*by, "term", "best").join(of_group, by).select(*by, "term", (F.col("all") - F.col("best")).alias("others"), F.coalesce("bound", F.lit(0.0)).alias("bound"))
-    return wanted.join(limits, [*by, "term"]).filter(F.col("top") + F.col("others") + SLACK >= F.col("bound"))
+    passed = wanted.select(*by, "term", "level", "part", "parts", "n", "top", "low").withColumn("reach", F.sum("n").over(down))
+    of_term = passed.groupBy(*by, "term").agg(F.max("top").alias("best"), F.max("parts").alias("parts"), F.max(F.when(F.col("reach") >= k, F.col("low"))).alias("bound"))
+    few = Window.partitionBy(*by)  # a row for each term of the query
+    upwards = few.orderBy("best", "term").rowsBetween(Window.unboundedPreceding, 0)
+    limits = of_term.withColumn("bound", F.coalesce(F.max("bound").over(few), F.lit(0.0))).withColumn("others", F.sum("best").over(few) - F.col("best"))
+    limits = written(limits.withColumn("alone", F.sum("best").over(upwards) + SLACK >= F.col("bound")), "limits")
+    posting = lambda blocks: blocks.select(*by, F.explode("items").alias("x")).select(*by, "x.key", "x.impact")
+    opened = wanted.join(limits.filter("alone").select(*by, "term", "others", "bound"), [*by, "term"]).filter(F.col("top") + F.col("others") + SLACK >= F.col("bound"))
+    found = written(posting(opened), "found")
+    texts = found.select(*by, "key").distinct()
+    sought = limits.filter("NOT alone").select(*by, "term", "parts").join(texts, by).select(*by, "term", _part(F.col("parts")).alias("part")).distinct()
+    return found.unionByName(posting(wanted.join(sought, [*by, "term", "part"], "left_semi")).join(texts, [*by, "key"], "left_semi"))
 
 
 def search(index: Index, terms: DataFrame, k: int) -> DataFrame:
     """(query,) group, key, score, place: the best k of each group, ties to the smaller key; scores to six places."""
     by = [c for c in ("query",) if c in terms.columns] + ["group"]
-    hits = open_blocks(index, terms, k).select(*by, F.explode("items").alias("x")).groupBy(*by, F.col("x.key").alias("key")).agg(F.round(F.sum("x.impact"), 6).alias("score"))
+    hits = postings(index, terms, k).groupBy(*by, "key").agg(F.round(F.sum("impact"), 6).alias("score"))
     place = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), "key"))
     return hits.withColumn("place", place).filter(F.col("place") <= k)
 

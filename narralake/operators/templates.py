@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from narralake.operators.joins import before_pairs
 from narralake.plans.adapter import Story
+from narralake.plans.storage import written
 
 
 def joined(*parts: str | Column) -> Column:
@@ -72,10 +74,10 @@ def unlinked(pairs: DataFrame, links: DataFrame, both_ways: bool = True) -> Data
 def temporal_knowledge_conflicts(g: Story) -> DataFrame:
     """Pairs of one character's knowledge, the second of which had ended when the first began. As many rows as there are
     such pairs; consistency.temporal_conflict_counts counts them without forming them."""
-    k = g["known"]
+    k = written(g["known"].select("character_id", "knowledge_id", "valid_from", "valid_to"), "known")
     a = k.select("character_id", F.col("knowledge_id").alias("knowledge_id_1"), F.col("valid_from").alias("valid_from_1"))
-    b = k.filter("valid_to IS NOT NULL").select("character_id", F.col("knowledge_id").alias("knowledge_id_2"), F.col("valid_to").alias("valid_to_2"))
-    pairs = a.join(b, "character_id").filter("valid_from_1 > valid_to_2 AND knowledge_id_1 <> knowledge_id_2")
+    b = k.select("character_id", F.col("knowledge_id").alias("knowledge_id_2"), F.col("valid_to").alias("valid_to_2"))
+    pairs = before_pairs(a, b, ["character_id"], "valid_from_1", "valid_to_2").filter("knowledge_id_1 <> knowledge_id_2")
     return unlinked(pairs, g["contradicts"], False).select("character_id", "knowledge_id_1", "knowledge_id_2", "valid_from_1", "valid_to_2")
 
 

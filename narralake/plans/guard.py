@@ -27,15 +27,17 @@ def _each(items: Any) -> Iterator[Any]:
         yield items.apply(i)
 
 
-def foreign(plan: Any, mark: str) -> list[str]:
-    """Relations of an analysed plan, subqueries included, that don't lie under an alias that begins with the mark."""
+def foreign(plan: Any, mark: str, in_view: bool = False) -> list[str]:
+    """Relations of an analysed plan, subqueries included, that don't lie under an alias that begins with the mark. Constants
+    are no relations but in a view: its maker's rows may be constants, too."""
     name = plan.nodeName()
     if name == "SubqueryAlias" and plan.alias().startswith(mark):
         return []
+    in_view = in_view or name == "View"
     below = [*_each(plan.children()), *_each(plan.subqueries())]
     if not below:
-        return [] if name in CONSTANTS else [name]
-    return [x for child in below for x in foreign(child, mark)]
+        return [] if name in CONSTANTS and not in_view else [name]
+    return [x for child in below for x in foreign(child, mark, in_view)]
 
 
 def guarded(scope: Scope, text: str, args: dict[str, Any] | None = None) -> DataFrame:
