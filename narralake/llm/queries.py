@@ -13,7 +13,7 @@ from narralake.llm.common import id_and_text, load
 
 
 
-#: Runs of repeats under so many words are stock phrases: documents that share no more than those are left alone.
+#: The pipeline's protected runs of repeats, see corpus_pipeline; the query protects none.
 STOCK_WORDS = 25
 
 
@@ -27,7 +27,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.repeats(load(spark, sf_dir, "documents"), STOCK_WORDS)
+    return substring_dedup.repeats(load(spark, sf_dir, "documents"))
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
