@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from narralake.functions import text
-from narralake.operators import consistency, network, records, templates, temporal, validation
+from narralake.operators import consistency, network, records, rpg, templates, temporal, validation
 from narralake.plans.adapter import Story, oracle
 from narralake.streaming import alerts
 
@@ -235,6 +235,7 @@ _LABELS = f"WITH e AS {_E}, l0 AS (SELECT character_id, character_id AS label FR
 entry("label_propagation", network.label_propagation, f"{_LABELS} SELECT character_id, label FROM l2")
 entry("propagated_communities", network.propagated_communities, f"{_LABELS} SELECT label, count(*) AS total, string_agg(name, ',' ORDER BY name) AS members FROM l2 JOIN {{characters}} c ON c.character_id = l2.character_id GROUP BY 1")
 entry("louvain", network.louvain)
+entry("louvain_by_joins", network.louvain_by_joins)
 entry("communities", network.communities)
 _TRI = f"WITH e AS (SELECT DISTINCT src, dst FROM {_E} x WHERE src < dst), t AS (SELECT a.src AS a, a.dst AS b, b.dst AS c FROM e a JOIN e b ON a.dst = b.src JOIN e c ON c.src = a.src AND c.dst = b.dst), n AS (SELECT node, count(*) AS t FROM (SELECT a AS node FROM t UNION ALL SELECT b FROM t UNION ALL SELECT c FROM t) u GROUP BY 1), d AS (SELECT node, count(*) AS d FROM (SELECT src AS node FROM e UNION ALL SELECT dst FROM e) u GROUP BY 1), q AS (SELECT d.node, d, coalesce(t, 0) AS triangles FROM d LEFT JOIN n ON n.node = d.node)"
 entry("clustering", network.clustering, f"{_TRI} SELECT node, d, triangles, round(CASE WHEN d > 1 THEN 2 * triangles / (d * (d - 1)) ELSE 0 END::DOUBLE, 6) AS coefficient FROM q")
@@ -306,6 +307,10 @@ entry("rpg_delete", lambda g: records.rpg_tables(g, "delete"), f"SELECT * FROM {
 entry("rpg_delete_one", lambda g: records.rpg_tables(g, "delete_one"), f"SELECT * FROM {_ITEMS} i WHERE NOT (project_id = 'Brand#1' AND name = 'small ring 0')")
 entry("rpg_generate_variables", records.generated_variables, "SELECT event_id, CASE event_id % 4 WHEN 0 THEN concat('v', event_id) ELSE event_type END AS name, CASE event_id % 4 WHEN 0 THEN CAST(event_id AS STRING) ELSE 'x' END AS value, CASE event_id % 4 WHEN 0 THEN 'integer' ELSE 'string' END AS data_type, CASE event_id % 4 WHEN 0 THEN 'game' ELSE 'local' END AS scope FROM {events} WHERE event_id % 2 = 0")
 entry("rpg_generate_characters", records.generated_characters, "SELECT character_id, name, CASE WHEN character_id % 2 = 0 THEN 'hero' ELSE 'npc' END AS type, CASE WHEN character_id % 2 = 0 THEN 5 ELSE 1 END AS level, CASE WHEN character_id % 2 = 0 THEN 7 ELSE 100 END AS hp, CASE WHEN character_id % 2 = 0 THEN character_id ELSE 10 END AS strength, 10 AS charisma FROM {characters}")
+entry("rpg_generate_locations", rpg.generated_locations, "SELECT p_type, concat(p_name, ' ', CAST(p_partkey AS STRING)) AS name, CASE p_size % 3 WHEN 0 THEN 'dungeon' WHEN 1 THEN 'town' ELSE 'other' END AS type, CASE WHEN p_partkey % 2 = 0 THEN 1 ELSE 0 END AS n_events FROM {part} WHERE p_size % 7 <> 0 AND p_partkey % 11 <> 0")
+entry("rpg_generate_connections", rpg.generated_connections, "SELECT p_type, concat(p_name, ' ', CAST(p_partkey AS STRING)) AS from_location, concat('place ', CAST(p_partkey + 1 AS STRING)) AS to_location, CASE WHEN p_size % 2 = 0 THEN 'portal' ELSE 'path' END AS type, CASE WHEN p_size % 4 = 0 THEN 'north' END AS direction FROM {part} WHERE p_partkey % 5 <> 0 AND p_size % 4 <> 1")
+entry("rpg_generate_quests", rpg.generated_quests, "WITH l AS (SELECT l_orderkey, count(*) AS n, sum((l_linenumber <> 3)::INT) AS must, sum(CAST(l_quantity AS INT)) AS quantity, sum((l_linenumber = 2)::INT) AS other, max((l_linenumber = 4)::INT) AS spoiled FROM {lineitem} WHERE l_linenumber <> 4 OR l_orderkey % 3 = 0 GROUP BY 1) SELECT o_orderkey, concat('Quest ', CAST(o_orderkey AS STRING)) AS name, CASE o_orderkey % 4 WHEN 0 THEN 'main' WHEN 1 THEN 'guild' ELSE 'side' END AS quest_type, CASE WHEN o_orderstatus = 'F' THEN 'completed' ELSE 'not_started' END AS status, coalesce(n, 0) AS n_objectives, coalesce(must, 0) AS n_mandatory, coalesce(quantity, 0) AS quantity, coalesce(other, 0) AS n_other FROM {orders} LEFT JOIN l ON l_orderkey = o_orderkey WHERE o_orderkey % 13 <> 0 AND coalesce(spoiled, 0) = 0")
+entry("rpg_generate_dialogues", rpg.generated_dialogues, "WITH RECURSIVE n AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS place FROM {conversations}), e AS (SELECT conv_id, turn, turn + s AS next FROM n, (SELECT unnest([1, 2]) AS s) x WHERE turn % 4 <> 1 AND (s = 1 OR turn % 3 = 0)), r AS (SELECT conv_id, turn, 0 AS depth FROM n WHERE CASE WHEN conv_id % 3 = 0 THEN turn = 1 ELSE place = 1 END UNION SELECT e.conv_id, n.turn, depth + 1 FROM r JOIN e ON e.conv_id = r.conv_id AND e.turn = r.turn JOIN n ON n.conv_id = e.conv_id AND n.turn = e.next), d AS (SELECT conv_id, turn, min(depth) AS depth FROM r GROUP BY 1, 2) SELECT concat('tree-', CAST(n.conv_id AS STRING)) AS tree, CAST(n.turn AS STRING) AS node, (SELECT count(*) FROM e WHERE e.conv_id = n.conv_id AND e.turn = n.turn) AS choices, depth, n.turn % 4 = 1 AS ends, (SELECT count(*) FROM e WHERE e.conv_id = n.conv_id AND e.turn = n.turn AND NOT EXISTS (SELECT 1 FROM n m WHERE m.conv_id = e.conv_id AND m.turn = e.next)) AS dangling FROM n LEFT JOIN d ON d.conv_id = n.conv_id AND d.turn = n.turn")
 entry("statement_split", records.statement_split, "WITH l AS (SELECT file, line, trim(text) AS t FROM {source_lines} WHERE trim(text) <> '' AND NOT starts_with(trim(text), '//')), n AS (SELECT *, coalesce(sum((ends_with(t, ';'))::INT) OVER (PARTITION BY file ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS i FROM l) SELECT file, CAST(i AS INT) AS i, string_agg(t, ' ' ORDER BY line) AS statement FROM n GROUP BY file, i HAVING max(ends_with(t, ';')::INT) = 1")
 entry("regex_line_scan", records.regex_line_scan, r"""SELECT DISTINCT file, line, name FROM (SELECT file, line, unnest(regexp_extract_all(text, 'getenv\(["'']([^"'']+)["'']', 1)) AS name FROM {source_lines} UNION ALL SELECT file, line, unnest(regexp_extract_all(text, 'environ\[["''](.*?)["'']\]', 1)) FROM {source_lines} UNION ALL SELECT file, line, unnest(regexp_extract_all(text, 'environ\.get\(["'']([^"'']+)["'']', 1)) FROM {source_lines}) x""")
 entry("location_connections", records.location_connections, "SELECT DISTINCT src % 25 AS from_location, dst % 25 AS to_location FROM {sna_edges} WHERE src % 25 = 3 OR dst % 25 = 3")

@@ -2,7 +2,7 @@
 
 The projection is written once, and so is every round: plans don't grow with rounds, and lineitem is read once. Rounds
 go on until nothing new is reached; frontiers and ranks are tables. Stories don't touch each other, so all are run at
-once. `brandes` and `louvain` take a story as one group of bounded size; larger ones go the way of joins, or are refused.
+once. `brandes` and `louvain_members` take a story as one group of bounded cost; larger stories go the way of joins.
 """
 
 from __future__ import annotations
@@ -11,14 +11,16 @@ from collections import deque
 from itertools import count
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from narralake.plans.adapter import Story
 from narralake.plans.storage import written
 
 PROJECTED = ("FRIENDS_WITH", "KNOWS", "ACQUAINTED_WITH")
-GROUP_EDGES = 200_000
+#: What a story may cost as one group: edges for communities, nodes times edges for betweenness.
+GROUP_EDGES, GROUP_STEPS = 200_000, 50_000_000
+ROUNDS, LEVELS = 32, 12
 
 
 def projection(g: Story) -> DataFrame:
@@ -77,10 +79,18 @@ def closeness(g: Story) -> DataFrame:
 
 
 def influence_paths(g: Story, top: int = 20) -> DataFrame:
-    """The shortest distances between two characters; the top report itself is the feature."""
-    c = g["characters"]
+    """The shortest distances between two characters; the top report itself is the feature. Paths grow hop by hop, and only
+    until `top` pairs are met: those that are farther apart can't be among them."""
+    c, e = g["characters"], pairs(g)
     a, b = c.select(F.col("character_id").alias("start"), F.col("name").alias("name_1")), c.select(F.col("character_id").alias("node"), F.col("name").alias("name_2"))
-    return distances(g).filter("dist > 0").join(a, "start").join(b, "node").orderBy("dist", "name_1", "name_2").limit(top).select("name_1", "name_2", "dist")
+    seen = frontier = written(e.select(F.col("src").alias("start"), F.col("dst").alias("node"), F.lit(1).alias("dist")).filter("start <> node"), "frontier")
+    for d in count(2):
+        if frontier.isEmpty() or seen.count() >= top:
+            break
+        reached = frontier.join(e, F.col("node") == F.col("src")).select("start", F.col("dst").alias("node"), F.lit(d).alias("dist")).filter("start <> node").distinct()
+        frontier = written(reached.join(seen.select("start", "node"), ["start", "node"], "left_anti"), "frontier")
+        seen = seen.unionByName(frontier)
+    return seen.join(a, "start").join(b, "node").orderBy("dist", "name_1", "name_2").limit(top).select("name_1", "name_2", "dist")
 
 
 def distance_histogram(g: Story) -> DataFrame:
@@ -155,24 +165,84 @@ def louvain_members(nodes: list[int], edges: list[tuple[int, int]]) -> dict[int,
     return {n: least[c] for n, c in member.items()}
 
 
-def _bounded(g: Story) -> DataFrame:
-    """The projection, if no story has more than GROUP_EDGES edges."""
-    e = pairs(g)
-    most = e.groupBy("story_id").count().agg(F.max("count")).first()[0] or 0
-    if most > GROUP_EDGES:
-        raise ValueError(f"a story has {most} edges, more than {GROUP_EDGES} for one group; use label_propagation")
-    return e
+def modularity(members: DataFrame, edges: DataFrame) -> DataFrame:
+    """story_id, q. members: story_id, character_id, community; edges: story_id, src, dst, each direction with weight 1/2."""
+    one, two = members.select(F.col("character_id").alias("src"), F.col("community").alias("c1")), members.select(F.col("character_id").alias("dst"), F.col("community").alias("c2"))
+    ends = edges.select("story_id", "src", "dst").join(one, "src").join(two, "dst")
+    total = ends.groupBy("story_id").agg(F.count("*").alias("m"), F.sum((F.col("c1") == F.col("c2")).cast("int")).alias("inside"))
+    degree = ends.select("story_id", F.explode(F.array("c1", "c2")).alias("c")).groupBy("story_id", "c").agg(F.count("*").alias("d"))
+    return degree.join(total, "story_id").groupBy("story_id").agg((F.first("inside") / F.first("m") - F.sum(F.pow(F.col("d") / (2 * F.col("m")), F.lit(2)))).alias("q"))
+
+
+def _half_moves(w: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, bool]:
+    """w: story_id, a, b, w (both directions, loops too) -> (a, own: its community), whether any node moved. Every round each
+    node looks for the community of the largest gain, the least name among equals; of those that gain, half move, chosen
+    by a hash of node and round, so that neighbours don't change places for ever."""
+    degree = w.groupBy("story_id", "a").agg(F.sum("w").alias("degree"))
+    node = degree.join(degree.groupBy("story_id").agg(F.sum("degree").alias("total")), "story_id")
+    own = written(node.select("story_id", "a", "degree", "total", F.col("a").alias("own")), "own")
+    others, moved = w.filter("a <> b").select("a", "b", "w"), False
+    for r in range(rounds):
+        links = others.join(own.select(F.col("a").alias("b"), F.col("own").alias("c")), "b").select("a", "c", "w")
+        options = links.unionByName(own.select("a", F.col("own").alias("c"), F.lit(0.0).alias("w"))).groupBy("a", "c").agg(F.sum("w").alias("w"))
+        held = own.groupBy(F.col("own").alias("c")).agg(F.sum("degree").alias("held"))
+        both = options.join(held, "c").join(own, "a")
+        gain = F.round(F.col("w") - (F.col("held") - F.when(F.col("c") == F.col("own"), F.col("degree")).otherwise(0.0)) * F.col("degree") / F.col("total"), 12)
+        best = both.withColumn("gain", gain).groupBy("story_id", "a", "degree", "total", "own").agg(F.min(F.struct((-F.col("gain")).alias("loss"), "c")).alias("best"), F.max(F.when(F.col("c") == F.col("own"), F.col("gain"))).alias("home"))
+        wants = -F.col("best.loss") > F.col("home") + 1e-12
+        go = wants & (F.pmod(F.xxhash64("a", F.lit(r)), F.lit(2)) == 0)
+        own_next = written(best.select("story_id", "a", "degree", "total", F.when(go, F.col("best.c")).otherwise(F.col("own")).alias("own"), wants.alias("wants"), go.alias("went")), "own")
+        wanting, went = own_next.agg(F.sum(F.col("wants").cast("int")), F.sum(F.col("went").cast("int"))).first()
+        own, moved = own_next.drop("wants", "went"), moved or bool(went)
+        if not wanting:
+            break
+    return own.select("a", "own"), moved
+
+
+def louvain_by_joins(g: Story, e: DataFrame | None = None) -> DataFrame:
+    """character_id, community (its least member): the same measure as `louvain`, with tables only and no bound of a story's
+    size. Levels are rounds of half moves; then communities become nodes, and their edges are summed. The result is
+    the same on every run; it need not be the one of single moves in the order of ids."""
+    e = pairs(g) if e is None else e
+    half = e.select("story_id", F.col("src").alias("a"), F.col("dst").alias("b")).unionByName(e.select("story_id", F.col("dst").alias("a"), F.col("src").alias("b")))
+    w = written(half.groupBy("story_id", "a", "b").agg((F.count("*") / 2).alias("w")), "weights")
+    member = written(g["characters"].select("character_id", F.col("character_id").alias("community")), "members")
+    for _ in range(LEVELS):
+        own, moved = _half_moves(w)
+        if not moved:
+            break
+        names = own.groupBy("own").agg(F.min("a").alias("name"))
+        own = written(own.join(names, "own").select("a", F.col("name").alias("own")), "folded")
+        member = written(member.join(own, F.col("community") == F.col("a"), "left").select("character_id", F.coalesce("own", "community").alias("community")), "members")
+        up = w.join(own.select("a", F.col("own").alias("na")), "a").join(own.select(F.col("a").alias("b"), F.col("own").alias("nb")), "b")
+        w = written(up.groupBy("story_id", F.col("na").alias("a"), F.col("nb").alias("b")).agg(F.sum("w").alias("w")), "weights")
+    least = member.groupBy("community").agg(F.min("character_id").alias("least"))
+    return member.join(least, "community").select("character_id", F.col("least").alias("community"))
+
+
+def _by_cost(g: Story, e: DataFrame, cost: Column, most: int) -> tuple[tuple[DataFrame, DataFrame], tuple[DataFrame, DataFrame] | None]:
+    """(characters, edges) of the stories that cost at most so much as one group, and of the others, if there are any."""
+    cast = g["characters"].select("story_id", "character_id")
+    n = cast.groupBy("story_id").agg(F.count("*").alias("nodes")).join(e.groupBy("story_id").agg(F.count("*").alias("edges")), "story_id")
+    large = written(n.filter(cost > most).select("story_id"), "large")
+    if large.isEmpty():
+        return (cast, e), None
+    cut = lambda rows, how: rows.join(large, "story_id", how)
+    return (cut(cast, "left_anti"), cut(e, "left_anti")), (cut(cast, "left_semi"), cut(e, "left_semi"))
 
 
 def louvain(g: Story) -> DataFrame:
-    """character_id, community: by modularity, story by story. A story of over GROUP_EDGES edges is refused: use label_propagation."""
-    e = _bounded(g)
+    """character_id, community: by modularity, story by story; those of over GROUP_EDGES edges by joins."""
+    (cast, few), rest = _by_cost(g, pairs(g), F.col("edges"), GROUP_EDGES)
 
     def group(key: tuple, cast: pd.DataFrame, ties: pd.DataFrame) -> pd.DataFrame:
         found = louvain_members(sorted(cast["character_id"].tolist()), list(zip(ties["src"].tolist(), ties["dst"].tolist(), strict=True)))
         return pd.DataFrame({"character_id": list(found), "community": list(found.values())})
 
-    return g["characters"].select("story_id", "character_id").groupBy("story_id").cogroup(e.groupBy("story_id")).applyInPandas(group, "character_id long, community long")
+    small = cast.groupBy("story_id").cogroup(few.groupBy("story_id")).applyInPandas(group, "character_id long, community long")
+    if rest is None:
+        return small
+    return small.unionByName(louvain_by_joins(g, rest[1]).join(rest[0].select("character_id"), "character_id", "left_semi"))
 
 
 def communities(g: Story) -> DataFrame:
@@ -247,24 +317,25 @@ def brandes(nodes: list[int], edges: list[tuple[int, int]]) -> dict[int, float]:
 
 
 def betweenness(g: Story) -> DataFrame:
-    """Story by story where a story has at most GROUP_EDGES edges, else by joins."""
-    e = pairs(g)
-    most = e.groupBy("story_id").count().agg(F.max("count")).first()[0] or 0
-    if most > GROUP_EDGES:
-        return betweenness_by_joins(g, e)
+    """Story by story where nodes times edges are at most GROUP_STEPS, else by joins."""
+    (cast, few), rest = _by_cost(g, pairs(g), F.col("nodes") * F.col("edges"), GROUP_STEPS)
 
     def group(key: tuple, cast: pd.DataFrame, ties: pd.DataFrame) -> pd.DataFrame:
         found = brandes(sorted(cast["character_id"].tolist()), list(zip(ties["src"].tolist(), ties["dst"].tolist(), strict=True)))
         return pd.DataFrame({"character_id": list(found), "betweenness": [round(x, 4) + 0.0 for x in found.values()]})
 
-    return g["characters"].select("story_id", "character_id").groupBy("story_id").cogroup(e.groupBy("story_id")).applyInPandas(group, "character_id long, betweenness double")
+    small = cast.groupBy("story_id").cogroup(few.groupBy("story_id")).applyInPandas(group, "character_id long, betweenness double")
+    if rest is None:
+        return small
+    return small.unionByName(betweenness_by_joins(g, rest[1], rest[0].select("character_id")))
 
 
-def betweenness_by_joins(g: Story, e: DataFrame | None = None) -> DataFrame:
+def betweenness_by_joins(g: Story, e: DataFrame | None = None, cast: DataFrame | None = None) -> DataFrame:
     """The same with tables only: paths are counted on the way out; on the way back, farthest nodes first, each node
     hands its dependency to those before it. Rows are (source, node) pairs, never triples."""
     e = pairs(g) if e is None else e
-    front = written(g["characters"].select(F.col("character_id").alias("s"), F.col("character_id").alias("t"), F.lit(0).alias("d"), F.lit(1.0).alias("ways")), "paths")
+    cast = g["characters"].select("character_id") if cast is None else cast
+    front = written(cast.select(F.col("character_id").alias("s"), F.col("character_id").alias("t"), F.lit(0).alias("d"), F.lit(1.0).alias("ways")), "paths")
     levels = [front]
     while True:
         seen = levels[0]
@@ -283,8 +354,7 @@ def betweenness_by_joins(g: Story, e: DataFrame | None = None) -> DataFrame:
         depth = len(levels) - len(score) - 1
         back = own.select("s", F.col("t").alias("dst"), (((1 + F.col("share")) / F.col("ways"))).alias("part")).join(e.select(F.col("src").alias("t"), "dst"), "dst")
         shares = back.join(levels[depth].select("s", "t", "ways"), ["s", "t"]).groupBy("s", "t").agg(F.sum(F.col("part") * F.col("ways")).alias("share"))
-    total = g["characters"].select("character_id")
-    found = None
+    total, found = cast, None
     for part in score:
         found = part if found is None else found.unionByName(part)
     if found is None:
