@@ -2,9 +2,11 @@
 
 Order: (hash of the text, id, place in the input), so that equal texts lie side by side. Rows are sampled with a chance
 in proportion to their size; quantiles of the sample split the order into ranges, RANGES of them and more where there
-are more than RANGE_ROWS rows for each. A row finds its range by two short lookups in a literal table of splitters.
-Ranges that hold more than OVERFULL mean sizes are split again by splitters from a denser sample of themselves, until
-none is left. Exact sizes of the ranges and a running sum in each give every row its place in the order of all bytes.
+are more than RANGE_ROWS rows for each. Splitters are a table of one row, an array in blocks, which every task gets as a
+scalar; a row finds its range by two short lookups in it, and the plan is the same for any number of ranges. A range that
+holds more than OVERFULL mean sizes and more than one row is split again by quantiles of a denser sample of itself, denser
+every round, so that in the end all its rows are in the sample, until none is left. Exact sizes of the ranges and a
+running sum in each give every row its place in the order of all bytes.
 
 Groups of equal texts of more than LARGE of a shard (24 / LARGE of them at most) are placed first, the largest first,
 each whole on the shard with most room; only a group that no shard has room for is split, along its order, over the
@@ -18,59 +20,63 @@ much of a shard they fill. Other columns are not read.
 
 from __future__ import annotations
 
-from math import isqrt
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from narralake.llm.common import id_and_text, materialize
 
 RANGES, RANGE_ROWS, PER_RANGE, OVERFULL, LARGE = 1024, 1 << 20, 16, 4, 0.02
+KEY = ("g", "d", "place")
 
 
 def _long(x: int) -> str:
     return f"CAST('{x}' AS BIGINT)"
 
 
-def _literal(keys: list[tuple[int, int, int]]) -> Column:
-    rows = ",".join(f"named_struct('g',{_long(g)},'d',{_long(d)},'p',{_long(p)})" for g, d, p in keys)
-    return F.expr(f"array({rows})")
+def _lookup(keys: DataFrame) -> DataFrame:
+    """keys: the splitters -> one row, x: the last splitter of each block, and the blocks. As many splitters as ranges."""
+    row = keys.agg(F.sort_array(F.collect_set(F.struct(*KEY))).alias("s")).select("s", F.size("s").alias("n"), F.greatest(F.floor(F.sqrt(F.size("s"))), F.lit(1)).cast("int").alias("step"))
+    heads = F.when(F.col("n") >= F.col("step"), F.transform(F.sequence(F.col("step"), F.greatest("n", "step"), F.col("step")), lambda i: F.get("s", i - 1)))
+    blocks = F.when(F.col("n") > 0, F.transform(F.sequence(F.lit(1), F.greatest("n", F.lit(1)), F.col("step")), lambda i: F.slice("s", i, F.col("step"))))
+    return materialize(row.select(F.struct(F.filter(F.coalesce(heads, F.array()), lambda h: h.isNotNull()).alias("heads"), F.coalesce(blocks, F.array()).alias("blocks"), "step").alias("x")), "splitters")
+
+
+def _ranged(rows: DataFrame, lookup: DataFrame) -> DataFrame:
+    """Adds range: how many splitters are not beyond the row's key."""
+    key, x = F.struct(*KEY), F.col("lookup")
+    held = rows.withColumn("lookup", lookup.scalar())
+    block = held.withColumn("block", F.size(F.filter(x["heads"], lambda h: h <= key)))
+    rest = F.coalesce(F.size(F.filter(F.get(x["blocks"], F.col("block")), lambda h: h <= key)), F.lit(0))
+    return block.withColumn("range", (F.col("block") * x["step"] + rest).cast("int")).drop("lookup", "block")
 
 
-def _range_of(splitters: list[tuple[int, int, int]]) -> Column:
-    """How many splitters are not beyond the row's key, by a table of the last one of each block and then one of a block."""
-    key = F.struct(F.col("g").alias("g"), F.col("d").alias("d"), F.col("place").alias("p"))
-    if not splitters:
-        return F.lit(0)
-    size = max(1, isqrt(len(splitters)))
-    heads = splitters[size - 1 :: size]
-    block = F.size(F.filter(_literal(heads), lambda s: s <= key))
-    inner = F.array(*[_literal(splitters[i : i + size]) for i in range(0, len(splitters), size)])
-    rest = F.when(block * size < len(splitters), F.size(F.filter(F.element_at(inner, block + 1), lambda s: s <= key))).otherwise(0)
-    return (block * size + rest).cast("int")
+def _sample(rows: DataFrame, rate: float, salt: int) -> DataFrame:
+    chance = F.pmod(F.xxhash64(*KEY, F.lit(salt)), F.lit(1 << 30)) / float(1 << 30)
+    return rows.filter(chance < F.col("size") * rate)
 
 
-def _sample(rows: DataFrame, rate: float, salt: int) -> list[tuple[int, int, int]]:
-    chance = F.pmod(F.xxhash64("g", "d", "place", F.lit(salt)), F.lit(1 << 30)) / float(1 << 30)
-    return sorted((r.g, r.d, r.place) for r in rows.filter(chance < F.col("size") * rate).select("g", "d", "place").collect())
+def _quantiles(sample: DataFrame, parts: Column) -> DataFrame:
+    """Of each range, the keys that cut its sample in `parts` parts; never its first one, which would cut nothing off."""
+    own = Window.partitionBy("range")
+    counted = sample.select(*KEY, "range", parts.alias("parts")).withColumn("i", F.row_number().over(own.orderBy(*KEY)) - 1).withColumn("n", F.count("*").over(own))
+    step = lambda i: F.floor(i * F.col("parts") / F.col("n"))
+    return counted.filter((F.col("i") > 0) & (step(F.col("i")) > step(F.col("i") - 1))).select(*KEY)
 
 
-def _splitters(rows: DataFrame, total: int, ranges: int) -> list[tuple[int, int, int]]:
-    """Splitters of ranges none of which is overfull but those of a single row."""
-    splitters = sorted(set(_sample(rows, ranges * PER_RANGE / total, 0)[PER_RANGE - 1 :: PER_RANGE]))
-    round_ = 0
+def _splitters(rows: DataFrame, total: int, ranges: int) -> DataFrame:
+    """Lookup table of ranges none of which is overfull but those of a single row."""
+    keys = materialize(_quantiles(_sample(rows, ranges * PER_RANGE / total, 0).withColumn("range", F.lit(0)), F.lit(ranges)), "keys")
+    rate, round_ = 2 * ranges * PER_RANGE / total, 1
     while True:
-        round_ += 1
-        sums = rows.groupBy(_range_of(splitters).alias("range")).agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
-        over = [r["range"] for r in sums.filter((F.col("bytes") > OVERFULL * total / ranges) & (F.col("n") > 1)).collect()]
-        if not over:
-            return splitters
-        inside = rows.withColumn("range", _range_of(splitters)).filter(F.col("range").isin(over))
-        more = _sample(inside, 2 * ranges * PER_RANGE / total, round_)
-        new = sorted(set(splitters) | set(more[PER_RANGE - 1 :: PER_RANGE]))
-        if new == splitters:
-            return splitters
-        splitters = new
+        lookup = _lookup(keys)
+        inside = _ranged(rows, lookup)
+        over = materialize(inside.groupBy("range").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).filter((F.col("bytes") > OVERFULL * total / ranges) & (F.col("n") > 1)), "overfull")
+        if over.isEmpty():
+            return lookup
+        parts = F.greatest(F.ceil(F.col("bytes") * ranges / total), F.lit(2))
+        more = _quantiles(_sample(inside.join(F.broadcast(over), "range"), rate, round_), parts)  # overfull: ranges / OVERFULL at most
+        keys = materialize(keys.unionByName(more), "keys")
+        rate, round_ = rate * 4, round_ + 1
 
 
 def place_groups(groups: list[tuple[int, int]], room: list[float]) -> tuple[dict[int, list[tuple[float, int]]], list[float]]:
@@ -102,30 +108,28 @@ def shard(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: s
     if not total:
         return rows.select("*", F.lit(0).alias("range"), F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot")).select(*own)
     capacity = total / shards
-    splitters = _splitters(rows, total, max(ranges, -(-count // RANGE_ROWS)))
+    lookup = _splitters(rows, total, max(ranges, -(-count // RANGE_ROWS)))
     large = [(r.g, r.bytes) for r in rows.groupBy("g").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).filter((F.col("bytes") > LARGE * capacity) & (F.col("n") > 1)).collect()]
     groups, room = place_groups(large, [capacity] * shards)
     # One row for each large group: its shard, or null where it is split.
     listed = ",".join(f"({_long(g)},{parts[0][1] if len(parts) == 1 else 'NULL'},true)" for g, parts in groups.items()) or "(0L,0,false)"
     known = spark.sql(f"SELECT g, CAST(whole AS INT) AS whole, large FROM VALUES {listed} AS t(g, whole, large)").filter("large")
-    marked = materialize(rows.withColumn("range", _range_of(splitters)).join(F.broadcast(known), "g", "left").withColumn("large", F.coalesce("large", F.lit(False))), "marked")
+    marked = materialize(_ranged(rows, lookup).join(F.broadcast(known), "g", "left").withColumn("large", F.coalesce("large", F.lit(False))), "marked")
     of_rest = F.when(F.col("large"), 0).otherwise(F.col("size"))
-    sums = sorted((r["range"], r.bytes, r.rest) for r in marked.groupBy("range").agg(F.sum("size").alias("bytes"), F.sum(of_rest).alias("rest")).collect())
-    starts, at = {}, (0, 0)
-    for k, bytes_, rest in sums:
-        starts[k] = at
-        at = (at[0] + bytes_, at[1] + rest)
-    begins = [F.element_at(F.array(*[F.lit(starts.get(k, (0, 0))[i]).cast("long") for k in range(sums[-1][0] + 1)]), F.col("range") + 1) for i in (0, 1)]
-    upto = Window.partitionBy("range").orderBy("g", "d", "place").rowsBetween(Window.unboundedPreceding, 0)
-    before, before_rest = begins[0] + F.sum("size").over(upto) - F.col("size"), begins[1] + F.sum(of_rest).over(upto) - of_rest
+    sums = materialize(marked.groupBy("range").agg(F.sum("size").alias("bytes"), F.sum(of_rest).alias("rest")), "sums")
+    so_far = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, 0)  # a row for each range
+    starts = materialize(sums.select("range", (F.sum("bytes").over(so_far) - F.col("bytes")).alias("begin"), (F.sum("rest").over(so_far) - F.col("rest")).alias("begin_rest")), "starts")
+    all_rest = sums.agg(F.sum("rest")).first()[0]
+    upto = Window.partitionBy("range").orderBy(*KEY).rowsBetween(Window.unboundedPreceding, 0)
     # Where each shard's room ends along the bytes of the other rows.
     ends, filled = [], 0.0
     for r in room:
         filled += max(r, 0.0)
         ends.append(filled)
-    scale = at[1] / filled if filled else 1.0
+    scale = all_rest / filled if filled else 1.0
     shard_of = lambda middle: F.least(F.size(F.filter(F.array(*[F.lit(e * scale) for e in ends[:-1]]), lambda e: e <= middle)), F.lit(shards - 1)).cast("int")
-    placed = materialize(marked.withColumn("before", before).withColumn("before_rest", before_rest).withColumn("shard", F.when(F.col("large"), F.col("whole")).otherwise(shard_of(F.col("before_rest") + F.col("size") / 2))), "placed")
+    placed = marked.withColumn("before_in", F.sum("size").over(upto) - F.col("size")).withColumn("rest_in", F.sum(of_rest).over(upto) - of_rest).join(F.broadcast(starts), "range")
+    placed = materialize(placed.withColumn("before", F.col("begin") + F.col("before_in")).withColumn("before_rest", F.col("begin_rest") + F.col("rest_in")).drop("begin", "begin_rest", "before_in", "rest_in").withColumn("shard", F.when(F.col("large"), F.col("whole")).otherwise(shard_of(F.col("before_rest") + F.col("size") / 2))), "placed")
     split = {g: parts for g, parts in groups.items() if len(parts) > 1}
     if split:
         first = {r.g: r.a for r in placed.filter(F.col("g").isin(list(split))).groupBy("g").agg(F.min("before").alias("a")).collect()}
@@ -145,13 +149,8 @@ def shard(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: s
         for r in found:
             where = F.when(F.col("g") == r.g, F.lit(r.to)).otherwise(where)
         placed = placed.withColumn("shard", where)
-    counts = placed.groupBy("shard", "range").count().collect()
-    slots: dict[int, list[tuple[int, int]]] = {}
-    taken: dict[int, int] = {}
-    for r in sorted(counts, key=lambda r: (r.shard, r.range)):
-        slots.setdefault(r.range, []).append((r.shard, taken.get(r.shard, 0)))
-        taken[r.shard] = taken.get(r.shard, 0) + r["count"]
-    maps = F.array(*[F.create_map(*[F.lit(x).cast(t) for s, o in slots.get(k, [(0, 0)]) for x, t in ((s, "int"), (o, "long"))]) for k in range(sums[-1][0] + 1)])
-    inner = Window.partitionBy("range", "shard").orderBy("g", "d", "place")
-    slot = F.element_at(F.element_at(maps, F.col("range") + 1), F.col("shard")) + F.row_number().over(inner) - 1
-    return placed.withColumn("slot", slot.cast("long")).select(*own)
+    # A range lies in few shards, so this table is about as long as that of the ranges.
+    counts = placed.groupBy("shard", "range").agg(F.count("*").alias("n"))
+    first = materialize(counts.select("shard", "range", (F.sum("n").over(Window.partitionBy("shard").orderBy("range")) - F.col("n")).alias("first")), "first")
+    inner = Window.partitionBy("range", "shard").orderBy(*KEY)
+    return placed.withColumn("inner", F.row_number().over(inner) - 1).join(F.broadcast(first), ["range", "shard"]).withColumn("slot", (F.col("first") + F.col("inner")).cast("long")).select(*own)
