@@ -289,6 +289,23 @@ entry("token_bucket", lambda g: alerts.token_bucket(g["events"].withColumn("ts",
 entry("scan_label", records.scan_label, "SELECT character_id, name, story_id FROM {characters} WHERE story_id = 3")
 entry("scan_all_relationships", records.scan_all_relationships, "SELECT src, dst, type FROM {sna_edges} UNION ALL SELECT src, dst, upper(relationship_type) FROM {relationships}")
 entry("rls_scope", records.rls_scope, "SELECT character_id, user_id FROM {characters} WHERE user_id = 'ASIA'")
+#: What belongs to the story of the least character, told table by table, apart from the policies.
+_STORY = "(SELECT story_id FROM {characters} ORDER BY character_id LIMIT 1)"
+_MINE = f"(SELECT character_id FROM {{characters}} WHERE story_id = {_STORY})"
+_MET = f"(SELECT scene_id FROM {{present_in}} WHERE character_id IN {_MINE})"
+_PLACES = f"(SELECT location_id FROM {{occurs_in}} WHERE scene_id IN {_MET} UNION SELECT story_id FROM {{characters}} WHERE story_id = {_STORY})"
+_PARTS = f"(SELECT l_partkey FROM {{lineitem}} WHERE l_suppkey IN {_MINE})"
+_BELONGS = {
+    "region": "r_name = (SELECT user_id FROM {characters} ORDER BY character_id LIMIT 1)", "nation": f"n_nationkey IN {_PLACES}", "supplier": f"s_suppkey IN {_MINE}", "lineitem": f"l_suppkey IN {_MINE}", "orders": f"o_orderkey IN {_MET}",
+    "customer": f"c_custkey IN (SELECT o_custkey FROM {{orders}} WHERE o_orderkey IN {_MET})", "part": f"p_partkey IN {_PARTS}",
+    **{t: f"{k} % 25 = {_STORY}" for t, k in (("events", "user_id"), ("conversations", "conv_id"), ("documents", "doc_id"), ("labels", "doc_id"), ("embeddings", "vec_id"), ("pages", "page_id"), ("benchmark", "item_id"), ("episodes", "group_id"), ("turns", "conv_id"), ("source_lines", "file"))},
+    **{t: f"story_id = {_STORY}" for t in ("characters", "facts", "known", "knowledge", "owns", "casts", "met", "relationships", "lifts", "ties", "sna_edges", "years", "bonds")},
+    **{t: f"character_id IN {_MINE}" for t in ("present_in", "knows")},
+    "scenes": f"scene_id IN {_MET}", "occurs_in": f"scene_id IN {_MET}", "locations": f"location_id IN {_PLACES}", "items": f"item_id IN {_PARTS}", "entities": f"entity_id IN {_PARTS}",
+    **{t: f"from_id IN (SELECT knowledge_id FROM {{known}} WHERE story_id = {_STORY})" for t in ("contradicts", "implies")},
+    "character_contradicts": f"from_id IN {_MINE}",
+}
+entry("scope_counts", lambda g: records.scope_counts(g, tuple(_BELONGS)), " UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS n FROM {{{t}}} WHERE {where}" for t, where in _BELONGS.items()))
 entry("profile_partial_update", records.profile_partial_update, "SELECT c_custkey, c_name, CASE WHEN c_custkey % 10 = 0 THEN upper(c_mktsegment) ELSE c_mktsegment END AS c_mktsegment FROM {customer}")
 entry("seed_profiles", records.seed_profiles, "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN c_name ELSE concat('seed ', c_name) END AS c_name FROM {customer}")
 entry("alerts_backfill", records.alerts_backfill, "SELECT event_id, CAST(user_id % 25 AS STRING) AS story, coalesce(n_name, 'none') AS owner FROM {events} LEFT JOIN {nation} ON n_nationkey = user_id % 25 WHERE event_type = 'error'")

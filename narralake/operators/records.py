@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +24,13 @@ def rls_scope(g: Story, user_id: str = "ASIA") -> DataFrame:
     return g["characters"].filter(F.col("user_id") == user_id).select("character_id", "user_id")
 
 
+def scope_counts(g: Story, tables: tuple[str, ...]) -> DataFrame:
+    """Rows of each table in the scope of one story and its owner: that of the least character."""
+    one = g["characters"].orderBy("character_id").first()
+    scope = g.scoped(one.story_id, one.user_id)
+    return reduce(DataFrame.unionAll, [scope[n].agg(F.lit(n).alias("name"), F.count("*").alias("n")) for n in tables])
+
+
 def partial_update(rows: DataFrame, changes: DataFrame, key: str) -> DataFrame:
     """Every non-null field of a change replaces the row's."""
     cols = [c for c in rows.columns if c != key]

@@ -270,27 +270,34 @@ def not_unique(rows: DataFrame, *columns: str) -> DataFrame:
     return rows.groupBy(*columns).agg(F.count("*").alias("n")).filter("n > 1")
 
 
-def missing(rows: DataFrame, *columns: str) -> DataFrame:
-    return rows.filter(reduce(lambda a, b: a | b, [c(x).isNull() for x in columns]))
+def missing(*columns: str) -> Column:
+    return reduce(lambda a, b: a | b, [c(x).isNull() for x in columns])
 
 
-def out_of(rows: DataFrame, column: str, low: int, high: int) -> DataFrame:
-    return rows.filter(~c(column).between(low, high))
+def out_of(column: str, low: int, high: int) -> Column:
+    return ~c(column).between(low, high)
 
 
-def not_among(rows: DataFrame, column: str, values: tuple[str, ...]) -> DataFrame:
-    return rows.filter(~c(column).isin(*values))
+def not_among(column: str, values: tuple[str, ...]) -> Column:
+    return ~c(column).isin(*values)
+
+
+def counted(rows: DataFrame, checks: dict[str, Column]) -> DataFrame:
+    """(name, n): offending rows by check, all in one pass."""
+    totals = rows.agg(*[F.count_if(bad).alias(name) for name, bad in checks.items()])
+    return totals.select(F.explode(F.array(*[F.struct(F.lit(n).alias("name"), c(n).alias("n")) for n in checks])).alias("x")).select("x.*")
 
 
 def constraint_violations(g: Story) -> DataFrame:
-    """Offending rows (of unique keys, offending keys) by constraint; the names say the table and what must hold."""
+    """Offending rows (of unique keys, offending keys) by constraint; the names say the table and what must hold. A table is
+    read once for its rows' checks, and once for each key that must be unique."""
+    met = g.keep("met").select(c("n").alias("weight"), (c("lines") * 60).alias("overlap"), (c("n") % 12).alias("intensity"), F.when(c("n") % 3 == 0, "current").otherwise("over").alias("status"))
     characters, knowledge, scenes, places, items, episodes = (g[n] for n in ("characters", "knowledge", "scenes", "locations", "items", "episodes"))
     typed = g["parents"].select(c("episode").alias("episode_id"), F.expr("CASE WHEN parent IS NULL THEN 'Arc' WHEN episode % 10 = 0 THEN 'Chapter' WHEN episode % 10 = 5 THEN 'Scene' ELSE 'Thread' END").alias("episode_type"))
     scored = g["events"].select(F.floor(c("value") / 8).alias("significance_score"))
     bonds = g["relationships"].select("relationship_strength", "trust_level", c("established_at").alias("secret_level"))
-    met = g["met"].select(c("n").alias("weight"), (c("lines") * 60).alias("overlap"), (c("n") % 12).alias("intensity"), F.when(c("n") % 3 == 0, "current").otherwise("over").alias("status"))
     cast = g["casts"].join(scenes.select("scene_id", "scene_order"), "scene_id")
-    checks = {
+    unique = {
         "episode_id_unique": not_unique(episodes, "uuid"),
         "character_id_unique": not_unique(characters, "character_id"),
         "knowledge_id_unique": not_unique(knowledge, "knowledge_id"),
@@ -302,24 +309,18 @@ def constraint_violations(g: Story) -> DataFrame:
         "location_name_per_story": not_unique(places, "name"),
         "item_name_per_project": not_unique(items, "name", "item_type"),
         "line_unique": not_unique(g["lineitem"], "l_orderkey", "l_linenumber"),
-        "episode_type_present": missing(typed, "episode_type"),
-        "episode_required": missing(episodes, "uuid", "group_id", "created_at"),
-        "character_required": missing(characters, "character_id", "name", "story_id", "user_id"),
-        "knowledge_content_required": missing(knowledge, "content"),
-        "knowledge_end_required": missing(knowledge, "valid_to"),
-        "episode_type_allowed": not_among(typed, "episode_type", ("Arc", "Chapter", "Thread")),
-        "significance_0_10": out_of(scored, "significance_score", 0, 10),
-        "secret_level_0_10": out_of(bonds, "secret_level", 0, 10),
-        "strength_1_10": out_of(bonds, "relationship_strength", 1, 10),
-        "trust_1_10": out_of(bonds, "trust_level", 1, 10),
-        "intensity_1_10": out_of(met, "intensity", 1, 10),
-        "interaction_weight_1_10": out_of(met, "weight", 1, 10),
-        "screen_overlap_0_1440": out_of(met, "overlap", 0, 1440),
-        "partner_status_allowed": not_among(met, "status", ("current", "past", "complicated", "unknown")),
-        "alert_severity_allowed": not_among(alert_rows(g), "severity", ("low", "medium", "high", "critical")),
-        "alert_status_allowed": not_among(alert_rows(g), "status", ("active", "resolved", "dismissed")),
     }
-    return reduce(DataFrame.unionAll, [rows.agg(F.lit(name).alias("name"), F.count("*").alias("n")) for name, rows in checks.items()])
+    own = [
+        counted(typed, {"episode_type_present": missing("episode_type"), "episode_type_allowed": not_among("episode_type", ("Arc", "Chapter", "Thread"))}),
+        counted(episodes, {"episode_required": missing("uuid", "group_id", "created_at")}),
+        counted(characters, {"character_required": missing("character_id", "name", "story_id", "user_id")}),
+        counted(knowledge, {"knowledge_content_required": missing("content"), "knowledge_end_required": missing("valid_to")}),
+        counted(scored, {"significance_0_10": out_of("significance_score", 0, 10)}),
+        counted(bonds, {"secret_level_0_10": out_of("secret_level", 0, 10), "strength_1_10": out_of("relationship_strength", 1, 10), "trust_1_10": out_of("trust_level", 1, 10)}),
+        counted(met, {"intensity_1_10": out_of("intensity", 1, 10), "interaction_weight_1_10": out_of("weight", 1, 10), "screen_overlap_0_1440": out_of("overlap", 0, 1440), "partner_status_allowed": not_among("status", ("current", "past", "complicated", "unknown"))}),
+        counted(alert_rows(g), {"alert_severity_allowed": not_among("severity", ("low", "medium", "high", "critical")), "alert_status_allowed": not_among("status", ("active", "resolved", "dismissed"))}),
+    ]
+    return reduce(DataFrame.unionAll, [*own, *[rows.agg(F.lit(name).alias("name"), F.count("*").alias("n")) for name, rows in unique.items()]])
 
 
 def alert_rows(g: Story) -> DataFrame:

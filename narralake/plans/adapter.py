@@ -11,6 +11,8 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from narralake.plans.storage import written
+
 DRIVER = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 _DAY = "(year({0}) * 10000 + month({0}) * 100 + day({0}))"
 
@@ -83,6 +85,11 @@ class Story:
                 self._made[name] = self.source(name)
         return self._made[name]
 
+    def keep(self, name: str) -> DataFrame:
+        """Writes a table, so that all that is made from it hereafter reads it instead of computing it again."""
+        self._made[name] = written(self[name], name)
+        return self._made[name]
+
     def scoped(self, story_id: int, user_id: str) -> Scope:
         """The same graph over one story of one owner."""
         return Scope(self, story_id, user_id)

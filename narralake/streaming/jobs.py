@@ -7,6 +7,12 @@ import threading
 from collections.abc import Callable
 from typing import Any
 
+from pyspark.sql import functions as F
+
+from narralake.operators import consistency, temporal
+from narralake.plans.adapter import Story
+from narralake.plans.storage import written
+
 #: Seconds between runs, or (hour, minute) of the day in UTC.
 SCHEDULE: dict[str, float | tuple[int, int]] = {
     "temporal-contradiction-detection": 30.0,
@@ -33,9 +39,10 @@ def retry_delay(interval: int) -> int:
 
 
 class Job:
-    """Runs `work` every `interval` seconds until it is stopped; after a failure it tries again sooner."""
+    """Runs `work` every `interval` seconds, or at a time of the day (hour, minute), until it is stopped; after a failure it
+    tries again sooner."""
 
-    def __init__(self, work: Callable[[], Any], interval: int = SCAN_SECONDS):
+    def __init__(self, work: Callable[[], Any], interval: float | tuple[int, int] = SCAN_SECONDS):
         self.work, self.interval, self.runs, self.failures, self.last_error = work, interval, 0, 0, ""
         self._stopped, self._thread = threading.Event(), None
 
@@ -49,9 +56,19 @@ class Job:
             self.last_error = str(error)
             return False
 
+    def _pause(self, ok: bool) -> float:
+        if isinstance(self.interval, tuple):
+            now = datetime.datetime.now(datetime.UTC).replace(tzinfo=None)
+            return (next_run(self.interval, now) - now).total_seconds() if ok else RETRY_MOST
+        return self.interval if ok else retry_delay(int(self.interval))
+
     def _loop(self) -> None:
+        ok = True
+        if isinstance(self.interval, tuple):
+            self._stopped.wait(self._pause(True))
         while not self._stopped.is_set():
-            self._stopped.wait(self.interval if self.run_once() else retry_delay(self.interval))
+            ok = self.run_once()
+            self._stopped.wait(self._pause(ok))
 
     def start(self) -> bool:
         """False if it runs already."""
@@ -69,3 +86,31 @@ class Job:
 
     def status(self) -> dict[str, Any]:
         return {"is_running": bool(self._thread and self._thread.is_alive()), "interval": self.interval, "runs": self.runs, "failures": self.failures, "last_error": self.last_error}
+
+
+def bound(g: Story, folder: str, detected_at: str, keep_days: int = 30) -> dict[str, Job]:
+    """The scheduled jobs over a graph, by name. Findings and reports are tables under the folder: what a scan finds anew is
+    appended to `contradictions` with the time `detected_at`; the clean-up writes those that aren't older than `keep_days`
+    before it to a table of their own, which is read from then on; the nightly scans replace their reports."""
+    spark, found = g.spark, f"{folder.rstrip('/')}/contradictions"
+    at = F.lit(detected_at).cast("timestamp_ntz")
+    schema = "rule string, character_id long, from_id string, to_id string, severity string, reason string, confidence double, detected_at timestamp_ntz"
+    spark.createDataFrame([], schema).write.mode("append").parquet(found)
+
+    def scan() -> None:
+        new = consistency.unified(g, consistency.LISTED).withColumn("detected_at", at)
+        had = spark.read.schema(schema).parquet(found).select("rule", "from_id", "to_id")
+        new.join(had, ["rule", "from_id", "to_id"], "left_anti").write.mode("append").parquet(found)
+
+    def clean_up() -> None:
+        kept = written(spark.read.schema(schema).parquet(found).filter(F.col("detected_at") >= at - F.expr(f"INTERVAL {keep_days} DAYS")), "kept")
+        kept.write.mode("overwrite").parquet(found)
+
+    report = lambda rows, name: rows.write.mode("overwrite").parquet(f"{folder.rstrip('/')}/{name}")
+    works = {
+        "temporal-contradiction-detection": scan,
+        "cleanup-old-contradictions": clean_up,
+        "nightly-relationship-evolution-scan": lambda: report(temporal.milestones_tension_spikes(g), "relationship_evolution"),
+        "nightly-continuity-validation": lambda: report(temporal.unresolved_foreshadows(g), "unresolved_foreshadows"),
+    }
+    return {name: Job(works[name], when) for name, when in SCHEDULE.items()}
