@@ -29,7 +29,6 @@ def projection(g: Story) -> DataFrame:
 
 def pairs(g: Story) -> DataFrame:
     """(story_id, src, dst), each once, written."""
-    g.keep("met")
     return written(projection(g).select("story_id", "src", "dst").distinct(), "projection")
 
 

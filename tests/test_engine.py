@@ -40,7 +40,7 @@ def test_templates_reach_one_owner_only(engine, scope, name):
         if column in rows.columns:
             assert {r[0] for r in rows.select(column).distinct().collect()} - {None} <= allowed
     other = engine.template(name, **{**scope, "user_id": "NOBODY"}, **PARAMETERS.get(name, {}))
-    assert other.count() == (25 if name == "location_accessibility" else 0)
+    assert other.count() == 0
 
 
 def test_templates_check_their_parameters(engine, scope):
