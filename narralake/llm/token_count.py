@@ -7,8 +7,9 @@ last piece starts first wins; a character without a piece of its own is an unkno
 neighbouring unknowns count as one. These are the rules of the tokenizers library's Unigram model, whose counts the
 results equal. A word's count is kept for later occurrences.
 
-Nulls: a null or empty text has 0 tokens; null ids stay. Empty tables give no rows, repeated rows equal rows. Other
-columns are not read.
+Nulls: a null or empty text has 0 tokens; null ids stay. Empty tables give no rows, repeated rows equal rows. Very long
+texts are counted whole, one word of any length in one pass over its ends; counts of words of over 64 characters aren't
+kept. Other columns are not read.
 """
 
 from __future__ import annotations

@@ -315,6 +315,22 @@ def test_token_counts(docs, empty):
     assert token_count.token_counts(empty, PIECES).count() == 0
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_token_counts_of_ties_and_long_words(seed):
+    """Vocabularies full of equal scores, whose best paths tie, and words of thousands of characters without a blank."""
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    rng = np.random.default_rng(seed)
+    pieces = {"".join(rng.choice(list("ab▁"), rng.integers(1, 5))) for _ in range(25)} | {"a", "▁"}
+    vocabulary = [("<unk>", 0.0), *((p, float(rng.choice([-1.0, -2.0, -3.0]))) for p in sorted(pieces))]
+    t = Tokenizer(models.Unigram(vocabulary, 0, False))
+    t.pre_tokenizer = pre_tokenizers.Metaspace(replacement="▁", prepend_scheme="always", split=True)
+    texts = ["".join(rng.choice(list("abc "), n, p=[0.45, 0.4, 0.05, 0.1])) for n in rng.integers(1, 60, 300)]
+    texts += ["".join(rng.choice(list("abc"), n, p=[0.5, 0.48, 0.02])) for n in (3000, 20_000)] + ["c" * 5000, "ab" * 9000]
+    counter = token_count.Counter(vocabulary)
+    assert counter.counts(pa.array(texts)).tolist() == [len(t.encode(x, add_special_tokens=False).ids) for x in texts]
+
+
 def test_quality_rules(docs, empty, spark):
     labels = spark.createDataFrame([(100, 1), (101, 1), (None, 1), (102, None)], "doc_id long, quality int")
     got = defaultdict(list)
