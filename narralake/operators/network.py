@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from narralake.plans.adapter import Story
-from narralake.plans.storage import written
+from narralake.plans.storage import discard, written
 
 PROJECTED = ("FRIENDS_WITH", "KNOWS", "ACQUAINTED_WITH")
 #: What a story may cost as one group: edges for communities, nodes times edges for betweenness.
@@ -105,7 +105,9 @@ def pagerank(g: Story, rounds: int = 20, damping: float = 0.85) -> DataFrame:
     rank = everyone.withColumn("rank", F.lit(1 - damping))
     for _ in range(rounds):
         sent = share.join(rank, F.col("src") == F.col("character_id")).groupBy("dst").agg(F.sum(F.col("rank") / F.col("k")).alias("got"))
-        rank = written(everyone.join(sent, F.col("character_id") == F.col("dst"), "left").select("character_id", ((1 - damping) + damping * F.coalesce("got", F.lit(0.0))).alias("rank")), "rank")
+        before, rank = rank, written(everyone.join(sent, F.col("character_id") == F.col("dst"), "left").select("character_id", ((1 - damping) + damping * F.coalesce("got", F.lit(0.0))).alias("rank")), "rank")
+        if hasattr(before, "written_to"):
+            discard(before)
     return rank.withColumn("rank", F.round("rank", 6))
 
 
@@ -116,7 +118,8 @@ def label_propagation(g: Story, rounds: int = 2) -> DataFrame:
     for _ in range(rounds):
         votes = e.join(label, F.col("dst") == F.col("character_id")).groupBy("src", "label").agg(F.count("*").alias("n"))
         best = votes.groupBy("src").agg(F.min(F.struct((-F.col("n")).alias("m"), "label")).alias("x")).select("src", F.col("x.label").alias("new"))
-        label = written(label.join(best, F.col("character_id") == F.col("src"), "left").select("character_id", F.coalesce("new", "label").alias("label")), "label")
+        before, label = label, written(label.join(best, F.col("character_id") == F.col("src"), "left").select("character_id", F.coalesce("new", "label").alias("label")), "label")
+        discard(before)
     return label
 
 
@@ -186,14 +189,15 @@ def _half_moves(w: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, bool]:
         links = others.join(own.select(F.col("a").alias("b"), F.col("own").alias("c")), "b").select("a", "c", "w")
         options = links.unionByName(own.select("a", F.col("own").alias("c"), F.lit(0.0).alias("w"))).groupBy("a", "c").agg(F.sum("w").alias("w"))
         held = own.groupBy(F.col("own").alias("c")).agg(F.sum("degree").alias("held"))
-        both = options.join(held, "c").join(own, "a")
+        both = options.join(held, "c").join(own.select("story_id", "a", "degree", "total", "own"), "a")
         gain = F.round(F.col("w") - (F.col("held") - F.when(F.col("c") == F.col("own"), F.col("degree")).otherwise(0.0)) * F.col("degree") / F.col("total"), 12)
         best = both.withColumn("gain", gain).groupBy("story_id", "a", "degree", "total", "own").agg(F.min(F.struct((-F.col("gain")).alias("loss"), "c")).alias("best"), F.max(F.when(F.col("c") == F.col("own"), F.col("gain"))).alias("home"))
         wants = -F.col("best.loss") > F.col("home") + 1e-12
         go = wants & (F.pmod(F.xxhash64("a", F.lit(r)), F.lit(2)) == 0)
         own_next = written(best.select("story_id", "a", "degree", "total", F.when(go, F.col("best.c")).otherwise(F.col("own")).alias("own"), wants.alias("wants"), go.alias("went")), "own")
         wanting, went = own_next.agg(F.sum(F.col("wants").cast("int")), F.sum(F.col("went").cast("int"))).first()
-        own, moved = own_next.drop("wants", "went"), moved or bool(went)
+        discard(own)
+        own, moved = own_next, moved or bool(went)
         if not wanting:
             break
     return own.select("a", "own"), moved

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from narralake.operators import search
 from narralake.plans.adapter import Story
-from narralake.plans.storage import written
+from narralake.plans.storage import discard, written
 
 
 def episodes_last_n(g: Story, reference: str = "2024-01-20 00:00:00", n: int = 5) -> DataFrame:
@@ -94,7 +94,8 @@ def ring_members(links: DataFrame) -> DataFrame:
     jump = written(links.filter("parent IS NOT NULL").select("episode", "parent"), "jump")
     left = jump.count()
     for _ in range(left.bit_length()):
-        jump = written(jump.join(jump.select(F.col("episode").alias("parent"), F.col("parent").alias("top")), "parent").select("episode", F.col("top").alias("parent")), "jump")
+        before, jump = jump, written(jump.join(jump.select(F.col("episode").alias("parent"), F.col("parent").alias("top")), "parent").select("episode", F.col("top").alias("parent")), "jump")
+        discard(before)
     return jump.select(F.col("parent").alias("episode")).distinct()
 
 
