@@ -31,9 +31,18 @@ def either_way(a: Column, b: Column, pairs: tuple[tuple[str, str], ...]) -> Colu
 Pairs = Callable[[DataFrame, DataFrame], DataFrame]
 
 
+def _once(g: Story, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """Rows that several rules read many times, written once for a graph."""
+    if not isinstance(g, Story):
+        return build()
+    if name not in g._made:
+        g._made[name] = written(build(), name)
+    return g._made[name]
+
+
 def statements(g: Story) -> DataFrame:
     """Knowledge as the rules read it: character_id, story_id, knowledge_id, content, valid_from, valid_to, at (seconds)."""
-    return g["known"].select("character_id", "story_id", "knowledge_id", "content", "valid_from", "valid_to", F.unix_timestamp(F.col("valid_from_ts").cast("timestamp")).alias("at"))
+    return _once(g, "statements", lambda: g["known"].select("character_id", "story_id", "knowledge_id", "content", "valid_from", "valid_to", F.unix_timestamp(F.col("valid_from_ts").cast("timestamp")).alias("at")))
 
 
 def presences(g: Story) -> DataFrame:
@@ -125,7 +134,7 @@ def opposed_contents(a: DataFrame, b: DataFrame, negation: str = "not", pairs: t
 def unlinked_contradictions(g: Story, negation: str = SUBSTITUTES[0], pairs: tuple[tuple[str, str], ...] = SUBSTITUTES[1]) -> DataFrame:
     """How many pairs of a story's knowledge are opposed and linked neither way. Contents are compared, not knowledge:
     a story's pairs are products of the contents' counts, less each one with itself, less the linked ones."""
-    k = written(statements(g).select("story_id", "knowledge_id", "content"), "statements")
+    k = statements(g).select("story_id", "knowledge_id", "content")
     both = opposed_contents(k, k, negation, pairs)
     c = k.groupBy("story_id", "content").agg(F.count("*").alias("n"))
     counted = both.join(c.toDF("story_id", "content_1", "n_1"), "content_1").join(c.toDF("story_id", "content_2", "n_2"), ["story_id", "content_2"])
@@ -147,7 +156,7 @@ def unlinked_content_pairs(a: DataFrame, b: DataFrame, negation: str = "not", pa
 
 
 def unlinked_pairs(g: Story, negation: str = "not", pairs: tuple[tuple[str, str], ...] = ANTONYMS[:2]) -> DataFrame:
-    k = written(statements(g), "statements")
+    k = statements(g)
     return free(unlinked_content_pairs(k, k, negation, pairs), g["contradicts"]).select("story_id", F.col("from_id").alias("knowledge_id_1"), F.col("to_id").alias("knowledge_id_2"), F.lit("medium").alias("severity"), F.lit(0.7).alias("confidence"))
 
 

@@ -1,4 +1,4 @@
-"""Joins that an equi join on one key would turn into all pairs of the key: by order in time, by containment, by overlap."""
+"""Joins that an equi join on one key would turn into all pairs of the key: by order in time, and by containment."""
 
 from __future__ import annotations
 
@@ -10,35 +10,31 @@ from narralake.plans.storage import written
 SLOTS, LEAST_ROWS, MOST_CELLS = 512, 2000, 1000
 
 
-def _of(side: str, n: str) -> str:
-    return f"{side}__{n}"
-
-
-def _hot_keys(a: DataFrame, b: DataFrame, keys: list[str], start: str, end: str, least: int) -> tuple[DataFrame, int]:
-    """Keys with more rows than a cell takes, a few thousand at most: keys, lo, width, cells (array by slot: first cell, number of
-    its cells, first and last cell of its bucket). A key's time is cut in SLOTS slots of equal width; neighbouring slots
-    form buckets of about `limit` rows, and a bucket of more, which holds one crowded slot, is dealt over several cells."""
+def _hot_keys(a: DataFrame, b: DataFrame, keys: list[str], start: str, end: str, least: int) -> DataFrame:
+    """Keys with more rows than a cell takes, MOST_CELLS at most: keys, lo, width, n_cells, cells (array by slot: first cell,
+    parts). A key's time is cut in SLOTS slots of equal width; neighbouring slots form buckets of about `limit` rows, and
+    a bucket of more, which holds one crowded slot, is dealt over several cells."""
     times = a.select(*keys, F.col(start).cast("double").alias("t")).unionByName(b.select(*keys, F.col(end).cast("double").alias("t")))
-    sizes = written(times.groupBy(*keys).agg(F.count("*").alias("n"), F.min("t").alias("lo"), F.max("t").alias("hi")), "sizes")
-    limit = max(least, (sizes.agg(F.sum("n")).first()[0] or 0) // MOST_CELLS)
-    hot = written(sizes.filter(F.col("n") > limit).select(*keys, "lo", F.greatest((F.col("hi") - F.col("lo")) / SLOTS, F.lit(1e-9)).alias("width")), "hot")
+    sizes = times.groupBy(*keys).agg(F.count("*").alias("n"), F.min("t").alias("lo"), F.max("t").alias("hi"))
+    limit = F.greatest(F.lit(least), F.floor(times.agg(F.count("*").alias("n")).scalar() / MOST_CELLS))
+    hot = written(sizes.filter(F.col("n") > limit).select(*keys, "lo", F.greatest((F.col("hi") - F.col("lo")) / SLOTS, F.lit(1e-9)).alias("width"), limit.alias("limit")), "hot")
     if hot.isEmpty():
-        return hot, limit
+        return hot
     counts = times.join(F.broadcast(hot), keys).groupBy(*keys, _slot(F.col("t")).alias("slot")).agg(F.count("*").alias("n"))
-    whole = F.broadcast(hot).select(*keys, F.explode(F.sequence(F.lit(0), F.lit(SLOTS - 1))).alias("slot")).join(counts, [*keys, "slot"], "left").na.fill(0, ["n"])
+    whole = F.broadcast(hot).select(*keys, "limit", F.explode(F.sequence(F.lit(0), F.lit(SLOTS - 1))).alias("slot")).join(counts, [*keys, "slot"], "left").na.fill(0, ["n"])
     upto = Window.partitionBy(*keys).orderBy("slot")
-    bucket = F.floor((F.sum("n").over(upto) - F.col("n")) / limit)
-    first = whole.withColumn("crowded", F.col("n") > limit).withColumn("bucket", bucket)
+    bucket = F.floor((F.sum("n").over(upto) - F.col("n")) / F.col("limit"))
+    first = whole.withColumn("crowded", F.col("n") > F.col("limit")).withColumn("bucket", bucket)
     # A crowded slot stands alone: what comes before it in its bucket is another bucket.
     number = F.sum((F.coalesce(F.lag("bucket").over(upto) != F.col("bucket"), F.lit(True)) | F.col("crowded") | F.coalesce(F.lag("crowded").over(upto), F.lit(False))).cast("int")).over(upto)
     numbered = first.withColumn("number", number)
     own = Window.partitionBy(*keys, "number")
-    sized = numbered.withColumn("parts", F.greatest(F.ceil(F.sum("n").over(own) / limit), F.lit(1)).cast("int"))
+    sized = numbered.withColumn("parts", F.greatest(F.ceil(F.sum("n").over(own) / F.col("limit")), F.lit(1)).cast("int"))
     begins = sized.groupBy(*keys, "number").agg(F.first("parts").alias("parts"))
     begins = begins.withColumn("first", (F.sum("parts").over(Window.partitionBy(*keys).orderBy("number")) - F.col("parts")).cast("int")).drop("parts")
     placed = sized.join(begins, [*keys, "number"])
     cells = placed.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("slot", "first", "parts"))).alias("cells"), F.max(F.col("first") + F.col("parts")).alias("n_cells"))
-    return written(hot.join(cells, keys), "cells"), limit
+    return written(hot.join(cells, keys), "cells")
 
 
 def _slot(t: Column) -> Column:
@@ -48,7 +44,7 @@ def _slot(t: Column) -> Column:
 def dealt(a: DataFrame, b: DataFrame, keys: list[str], start: str, end: str, least: int = LEAST_ROWS) -> tuple[DataFrame, DataFrame]:
     """Both sides with cell_a and cell_b: every pair of a key whose a starts after its b ends has one (cell_a, cell_b) in common."""
     a, b = a.filter(F.col(start).isNotNull()), b.filter(F.col(end).isNotNull())
-    hot, _ = _hot_keys(a, b, keys, start, end, least)
+    hot = _hot_keys(a, b, keys, start, end, least)
     if hot.isEmpty():
         zero = [F.lit(0).alias("cell_a"), F.lit(0).alias("cell_b")]
         return a.select("*", *zero), b.select("*", *zero)
@@ -86,21 +82,3 @@ def containing(longs: DataFrame, shorts: DataFrame, n: int = 3) -> DataFrame:
     holders = index.groupBy("gram").agg(F.count("*").alias("df"))
     rarest = shorts.select("y", F.explode(own).alias("gram")).join(holders, "gram").groupBy("y").agg(F.min_by("gram", F.struct("df", "gram")).alias("gram"))
     return index.join(rarest, "gram").filter(F.col("x").contains(F.col("y"))).select("x", "y")
-
-
-def overlapping(a: DataFrame, b: DataFrame, group: str, left: str, right: str, words: str, least: int) -> DataFrame:
-    """(group, left, right) of rows of one group whose word sets share `least` words. Words are ordered from rare to frequent
-    inside the group; sets that share `least` words share one of all but the last least - 1 of each, so only these are
-    joined, and each pair is met at its rarest common word's row or later; the sets of the pairs met are then compared."""
-    sets_a, sets_b = a.select(group, left, F.array_distinct(words).alias("w")), b.select(group, right, F.array_distinct(words).alias("w"))
-    sets_a, sets_b = sets_a.filter(F.size("w") >= least), sets_b.filter(F.size("w") >= least)
-    one_a, one_b = sets_a.select(group, left, F.explode("w").alias("word")), sets_b.select(group, right, F.explode("w").alias("word"))
-    holders = one_b.groupBy(group, "word").agg(F.count("*").alias("df"))
-
-    def prefixes(rows: DataFrame, key: str) -> DataFrame:
-        ranked = rows.join(holders, [group, "word"]).groupBy(group, key).agg(F.sort_array(F.collect_list(F.struct("df", "word"))).alias("s"), F.count("*").alias("n"))
-        return ranked.filter(F.col("n") >= least).select(group, key, F.explode(F.slice("s", 1, F.col("n").cast("int") - (least - 1))).alias("x")).select(group, key, "x.word")
-
-    met = prefixes(one_a, left).join(prefixes(one_b, right), [group, "word"]).filter(F.col(left) != F.col(right)).select(group, left, right).distinct()
-    both = met.join(sets_a.withColumnRenamed("w", _of("a", "w")), [group, left]).join(sets_b.withColumnRenamed("w", _of("b", "w")), [group, right])
-    return both.filter(F.size(F.array_intersect(_of("a", "w"), _of("b", "w"))) >= least).select(group, left, right)
