@@ -1,18 +1,23 @@
 """Operator 1: toxicity by compression distance.
 
 1. A text is normalised to a stream of word codes: every word (a run of letters, lower-cased) becomes CODE bytes of its
-   hash, so that a word costs the same whatever its letters, and nothing in it compresses but by a dictionary.
-2. zstandard trains two dictionaries on labelled texts: the ordinary one on all windows of ordinary texts, the toxic one
-   on the residue of toxic texts, that is, their words that no ordinary text of the sample has and that at least
-   LEAST_SHARE of the toxic texts share (two at least), each once a text, in their order.
-3. A text is cut into windows of WINDOW words, STEP apart. Each is compressed twice, with the ordinary dictionary, and with
-   the ordinary and the toxic one behind each other; what the toxic dictionary saves is the window's evidence, in bytes.
-4. A text's score is a logistic function of its windows' savings: mean, most, and how many (and what share) reach each
-   of THRESHOLDS. Its weights are calibrated on texts that no dictionary saw: FOLDS pairs of dictionaries are trained,
-   each without one part of the sample, and rate that part; the final pair is trained on the whole sample.
+   hash, so that a word costs the same whatever its letters. As plain letters a short word costs about what zstandard pays
+   for a reference into a dictionary, and so no dictionary shortens it.
+2. Texts are parted into kinds (languages, styles) by compression: texts choose the dictionary that shortens them most,
+   dictionaries are trained again on their texts, until none moves or ROUNDS are over. There are KINDS kinds, or fewer,
+   where the sample has less than TOXIC_A_KIND toxic texts for each.
+3. Of each kind zstandard trains two dictionaries by one rule: the ordinary one on all windows of its ordinary texts, in
+   PARTS parts, the toxic one, smaller, on all windows of its toxic texts. No word is chosen or left out by hand or by set.
+4. A text takes the kind whose dictionary shortens it most, and is cut into windows of WINDOW words, STEP apart. Each is
+   compressed twice, with the ordinary dictionary, and with the toxic one behind it, so that what both hold costs the
+   same; what the toxic dictionary saves is the window's evidence, in bytes.
+5. A text's score is a logistic function of its windows' savings: mean, most, and how many (and what share) reach each
+   of THRESHOLDS. Its weights are calibrated, for each kind with LEAST_TOXIC toxic texts, on texts that no dictionary
+   of step 3 saw: FOLDS sets are trained, each without one part of the sample, and rate that part; the final set is
+   trained on the whole sample.
 
 Learning uses at most TRAINING labelled rows and SAMPLE_BYTES of text (the first by a hash of the id), none whose
-crc32(id) mod 3 is 1, in one task of that bounded size; only the two dictionaries and the weights come to the driver.
+crc32(id) mod 3 is 1, in one task of that bounded size; only the dictionaries and the weights come to the driver.
 Nulls: a null text is an empty one; null labels and ids are not learned from. Conflicting label rows of one id count as
 toxic if one does. Rows repeated under one id are each scored, and learned from once for each different text. Very long
 texts are scored whole, in windows. Empty tables give no rows; without toxic or ordinary labels every score is 0. Other
@@ -22,9 +27,8 @@ columns, whatever their names, are not read.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +40,11 @@ from pyspark.sql import types as T
 from narralake.llm.common import bound_arrow, materialize, slices, with_row
 
 TRAINING, SAMPLE_BYTES, FOLDS, CUT = 12_000, 64 << 20, 8, 0.7
-CODE, WINDOW, STEP, LEVEL, LEAST_SHARE = 8, 32, 16, 6, 0.01
-ORDINARY_BYTES, TOXIC_BYTES, SEGMENT, DMER = 1 << 16, 1 << 12, 24, 8
+CODE, WINDOW, STEP, LEVEL = 8, 16, 8, 6
+#: Kinds of texts: how many at most, toxic texts for each, rounds, texts that they are found on, bytes of a kind's dictionary.
+KINDS, TOXIC_A_KIND, ROUNDS, GROUPED, KIND_BYTES, LEAST_TOXIC = 6, 50, 8, 2000, 1 << 14, 4
+#: A toxic dictionary has a TOXIC_PART-th of its texts' size, TOXIC_BYTES at most.
+ORDINARY_BYTES, PARTS, TOXIC_BYTES, TOXIC_PART, SEGMENT, DMER = 1 << 18, 8, 1 << 13, 24, 8, 8
 THRESHOLDS = (2, 4, 6, 8)
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -79,19 +86,34 @@ def _trained(samples: list[bytes], size: int) -> bytes:
         return whole[-size:]
 
 
-def train(streams: list[tuple[bytes, int]]) -> tuple[bytes, bytes]:
-    """(toxic, ordinary) dictionaries from (word codes of a text, toxic) pairs."""
-    ordinary: list[bytes] = []
-    known: set[bytes] = set()
-    for stream, toxic in streams:
-        if not toxic:
-            ordinary += _cut(stream, WINDOW, WINDOW)
-            known.update(_cut(stream, 1, 1))
-    residues = [list(dict.fromkeys(c for c in _cut(stream, 1, 1) if c not in known)) for stream, toxic in streams if toxic]
-    shared = Counter(c for r in residues for c in r)
-    least = max(2, round(LEAST_SHARE * len(residues)))
-    flat = b"".join([c for r in residues for c in r if shared[c] >= least])
-    return _trained(_cut(flat, WINDOW, WINDOW), TOXIC_BYTES), _trained([w for w in ordinary if w], ORDINARY_BYTES)
+def kinds_of(streams: list[bytes], n: int) -> list[bytes]:
+    """A dictionary for each of n kinds of these texts."""
+    texts = [s for s in streams if len(s) >= 8 * CODE][:GROUPED]
+    own = [i % n for i in range(len(texts))]
+    found: list[bytes] = []
+    for _ in range(ROUNDS):
+        found = [_trained([w for s, o in zip(texts, own, strict=True) if o == kind for w in _cut(s, 32, 32)], KIND_BYTES) for kind in range(n)]
+        compressors = [_compressor(d) for d in found]
+        before, own = own, [nearest(s, compressors) for s in texts]
+        if own == before:
+            break
+    return found
+
+
+def nearest(stream: bytes, compressors: list) -> int:
+    return int(np.argmin([len(c.compress(stream)) for c in compressors]))
+
+
+def train(rows: list[tuple[int, bytes, int]], n: int) -> tuple[list[bytes], list[bytes]]:
+    """The toxic and the ordinary dictionaries of n kinds, from (kind, word codes of a text, toxic)."""
+    found: tuple[list[bytes], list[bytes]] = ([], [])
+    for kind in range(n):
+        toxic, ordinary = ([w for k, s, t in rows if k == kind and t == y for w in _cut(s, WINDOW, WINDOW) if w] for y in (1, 0))
+        size = min(TOXIC_BYTES, sum(map(len, toxic)) // TOXIC_PART)
+        parts = [_trained(ordinary[i::PARTS], ORDINARY_BYTES // PARTS) for i in range(PARTS)]
+        found[0].append(_trained(toxic, max(size, 32 * CODE)))
+        found[1].append(b"".join(parts))
+    return found
 
 
 def _compressor(content: bytes):
@@ -103,30 +125,35 @@ def _compressor(content: bytes):
 
 @dataclass
 class Model:
-    toxic: bytes
-    ordinary: bytes
-    weights: tuple[float, ...] = ()
+    kinds: list[bytes]
+    toxic: list[bytes]
+    ordinary: list[bytes]
+    weights: list[list[float]] = field(default_factory=list)
 
     def open(self) -> Model:
-        self._ordinary = _compressor(self.ordinary)
-        self._both = _compressor(self.ordinary + self.toxic)  # what lies nearest to the data is the cheapest to refer to
+        self._kinds = [_compressor(d) for d in self.kinds]
+        # What lies nearest to the data is the cheapest to refer to, so what both dictionaries hold is found in the ordinary one.
+        self._pairs = [(_compressor(o), _compressor(t + o)) for t, o in zip(self.toxic, self.ordinary, strict=True)]
         return self
 
-    def savings(self, stream: bytes) -> np.ndarray:
-        """Bytes that the toxic dictionary saves in each window."""
-        windows = _cut(stream, WINDOW, STEP)
-        return np.array([len(self._ordinary.compress(w)) - len(self._both.compress(w)) for w in windows], float)
+    def kind(self, stream: bytes) -> int:
+        return nearest(stream, self._kinds)
+
+    def savings(self, stream: bytes, kind: int) -> np.ndarray:
+        """Bytes that the kind's toxic dictionary saves in each window."""
+        ordinary, both = self._pairs[kind]
+        return np.array([len(ordinary.compress(w)) - len(both.compress(w)) for w in _cut(stream, WINDOW, STEP)], float)
 
-    def evidence(self, stream: bytes) -> list[float]:
-        x = self.savings(stream)
+    def evidence(self, stream: bytes, kind: int) -> list[float]:
+        x = self.savings(stream, kind)
         n, out = len(x), [1.0]
         for t in THRESHOLDS:
             hits = int((x >= t).sum())
             out += [np.log1p(hits), hits / n]
         return [*out, x.mean(), x.mean() * np.sqrt(n), x.max(), np.log(n)]
 
-    def scores(self, evidence: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(evidence @ np.array(self.weights), -30, 30)))
+    def score(self, evidence: list[float], kind: int) -> float:
+        return float(1 / (1 + np.exp(-np.clip(np.dot(evidence, self.weights[kind]), -30, 30))))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -149,18 +176,25 @@ def fit(rows: list[tuple[int, str, int]]) -> Model | None:
         return None
     codes = Codes()
     streams = [(h // 3 % FOLDS, codes.stream(text), toxic) for h, text, toxic in rows]
-    x, y = [], []
+    kinds = kinds_of([s for _, s, _ in streams], max(1, min(KINDS, sum(t for *_, t in streams) // TOXIC_A_KIND)))
+    compressors = [_compressor(d) for d in kinds]
+    dealt = [(f, nearest(s, compressors), s, t) for f, s, t in streams]
+    seen: list[tuple[int, list[float], int]] = []
     for fold in range(FOLDS):
-        rest = [(s, t) for f, s, t in streams if f != fold]
-        own = [(s, t) for f, s, t in streams if f == fold]
-        if own and len({t for _, t in rest}) == 2:
-            model = Model(*train(rest)).open()
-            x += [model.evidence(s) for s, _ in own]
-            y += [t for _, t in own]
-    final = Model(*train([(s, t) for _, s, t in streams])).open()
-    if len(set(y)) < 2:  # too few rows for parts
-        x, y = [final.evidence(s) for _, s, _ in streams], [t for _, _, t in streams]
-    return Model(final.toxic, final.ordinary, tuple(_logistic(np.array(x), np.array(y, float))))
+        own = [r for r in dealt if r[0] == fold]
+        rest = [r[1:] for r in dealt if r[0] != fold]
+        if own and len({t for *_, t in rest}) == 2:
+            model = Model(kinds, *train(rest, len(kinds))).open()
+            seen += [(k, model.evidence(s, k), t) for _, k, s, t in own]
+    final = Model(kinds, *train([r[1:] for r in dealt], len(kinds))).open()
+    if len({t for *_, t in seen}) < 2:  # too few rows for parts
+        seen = [(k, final.evidence(s, k), t) for _, k, s, t in dealt]
+    common = _logistic(np.array([x for _, x, _ in seen]), np.array([t for *_, t in seen], float)).tolist()
+    for kind in range(len(kinds)):
+        own = [(x, t) for k, x, t in seen if k == kind]
+        enough = sum(t for _, t in own) >= LEAST_TOXIC and not all(t for _, t in own)
+        final.weights.append(_logistic(np.array([x for x, _ in own]), np.array([t for _, t in own], float)).tolist() if enough else common)
+    return final
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> Model | None:
@@ -180,11 +214,12 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model | None:
         sample = [r for b in batches for r in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
         model = fit(sorted((h, t, int(y != 0)) for h, t, y in sample))
         if model:
-            yield pa.RecordBatch.from_arrays([pa.array([model.toxic], pa.binary()), pa.array([model.ordinary], pa.binary()), pa.array([list(model.weights)], pa.list_(pa.float64()))], ["toxic", "ordinary", "weights"])
+            columns = [pa.array([model.kinds], pa.list_(pa.binary())), pa.array([model.toxic], pa.list_(pa.binary())), pa.array([model.ordinary], pa.list_(pa.binary())), pa.array([model.weights], pa.list_(pa.list_(pa.float64())))]
+            yield pa.RecordBatch.from_arrays(columns, ["kinds", "toxic", "ordinary", "weights"])
 
-    one = rows.select("h", "text", "toxic").repartition(1).mapInArrow(fitted, "toxic binary, ordinary binary, weights array<double>")
+    one = rows.select("h", "text", "toxic").repartition(1).mapInArrow(fitted, "kinds array<binary>, toxic array<binary>, ordinary array<binary>, weights array<array<double>>")
     found = materialize(one, "toxicity").first()
-    return Model(bytes(found.toxic), bytes(found.ordinary), tuple(found.weights)) if found else None
+    return Model(*([bytes(d) for d in x] for x in (found.kinds, found.toxic, found.ordinary)), [list(w) for w in found.weights]) if found else None
 
 
 def score_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", cut: float = CUT) -> DataFrame:
@@ -197,10 +232,14 @@ def score_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
         opened, codes = model.open() if model else None, Codes()
         for whole in batches:
             for batch in slices(whole, 1):
-                found = np.array([opened.evidence(codes.stream(t or "")) if opened else [0.0] * (2 * len(THRESHOLDS) + 5) for t in batch.column(1).to_pylist()])
-                score = opened.scores(found) if opened else np.zeros(len(found))
-                hits = np.round(np.expm1(found[:, 3])).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(2), pa.array(score), pa.array(hits)], ["doc_id", "row", "score", "n_windows"])
+                score, hits = [], []
+                for text in batch.column(1).to_pylist():
+                    stream = codes.stream(text or "")
+                    kind = opened.kind(stream) if opened else 0
+                    found = opened.evidence(stream, kind) if opened else [0.0] * 4
+                    score.append(opened.score(found, kind) if opened else 0.0)
+                    hits.append(round(np.expm1(found[3])))
+                yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(2), pa.array(score, pa.float64()), pa.array(hits, pa.int64())], ["doc_id", "row", "score", "n_windows"])
 
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("row", docs.schema), T.StructField("score", T.DoubleType()), T.StructField("n_windows", T.LongType())])
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -500,37 +501,73 @@ def test_pipeline(spark):
 
 
 def plain_toxicity(rows, labelled):
-    """Scores of (id, text) rows by plain code: every window compressed by a fresh compressor, features in plain loops."""
-    import math
-
+    """Scores of (id, text) rows by plain code: dictionaries trained here, every window compressed by a fresh compressor,
+    features in plain loops; the module gives constants and the regression."""
     import zstandard
 
+    t = toxicity
+
     def code(text):
-        words = re.findall(r"[^\W\d_]+", text.lower())
-        return [xxhash.xxh3_64(w.encode()).digest() for w in words]
+        return [xxhash.xxh3_64(w.encode()).digest() for w in re.findall(r"[^\W\d_]+", text.lower())]
 
     def windows(codes, n, step):
-        if len(codes) <= n:
-            return [b"".join(codes)]
-        return [b"".join(codes[i : i + n]) for i in range(0, len(codes) - n + step, step)]
+        return [b"".join(codes[i : i + n]) for i in range(0, max(len(codes) - n, 0) + (step if len(codes) > n else 1), step)]
 
-    model = toxicity.fit(labelled)
-    assert 0 < len(model.toxic) <= toxicity.TOXIC_BYTES and 0 < len(model.ordinary) <= toxicity.ORDINARY_BYTES
+    def dictionary(samples, size):
+        if sum(map(len, samples)) <= size:
+            return b"".join(samples)
+        try:
+            return zstandard.train_dictionary(size, samples, k=t.SEGMENT, d=t.DMER).as_bytes()
+        except zstandard.ZstdError:
+            return b"".join(samples)[-size:]
 
     def length(data, content):
-        own = zstandard.ZstdCompressionParameters.from_level(toxicity.LEVEL, format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=False, write_checksum=False, write_dict_id=False)
+        own = zstandard.ZstdCompressionParameters.from_level(t.LEVEL, format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=False, write_checksum=False, write_dict_id=False)
         return len(zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=own).compress(data))
 
+    def kind_of(codes, kinds):
+        sizes = [length(b"".join(codes), k) for k in kinds]
+        return sizes.index(min(sizes))
+
+    def trained(texts, kind):
+        pieces = {y: [w for k, codes, toxic in texts if (k, toxic) == (kind, y) for w in windows(codes, t.WINDOW, t.WINDOW) if w] for y in (0, 1)}
+        share = sum(map(len, pieces[1])) // t.TOXIC_PART
+        return dictionary(pieces[1], max(min(t.TOXIC_BYTES, share), 256)), b"".join(dictionary(pieces[0][i :: t.PARTS], t.ORDINARY_BYTES // t.PARTS) for i in range(t.PARTS))
+
+    def features(codes, toxic, ordinary):
+        saved = [length(w, ordinary) - length(w, toxic + ordinary) for w in windows(codes, t.WINDOW, t.STEP)]
+        out = [1.0]
+        for least in t.THRESHOLDS:
+            hits = sum(s >= least for s in saved)
+            out += [math.log1p(hits), hits / len(saved)]
+        mean = sum(saved) / len(saved)
+        return [*out, mean, mean * math.sqrt(len(saved)), max(saved), math.log(len(saved))]
+
+    texts = [(h // 3 % t.FOLDS, code(text), toxic) for h, text, toxic in labelled]
+    n = max(1, min(t.KINDS, sum(toxic for *_, toxic in texts) // t.TOXIC_A_KIND))
+    long = [codes for _, codes, _ in texts if len(codes) >= 8][: t.GROUPED]
+    own = [i % n for i in range(len(long))]
+    for _ in range(t.ROUNDS):
+        kinds = [dictionary([w for codes, o in zip(long, own, strict=True) if o == k for w in windows(codes, 32, 32)], t.KIND_BYTES) for k in range(n)]
+        before, own = own, [kind_of(codes, kinds) for codes in long]
+        if own == before:
+            break
+    texts = [(fold, kind_of(codes, kinds), codes, toxic) for fold, codes, toxic in texts]
+    seen = []
+    for fold in range(t.FOLDS):
+        pairs = [trained([x[1:] for x in texts if x[0] != fold], k) for k in range(n)]
+        seen += [(k, features(codes, *pairs[k]), toxic) for f, k, codes, toxic in texts if f == fold]
+    weigh = lambda found: t._logistic(np.array([x for _, x, _ in found]), np.array([y for *_, y in found], float))
+    weights = []
+    for k in range(n):
+        part = [x for x in seen if x[0] == k]
+        weights.append(weigh(part if sum(y for *_, y in part) >= t.LEAST_TOXIC and not all(y for *_, y in part) else seen))
+    pairs = [trained([x[1:] for x in texts], k) for k in range(n)]
     out = {}
     for i, text in rows:
-        saved = [length(w, model.ordinary) - length(w, model.ordinary + model.toxic) for w in windows(code(text or ""), toxicity.WINDOW, toxicity.STEP)]
-        n, z = len(saved), model.weights[0]
-        counts = [sum(s >= t for s in saved) for t in toxicity.THRESHOLDS]
-        for k, c in enumerate(counts):
-            z += model.weights[1 + 2 * k] * math.log1p(c) + model.weights[2 + 2 * k] * c / n
-        mean = sum(saved) / n
-        for w, f in zip(model.weights[-4:], (mean, mean * math.sqrt(n), max(saved), math.log(n)), strict=True):
-            z += w * f
+        codes = code(text or "")
+        k = kind_of(codes, kinds)
+        z = sum(w * x for w, x in zip(weights[k], features(codes, *pairs[k]), strict=True))
         out[i] = 1 / (1 + math.exp(-max(-30, min(30, z))))
     return out
 
@@ -559,3 +596,19 @@ def test_toxicity_equals_plain_code_on_odd_rows(spark):
     assert np.mean([r.predicted == int(r.doc_id % 4 == 0) for r in held]) > 0.9
     nobody = toxicity.score(docs, marked.limit(0)).collect()
     assert len(nobody) == len(rows) and all(r.score == 0 and r.predicted == 0 for r in nobody)
+
+
+def test_toxicity_parts_its_texts_into_kinds(spark):
+    rng = np.random.default_rng(7)
+    tongues = [[a + b + end for a in "bdfgklmnpr" for b in ("a", "e", "i", "o")] for end in ("sko", "trel")]
+    bad = [["zorgle", "vexpit"], ["quandro", "ulmish"]]
+    text = lambda k, toxic: " ".join(rng.permutation([*rng.choice(tongues[k], int(rng.integers(30, 90))), *rng.choice(bad[k], 4 * toxic)]))
+    rows = [(i, text(i % 2, int(i % 6 < 2))) for i in range(540)]
+    labelled = sorted((zlib.crc32(str(i).encode()), t, int(i % 6 < 2)) for i, t in rows if zlib.crc32(str(i).encode()) % 3 != 1)
+    model = toxicity.fit(labelled)
+    assert len(model.kinds) == len(model.toxic) == len(model.ordinary) == len(model.weights) == 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = toxicity.score(docs, spark.createDataFrame([(i, int(i % 6 < 2)) for i, _ in rows], "doc_id long, toxic int")).collect()
+    want = plain_toxicity(rows, labelled)
+    assert all(abs(r.score - want[r.doc_id]) < 1e-9 for r in got)
+    assert np.mean([r.predicted == int(r.doc_id % 6 < 2) for r in got if r.held_out]) > 0.9
