@@ -229,3 +229,14 @@ def test_windowed_counts(spark, tmp_path):
     q = alerts.windowed_counts(stream).writeStream.format("memory").queryName("windows").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sorted(r.n for r in spark.table("windows").collect()) == [3, 3, 3]
+
+
+def test_unlinked_counts_equal_the_pairs(spark, monkeypatch):
+    """Each knowledge's number of opposed partners, with rows repeated under one id, without forming a pair."""
+    g = {
+        "known": spark.createDataFrame([(1, s, k, c, 1, 2, datetime.datetime(2024, 1, 1)) for s, k, c in [(1, "a", "hot ring"), (1, "a", "hot ring"), (1, "b", "old ring"), (1, "c", "new ring"), (1, "d", "ring"), (1, "e", "hot ring"), (2, "f", "new hat"), (2, "g", "small hat")]], "character_id long, story_id int, knowledge_id string, content string, valid_from int, valid_to int, valid_from_ts timestamp"),
+        "contradicts": spark.createDataFrame([("d", "a"), ("d", "a"), ("e", "c")], "from_id string, to_id string"),
+    }
+    want = {r.knowledge_id_1: r["count"] for r in consistency.unlinked_pairs(g, *consistency.SUBSTITUTES).groupBy("knowledge_id_1").count().collect()}
+    monkeypatch.setattr(consistency, "unlinked_content_pairs", None)
+    assert {r.knowledge_id_1: r.n for r in consistency.unlinked_counts(g).collect()} == want == {"a": 6, "b": 1, "e": 4}
