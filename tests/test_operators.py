@@ -240,3 +240,14 @@ def test_unlinked_counts_equal_the_pairs(spark, monkeypatch):
     want = {r.knowledge_id_1: r["count"] for r in consistency.unlinked_pairs(g, *consistency.SUBSTITUTES).groupBy("knowledge_id_1").count().collect()}
     monkeypatch.setattr(consistency, "unlinked_content_pairs", None)
     assert {r.knowledge_id_1: r.n for r in consistency.unlinked_counts(g).collect()} == want == {"a": 6, "b": 1, "e": 4}
+
+
+def test_conflicts_of_each_equal_the_pairs(spark):
+    """Sums by first knowledge, also where a link takes the greatest partner away and where an id is repeated."""
+    days = [(1, "a", 20240105, 20240110), (1, "b", 20240220, None), (1, "c", 20240201, 20240220), (1, "d", 20240401, 20240402), (1, "d", 20240501, 20240502), (1, "e", None, 20231201), (2, "f", 20240301, 20240101)]
+    g = {"known": spark.createDataFrame(days, "character_id long, knowledge_id string, valid_from int, valid_to int"), "contradicts": spark.createDataFrame([("b", "e"), ("d", "c"), ("a", "b")], "from_id string, to_id string")}
+    pairs = templates.temporal_knowledge_conflicts(g).groupBy("character_id", "knowledge_id_1").agg(F.count("*").alias("n"), F.max("valid_to_2").alias("last_end"), F.max("knowledge_id_2").alias("last_id"))
+    assert sorted(map(tuple, templates.temporal_conflicts_of_each(g).collect())) == sorted(map(tuple, pairs.collect())) != []
+    g["contradicts"] = g["contradicts"].limit(0)
+    g["known"] = g["known"].filter("knowledge_id NOT IN ('d', 'f')")
+    assert sorted(map(tuple, templates.temporal_conflicts_of_each(g).collect())) == [(1, "a", 1, 20231201, "e"), (1, "b", 2, 20240110, "e"), (1, "c", 2, 20240110, "e")]
