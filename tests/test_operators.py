@@ -251,3 +251,29 @@ def test_conflicts_of_each_equal_the_pairs(spark):
     g["contradicts"] = g["contradicts"].limit(0)
     g["known"] = g["known"].filter("knowledge_id NOT IN ('d', 'f')")
     assert sorted(map(tuple, templates.temporal_conflicts_of_each(g).collect())) == [(1, "a", 1, 20231201, "e"), (1, "b", 2, 20240110, "e"), (1, "c", 2, 20240110, "e")]
+
+
+def test_betweenness_of_bounded_paths(spark):
+    """A path of ten characters has shortest paths of up to nine steps; with a bound of seven, pairs farther apart don't count."""
+    from narralake import catalog
+
+    g = {
+        "characters": spark.createDataFrame([(i, f"c{i}", 1) for i in range(10)], "character_id long, name string, story_id int"),
+        "sna_edges": spark.createDataFrame([(1, a, b, "KNOWS", 9) for i in range(9) for a, b in ((i, i + 1), (i + 1, i))], "story_id int, src long, dst long, type string, strength long"),
+    }
+    want = {i: 2.0 * sum(j - k <= 7 for k in range(i) for j in range(i + 1, 10)) for i in range(10)}
+    for way in (network.betweenness, network.betweenness_by_joins):
+        assert {r.character_id: r.betweenness for r in way(g, steps=catalog._STEPS).collect()} == want
+        assert {r.character_id: r.betweenness for r in way(g).collect()} == {i: 2.0 * i * (9 - i) for i in range(10)}
+    assert [r.betweenness for r in network.bridge_characters(g, 2, catalog._STEPS).collect()] == sorted(want.values(), reverse=True)[:2]
+
+
+def test_betweenness_rounds_halves_up(spark):
+    """One of 32 ways leads over each middle node; 1 / 32 rounds as in SQL, to 0.0313."""
+    middle = range(1, 33)
+    g = {
+        "characters": spark.createDataFrame([(i, f"c{i}", 1) for i in range(34)], "character_id long, name string, story_id int"),
+        "sna_edges": spark.createDataFrame([(1, *p, "KNOWS", 9) for i in middle for p in ((0, i), (i, 33))], "story_id int, src long, dst long, type string, strength long"),
+    }
+    for way in (network.betweenness, network.betweenness_by_joins):
+        assert {r.betweenness for r in way(g).collect() if r.character_id in middle} == {0.0313}
