@@ -277,3 +277,21 @@ def test_betweenness_rounds_halves_up(spark):
     }
     for way in (network.betweenness, network.betweenness_by_joins):
         assert {r.betweenness for r in way(g).collect() if r.character_id in middle} == {0.0313}
+
+
+def test_hop_counts_equal_distances(spark, monkeypatch):
+    """Numbers of nodes by distance in two random directed stories, in many small tasks and blocks, without a table of pairs."""
+    import random
+
+    rng = random.Random(3)
+    edges = sorted({(s, 100 * s + rng.randrange(30), 100 * s + rng.randrange(30)) for s in (1, 2) for _ in range(45)})
+    g = {
+        "characters": spark.createDataFrame([(100 * s + i, f"c{i}", s) for s in (1, 2) for i in range(30)], "character_id long, name string, story_id int"),
+        "sna_edges": spark.createDataFrame([(*e, "KNOWS", 9) for e in edges], "story_id int, src long, dst long, type string, strength long"),
+    }
+    want = sorted(map(tuple, network.distances(g).filter("dist > 0").groupBy("start", "dist").count().collect()))
+    by_joins = monkeypatch.setattr(network, "GROUP_EDGES", 0) or sorted(map(tuple, network.hop_counts(g).collect()))
+    for name, value in (("GROUP_EDGES", 200_000), ("GROUP_STEPS", 300), ("BLOCK", 100), ("distances", None)):
+        monkeypatch.setattr(network, name, value)
+    assert sorted(map(tuple, network.hop_counts(g).collect())) == by_joins == want
+    assert sum(r.n for r in network.distance_histogram(g).collect()) == sum(r.reachable for r in network.closeness(g).collect()) == sum(n for *_, n in want)
