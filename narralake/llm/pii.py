@@ -6,9 +6,10 @@
    span and small whole numbers that describe its format and its context (CHECKS, FEATURES).
 2. A candidate that equals a valid base span teaches "yes"; one that breaks its kind's format (Luhn, octets, digits, top
    level domain) or crosses a base span teaches "no"; one that lies inside a base span, or meets none, teaches nothing.
-   Candidates are counted by their features, over all documents; the VECTORS most frequent vectors of a kind (a bound of
-   the fit alone) train its boosted trees by logistic loss. The features leave out what only the base pattern asks for (the
-   plus sign of a phone, the at sign of an address), so that the trees judge other forms by format and context.
+   Candidates are counted by their features, over all documents, and all counted vectors of a kind train its boosted trees
+   by logistic loss. Up to VECTORS of them are fitted on the driver; of more, only the histograms of a tree's level come
+   there, and Spark sums them. The features leave out what only the base pattern asks for (the plus sign of a phone, the at
+   sign of an address), so that the trees judge other forms by format and context.
 3. A quarter of the documents, by a hash of their id, is kept from the fit and calibrates: a kind's threshold is the least
    score from which on at least PRECISION of what they teach is "yes"; a kind without such a score adds nothing.
 4. Trees become CASE expressions. Candidates of valid format that reach their kind's threshold and meet no base span are
@@ -31,6 +32,7 @@ from narralake.llm.common import id_and_text, materialize
 
 KINDS = ("email", "ip", "card", "phone")
 VECTORS, TREES, DEPTH, RATE, LAMBDA, LEAST, PRECISION = 20_000, 30, 3, 0.3, 1.0, 3.0, 0.98
+UNIT = float(1 << 24)
 
 #: (kind, pattern, a text without this holds no match). The first four are the base; possessive forms of the same matches.
 GENERATORS: tuple[tuple[str, str, str], ...] = (
@@ -176,24 +178,36 @@ class Tree:
         return np.where(x[:, self.feature] <= self.cut, self.left.apply(x), self.right.apply(x))
 
 
+def _whole(x: np.ndarray) -> np.ndarray:
+    """In whole units, so that sums don't depend on the order of rows."""
+    return np.rint(x * UNIT)
+
+
+def _leaf(total_g: float, total_h: float) -> float:
+    return float(-RATE * total_g / (total_h + LAMBDA))
+
+
+def _split(sums: list[tuple[np.ndarray, np.ndarray]], total_g: float, total_h: float) -> tuple[int, int]:
+    """(feature, cut) of the largest gain, from each feature's gradients and curvatures by value; feature -1 if none gains."""
+    best = (1e-6, -1, 0)
+    for f, (g, h) in enumerate(sums):
+        hg, hh = g.cumsum()[:-1] / UNIT, h.cumsum()[:-1] / UNIT
+        if len(hg):
+            gain = hg**2 / (hh + LAMBDA) + (total_g - hg) ** 2 / (total_h - hh + LAMBDA) - total_g**2 / (total_h + LAMBDA)
+            gain[(hh < 1e-3) | (total_h - hh < 1e-3)] = -1
+            at = int(gain.argmax())
+            best = max(best, (float(gain[at]), f, at), key=lambda t: t[0])
+    return best[1:]
+
+
 def _grown(x: np.ndarray, g: np.ndarray, h: np.ndarray, rows: np.ndarray, depth: int) -> Tree:
     """One tree by histograms of gradients and curvatures over the features' values, split where the gain is largest."""
-    total_g, total_h = g[rows].sum(), h[rows].sum()
-    leaf = Tree(float(-RATE * total_g / (total_h + LAMBDA)))
-    best = (1e-6, -1, 0)
-    if depth:
-        for f in range(x.shape[1]):
-            v = x[rows, f]
-            hg, hh = np.bincount(v, g[rows]).cumsum()[:-1], np.bincount(v, h[rows]).cumsum()[:-1]
-            if len(hg):
-                gain = hg**2 / (hh + LAMBDA) + (total_g - hg) ** 2 / (total_h - hh + LAMBDA) - total_g**2 / (total_h + LAMBDA)
-                gain[(hh < 1e-3) | (total_h - hh < 1e-3)] = -1
-                at = int(gain.argmax())
-                best = max(best, (float(gain[at]), f, at), key=lambda t: t[0])
-    if best[1] < 0:
-        return leaf
-    low = x[rows, best[1]] <= best[2]
-    return Tree(0.0, best[1], best[2], _grown(x, g, h, rows[low], depth - 1), _grown(x, g, h, rows[~low], depth - 1))
+    total_g, total_h = g[rows].sum() / UNIT, h[rows].sum() / UNIT
+    feature, cut = _split([(np.bincount(x[rows, f], g[rows]), np.bincount(x[rows, f], h[rows])) for f in range(x.shape[1])], total_g, total_h) if depth else (-1, 0)
+    if feature < 0:
+        return Tree(_leaf(total_g, total_h))
+    low = x[rows, feature] <= cut
+    return Tree(0.0, feature, cut, _grown(x, g, h, rows[low], depth - 1), _grown(x, g, h, rows[~low], depth - 1))
 
 
 def boost(x: np.ndarray, yes: np.ndarray, no: np.ndarray) -> list[Tree]:
@@ -202,12 +216,66 @@ def boost(x: np.ndarray, yes: np.ndarray, no: np.ndarray) -> list[Tree]:
     trees, score = [base], np.full(len(x), base.value)
     for _ in range(TREES):
         p = 1 / (1 + np.exp(-score))
-        tree = _grown(x, (yes + no) * p - yes, (yes + no) * p * (1 - p), np.arange(len(x)), DEPTH)
+        tree = _grown(x, _whole((yes + no) * p - yes), _whole((yes + no) * p * (1 - p)), np.arange(len(x)), DEPTH)
         trees.append(tree)
         score += tree.apply(x)
     return trees
 
 
+def _grown_by_sums(rows: DataFrame) -> Tree:
+    """The same tree from a table (FEATURES, g, h): a level's histograms are summed by Spark; only they come to the driver."""
+    root = Tree()
+    level = [root]
+    for depth in range(DEPTH, -1, -1):
+
+        def place(tree: Tree, numbers: dict[int, int]) -> Column:
+            if tree.left is None:
+                return F.lit(numbers.get(id(tree), -1))
+            return F.when(F.col(FEATURES[tree.feature]) <= tree.cut, place(tree.left, numbers)).otherwise(place(tree.right, numbers))
+
+        at = place(root, {id(t): i for i, t in enumerate(level)})
+        flat = rows.select(at.alias("at"), "g", "h", F.posexplode(F.array(*FEATURES)).alias("f", "v")).filter("at >= 0")
+        sums: list[list[dict[int, tuple[float, float]]]] = [[{} for _ in FEATURES] for _ in level]
+        for r in flat.groupBy("at", "f", "v").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).collect():
+            sums[r["at"]][r.f][r.v] = (float(r.g), float(r.h))
+        below = []
+        for tree, own in zip(level, sums, strict=True):
+            columns = [tuple(np.array([f.get(v, (0.0, 0.0))[i] for v in range(max(f, default=-1) + 1)]) for i in (0, 1)) for f in own]
+            total_g, total_h = (float(c.sum()) / UNIT for c in columns[0])
+            feature, cut = _split(columns, total_g, total_h) if depth else (-1, 0)
+            if feature < 0:
+                tree.value = _leaf(total_g, total_h)
+            else:
+                tree.feature, tree.cut, tree.left, tree.right = feature, cut, Tree(), Tree()
+                below += [tree.left, tree.right]
+        level = below
+        if not level:
+            break
+    return root
+
+
+def boost_by_sums(counted: DataFrame) -> tuple[list[Tree], float]:
+    """`boost` and the threshold for any number of vectors. counted: FEATURES, yes, no, held_yes, held_no."""
+    total = counted.agg(F.sum("yes").alias("yes"), F.sum("no").alias("no")).first()
+    trees = [Tree(float(np.log((total.yes + 1) / (total.no + 1))))]
+    scored = counted.withColumn("score", trees[0].column())
+    for _ in range(TREES):
+        p, n = 1 / (1 + F.exp(-F.col("score"))), F.col("yes") + F.col("no")
+        rows = materialize(scored.withColumn("p", p).withColumn("g", F.rint((n * F.col("p") - F.col("yes")) * UNIT).cast("long")).withColumn("h", F.rint(n * F.col("p") * (1 - F.col("p")) * UNIT).cast("long")), "gradients")
+        trees.append(_grown_by_sums(rows))
+        scored = rows.drop("p", "g", "h").withColumn("score", F.col("score") + trees[-1].column())
+    by_score = scored.groupBy("score").agg(F.sum("held_yes").alias("y"), F.sum("held_no").alias("n"))
+    parts = materialize(by_score.repartitionByRange(F.desc("score")).withColumn("part", F.spark_partition_id()), "scores")
+    whole = parts.groupBy("part").agg(F.sum("y").alias("y"), F.sum("n").alias("n"))
+    # One row for each part: what the parts of higher scores hold.
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    higher = whole.select("part", *[F.coalesce(F.sum(k).over(before), F.lit(0)).alias(f"{k}_before") for k in "yn"])
+    upto = Window.partitionBy("part").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
+    reached = parts.join(F.broadcast(higher), "part").select("score", *[(F.sum(k).over(upto) + F.col(f"{k}_before")).alias(k) for k in "yn"])
+    least = reached.filter((F.col("y") >= PRECISION * (F.col("y") + F.col("n"))) & (F.col("y") >= LEAST)).agg(F.min("score")).first()[0]
+    return trees, float("inf") if least is None else float(least) - 1e-9
+
+
 @dataclass
 class Model:
     trees: list[Tree]
@@ -227,17 +295,25 @@ def _threshold(score: np.ndarray, yes: np.ndarray, no: np.ndarray) -> float:
 
 
 def learn(found: DataFrame) -> dict[int, Model]:
-    """found: marked candidates -> kind number: model. What comes to the driver: VECTORS counted vectors of a kind at most."""
+    """found: marked candidates -> kind number: model. What comes to the driver: VECTORS counted vectors of a kind at most, or
+    else sums by a feature's value."""
     crossing = F.col("met") & ~F.col("within")
     lesson = F.when(F.col("equal"), 1).when((F.col("fits") == 0) | crossing, 0)
     kept_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 0
     tally = lambda y, out: F.sum(F.when((F.col("y") == y) & (F.col("out") == out), 1).otherwise(0))
     counted = found.filter("gen >= 0").select("kind", *FEATURES, lesson.alias("y"), F.coalesce(kept_out, F.lit(False)).alias("out")).filter("y IS NOT NULL").groupBy("kind", *FEATURES).agg(F.count("*").alias("n"), tally(1, False).alias("yes"), tally(0, False).alias("no"), tally(1, True).alias("held_yes"), tally(0, True).alias("held_no"))
-    place = F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("n"), *FEATURES))
-    rows = counted.withColumn("place", place).filter(F.col("place") <= VECTORS).collect()
+    counted = materialize(counted, "vectors")
+    sizes = {r.kind: r.n for r in counted.groupBy("kind").agg(F.count("*").alias("n")).collect()}
+    few = [kind for kind, n in sizes.items() if n <= VECTORS]
+    rows = counted.filter(F.col("kind").isin(few)).orderBy("kind", F.desc("n"), *FEATURES).collect()
     models = {}
     for kind in range(len(KINDS)):
-        own = sorted((r for r in rows if r.kind == kind), key=lambda r: r.place)
+        if sizes.get(kind, 0) > VECTORS:
+            all_of = counted.filter(F.col("kind") == kind)
+            if not all_of.filter("yes > 0").isEmpty() and not all_of.filter("no > 0").isEmpty():
+                models[kind] = Model(*boost_by_sums(all_of.drop("kind", "n")))
+            continue
+        own = [r for r in rows if r.kind == kind]
         x = np.array([[r[f] for f in FEATURES] for r in own], int).reshape(len(own), len(FEATURES))
         yes, no, held_yes, held_no = (np.array([r[c] for r in own], float) for c in ("yes", "no", "held_yes", "held_no"))
         if yes.sum() and no.sum():

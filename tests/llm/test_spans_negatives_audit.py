@@ -170,3 +170,32 @@ def test_audit_equals_plain_code(spark):
     assert filter_audit.audit(frame.limit(0), marks).isEmpty()
     two = filter_audit.audit(frame, marks.limit(0), {"A": filter_audit.FILTERS["A"]}, "Z")
     assert {r.filter_order for r in two.collect()} == {"AZ", "ZA"} and two.agg(F.sum("good_lost")).first()[0] == 0
+
+
+def test_all_counted_vectors_teach(spark, monkeypatch):
+    """A kind of more vectors than the driver fits gets the trees and the threshold that the driver would find."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    found = pii.materialize(pii.marked(pii.candidates(pii.numbered(docs))), "candidates")
+    monkeypatch.setattr(pii, "TREES", 3)
+    whole = pii.learn(found)
+    monkeypatch.setattr(pii, "VECTORS", 2)
+    parted = pii.learn(found)
+    assert whole and whole.keys() == parted.keys()
+    for kind, model in whole.items():
+        assert parted[kind].threshold == pytest.approx(model.threshold, abs=1e-6)
+        scores = found.filter(f"kind = {kind}").select(model.score().alias("a"), parted[kind].score().alias("b"))
+        assert scores.filter("abs(a - b) > 1e-6").count() == 0 and scores.distinct().count() > 1
+
+
+def test_sums_grow_the_drivers_trees(spark, monkeypatch):
+    monkeypatch.setattr(pii, "TREES", 2)
+    rng = np.random.default_rng(5)
+    x = np.unique(rng.integers(0, 4, (60, len(pii.FEATURES))), axis=0)
+    yes = np.where((x[:, 1] > 1) ^ (x[:, 6] > 2), 9, 1) + rng.integers(0, 3, len(x))
+    counts = np.stack([yes, 10 - np.minimum(yes, 10), yes // 2, 3 - np.minimum(yes // 3, 3)], axis=1)
+    table = spark.createDataFrame(np.concatenate([x, counts], axis=1).tolist(), [*pii.FEATURES, "yes", "no", "held_yes", "held_no"])
+    trees = pii.boost(x, *counts[:, :2].T.astype(float))
+    score = sum(t.apply(x) for t in trees)
+    grown, threshold = pii.boost_by_sums(table.repartition(3))
+    assert grown == trees and len(np.unique(score)) > 4
+    assert threshold == pytest.approx(pii._threshold(score, *counts[:, 2:].T.astype(float)), abs=1e-9)
