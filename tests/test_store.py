@@ -109,6 +109,14 @@ def test_communities_by_joins_are_as_good_as_one_by_one(spark, planted):
     assert found == {r.character_id: r.community for r in network.louvain_by_joins(g, e).collect()}
 
 
+def test_half_moves_of_a_story_are_those_of_tables(spark, planted, monkeypatch):
+    g, e, _ = planted
+    of = lambda rows: {r.character_id: r.community for r in rows.collect()}
+    want = of(network.louvain_by_tables(g, e))
+    monkeypatch.setattr(network, "_half_moves", None)
+    assert of(network.louvain_by_joins(g, e)) == want and len(set(want.values())) < 20
+
+
 def test_large_stories_go_by_joins(spark, planted, monkeypatch):
     g, e, _ = planted
     monkeypatch.setattr(network, "pairs", lambda _: e)
