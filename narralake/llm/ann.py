@@ -3,7 +3,8 @@
 1. Equal vectors form one node (the least id); a node keeps its k + 1 least ids, which is all that a result can hold.
    Vectors get one more component that makes all lengths equal, so that the nearest by angle are the largest products.
 2. The graph holds NEAR neighbours of each node, about 2 log2(n). It begins with the nearest within groups of about
-   GROUP nodes on the same side of random planes, TABLES times over. Then NN-descent: every node brings together its
+   GROUP nodes (fewer in small tables) on the same side of random planes, TABLES times over; what is compared there in
+   memory needs no round. Then NN-descent: every node brings together its
    neighbours and those that have it as a neighbour, of which one at least must be new since they last met; all pairs
    in such a group of bounded size are compared (vectors as bytes), and whatever is nearer than a node's worst neighbour
    replaces it. Rounds go on until under SETTLED of all edges change. A new edge waits for its turn if a node has more
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 
 from narralake.llm.common import bound_arrow, materialize
 
-GROUP, TABLES, SETTLED, SALTS = 256, 4, 0.001, 8
+GROUP, TABLES, SETTLED, SALTS = 4096, 8, 0.001, 8
 RECALL, SAMPLE, POOL, BEAM, HELD, ENTRIES, SPARE, PART = 0.95, 200, 128, 64, 4, 32, 12, 8192
 
 
@@ -55,6 +56,26 @@ def _of_bytes(rows: list[bytes]) -> np.ndarray:
     return raw[:, 4:].astype(np.float32) * np.ascontiguousarray(raw[:, :4]).view(np.float32)
 
 
+def _runs(u: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    return np.flatnonzero(np.concatenate([np.ones(min(1, len(u)), bool), u[1:] != u[:-1]]))
+
+
+def _packed(u: np.ndarray, *columns: np.ndarray) -> list[pa.Array]:
+    """One row for each run of equal u: u, and what each column holds there as bytes."""
+    starts = _runs(u)
+    ends = np.append(starts, len(u))
+    return [pa.array(u[starts]), *(pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer((ends * c.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(c))]) for c in columns)]
+
+
+def _unpacked(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """All values of the rows, one after the other, and how many each row has."""
+    item = np.dtype(kind).itemsize
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    size = int(ends[-1] - ends[0]) // item
+    return np.frombuffer(column.buffers()[2], kind, size, int(ends[0])) if size else np.zeros(0, kind), np.diff(ends) // item
+
+
 def _nodes(vectors: DataFrame, id_col: str, vector_col: str, keep: int) -> tuple[DataFrame, DataFrame, int]:
     """(node, vec) and (node, vec_id) for at most `keep` ids of a node, and the vectors' length."""
     clean = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v")).filter("vec_id IS NOT NULL AND v IS NOT NULL AND size(v) > 0")
@@ -87,6 +108,11 @@ def near_of(count: int) -> int:
     return max(16, 2 * int(np.ceil(np.log2(max(2, count)))))
 
 
+def group_of(count: int) -> int:
+    """About how many nodes are compared with each other at the start."""
+    return min(GROUP, max(256, count // 16))
+
+
 def _part(node: np.ndarray, count: int) -> np.ndarray:
     """The part of about PART nodes that holds each node's vector."""
     mixed = node.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
@@ -97,7 +123,7 @@ def _ready(nodes: DataFrame, width: int) -> tuple[DataFrame, int]:
     """(node, x in single precision, y in bytes, the added component, codes of the sides of random planes, part), and their number."""
     longest = nodes.agg(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)), F.count("*")).first()
     top, count = float(longest[0] or 1.0), longest[1]
-    bits = max(1, int(np.ceil(np.log2(max(2, count / GROUP)))))
+    bits = max(1, round(np.log2(max(2, count / group_of(count)))))
     planes = np.random.default_rng(7).standard_normal((width + 1, TABLES * bits)).astype(np.float32)
 
     def prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,8 +150,24 @@ def _pruned(u: np.ndarray, v: np.ndarray, s: np.ndarray, k: int) -> tuple[np.nda
     return u[keep], v[keep], s[keep]
 
 
-def _meetings(near: int):
-    kind = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("s", pa.float32())])
+_FOUND = "u long, v binary, s binary, state binary"
+
+
+def _meetings(near: int, start: bool):
+    kind = ["u", "v", "s", "state"]
+
+    def rows_of(u: np.ndarray, v: np.ndarray, s: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(_packed(u, v, s.astype(np.float32), np.full(len(u), 2, np.int8)), kind)
+
+    def begin(ids: np.ndarray, rows: list[bytes]) -> Iterator[pa.RecordBatch]:
+        """Half a list for each node from a large group of new nodes, in blocks of rows; its other groups bring the rest."""
+        x, most = _of_bytes(rows), min(near // 2, len(ids) - 1)
+        step = max(1, (1 << 22) // len(ids))
+        for i in range(0, len(ids), step):
+            s = x[i : i + step] @ x.T
+            s[np.arange(len(s)), np.arange(i, i + len(s))] = -np.inf
+            top = np.argpartition(s, -most, axis=1)[:, -most:]
+            yield rows_of(np.repeat(ids[i : i + step], most), ids[top].ravel(), np.take_along_axis(s, top, axis=1).ravel())
 
     def meet(ids: np.ndarray, new: np.ndarray, worst: np.ndarray, rows: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(u, v, s) for all pairs of a group, one of them new, where s beats the worst neighbour of u."""
@@ -143,13 +185,15 @@ def _meetings(near: int):
         found: list[tuple] = []
         size = 0
 
-        def done() -> None:
+        def done() -> Iterator[pa.RecordBatch]:
             nonlocal size
-            part = [np.concatenate([h[i] for h in held]) for i in range(1, 4)]
+            ids, new, worst = (np.concatenate([h[i] for h in held]) for i in range(1, 4))
             rows = [r for h in held for r in h[4]]
             held.clear()
-            if len(rows) > 1:
-                found.append(meet(*part, rows))
+            if len(rows) > 1 and start and len(rows) > 4 * near:
+                yield from begin(ids, rows)
+            elif len(rows) > 1:
+                found.append(meet(ids, new, worst, rows))
                 size += len(found[-1][0])
 
         def flush() -> pa.RecordBatch:
@@ -157,22 +201,22 @@ def _meetings(near: int):
             out = _pruned(*(np.concatenate([f[i] for f in found]) for i in range(3)), near)
             found.clear()
             size = 0
-            return pa.RecordBatch.from_arrays(list(map(pa.array, out)), schema=kind)
+            return rows_of(*out)
 
         for batch in batches:
             if not batch.num_rows:
                 continue
             key, ids, new, worst = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
             rows = batch.column(4).to_pylist()
-            cuts = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
+            cuts = [*_runs(key).tolist(), len(key)]
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 if held and held[0][0] != key[a]:
-                    done()
+                    yield from done()
                 held.append((key[a], ids[a:b], new[a:b], worst[a:b], rows[a:b]))
             if size > 1 << 20:
                 yield flush()
         if held:
-            done()
+            yield from done()
         if found:
             yield flush()
 
@@ -183,7 +227,7 @@ _GRAPH = "u long, nbr binary, sim binary, fresh binary, used binary, worst float
 
 
 def _merged(near: int, brought: int, round_: int):
-    """Rows (u, v, s, state) come sorted by u. state: 0 known for long, 1 not yet brought together, 2 just found."""
+    """Rows (u, and v, s, state of some of its edges as bytes) come sorted by u. state: 0 known for long, 1 not yet brought together, 2 just found."""
     kind = pa.schema([("u", pa.int64()), *((c, pa.binary()) for c in ("nbr", "sim", "fresh", "used")), ("worst", pa.float32()), ("changed", pa.int32())])
 
     def merge(u: np.ndarray, v: np.ndarray, s: np.ndarray, state: np.ndarray) -> pa.RecordBatch:
@@ -202,20 +246,19 @@ def _merged(near: int, brought: int, round_: int):
         used = np.zeros(len(u), bool)
         used[order] = np.arange(len(u)) - np.searchsorted(u, u) < brought
         used &= state > 0
-        starts = np.flatnonzero(np.concatenate([[True], u[1:] != u[:-1]]))
-        ends = [*starts[1:].tolist(), len(u)]
-        blobs = [[a[i:j].tobytes() for i, j in zip(starts.tolist(), ends, strict=True)] for a in (v, s, (state > 0) & ~used, used)]
-        sizes = np.diff([*starts, len(u)])
-        worst = np.where(sizes >= near, s[np.array(ends) - 1], np.float32(-2))
+        starts = _runs(u)
+        ends = np.append(starts[1:], len(u))
+        worst = np.where(ends - starts >= near, s[ends - 1], np.float32(-2))
         changed = np.add.reduceat((state == 2).astype(np.int32), starts)
-        return pa.RecordBatch.from_arrays([pa.array(u[starts]), *(pa.array(b, pa.binary()) for b in blobs), pa.array(worst.astype(np.float32)), pa.array(changed.astype(np.int32))], schema=kind)
+        return pa.RecordBatch.from_arrays([*_packed(u, v, s, (state > 0) & ~used, used), pa.array(worst.astype(np.float32)), pa.array(changed.astype(np.int32))], schema=kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         for batch in batches:
             if not batch.num_rows:
                 continue
-            now = [batch.column(i).to_numpy() for i in range(4)]
+            (v, sizes), (s, _), (state, _) = (_unpacked(batch.column(i), t) for i, t in ((1, np.int64), (2, np.float32), (3, np.int8)))
+            now = [np.repeat(batch.column(0).to_numpy(), sizes), v, s, state]
             held = [np.concatenate(c) for c in zip(held, now, strict=True)] if held else now
             last = int(np.searchsorted(held[0], held[0][-1]))  # the last u may go on in the next batch
             if last and len(held[0]) > 1 << 16:
@@ -230,15 +273,13 @@ def _merged(near: int, brought: int, round_: int):
 def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(u, v, s, state): 0 known, 1 fresh, 2 has its turn."""
     for batch in batches:
-        nbr, sim, fresh, used = (batch.column(c).to_pylist() for c in ("nbr", "sim", "fresh", "used"))
-        v, s = np.frombuffer(b"".join(nbr), np.int64), np.frombuffer(b"".join(sim), np.float32)
-        state = np.frombuffer(b"".join(fresh), np.int8) + 2 * np.frombuffer(b"".join(used), np.int8)
-        u = np.repeat(batch.column("u").to_numpy(), [len(b) // 8 for b in nbr])
+        (v, sizes), (s, _), (fresh, _), (used, _) = (_unpacked(batch.column(c), t) for c, t in (("nbr", np.int64), ("sim", np.float32), ("fresh", np.int8), ("used", np.int8)))
+        u, state = np.repeat(batch.column("u").to_numpy(), sizes), fresh + 2 * used
         yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(s), pa.array(state)], ["u", "v", "s", "state"])
 
 
-def _met(rows: DataFrame, near: int) -> DataFrame:
-    return rows.select("key", "node", "new", "worst", "y").repartition("key").sortWithinPartitions("key").mapInArrow(_meetings(near), "u long, v long, s float")
+def _met(rows: DataFrame, near: int, start: bool = False) -> DataFrame:
+    return rows.select("key", "node", "new", "worst", "y").repartition("key").sortWithinPartitions("key").mapInArrow(_meetings(near, start), _FOUND)
 
 
 def build_graph(ready: DataFrame, count: int) -> DataFrame:
@@ -246,26 +287,26 @@ def build_graph(ready: DataFrame, count: int) -> DataFrame:
     near = near_of(count)
     brought = 5 * near // 8
     coded = ready.select("node", "y", F.posexplode("codes").alias("t", "code"))
-    sizes = materialize(coded.groupBy("t", "code").agg(F.ceil(F.count("*") / (2 * GROUP)).cast("int").alias("parts")), "sizes")
+    sizes = materialize(coded.groupBy("t", "code").agg(F.ceil(F.count("*") / (2 * group_of(count))).cast("int").alias("parts")), "sizes")
     key = F.xxhash64("t", "code", F.pmod(F.xxhash64("node", "t"), F.col("parts")))
     first = coded.join(sizes, ["t", "code"]).select(key.alias("key"), "node", F.lit(True).alias("new"), F.lit(-2.0).cast("float").alias("worst"), "y")
 
     def merged(edges: DataFrame, round_: int) -> DataFrame:
         return materialize(edges.repartition("u").sortWithinPartitions("u").mapInArrow(_merged(near, brought, round_), _GRAPH), f"graph{round_}")
 
-    graph, round_ = merged(_met(first, near).withColumn("state", F.lit(2).cast("tinyint")), 0), 0
+    graph, round_ = merged(_met(first, near, start=True), 0), 0
     while True:
         edges = graph.mapInArrow(_edges, "u long, v long, s float, state tinyint")
         met = edges.filter("state <> 1").select("u", "v", (F.col("state") == 2).alias("new"))
-        turn = Window.partitionBy("key", "new").orderBy(F.xxhash64("key", "node", F.lit(round_)))
-        back = met.select(F.col("v").alias("key"), F.col("u").alias("node"), "new").withColumn("r", F.row_number().over(turn)).filter(F.col("r") <= brought).drop("r")
-        around = met.select(F.col("u").alias("key"), F.col("v").alias("node"), "new").unionByName(back)
+        both = met.select(F.col("u").alias("key"), F.col("v").alias("node"), "new", F.lit(False).alias("back")).unionByName(met.select(F.col("v").alias("key"), F.col("u").alias("node"), "new", F.lit(True).alias("back")))
+        turn = Window.partitionBy("key", "new", "back").orderBy(F.xxhash64("key", "node", F.lit(round_)))
+        around = both.repartition("key").withColumn("r", F.row_number().over(turn)).filter((F.col("r") <= brought) | ~F.col("back"))
         groups = around.groupBy("key").agg(F.collect_set(F.when(F.col("new"), F.col("node"))).alias("a"), F.collect_set(F.when(~F.col("new"), F.col("node"))).alias("b")).filter("size(a) > 0")
         mark = lambda new: lambda x: F.struct(x.alias("node"), F.lit(new).alias("new"))
         members = groups.select("key", F.explode(F.concat(F.transform("a", mark(True)), F.transform(F.array_except("b", "a"), mark(False)))).alias("m")).select("key", "m.node", "m.new", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int").alias("salt"))
         detail = ready.select("node", "y").join(graph.select(F.col("u").alias("node"), "worst"), "node", "left").select("node", "y", F.coalesce("worst", F.lit(-2.0).cast("float")).alias("worst"), F.explode(F.array(*map(F.lit, range(SALTS)))).alias("salt"))
-        found = _met(members.join(detail, ["node", "salt"]), near).withColumn("state", F.lit(2).cast("tinyint"))
-        known = edges.select("u", "v", "s", F.when(F.col("state") == 1, 1).otherwise(0).cast("tinyint").alias("state"))
+        found = _met(members.join(detail, ["node", "salt"]), near)
+        known = graph.select("u", F.col("nbr").alias("v"), F.col("sim").alias("s"), F.col("fresh").alias("state"))
         graph, round_ = merged(known.unionByName(found), round_ + 1), round_ + 1
         changed = graph.agg(F.sum("changed")).first()[0] or 0
         if changed <= SETTLED * near * count:

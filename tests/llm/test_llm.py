@@ -459,6 +459,37 @@ def test_graph_reaches_the_true_neighbours(spark):
     assert np.mean([len(near[u] & set(true[u])) / 10 for u in range(3000)]) >= 0.9 and max(map(len, near.values())) == ann.near_of(3000)
 
 
+def test_graph_begins_near_the_truth(spark, monkeypatch):
+    """Isotropic vectors: few rounds are left after the first groups, and the lists are better than from groups of 256."""
+    n, names = 8000, []
+    materialize = ann.materialize
+    monkeypatch.setattr(ann, "materialize", lambda frame, name: names.append(name) or materialize(frame, name))
+    x = np.random.default_rng(3).standard_normal((n, 64)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    ready, count = ann._ready(spark.createDataFrame([(i, v.astype(float).tolist()) for i, v in enumerate(x)], "node long, v array<double>"), 64)
+    graph = ann.build_graph(ready, count).toPandas()
+    s = x @ x.T
+    np.fill_diagonal(s, -2)
+    true = np.argpartition(-s, 20, axis=1)[:, :20]
+    near = {u: set(g.v) for u, g in graph.groupby("u")}
+    assert np.mean([len(near[u] & set(true[u])) / 20 for u in range(n)]) >= 0.89
+    assert sum(name.startswith("graph") for name in names) <= 8
+    assert not graph.duplicated(["u", "v"]).any() and (graph.u != graph.v).all() and max(map(len, near.values())) == ann.near_of(n)
+
+
+@pytest.mark.parametrize("sizes", [[3, 1, 2], [], [5]])
+def test_packed_rows_give_their_values_back(sizes):
+    u = np.repeat(np.arange(len(sizes)) * 7, sizes)
+    v, state = np.arange(len(u)) * 11 - 3, np.arange(len(u)).astype(np.int8)
+    keys, values, states = ann._packed(u, v, state)
+    assert keys.to_pylist() == [7 * i for i in range(len(sizes))]
+    for column, want in ((values, v), (states, state)):
+        got, lengths = ann._unpacked(column, want.dtype.type)
+        assert got.tolist() == want.tolist() and lengths.tolist() == sizes
+        got, lengths = ann._unpacked(column.slice(1), want.dtype.type)
+        assert got.tolist() == want[sum(sizes[:1]) :].tolist() and lengths.tolist() == sizes[1:]
+
+
 @pytest.mark.parametrize("name", ["quality_rules", "toxicity", "near_dedup", "substring_dedup", "packing"])
 def test_stages_one_by_one(spark, name):
     """Odd rows and columns of clashing names through each stage, and an empty table."""
