@@ -629,6 +629,16 @@ def test_toxicity_equals_plain_code_on_odd_rows(spark):
     assert len(nobody) == len(rows) and all(r.score == 0 and r.predicted == 0 for r in nobody)
 
 
+def test_word_codes_search_a_known_piece_no_more(monkeypatch):
+    odd = ["a_b1c É²½x\x1cy z ΑΣ ΑΣ, b \ud800 " + "w" * 100, "", " \n", "ΟΔΟΣ, ΟΔΟΣ\u3000İi (one,two)three"]
+    words = lambda text: re.findall(r"[^\W\d_]+", text.lower())
+    codes = toxicity.Codes()
+    assert [codes.stream(t) for t in odd] == [b"".join(xxhash.xxh3_64_digest(w.encode("utf-8", "surrogatepass"))[: toxicity.CODE] for w in words(t)) for t in odd]
+    known = codes.stream("One, two; three")
+    monkeypatch.setattr(toxicity, "_WORD", None)
+    assert codes.stream("one, TWO;\nthree") == known
+
+
 def test_toxicity_parts_its_texts_into_kinds(spark):
     rng = np.random.default_rng(7)
     tongues = [[a + b + end for a in "bdfgklmnpr" for b in ("a", "e", "i", "o")] for end in ("sko", "trel")]
